@@ -51,27 +51,27 @@ def attribute_changes(spans: DataFrame, entity: str, value: str, priority: list[
 
 
 def with_known_value(
-    events: DataFrame, spans: DataFrame, entity: str, day: str, value: str, priority: list[str], shard_days: int = 366, origin: int = 10957, horizon: int = 25567
+    events: DataFrame, spans: DataFrame, entity: str, day: str, value: str, priority: list[str], shard_days: int = 731, origin: int = 10957, horizon: int = 25567, keep_unplaced: bool = True
 ) -> DataFrame:
-    """Add ``value`` to each event: the entity's value that was known and held on the event's day.
+    """Add ``value``_connu to each event: the entity's value that was known and held on the event's day.
 
     Events and attribute changes are united, sorted by entity and day - a change before an event of the same day -
     and the last change is carried forward. A change to "none" is carried forward too. Events without an entity or day
-    get null; events are neither dropped nor repeated. The sort is within (entity, time shard): an entity with a
-    third of all rows is spread over its shards, and no shard needs the one before it, since spans are clipped.
+    get null (or, without ``keep_unplaced``, no row); events are otherwise neither dropped nor repeated. ``day`` is a date, ``value`` any type. The sort is within (entity, time shard): an entity with a
+    third of all rows is spread over its shards, and no shard needs the one before it, since spans are clipped. The result keeps that
+    partitioning (column ``__shard``), so that a later grouping by entity, shard and more needs no shuffle.
     """
-    out = events.columns
     last = (horizon - origin) // shard_days
     changes = attribute_changes(spans, entity, value, priority, shard_days, origin, horizon)
     d = F.unix_date(F.col(day))
     shard = F.least(F.greatest(F.floor((d - F.lit(origin)) / F.lit(shard_days)), F.lit(0)), F.lit(last)).cast("int")
-    row = F.struct(*[F.col(f"`{c}`") for c in out])
-    left = events.select(F.col(entity).alias("__k"), shard.alias("__shard"), d.alias("__d"), F.lit(1).alias("__prio"), F.lit(None).cast("struct<v:string>").alias("__c"), row.alias("__row"))
-    known = (F.col("__k").isNotNull()) & F.col("__d").isNotNull()
-    right = changes.select(F.col(entity).alias("__k"), F.col("shard").alias("__shard"), F.col("day").alias("__d"), F.lit(0).alias("__prio"), F.struct(F.col("value").cast("string").alias("v")).alias("__c"))
+    others = [c for c in events.columns if c not in (entity, day)]
+    left = events.select(F.col(entity).alias("__k"), shard.alias("__shard"), d.alias("__d"), F.lit(1).alias("__prio"), *[F.col(f"`{c}`") for c in others])
+    known = F.col("__k").isNotNull() & F.col("__d").isNotNull()
+    right = changes.select(F.col(entity).alias("__k"), F.col("shard").alias("__shard"), F.col("day").alias("__d"), F.lit(0).alias("__prio"), F.struct(F.col("value").alias("v")).alias("__c"))
     both = left.where(known).unionByName(right, allowMissingColumns=True)
     w = W.partitionBy("__k", "__shard").orderBy("__d", "__prio").rowsBetween(W.unboundedPreceding, 0)
-    carried = both.withColumn("__v", F.last("__c", ignorenulls=True).over(w)).where(F.col("__prio") == 1)
-    carried = carried.select("__row", F.col("__v.v").alias("__v"))
-    rest = left.where(~known).select("__row", F.lit(None).cast("string").alias("__v"))
-    return carried.unionByName(rest).select("__row.*", F.col("__v").alias(f"{value}_connu"))
+    carried = both.withColumn("__v", F.last("__c", ignorenulls=True).over(w)["v"]).where(F.col("__prio") == 1).drop("__c")
+    rest = left.where(~known).withColumn("__v", F.lit(None).cast(right.schema["__c"].dataType["v"].dataType))
+    named = lambda x: x.select(F.col("__k").alias(entity), F.date_from_unix_date("__d").alias(day), *others, F.col("__v").alias(f"{value}_connu"), "__shard")
+    return named(carried).unionByName(named(rest)) if keep_unplaced else named(carried)

@@ -82,22 +82,39 @@ def event_days(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(key("scrutin_uid").alias("scrutin_uid"), F.coalesce(day("date"), F.col("date_d")).alias("jour")).groupBy("scrutin_uid").agg(F.min("jour").alias("jour"))
 
 
-def p5_known(spark: SparkSession, sf: str) -> DataFrame:
-    """Every ballot of a known event day with the group its member was known to be in on that day."""
-    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"))
-    v = v.join(event_days(spark, sf).where(F.col("jour").isNotNull()), "scrutin_uid")
+def p5_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The days on which each version of a group mandate was known and held."""
     spans = known_spans(mandates(spark, sf), "mandat_uid", "recu_le", "debut", "fin", ["debut", "fin", "organe_uid", "type_organe", "acteur_uid"])
-    spans = spans.where((F.col("type_organe") == "GP") & F.col("acteur_uid").isNotNull() & F.col("organe_uid").isNotNull())
-    return with_known_value(v, spans, "acteur_uid", "jour", "organe_uid", ["debut", "recu_le", "mandat_uid"])
+    return spans.where((F.col("type_organe") == "GP") & F.col("acteur_uid").isNotNull() & F.col("organe_uid").isNotNull())
+
+
+def ballots_by_day(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Every ballot (scrutin_uid, acteur_uid, jour) of a known event day, and the last of these days."""
+    days = event_days(spark, sf).where(F.col("jour").isNotNull())
+    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"))
+    s = table(spark, sf, "scrutins").select(F.coalesce(day("date"), F.col("date_d")).alias("jour"))
+    last = s.agg(F.max(F.unix_date("jour"))).first()[0]
+    return v.join(days, "scrutin_uid"), (last if last is not None else 0)
+
+
+def p5_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ballot of a known event day with the group its member was known to be in on that day (null: none)."""
+    v, last = ballots_by_day(spark, sf)
+    out = with_known_value(v, p5_spans(spark, sf), "acteur_uid", "jour", "organe_uid", ["debut", "recu_le", "mandat_uid"], horizon=max(last, 11000))
+    return out.groupBy("acteur_uid", "__shard", "scrutin_uid").agg(F.max("jour").alias("jour"), F.max("organe_uid_connu").alias("groupe_uid")).drop("__shard")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The member's group of today travels with the mandates, so ballots are shuffled by event and by member, and no more."""
     today = table(spark, sf, "deputes").select(key("acteur_uid").alias("acteur_uid"), key("groupe_uid").alias("groupe_uid"))
     today = today.groupBy("acteur_uid").agg(F.max("groupe_uid").alias("aujourdhui")).where(F.col("acteur_uid").isNotNull())
-    known = p5_known(spark, sf).where(F.col("organe_uid_connu").isNotNull())
-    differs = ~F.col("organe_uid_connu").eqNullSafe(F.col("aujourdhui"))
-    out = known.join(today, "acteur_uid").where(differs)
-    return out.select("scrutin_uid", "acteur_uid", F.col("organe_uid_connu").alias("groupe_uid")).distinct()
+    differs = F.when(~F.col("organe_uid").eqNullSafe(F.col("aujourdhui")), F.col("organe_uid"))
+    spans = p5_spans(spark, sf).join(today, "acteur_uid").withColumn("autre", F.struct(differs.alias("groupe")))
+    v, last = ballots_by_day(spark, sf)
+    priority = ["debut", "recu_le", "mandat_uid"]
+    out = with_known_value(v, spans, "acteur_uid", "jour", "autre", priority, horizon=max(last, 11000), keep_unplaced=False)
+    out = out.where(F.col("autre_connu.groupe").isNotNull()).select("acteur_uid", "__shard", "scrutin_uid", F.col("autre_connu.groupe").alias("groupe_uid"))
+    return out.distinct().select("scrutin_uid", "acteur_uid", "groupe_uid")
 
 
 QUERIES = {
@@ -107,6 +124,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_variantes": p4_variantes,
     "p5_found": p5_found,
+    "p5_connus": p5_known,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(8199) || chr(8239) || chr(12288)"
