@@ -155,7 +155,8 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
     the one with the most letters, its confidence the mean of that language over all letters. ``mixte``: the paragraphs
     are in two or more languages. Null, empty and word-less texts have one row without a language; word-less paragraphs have none but are counted.
     A single paragraph below ``settings.switch`` keeps its label's language, or without one the likeliest given how often labels (``counts``) name each.
-    ``label``: the code the given label names. Whole texts are read, in Arrow batches, without a shuffle; rows that repeat repeat theirs.
+    ``label``: the code the given label names. Whole texts are read, in Arrow batches; rows that repeat repeat theirs. Texts are
+    spread evenly first, however the files are cut, since reading is what costs time: several tasks for each core.
     """
     kind = docs.schema[ident].dataType.simpleString()
     prior = np.array([counts.get(k, 0) + 1.0 for k in LANGUAGES])
@@ -189,6 +190,9 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
             yield pd.DataFrame(rows, columns=["i", "label", "segment", "langue", "confiance", "mixte"])
 
     src = docs.select(F.col(ident).alias("i"), language_code(lang).alias("l"), F.col(text).alias("t"))
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    src = src.repartition(tasks, F.xxhash64("i", "t"))
     out = src.mapInPandas(read, f"i {kind}, label string, segment bigint, langue string, confiance double, mixte boolean")
     return out.withColumnRenamed("i", ident)
 
