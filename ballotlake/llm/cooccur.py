@@ -12,17 +12,24 @@ def locality(items: str) -> Column:
     return F.array_min(F.transform(F.col(items), lambda x: F.xxhash64(x["i"])))
 
 
+def last_labels(rows: DataFrame, basket: str, item: str, label: str, received: str) -> DataFrame:
+    """(basket, item, label): items once per basket, with the label received last (the greater one on a tie). Rows without a basket or item fall away."""
+    kept = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
+    last = kept.groupBy(basket, item).agg(F.max(F.struct(F.col(received).alias("t"), F.col(label).alias("p"))).alias("__x"))
+    return last.select(basket, item, F.col("__x.p").alias(label))
+
+
 def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: int = 1, partitions: int | None = None) -> DataFrame:
     """(a, b, same, both) for pairs a < b that share a basket: baskets in which both occur, and with the same label.
 
-    ``ballots`` has one row per (basket, item), with neither null. ``item`` is a long. Items in fewer
+    ``ballots`` has one row per (basket, item), as from :func:`last_labels`. ``item`` is a long; a label that is null is like no other. Items in fewer
     than ``min_same`` baskets can reach no pair of that many and are left out first (exact).
 
     A basket becomes one sorted array; ordered pairs are emitted from it one item at a time, and partial sums are made
     in the task before anything is shuffled: baskets are brought to tasks by :func:`locality`, so the shuffle has about as
     many rows as there are different pairs, not as many as there are emissions.
     """
-    frequent = ballots.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_same).select(item)
+    frequent = ballots.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_same).select(item)
     kept = ballots.join(frequent, item, "left_semi") if min_same > 1 else ballots
     baskets = kept.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(label).alias("p")))).alias("x")).where(F.size("x") > 1)
     key = locality("x")
@@ -30,7 +37,7 @@ def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: i
     baskets = baskets.repartition(partitions, "k") if partitions else baskets.repartition("k")
     first = baskets.select(F.posexplode("x").alias("pos", "one"), "x")
     pairs = first.select(F.col("one.i").alias("a"), F.col("one.p").alias("p"), F.explode(F.expr("slice(x, pos + 2, size(x))")).alias("two"))
-    pairs = pairs.select("a", F.col("two.i").alias("b"), (F.col("two.p") == F.col("p")).cast("int").alias("s"))
+    pairs = pairs.select("a", F.col("two.i").alias("b"), F.coalesce(F.col("two.p") == F.col("p"), F.lit(False)).cast("int").alias("s"))
     return pairs.groupBy("a", "b").agg(F.sum("s").alias("same"), F.count(F.lit(1)).alias("both")).where(F.col("same") >= min_same)
 
 

@@ -92,34 +92,33 @@ _BLANK_CLASS = "[" + "".join(f"\\x{{{ord(b):X}}}" for b in BLANKS + "⠀") + "]+
 
 
 def token_forms(tokens: DataFrame) -> DataFrame:
-    """(token, forme) for distinct tokens without blanks, by code points.
+    """(k, forme) for distinct tokens (k, token) without blanks, by code points; ``k`` stands for the token.
 
     Each token is exploded to positioned code points, which a broadcast join replaces by what they stand for; marks are
     ordered by combining class within their cluster, clusters are recomposed by the longest composition there
-    is, and the string is rebuilt. One shuffle (by token) holds through all these steps.
+    is, and the string is rebuilt. One shuffle (by k) holds through all these steps, and no row but the first carries the token.
     """
     spark = tokens.sparkSession
     mapping = F.broadcast(_table(spark, mapping_rows(), "ch string, becomes array<string>"))
     classes = F.broadcast(_table(spark, class_rows(), "ch string, ccc int"))
     composed = F.broadcast(_table(spark, composition_rows(), "nfd string, nfc string"))
-    points = tokens.select("token", F.posexplode(F.split("token", "(?!^)")).alias("pos", "ch"))
-    points = points.join(mapping, "ch", "left").select("token", "pos", F.posexplode(F.coalesce("becomes", F.array("ch"))).alias("sub", "ch"))
-    points = points.join(classes, "ch", "left").select("token", "pos", "sub", "ch", F.coalesce("ccc", F.lit(0)).alias("ccc"))
-    w = W.partitionBy("token").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
+    points = tokens.select("k", F.posexplode(F.split("token", "(?!^)")).alias("pos", "ch"))
+    points = points.join(mapping, "ch", "left").select("k", "pos", F.posexplode(F.coalesce("becomes", F.array("ch"))).alias("sub", "ch"))
+    points = points.join(classes, "ch", "left").select("k", "pos", "sub", "ch", F.coalesce("ccc", F.lit(0)).alias("ccc"))
+    w = W.partitionBy("k").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
     points = points.withColumn("cluster", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(w))
     marks = F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "ch"))), lambda x: x["ch"])
-    clusters = points.groupBy("token", "cluster").agg(marks.alias("m"))
-    for k in (4, 3, 2):
-        part = F.array_join(F.slice("m", 1, k), "")
+    clusters = points.groupBy("k", "cluster").agg(marks.alias("m"))
+    for n in (4, 3, 2):
+        part = F.array_join(F.slice("m", 1, n), "")
         clusters = (
-            clusters.withColumn("nfd", F.when(F.size("m") >= k, part))
+            clusters.withColumn("nfd", F.when(F.size("m") >= n, part))
             .join(composed, "nfd", "left")
-            .withColumn("m", F.when(F.col("nfc").isNotNull(), F.concat(F.array("nfc"), F.expr(f"slice(m, {k + 1}, size(m))"))).otherwise(F.col("m")))
+            .withColumn("m", F.when(F.col("nfc").isNotNull(), F.concat(F.array("nfc"), F.expr(f"slice(m, {n + 1}, size(m))"))).otherwise(F.col("m")))
             .drop("nfd", "nfc")
         )
     parts = F.array_sort(F.collect_list(F.struct("cluster", F.array_join("m", "").alias("s"))))
-    shown = clusters.groupBy("token").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("forme"))
-    return tokens.join(shown, "token", "left").select("token", F.coalesce("forme", F.lit("")).alias("forme"))
+    return clusters.groupBy("k").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("forme"))
 
 
 def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -131,21 +130,21 @@ def canonical(df: DataFrame, text: str, out: str = "forme") -> DataFrame:
 
     Differences of width or composition, silent characters, kinds and numbers of blanks (also at the ends), kinds of
     hyphens and look-alike letters go; case, accents, digits and punctuation stay. A null text stays null; a text that shows nothing becomes
-    "". Rows are neither dropped nor repeated, other columns are kept.
+    "". Rows are neither dropped nor repeated, other columns are kept, but one named ``out`` is replaced.
 
     Blanks part a text into tokens; no mark moves or composes across one, so each distinct token is brought to its form once and joined
     back by position. Equal texts are worked on once (a hot text costs nothing); a hot token has one row per distinct text
     and may be split by AQE since the other side has one row per token.
     """
-    rows = df.withColumn("__h", text_hash(text))
+    rows = (df if out == text else df.drop(out)).withColumn("__h", text_hash(text))
     texts = rows.where(F.col(text).isNotNull()).groupBy("__h").agg(F.first(text).alias("__t"))
-    words = texts.select("__h", F.posexplode(F.split("__t", _BLANK_CLASS)).alias("pos", "token")).where(F.col("token") != "")
-    forms = token_forms(words.select("token").distinct())
-    joined = words.join(forms, "token").where(F.col("forme") != "")
+    words = texts.select("__h", F.posexplode(F.split("__t", _BLANK_CLASS)).alias("pos", "token")).where(F.col("token") != "").withColumn("k", text_hash("token"))
+    forms = token_forms(words.groupBy("k").agg(F.first("token").alias("token")))
+    joined = words.drop("token").join(forms, "k").where(F.col("forme") != "")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.col("forme").alias("f"))))
     rebuilt = joined.groupBy("__h").agg(F.array_join(F.transform(parts, lambda x: x["f"]), " ").alias(out))
-    with_form = rows.join(rebuilt, "__h", "left").drop("__h")
-    return with_form.withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(F.col(out), F.lit(""))))
+    with_form = rows.join(rebuilt.withColumnRenamed(out, "__f"), "__h", "left").drop("__h")
+    return with_form.withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("__f", F.lit("")))).drop("__f")
 
 
 def look_alike_pairs(forms: DataFrame, group: str, ident: str, text: str, form: str = "forme") -> DataFrame:

@@ -104,12 +104,13 @@ def length_histogram(sized: DataFrame, source: str, n_tokens: str) -> dict[str,
 
 
 def select(sized: DataFrame, plans: list[Plan], key: str, source: str, n_tokens: str, seed: int = 42, buckets: int = 256) -> DataFrame:
-    """Columns of ``sized`` and ``copies`` (at least 1) of the documents in the mix.
+    """Columns of ``sized`` and ``copies`` (at least 1; a column of that name is replaced) of the documents in the mix. Documents without a source
+    or of one without a weight take no part; rows that repeat are documents of their own.
 
     Within a source and length the documents come in the order of a seeded hash of ``key``. Their rank is found in two steps - counts of hash
     ranges first, then within one range - so no task sorts all documents of a length.
     """
-    spark = sized.sparkSession
+    spark, sized = sized.sparkSession, sized.drop("copies")
     rows = [(p.source, n, p.copies, x) for p in plans for n, x in p.extra.items()]
     wanted = spark.createDataFrame(rows, "__s string, __n bigint, __c bigint, __x bigint")
     whole = spark.createDataFrame([(p.source, p.copies) for p in plans], "__s string, __copies bigint")

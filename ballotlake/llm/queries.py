@@ -35,9 +35,7 @@ P6_SAME, P6_LIFT_PER_MILLE = 12, 1811
 def expressed_ballots(spark: SparkSession, sf: str) -> DataFrame:
     """The last received ballot of each member in each event, where it took one of the three sides."""
     v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position("position").alias("position"), "recu_le")
-    v = v.where(F.col("scrutin_uid").isNotNull() & F.col("acteur_uid").isNotNull())
-    last = v.groupBy("scrutin_uid", "acteur_uid").agg(F.max(F.struct("recu_le", "position")).alias("x"))
-    return last.select("scrutin_uid", "acteur_uid", F.col("x.position").alias("position")).where(F.col("position").isin(*EXPRESSED))
+    return cooccur.last_labels(v, "scrutin_uid", "acteur_uid", "position", "recu_le").where(F.col("position").isin(*EXPRESSED))
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
@@ -50,7 +48,7 @@ def p6_pairs(spark: SparkSession, sf: str, min_same: int = P6_SAME) -> DataFrame
     ballots = written(expressed_ballots(spark, sf), "ballots")
     names = numbered(ballots, "acteur_uid")
     side = F.when(F.col("position") == EXPRESSED[0], 0).when(F.col("position") == EXPRESSED[1], 1).otherwise(2)
-    b = written(ballots.join(names, "acteur_uid").select(F.xxhash64("scrutin_uid").alias("basket"), F.col("num").alias("item"), side.alias("label"), "scrutin_uid"), "numbered")
+    b = written(ballots.join(names, "acteur_uid").select("scrutin_uid", F.col("num").alias("item"), side.alias("label")), "numbered")
     pairs = cooccur.together(b, "scrutin_uid", "item", "label", min_same)
     rated = cooccur.lift(pairs, b, "item", "label", (0, 1, 2))
     one, two = names.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), names.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))

@@ -64,6 +64,9 @@ def terms_of(records: DataFrame, record: str, text: str) -> DataFrame:
     return records.select(record, F.explode(words).alias("terme")).groupBy(record, "terme").agg(F.count(F.lit(1)).alias("n"))
 
 
+_DELTA = "terme string, d_occ bigint, d_rec bigint, part bigint"
+
+
 class TermCounts:
     """Persistent counts in a shared folder: signed deltas, partitioned by a hash of the term, and compacted states.
 
@@ -84,14 +87,15 @@ class TermCounts:
 
     def add_signed(self, deltas: DataFrame) -> TermCounts:
         """Merge rows (terme, d_occ, d_rec) as they are."""
-        self._put(deltas.groupBy("terme").agg(F.sum("d_occ").alias("d_occ"), F.sum("d_rec").alias("d_rec")).where("d_occ <> 0 OR d_rec <> 0"))
+        sums = deltas.groupBy("terme").agg(F.sum("d_occ").cast("bigint").alias("d_occ"), F.sum("d_rec").cast("bigint").alias("d_rec"))
+        self._put(sums.where("d_occ <> 0 OR d_rec <> 0"))
         return self
 
     def state(self) -> DataFrame | None:
         """Each record's last text; deleted records have null."""
         if not self.states:
             return None
-        rows = [self.spark.read.parquet(p).withColumn("b", F.lit(i)) for i, p in enumerate(self.states)]
+        rows = [self.spark.read.schema("record string, texte string").parquet(p).withColumn("b", F.lit(i)) for i, p in enumerate(self.states)]
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
@@ -100,9 +104,9 @@ class TermCounts:
     def apply(self, batch: DataFrame, record: str, text: str) -> TermCounts:
         """Take in a batch of records: new ones are added, changed ones replace their former text, those with a null text are deleted.
 
-        ``record`` is a non-null key, once in the batch. Unchanged records cost a join and nothing else.
+        Rows without a ``record`` are left out; of one that comes several times in a batch the greatest text counts. Unchanged records cost a join and nothing else.
         """
-        new = batch.select(F.col(record).alias("record"), F.col(text).alias("nouveau"))
+        new = batch.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("string").alias("record")).agg(F.max(text).alias("nouveau"))
         old = self.state()
         if old is None:
             changed = new.where(F.col("nouveau").isNotNull()).withColumn("ancien", F.lit(None).cast("string"))
@@ -110,7 +114,7 @@ class TermCounts:
             changed = new.join(old.select("record", F.col("texte").alias("ancien")), "record", "left").where(~F.col("nouveau").eqNullSafe(F.col("ancien")))
         path = f"{self.path}/state-{len(self.states):06d}"
         changed.withColumn("texte", F.col("nouveau")).write.mode("overwrite").parquet(path)
-        changed = self.spark.read.parquet(path)
+        changed = self.spark.read.schema("record string, nouveau string, ancien string, texte string").parquet(path)
         signed = changed.select("record", F.explode(F.array(F.struct(F.lit(1).alias("signe"), F.col("nouveau").alias("t")), F.struct(F.lit(-1).alias("signe"), F.col("ancien").alias("t")))).alias("x"))
         signed = signed.select(F.struct("record", "x.signe").alias("r"), F.col("x.t").alias("t")).where(F.col("t").isNotNull())
         terms = terms_of(signed, "r", "t").select("terme", (F.col("r.signe") * F.col("n")).alias("d_occ"), F.col("r.signe").cast("bigint").alias("d_rec"))
@@ -119,9 +123,9 @@ class TermCounts:
 
     def counts(self) -> DataFrame:
         """(terme, n_occurrences, n_records) of every term that some record holds."""
-        rows = self.spark.read.parquet(self.batches[0])
+        rows = self.spark.read.schema(_DELTA).parquet(self.batches[0])
         for p in self.batches[1:]:
-            rows = rows.unionByName(self.spark.read.parquet(p))
+            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(p))
         out = rows.groupBy("terme").agg(F.sum("d_occ").alias("n_occurrences"), F.sum("d_rec").alias("n_records"))
         return out.where(F.col("n_records") != 0)
 
