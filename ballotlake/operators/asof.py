@@ -15,7 +15,7 @@ def known_spans(versions: DataFrame, record: str, received: str, start: str, end
     A version is known from the day of its receipt to the day before the next version's; of
     several received on one day the last counts (ties of the time by ``tie``). ``start``/``end`` are dates, a null
     end is open. Versions without a record, receipt or start, and empty spans, are left out - but they do
-    replace the versions before them.
+    replace the versions before them. Columns named lo and hi are replaced.
     """
     w = W.partitionBy(record).orderBy(F.col(received), *[F.col(c) for c in tie])
     known = F.unix_date(F.to_date(received))
@@ -59,13 +59,13 @@ def with_known_value(
     and the last change is carried forward. A change to "none" is carried forward too. Events without an entity or day
     get null (or, without ``keep_unplaced``, no row); events are otherwise neither dropped nor repeated. ``day`` is a date, ``value`` any type. The sort is within (entity, time shard): an entity with a
     third of all rows is spread over its shards, and no shard needs the one before it, since spans are clipped. The result keeps that
-    partitioning (column ``__shard``), so that a later grouping by entity, shard and more needs no shuffle.
+    partitioning (column ``__shard``), so that a later grouping by entity, shard and more needs no shuffle. A column that is named like the result is replaced.
     """
     last = (horizon - origin) // shard_days
     changes = attribute_changes(spans, entity, value, priority, shard_days, origin, horizon)
     d = F.unix_date(F.col(day))
     shard = F.least(F.greatest(F.floor((d - F.lit(origin)) / F.lit(shard_days)), F.lit(0)), F.lit(last)).cast("int")
-    others = [c for c in events.columns if c not in (entity, day)]
+    others = [c for c in events.columns if c not in (entity, day, f"{value}_connu")]
     left = events.select(F.col(entity).alias("__k"), shard.alias("__shard"), d.alias("__d"), F.lit(1).alias("__prio"), *[F.col(f"`{c}`") for c in others])
     known = F.col("__k").isNotNull() & F.col("__d").isNotNull()
     right = changes.select(F.col(entity).alias("__k"), F.col("shard").alias("__shard"), F.col("day").alias("__d"), F.lit(0).alias("__prio"), F.struct(F.col("value").alias("v")).alias("__c"))
