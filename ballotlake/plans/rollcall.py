@@ -616,6 +616,11 @@ def _frequencies(a: Assembly) -> DataFrame:
     return topics.week_frequencies(_corpus(a), "id", "jour", "t", _names(a))
 
 
+def _surges(a: Assembly) -> DataFrame:
+    """The surges of all weeks. Frequencies and surges are read several times, so each is written once."""
+    return written(topics.surges(written(_frequencies(a), "frequencies"), fdr=0.2), "surges")
+
+
 @query()
 def frequences_hebdo(a: Assembly) -> DataFrame:
     return _frequencies(a)
@@ -648,7 +653,7 @@ def frequences_titres(a: Assembly) -> DataFrame:
 @query(sql("ev", _TITLES + _SURGE))
 def poussees_titres(a: Assembly) -> DataFrame:
     """Every tested term of the titles, whatever its q."""
-    return topics.surges(_title_frequencies(a), fdr=None)
+    return topics.surges(written(_title_frequencies(a), "frequencies"), fdr=None)
 
 
 @query(sql("ev", _TITLES + "SELECT nd.semaine, nd.n_documents, coalesce(fr.n_docs, 0) AS n_docs, round(coalesce(fr.n_docs, 0) / nd.n_documents, 6) AS part FROM nd LEFT JOIN fr ON fr.semaine = nd.semaine AND fr.terme = 'digues'"))
@@ -659,7 +664,7 @@ def serie_titres(a: Assembly) -> DataFrame:
 @query()
 def poussees_hebdo(a: Assembly) -> DataFrame:
     """Surges of all weeks, freed of redundant terms."""
-    return topics.without_redundant(topics.surges(_frequencies(a), fdr=0.2))
+    return topics.without_redundant(_surges(a))
 
 
 @query()
@@ -704,7 +709,7 @@ def alerte_activite(a: Assembly) -> DataFrame:
 @query()
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
-    found = topics.surges(_frequencies(a), fdr=0.2)
+    found = _surges(a)
     parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events), alerts.surging(found)]
     return alerts.all_alerts(parts)
 
