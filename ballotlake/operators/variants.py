@@ -139,7 +139,7 @@ def classify(df: DataFrame, record: str, content: str) -> DataFrame:
     """The nodes of every whole JSON document: supertype keys (``record`` as text, ``uid``), parent link, subtype, fields.
 
     Null, empty and cut-off documents give no row; repeated ones repeat theirs; other columns are ignored. Runs
-    map-side in Arrow batches of few rows (documents may be long), without any shuffle.
+    in Arrow batches; documents are spread evenly first, however the files are cut.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,9 @@ def classify(df: DataFrame, record: str, content: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["record", "uid", "variante", "noeud", "noeud_parent", "sous_type", "champs"])
 
     src = df.where(F.col(content).isNotNull()).select(F.col(record).cast("string").alias("record"), F.col(content).alias("content"))
-    return src.mapInPandas(walk, NODES)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return src.repartition(tasks, F.xxhash64("record", "content")).mapInPandas(walk, NODES)
 
 
 def typed(nodes: DataFrame, subtype: str, fields: list[str]) -> DataFrame:
