@@ -19,7 +19,7 @@ def last_labels(rows: DataFrame, basket: str, item: str, label: str, received: s
     return last.select(basket, item, F.col("__x.p").alias(label))
 
 
-def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: int = 1, partitions: int | None = None) -> DataFrame:
+def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: int = 1, max_basket: int = 5000) -> DataFrame:
     """(a, b, same, both) for pairs a < b that share a basket: baskets in which both occur, and with the same label.
 
     ``ballots`` has one row per (basket, item), as from :func:`last_labels`. ``item`` is a long; a label that is null is like no other. Items in fewer
@@ -28,17 +28,38 @@ def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: i
     A basket becomes one sorted array; ordered pairs are emitted from it one item at a time, and partial sums are made
     in the task before anything is shuffled: baskets are brought to tasks by :func:`locality`, so the shuffle has about as
     many rows as there are different pairs, not as many as there are emissions.
+
+    Baskets of more than ``max_basket`` items are not emitted from, if there are fewer of them than ``min_same``: a pair they could bring to ``min_same`` already has the
+    rest from other baskets, so those pairs are looked up in them by joins, which gives the same counts. Nothing is left out either way.
     """
     frequent = ballots.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_same).select(item)
     kept = ballots.join(frequent, item, "left_semi") if min_same > 1 else ballots
-    baskets = kept.groupBy(basket).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(label).alias("p")))).alias("x")).where(F.size("x") > 1)
-    key = locality("x")
-    baskets = baskets.select("x", key.alias("k"))
-    baskets = baskets.repartition(partitions, "k") if partitions else baskets.repartition("k")
+    kept = kept.select(F.col(basket).alias("__s"), F.col(item).alias("i"), F.col(label).alias("p"))
+    large = kept.groupBy("__s").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_basket).select("__s")
+    n_large = large.count()
+    if 0 < n_large < min_same:
+        small = _emitted(kept.join(large, "__s", "left_anti")).where(F.col("same") >= min_same - n_large)
+        return _looked_up(small, kept.join(large, "__s", "left_semi")).where(F.col("same") >= min_same)
+    return _emitted(kept).where(F.col("same") >= min_same)
+
+
+def _emitted(kept: DataFrame) -> DataFrame:
+    """Counts of all pairs of all baskets (__s, i, p)."""
+    baskets = kept.groupBy("__s").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("x")).where(F.size("x") > 1)
+    baskets = baskets.select("x", locality("x").alias("k")).repartition("k")
     first = baskets.select(F.posexplode("x").alias("pos", "one"), "x")
     pairs = first.select(F.col("one.i").alias("a"), F.col("one.p").alias("p"), F.explode(F.expr("slice(x, pos + 2, size(x))")).alias("two"))
     pairs = pairs.select("a", F.col("two.i").alias("b"), F.coalesce(F.col("two.p") == F.col("p"), F.lit(False)).cast("int").alias("s"))
-    return pairs.groupBy("a", "b").agg(F.sum("s").alias("same"), F.count(F.lit(1)).alias("both")).where(F.col("same") >= min_same)
+    return pairs.groupBy("a", "b").agg(F.sum("s").alias("same"), F.count(F.lit(1)).alias("both"))
+
+
+def _looked_up(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The counts of ``pairs`` and what the large baskets add to them."""
+    one = large.select("__s", F.col("i").alias("a"), F.col("p").alias("pa"))
+    two = large.select("__s", F.col("i").alias("b"), F.col("p").alias("pb"))
+    more = pairs.select("a", "b").join(one, "a").join(two, ["__s", "b"])
+    more = more.groupBy("a", "b").agg(F.count_if(F.col("pa") == F.col("pb")).alias("same"), F.count(F.lit(1)).alias("both"))
+    return pairs.unionByName(more).groupBy("a", "b").agg(F.sum("same").alias("same"), F.sum("both").alias("both"))
 
 
 def lift(pairs: DataFrame, ballots: DataFrame, item: str, label: str, labels: tuple[str, ...]) -> DataFrame:

@@ -55,13 +55,27 @@ def as_read(c: Column) -> Column:
     return F.regexp_replace(decoded, _TAG, " ")
 
 
+def words_of(text: Column) -> Column:
+    """The runs of three or more letters a-z of a text as read."""
+    return F.regexp_extract_all(folded(as_read(text)), F.lit("[a-z]{3,}"), F.lit(0))
+
+
+def signed_terms(signed: DataFrame) -> DataFrame:
+    """(terme, d_occ, d_rec) from rows (signe, t): one row per occurrence, of which one per text counts the record.
+
+    The words of a text are sorted within its row, so that the first of each kind is known there; nothing is shuffled before terms are summed.
+    """
+    w = signed.select("signe", F.array_sort(words_of(F.col("t"))).alias("w"))
+    marked = F.transform("w", lambda x, i: F.struct(x.alias("terme"), ((i == 0) | (F.get("w", i - 1) != x)).cast("bigint").alias("premier")))
+    return w.select("signe", F.explode(marked).alias("x")).select("x.terme", F.col("signe").cast("bigint").alias("d_occ"), (F.col("signe") * F.col("x.premier")).alias("d_rec"))
+
+
 def terms_of(records: DataFrame, record: str, text: str) -> DataFrame:
     """(record, terme, n): the runs of three or more letters a-z in each record's text and how often each occurs.
 
     Null, blank and word-less texts have none.
     """
-    words = F.regexp_extract_all(folded(as_read(F.col(text))), F.lit("[a-z]{3,}"), F.lit(0))
-    return records.select(record, F.explode(words).alias("terme")).groupBy(record, "terme").agg(F.count(F.lit(1)).alias("n"))
+    return records.select(record, F.explode(words_of(F.col(text))).alias("terme")).groupBy(record, "terme").agg(F.count(F.lit(1)).alias("n"))
 
 
 _DELTA = "terme string, d_occ bigint, d_rec bigint, part bigint"
@@ -115,11 +129,9 @@ class TermCounts:
         path = f"{self.path}/state-{len(self.states):06d}"
         changed.withColumn("texte", F.col("nouveau")).write.mode("overwrite").parquet(path)
         changed = self.spark.read.schema("record string, nouveau string, ancien string, texte string").parquet(path)
-        signed = changed.select("record", F.explode(F.array(F.struct(F.lit(1).alias("signe"), F.col("nouveau").alias("t")), F.struct(F.lit(-1).alias("signe"), F.col("ancien").alias("t")))).alias("x"))
-        signed = signed.select(F.struct("record", "x.signe").alias("r"), F.col("x.t").alias("t")).where(F.col("t").isNotNull())
-        terms = terms_of(signed, "r", "t").select("terme", (F.col("r.signe") * F.col("n")).alias("d_occ"), F.col("r.signe").cast("bigint").alias("d_rec"))
+        signed = changed.select(F.explode(F.array(F.struct(F.lit(1).alias("signe"), F.col("nouveau").alias("t")), F.struct(F.lit(-1).alias("signe"), F.col("ancien").alias("t")))).alias("x"))
         self.states.append(path)
-        return self.add_signed(terms)
+        return self.add_signed(signed_terms(signed.select("x.signe", "x.t").where(F.col("t").isNotNull())))
 
     def counts(self) -> DataFrame:
         """(terme, n_occurrences, n_records) of every term that some record holds."""

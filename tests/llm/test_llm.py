@@ -93,8 +93,12 @@ def test_pairs_against_brute_force(spark):
             same[a, b] += x[a] == x[b] >= 0
     got = {(r["a"], r["b"]): (r["same"], r["both"]) for r in cooccur.together(once, "basket", "item", "label", 0).collect()}
     assert got == {k: (same[k], both[k]) for k in both}
-    some = {(r["a"], r["b"]) for r in cooccur.together(once, "basket", "item", "label", 3).collect()}
-    assert some == {k for k in both if same[k] >= 3}
+    for most in (5000, 10, 9, 0):
+        some = {(r["a"], r["b"]): (r["same"], r["both"]) for r in cooccur.together(once, "basket", "item", "label", 3, most).collect()}
+        assert some == {k: (same[k], both[k]) for k in both if same[k] >= 3}, most
+    hot = once.unionByName(spark.range(25).select(F.lit("hot").alias("basket"), F.col("id").alias("item"), (F.col("id") % 2).cast("int").alias("label")))
+    pick = lambda m: {tuple(r) for r in cooccur.together(hot, "basket", "item", "label", 3, m).collect()}
+    assert pick(20) == pick(5000) != set()
     share = Counter((i, p) for (_, i), (_, p) in last.items())
     for r in cooccur.lift(cooccur.together(once, "basket", "item", "label", 3), once, "item", "label", (0, 1, 2)).collect():
         assert r["num"] == sum(share[r["a"], p] * share[r["b"], p] for p in range(3))
