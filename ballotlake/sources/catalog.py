@@ -84,8 +84,8 @@ def info(tables: dict[str, DataFrame], span: dict[str, str]) -> DataFrame:
 
 def json_documents(spark: SparkSession, folder: str, glob: str = "*.json", part: str | None = None) -> DataFrame:
     """(chemin, contenu, dossier_uid): one row per file at any depth, or below a folder ``part`` at any depth; the bill file is the nearest folder named like one."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(folder)
-    d = reader.select(F.col("_metadata.file_path").alias("chemin"), F.col("value").alias("contenu"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    d = files.select(F.col("path").alias("chemin"), F.decode("content", "UTF-8").alias("contenu"))
     if part:
         d = d.where(F.col("chemin").contains(f"/{part}/"))
     return d.withColumn("dossier_uid", bill_of_path(F.col("chemin")))
@@ -150,6 +150,54 @@ class Downloader:
         return {k: self.fetch_one(known[k], force) for k in (keys or known)}
 
 
+    def fetch_images(self, uids: list[str], address: str, folder: str = "portraits", threads: int = 8) -> dict[str, int]:
+        """Conditional download of one image per uid (``address`` has {uid}) by a few threads; counts of new, changed, unchanged, removed and absent ones."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        target, state = self.root / folder, self.state()
+        target.mkdir(exist_ok=True)
+        stamps = state.get(folder, {})
+
+        def one(uid: str) -> tuple[str, str, str | None]:
+            file = target / f"{uid}.jpg"
+            request = urllib.request.Request(address.format(uid=uid))
+            if file.exists() and stamps.get(uid):
+                request.add_header("If-Modified-Since", stamps[uid])
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                    data, stamp = r.read(), r.headers.get("Last-Modified")
+            except urllib.error.HTTPError as e:
+                if e.code == 304:
+                    return uid, "unchanged", stamps.get(uid)
+                if e.code != 404:
+                    raise
+                data = None
+            except urllib.error.URLError as e:
+                if not isinstance(e.reason, FileNotFoundError):
+                    raise
+                data = None
+            if data is None:
+                gone = file.exists()
+                file.unlink(missing_ok=True)
+                return uid, "removed" if gone else "absent", None
+            was = file.read_bytes() if file.exists() else None
+            if was != data:
+                part = file.with_suffix(".part")
+                part.write_bytes(data)
+                os.replace(part, file)
+            return uid, "new" if was is None else "unchanged" if was == data else "changed", stamp
+
+        with ThreadPoolExecutor(threads) as pool:
+            done = list(pool.map(one, uids))
+        self.file.write_text(json.dumps(state | {folder: {u: s for u, _, s in done if s}}))
+        return {k: sum(x == k for _, x, _ in done) for k in ("new", "changed", "unchanged", "removed", "absent")}
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored images as a table."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder)
+
+
 def json_index(df: DataFrame, path: str) -> None:
     """A table as JSON lines: the search indexes of a site."""
     df.write.mode("overwrite").json(path)
