@@ -44,7 +44,7 @@ def _step(ch: str) -> str | None:
     if not d:
         return None
     kind, *rest = d.split() if d[0] == "<" else ["", *d.split()]
-    if kind in ("", "<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= cp <= 0xFB06 or kind == "<font>":
+    if kind in ("", "<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= cp <= 0xFB06:
         return "".join(chr(int(x, 16)) for x in rest)
     return None
 
