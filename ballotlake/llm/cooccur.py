@@ -46,7 +46,9 @@ def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: i
 def _emitted(kept: DataFrame) -> DataFrame:
     """Counts of all pairs of all baskets (__s, i, p)."""
     baskets = kept.groupBy("__s").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("x")).where(F.size("x") > 1)
-    baskets = baskets.select("x", locality("x").alias("k")).repartition("k")
+    spark = kept.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    baskets = baskets.select("x", locality("x").alias("k")).repartition(tasks, "k")
     first = baskets.select(F.posexplode("x").alias("pos", "one"), "x")
     pairs = first.select(F.col("one.i").alias("a"), F.col("one.p").alias("p"), F.explode(F.expr("slice(x, pos + 2, size(x))")).alias("two"))
     pairs = pairs.select("a", F.col("two.i").alias("b"), F.coalesce(F.col("two.p") == F.col("p"), F.lit(False)).cast("int").alias("s"))
