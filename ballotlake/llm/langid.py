@@ -90,6 +90,14 @@ def windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(texts)), counts)
 
 
+def pieces(pdf: pd.DataFrame, text: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, some at a time: as many as have ``most`` characters together, at least one. Bounds the memory of what is made from them."""
+    length = pdf[text].map(lambda t: len(t) if t is not None else 0).to_numpy(dtype=np.int64)
+    group = (np.cumsum(length) - length) // most
+    for k in np.unique(group):
+        yield pdf[group == k]
+
+
 def pooled(model: BiGru, texts: list[str], size: int, chunk: int = 1536) -> tuple[np.ndarray, np.ndarray]:
     """Mean probability of each language over the letters of each text (N, L), and the number of letters."""
     x, of = windows(texts, size)
@@ -162,7 +170,7 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
     prior = np.array([counts.get(k, 0) + 1.0 for k in LANGUAGES])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in pieces(batch, "t")):
             parts = [paragraphs(t) for t in pdf["t"]]
             flat = [(d, k, p) for d, ps in enumerate(parts) for k, p in enumerate(ps, 1) if has_word(p)]
             q, n = pooled(model, [p for *_, p in flat], settings.read_bytes) if flat else (np.zeros((0, 1)), np.zeros(0))
