@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EXPRESSED, day, key, position
 from ..operators.lines import group_lines
-from ..session import table
+from ..session import table, written
 from .problems import latest
 
 
@@ -19,6 +19,12 @@ class Assembly:
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
 
+    def pinned(self) -> Assembly:
+        """Write the ballots and group lines once, for a query that reads them several times."""
+        self.__dict__["ballots"] = written(self.ballots, "ballots")
+        self.__dict__["lines"] = written(self.lines, "lines")
+        return self
+
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 

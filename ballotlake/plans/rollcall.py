@@ -709,6 +709,7 @@ def alerte_activite(a: Assembly) -> DataFrame:
 @query()
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
+    a.pinned()
     found = _surges(a)
     parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events), alerts.surging(found)]
     return alerts.all_alerts(parts)
@@ -765,7 +766,8 @@ def controle_totaux(a: Assembly) -> DataFrame:
 @query()
 def verification(a: Assembly) -> DataFrame:
     """All checks: how many anomalies each has, with examples."""
-    p = lines.term_periods(a.members)
+    a.pinned()
+    p = written(lines.term_periods(a.members), "terms")
     return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members), alerts.out_of_term(_flagged(a)), alerts.source_totals(a.events, a.ballots)])
 
 
@@ -932,6 +934,7 @@ def apercu(a: Assembly) -> DataFrame:
 @query()
 def fiches(a: Assembly) -> DataFrame:
     """One nested row per member: identity, terms, dissent, amendments, nearest members."""
+    a.pinned()
     d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).select("acteur_uid", F.struct("n_votes", "n_dissidents", "taux").alias("dissidence"))
     m = amendments.filed_and_cosigned(a.amendments).select("acteur_uid", F.struct("deposes", "cosignes").alias("amendements"))
     near = agreement.neighbours(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 8, FLOOR)
