@@ -37,7 +37,7 @@ class Settings:
     """Bounds of the training sample and of the training; none of them touches what is labelled.
 
     ``documents``: labelled documents per language; ``windows``: byte windows per language; ``train_bytes`` and ``read_bytes``: the
-    length of a window in training and in labelling; ``rounds``: (steps, rate) of the first training and of each after a cleaning; ``switch``: the
+    length of a window in training and in labelling; ``rounds``: (steps, rate) of the networks that clean the labels and of the one that is used; ``switch``: the
     mean probability from which a paragraph counts as in another language than most of its document, and a single paragraph as in another than its label.
     """
 
@@ -47,7 +47,7 @@ class Settings:
     read_bytes: int = 96
     hidden: int = 32
     batch: int = 256
-    rounds: tuple[tuple[int, float], ...] = ((200, 0.01), (150, 0.006), (150, 0.004))
+    rounds: tuple[tuple[int, float], tuple[int, float]] = ((160, 0.012), (320, 0.008))
     switch: float = 0.5
     seed: int = 17
 
@@ -127,32 +127,46 @@ def training_sample(docs: DataFrame, ident: str, text: str, lang: str, settings:
 def train(sample: list[tuple[str, str]], counts: dict[str, int], settings: Settings = Settings()) -> BiGru:
     """Learn from labels of which many are wrong.
 
-    The first round draws languages by the root of their frequency: a text of a frequent language under a wrong label is then outweighed
-    by those under the right one. Before each further round the model reads every paragraph, and those it
-    gives another language than their label stand aside; the rest is drawn evenly.
+    Languages are drawn by the root of their frequency: a text of a frequent language under a wrong label is outweighed
+    by those under the right one. The documents are parted into two halves; a network trained on one half reads the paragraphs of the other, which it can't
+    have learnt by heart. Only paragraphs it clearly gives their label's language stay, and only of documents of which it gives that language most letters. The network that
+    is returned learns from these.
     """
-    model = BiGru(len(LANGUAGES), settings.hidden, settings.seed)
-    texts, labels = [], []
-    for lang, text in sample:
+    size = len(LANGUAGES)
+    texts, labels, doc = [], [], []
+    for i, (lang, text) in enumerate(sample):
         for p in paragraphs(text):
             if has_word(p):
                 texts.append(p)
                 labels.append(LANGUAGES.index(lang))
+                doc.append(i)
+    model = BiGru(size, settings.hidden, settings.seed)
     if not texts:
         return model
     x, of = windows(texts, settings.train_bytes)
-    y = np.array(labels)
+    y, doc = np.array(labels), np.array(doc)
+    half = doc % 2
     rng = np.random.default_rng(settings.seed)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(y[of] == k))[: settings.windows] for k in range(len(LANGUAGES))])
-    keep = np.ones(len(texts), bool)
+    pick = np.concatenate([rng.permutation(np.flatnonzero(y[of] == k))[: settings.windows] for k in range(size)])
     weights = np.sqrt(np.array([counts.get(k, 0) for k in LANGUAGES], float))
-    for i, (steps, rate) in enumerate(settings.rounds):
-        if i:
-            q, _ = pooled(model, texts, settings.read_bytes)
-            keep = q.argmax(1) == y
-            weights = np.ones(len(LANGUAGES))
-        use = pick[keep[of[pick]]]
-        model.train(x[use], y[of[use]], weights, steps, settings.batch, rate, settings.seed + i)
+    keep = np.zeros(len(texts), bool)
+    for k in (0, 1):
+        steps, rate = settings.rounds[0]
+        judge = BiGru(size, settings.hidden, settings.seed + 1 + k)
+        use = pick[half[of[pick]] == k]
+        judge.train(x[use], y[of[use]], weights, steps, settings.batch, rate, settings.seed + k)
+        others = np.flatnonzero(half != k)
+        if len(others):
+            q, n = pooled(judge, [texts[i] for i in others], settings.read_bytes)
+            agrees = q.argmax(1) == y[others]
+            share = np.bincount(doc[others], n * agrees, len(sample)) / np.maximum(np.bincount(doc[others], n, len(sample)), 1)
+            keep[others] = agrees & (q.max(1) >= settings.switch) & (share[doc[others]] > 0.5)
+    for k in range(size):
+        if not keep[y == k].any():
+            keep[y == k] = True
+    use = pick[keep[of[pick]]]
+    steps, rate = settings.rounds[1]
+    model.train(x[use], y[of[use]], weights, steps, settings.batch, rate, settings.seed + 2)
     return model
 
 
