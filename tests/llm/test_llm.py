@@ -250,7 +250,7 @@ def sentence(rng, lang, n=12):
 
 def test_language_of_held_out_texts_despite_wrong_labels(spark):
     rng = random.Random(10)
-    s = langid.Settings(documents=120, windows=400, hidden=16, batch=64, rounds=((120, 0.02), (80, 0.01)))
+    s = langid.Settings(documents=120, windows=400, hidden=16, batch=64, rounds=((120, 0.02), (200, 0.015)))
     sample = []
     for lang, n in (("fr", 120), ("en", 40), ("de", 40)):
         for _ in range(n):
