@@ -37,7 +37,8 @@ class Settings:
     """Bounds of the training sample and of the training; none of them touches what is labelled.
 
     ``documents``: labelled documents per language; ``windows``: byte windows per language; ``train_bytes`` and ``read_bytes``: the
-    length of a window in training and in labelling; ``rounds``: (steps, rate) of the networks that clean the labels and of the one that is used; ``switch``: the
+    length of a window in training and in labelling; ``rounds``: (steps, rate) of the networks that clean the labels and of the one that is used; ``clear``: the mean probability from which
+    a training paragraph counts as clearly in a language; ``switch``: the
     mean probability from which a paragraph counts as in another language than most of its document, and a single paragraph as in another than its label.
     """
 
@@ -48,7 +49,8 @@ class Settings:
     hidden: int = 32
     batch: int = 256
     rounds: tuple[tuple[int, float], tuple[int, float]] = ((160, 0.012), (320, 0.008))
-    switch: float = 0.5
+    clear: float = 0.5
+    switch: float = 0.62
     seed: int = 17
 
 
@@ -160,7 +162,7 @@ def train(sample: list[tuple[str, str]], counts: dict[str, int], settings: Setti
             q, n = pooled(judge, [texts[i] for i in others], settings.read_bytes)
             agrees = q.argmax(1) == y[others]
             share = np.bincount(doc[others], n * agrees, len(sample)) / np.maximum(np.bincount(doc[others], n, len(sample)), 1)
-            keep[others] = agrees & (q.max(1) >= settings.switch) & (share[doc[others]] > 0.5)
+            keep[others] = agrees & (q.max(1) >= settings.clear) & (share[doc[others]] > 0.5)
     for k in range(size):
         if not keep[y == k].any():
             keep[y == k] = True
