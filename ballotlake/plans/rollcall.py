@@ -811,45 +811,40 @@ def positions_rang(a: Assembly) -> DataFrame:
     return p.select("unite", F.col("uid").alias("acteur_uid"), F.col("valeur").alias("position"), F.row_number().over(w.orderBy("valeur", "uid")).alias("rang"), F.abs(F.col("valeur") - F.median("valeur").over(w)).alias("ecart_median"))
 
 
-def _largest(a: Assembly) -> DataFrame:
-    """The ballots of the unit that has the most."""
-    u = written(_usable(a), "usable")
-    top = u.groupBy("unite").count().orderBy(F.col("count").desc(), "unite").first()
-    return written(u.where(F.col("unite") == (top[0] if top else "")), "unit")
+def _written_usable(a: Assembly) -> DataFrame:
+    return written(_usable(a), "usable")
 
 
 @query()
 def positions_intervalles(a: Assembly) -> DataFrame:
-    """Block-bootstrap intervals for one assembly, the largest, as the model is made for one."""
-    b = _largest(a)
-    e = a.events.join(b.select("scrutin_uid").distinct(), "scrutin_uid", "left_semi")
-    return ideal.bootstrap(b, e, n=20, o=_MODEL)
+    """Block-bootstrap intervals of the members of each assembly or college."""
+    return ideal.bootstrap(_written_usable(a), a.events, n=20, o=_MODEL, unit="unite")
 
 
 @query()
 def chevauchements(a: Assembly) -> DataFrame:
-    b = _largest(a)
-    e = a.events.join(b.select("scrutin_uid").distinct(), "scrutin_uid", "left_semi")
-    return ideal.overlaps(written(ideal.bootstrap(b, e, n=12, o=_MODEL), "intervals"))
+    """For each member, how many members of its unit have an interval that overlaps its own."""
+    return ideal.overlaps(written(ideal.bootstrap(_written_usable(a), a.events, n=12, o=_MODEL, unit="unite"), "intervals"), "unite")
 
 
 @query()
 def dimensions(a: Assembly) -> DataFrame:
-    return ideal.dimensionality(_largest(a), most=2, repeats=2, iterations=40)
+    return ideal.dimensionality(_written_usable(a), most=2, repeats=2, iterations=40, unit="unite")
 
 
 @query()
 def penalisation(a: Assembly) -> DataFrame:
     cells = [ideal.Options(ridge_b=r, held_out=0.2, iterations=40) for r in (0.1, 0.5, 2.0)]
-    return ideal.grid(_largest(a), cells)
+    return ideal.grid(_written_usable(a), cells, "unite")
 
 
 @query()
 def groupes_encadrants(a: Assembly) -> DataFrame:
-    """For each member of the largest unit the group medians just below and above its position."""
-    p = ideal.positions(_largest(a), "unite", _MODEL).where(F.col("genre") == "membre").select(F.col("uid").alias("uid"), F.col("valeur").alias("x"))
-    g = p.join(a.members.select(F.col("acteur_uid").alias("uid"), "groupe"), "uid").where(F.col("groupe").isNotNull()).groupBy(F.col("groupe").alias("nom")).agg(F.median("x").alias("x"))
-    return ideal.bracketing(p, g)
+    """For each member of a unit the medians of the unit's groups just below and above its position."""
+    p = ideal.positions(_usable(a), "unite", _MODEL).where(F.col("genre") == "membre").select("unite", F.col("uid").alias("uid"), F.col("valeur").alias("x"))
+    p = written(p, "positions")
+    g = p.join(a.members.select(F.col("acteur_uid").alias("uid"), "groupe"), "uid").where(F.col("groupe").isNotNull()).groupBy("unite", F.col("groupe").alias("nom")).agg(F.median("x").alias("x"))
+    return ideal.bracketing(p, g, "unite")
 
 
 # --- views and what users ask beside ---------------------------------------------------------------------------------

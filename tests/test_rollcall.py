@@ -224,6 +224,28 @@ def test_overlaps_and_bracketing(spark):
     assert {r["uid"]: (r["avant"], r["apres"]) for r in ideal.bracketing(p, g).collect()} == {"x": ("G1", "G2"), "y": ("G2", "G3"), "z": ("G3", None)}
 
 
+def test_every_unit_has_intervals_overlaps_brackets_and_grid(spark):
+    rows = [(u, f"{u}m{i:02}", f"{u}s{j:02}", int(v)) for u, n, k in (("U", 40, 30), ("V", 24, 20)) for i, r in enumerate(toy_model(n, k)[1]) for j, v in enumerate(r)]
+    b = spark.createDataFrame(rows, "unite string, acteur_uid string, scrutin_uid string, y int")
+    # one unit lacks a bill file, the other has them all: each has its own kind of block
+    e = [(s, None if s == "Us03" else "d" + s[1:3], "x" + s[:3], None) for s in sorted({r[2] for r in rows})]
+    e = spark.createDataFrame(e, "scrutin_uid string, dossier_uid string, seance_uid string, jour string")
+    o = ideal.Options(iterations=10)
+    got = {(r["unite"], r["acteur_uid"]): r for r in ideal.bootstrap(b, e, 20, o=o, unit="unite").collect()}
+    assert len(got) == 64 and all(r["n_tirages"] == 20 and r["n_votes"] == {"U": 30, "V": 20}[u] for (u, _), r in got.items())
+    for u in "UV":
+        one = b.where(F.col("unite") == u).drop("unite")
+        for r in ideal.bootstrap(one, e.where(F.col("scrutin_uid").startswith(u)), 20, o=o).collect():
+            assert all(math.isclose(r[c], got[u, r["acteur_uid"]][c], abs_tol=1e-6) for c in ("position", "bas", "haut"))
+    i = spark.createDataFrame([("U", "a", 0.0, 2.0), ("U", "b", 1.0, 3.0), ("V", "c", 0.0, 9.0), ("V", "d", 1.0, 2.0), ("V", "e", 3.0, 4.0)], "unite string, acteur_uid string, bas double, haut double")
+    assert {r["acteur_uid"]: r["n_chevauchements"] for r in ideal.overlaps(i, "unite").collect()} == {"a": 1, "b": 1, "c": 2, "d": 1, "e": 1}
+    p = spark.createDataFrame([("U", "x", 1.0), ("V", "x", 1.0)], "unite string, uid string, x double")
+    g = spark.createDataFrame([("U", "G1", 0.0), ("V", "G2", 2.0)], "unite string, nom string, x double")
+    assert {r["unite"]: (r["avant"], r["apres"]) for r in ideal.bracketing(p, g, "unite").collect()} == {"U": ("G1", None), "V": (None, "G2")}
+    d = ideal.dimensionality(b, 2, 1, iterations=5, unit="unite").collect()
+    assert {(r["unite"], r["dims"], r["gain"] is None) for r in d} == {(u, k, k == 1) for u in "UV" for k in (1, 2)}
+
+
 def test_maps(spark, toy):
     u = toy.withColumn("unite", F.lit("u"))
     p = {r["acteur_uid"]: r["axe1"] for r in scaling.pca(u).collect()}
