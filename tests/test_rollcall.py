@@ -271,6 +271,17 @@ def test_invariants(spark):
     alerts.require(v.where("false"))
 
 
+def test_every_pair_of_a_shared_seat(spark):
+    day = lambda k: D(2023, 6, 1) + dt.timedelta(k)
+    terms = [("a", 1, 400), ("b", 50, 90), ("c", 60, 70), ("d", 300, None), ("d", 2, 3), ("e", 500, None), ("f", 71, 71), ("g", 401, 499), ("x", 1, None)]
+    p = spark.createDataFrame([(m, day(s), None if e is None else day(e)) for m, s, e in terms], "acteur_uid string, debut date, fin date")
+    m = spark.createDataFrame([(u, "D", "2" if u == "x" else "1") for u in "abcdefgx"], "acteur_uid string, departement string, num_circo string")
+    end = lambda e: 10**6 if e is None else e
+    brute = {f"{x} {y}" for x, s, e in terms for y, t, f in terms if x < y and "x" not in (x, y) and s <= end(f) and t <= end(e)}
+    got = [r["message"] for r in alerts.shared_seats(p, m).collect()]
+    assert sorted(got) == sorted(brute) and "b c" in got
+
+
 def test_activity_counts_empty_weeks(spark):
     days = [D(2024, 1, 1) + dt.timedelta(7 * k) for k in range(8) for _ in range(4)] + [D(2024, 2, 26)] * 20
     e = spark.createDataFrame([(f"s{i}", d) for i, d in enumerate(days)], "scrutin_uid string, jour date")
