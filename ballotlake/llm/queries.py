@@ -43,8 +43,8 @@ def numbered(df: DataFrame, column: str) -> DataFrame:
     return written(df.select(column).distinct().withColumn("num", F.monotonically_increasing_id()), "numbers")
 
 
-def p6_pairs(spark: SparkSession, sf: str, min_same: int = P6_SAME) -> DataFrame:
-    """Every pair of members that took the same side in at least ``min_same`` events, with counts, lift and pmi."""
+def p6_pairs(spark: SparkSession, sf: str, min_same: int = 0) -> DataFrame:
+    """Every pair of members that share an event and took the same side in at least ``min_same``, with counts, lift and pmi (null where they never did)."""
     ballots = written(expressed_ballots(spark, sf), "ballots")
     names = numbered(ballots, "acteur_uid")
     side = F.when(F.col("position") == EXPRESSED[0], 0).when(F.col("position") == EXPRESSED[1], 1).otherwise(2)
@@ -58,7 +58,7 @@ def p6_pairs(spark: SparkSession, sf: str, min_same: int = P6_SAME) -> DataFrame
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     more = F.col("same") * F.col("den") * 1000 > F.col("both") * F.col("num") * P6_LIFT_PER_MILLE
-    return p6_pairs(spark, sf).where(more).select("acteur_a", "acteur_b")
+    return p6_pairs(spark, sf, P6_SAME).where(more).select("acteur_a", "acteur_b")
 
 
 # --- 7

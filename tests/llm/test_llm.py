@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ballotlake.llm import cooccur, encode, forms, langid, mixing, termcounts
+from ballotlake.llm import cooccur, encode, forms, langid, mixing, queries, termcounts
 from ballotlake.llm.gru import PAD, BiGru
 
 VOCAB = f"{encode.vocabulary_folder()}/byte_bpe_50k.tiktoken"
@@ -280,3 +280,11 @@ def test_labels_and_paragraphs(spark):
     assert langid.paragraphs(None) == langid.paragraphs(" \n ") == []
     x, of = langid.windows(["abc", "", "é" * 5], 4)
     assert x.shape == (4, 4) and of.tolist() == [0, 2, 2, 2] and (x == PAD).sum() == 1 + 2
+
+
+def test_pairs_below_the_bound_of_the_cases_come_out(spark, tmp_path):
+    rows = [("s1", "A", "pour"), ("s1", "B", "pour"), ("s1", "C", "contre"), ("s2", "A", "contre"), ("s2", "C", "contre"), ("s3", "B", "pour"), ("s3", "C", "abstention"), ("s4", "D", "pour")]
+    spark.createDataFrame([(*r, "2024-01-01") for r in rows], "scrutin_uid string, acteur_uid string, position string, recu_le string").write.parquet(f"{tmp_path}/votes.parquet")
+    got = {(r["acteur_a"], r["acteur_b"]): (r["same"], r["both"], r["pmi"] is None) for r in queries.QUERIES["p6_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("A", "B"): (1, 1, False), ("A", "C"): (1, 2, False), ("B", "C"): (0, 2, True)}
+    assert queries.QUERIES["p6_found"](spark, str(tmp_path)).count() == 0
