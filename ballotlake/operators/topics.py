@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import binomial_tail, q_values
 from ..functions.text import tokens
 
-#: Length of text read of each document by the surge detector, weeks of reference, least documents, false-discovery rate.
-TEXT_CUT, REFERENCE_WEEKS, MIN_DOCUMENTS, FDR = 600, 8, 5, 0.05
+#: Weeks of reference, least documents, false-discovery rate.
+REFERENCE_WEEKS, MIN_DOCUMENTS, FDR = 8, 5, 0.05
 
 
 def monday(c) -> F.Column:

@@ -601,9 +601,9 @@ def destinations_groupes(a: Assembly) -> DataFrame:
 
 
 def _corpus(a: Assembly) -> DataFrame:
-    """Titles of events and the first 600 characters of statements, dated."""
+    """Titles of events and whole statements, dated."""
     e = a.events.select(F.col("scrutin_uid").alias("id"), "jour", F.coalesce("titre", F.lit("")).alias("t"))
-    m = a.amendments.select(F.col("amendement_uid").alias("id"), "jour", F.substring(F.coalesce(text.strip_html(F.col("expose_sommaire")), F.lit("")), 1, topics.TEXT_CUT).alias("t"))
+    m = a.amendments.select(F.col("amendement_uid").alias("id"), "jour", F.coalesce(text.strip_html(F.col("expose_sommaire")), F.lit("")).alias("t"))
     return e.unionByName(m)
 
 

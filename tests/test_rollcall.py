@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ballotlake.functions import stats, text
 from ballotlake.operators import abstention, agreement, alerts, amendments, ideal, lines, scaling, topics
+from ballotlake.plans import rollcall
 from ballotlake.plans.rollcall import one_member, status
 
 D = dt.date
@@ -282,6 +284,13 @@ def test_every_pair_of_a_shared_seat(spark):
     assert sorted(got) == sorted(brute) and "b c" in got
 
 
+def test_statements_are_read_whole(spark):
+    e = spark.createDataFrame([("s1", D(2024, 1, 1), "digues")], "scrutin_uid string, jour date, titre string")
+    m = spark.createDataFrame([("a1", D(2024, 1, 1), "<p>" + "eau " * 300 + "digues</p>")], "amendement_uid string, jour date, expose_sommaire string")
+    f = topics.week_frequencies(rollcall._corpus(SimpleNamespace(events=e, amendments=m)), "id", "jour", "t")
+    assert {r["terme"]: (r["n"], r["n_docs"]) for r in f.where(F.col("terme").isin("digues", "eau")).collect()} == {"digues": (2, 2), "eau": (300, 1)}
+
+
 def test_activity_counts_empty_weeks(spark):
     days = [D(2024, 1, 1) + dt.timedelta(7 * k) for k in range(8) for _ in range(4)] + [D(2024, 2, 26)] * 20
     e = spark.createDataFrame([(f"s{i}", d) for i, d in enumerate(days)], "scrutin_uid string, jour date")
