@@ -710,7 +710,7 @@ def alerte_activite(a: Assembly) -> DataFrame:
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
     a.pinned()
-    found = _surges(a)
+    found = topics.without_redundant(_surges(a).where(F.col("q") <= topics.FDR))
     parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events), alerts.surging(found)]
     return alerts.all_alerts(parts)
 

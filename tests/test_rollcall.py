@@ -291,6 +291,18 @@ def test_statements_are_read_whole(spark):
     assert {r["terme"]: (r["n"], r["n_docs"]) for r in f.where(F.col("terme").isin("digues", "eau")).collect()} == {"digues": (2, 2), "eau": (300, 1)}
 
 
+def test_alerts_rank_distinct_surges_below_the_rate(spark, monkeypatch):
+    rows = [("eau potable", 20, 9.0, 0.01), ("eau", 21, 8.0, 0.01), ("potable", 20, 7.0, 0.01), ("loup", 12, 3.0, 0.04), ("vent", 11, 2.0, 0.1)]
+    found = spark.createDataFrame([(D(2024, 1, 1), t, n, float(n) / 10, s, q) for t, n, s, q in rows], "semaine date, terme string, n_docs int, attendu double, score double, q double")
+    monkeypatch.setattr(rollcall, "_surges", lambda a: found)
+    none = spark.createDataFrame([], "semaine date, categorie string, cle string, detail string, intensite double")
+    for name in ("close", "fractures", "split_groups", "ruptures", "activity"):
+        monkeypatch.setattr(alerts, name, lambda *_: none)
+    monkeypatch.setattr(lines, "against_line", lambda *_: None)
+    a = SimpleNamespace(pinned=lambda: None, events=None, lines=None, expressed=None)
+    assert {r["cle"]: r["rang"] for r in rollcall.alertes(a).collect()} == {"eau potable": 1, "loup": 2}
+
+
 def test_activity_counts_empty_weeks(spark):
     days = [D(2024, 1, 1) + dt.timedelta(7 * k) for k in range(8) for _ in range(4)] + [D(2024, 2, 26)] * 20
     e = spark.createDataFrame([(f"s{i}", d) for i, d in enumerate(days)], "scrutin_uid string, jour date")
