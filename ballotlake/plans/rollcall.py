@@ -750,10 +750,15 @@ def controle_hors_mandat(a: Assembly) -> DataFrame:
 
 @query(sql("bal", "SELECT 'releve_complet' AS controle, scrutin_uid || '/' || acteur_uid AS cle, CAST(count(DISTINCT position) AS VARCHAR) AS message FROM bal0 WHERE position IS NOT NULL AND scrutin_uid IS NOT NULL AND acteur_uid IS NOT NULL GROUP BY scrutin_uid, acteur_uid HAVING count(DISTINCT position) > 1"))
 def controle_releve(a: Assembly) -> DataFrame:
+    return alerts.two_positions(_received(a))
+
+
+def _received(a: Assembly) -> DataFrame:
+    """The positions as received, before one is kept."""
     from ..functions.expr import position
 
     raw = a.raw("votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position("position").alias("position"))
-    return alerts.two_positions(raw.where(F.col("scrutin_uid").isNotNull() & F.col("acteur_uid").isNotNull()))
+    return raw.where(F.col("scrutin_uid").isNotNull() & F.col("acteur_uid").isNotNull())
 
 
 @query(sql("ev bal", """, r AS (SELECT scrutin_uid, count(*) FILTER (position = 'pour') AS p, count(*) FILTER (position = 'contre') AS c, count(*) FILTER (position = 'abstention') AS ab, count(*) FILTER (position = 'nonVotant') AS nv FROM bal GROUP BY 1),
@@ -768,7 +773,7 @@ def verification(a: Assembly) -> DataFrame:
     """All checks: how many anomalies each has, with examples."""
     a.pinned()
     p = written(lines.term_periods(a.members), "terms")
-    return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members), alerts.out_of_term(_flagged(a)), alerts.source_totals(a.events, a.ballots)])
+    return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members), alerts.out_of_term(_flagged(a)), alerts.two_positions(_received(a)), alerts.source_totals(a.events, a.ballots)])
 
 
 # --- maps and ideal points -----------------------------------------------------------------------------------------

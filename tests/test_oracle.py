@@ -66,3 +66,9 @@ def test_only_the_columns_asked_for_are_read(spark):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["acteur_uid", "genre", "debut", "fin"] and df.count() > 0
+
+
+def test_verification_counts_members_with_two_positions(spark):
+    n = entry.queries()["controle_releve"](spark, SF).count()
+    found = {r["controle"]: r["n"] for r in entry.queries()["verification"](spark, SF).collect()}
+    assert n > 0 and found["releve_complet"] == n
