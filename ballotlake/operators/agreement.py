@@ -6,24 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import EXPRESSED
+from .pairs import counted_pairs, numbered
 
 
 def pair_counts(expressed: DataFrame, by: list[str] | None = None, floor: int = 1) -> DataFrame:
-    """(a, b, accord, communs) for pairs a < b of members: events in which both expressed, and on the same side.
+    """(by, a, b, accord, communs) for pairs a < b of members: events in which both expressed, and on the same side.
 
-    ``by``: columns of the event to count apart (stake levels in one pass). Each event becomes one sorted array; ordered pairs are
-    emitted from it and summed in the task before the shuffle. Events are first brought together by the smallest hash of
-    their members, so that events of the same people meet in one task.
+    ``by``: columns of the event to count apart (stake levels in one pass). Members are numbered, so that pairs are of longs; names come back to what reaches the floor.
     """
     by = by or []
-    one = F.struct(F.col("acteur_uid").alias("i"), F.col("position").alias("p"))
-    baskets = expressed.groupBy("scrutin_uid", *by).agg(F.array_sort(F.collect_list(one)).alias("x")).where(F.size("x") > 1)
-    baskets = baskets.withColumn("__k", F.array_min(F.transform("x", lambda e: F.xxhash64(e["i"])))).repartition("__k")
-    left = baskets.select(*by, F.posexplode("x").alias("pos", "one"), "x")
-    pairs = left.select(*by, "one", F.explode(F.expr("slice(x, pos + 2, size(x))")).alias("two"))
-    pairs = pairs.select(*by, F.col("one.i").alias("a"), F.col("two.i").alias("b"), (F.col("one.p") == F.col("two.p")).cast("int").alias("s"))
-    out = pairs.groupBy(*by, "a", "b").agg(F.sum("s").alias("accord"), F.count(F.lit(1)).alias("communs"))
-    return out.where(F.col("communs") >= floor)
+    items = numbered(expressed, "acteur_uid")
+    rows = expressed.join(items.select("acteur_uid", "num"), "acteur_uid")
+    out = counted_pairs(rows, "scrutin_uid", "num", "position", EXPRESSED, tuple(by)).where(F.col("both") >= floor)
+    one, two = items.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), items.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
+    return out.join(one, "a").join(two, "b").select(*by, F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.col("same").alias("accord"), F.col("both").alias("communs"))
 
 
 def agreement(pairs: DataFrame, floor: int = 30) -> DataFrame:
@@ -33,7 +30,8 @@ def agreement(pairs: DataFrame, floor: int = 30) -> DataFrame:
 
 def mirrored(pairs: DataFrame) -> DataFrame:
     """Each pair in both directions."""
-    other = pairs.select(*[F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in pairs.columns])
+    swap = {"a": "b", "b": "a", "groupe_a": "groupe_b", "groupe_b": "groupe_a"}
+    other = pairs.select(*[F.col(swap.get(c, c)).alias(c) for c in pairs.columns])
     return pairs.unionByName(other)
 
 
@@ -76,9 +74,7 @@ def counts_with_one(expressed: DataFrame, member: str) -> DataFrame:
 
 def neighbours(pairs: DataFrame, members: DataFrame, k: int = 8, floor: int = 30, inverse: bool = False, outside: bool = False) -> DataFrame:
     """The ``k`` nearest (or farthest) members of every member, ties by uid; ``outside``: of other groups only. Two members without a group are of the same one."""
-    p = mirrored(with_groups(agreement(pairs, floor), members))
-    p = p.select("a", "b", "accord", "communs", "taux")
-    g = with_groups(p, members)
+    g = mirrored(with_groups(agreement(pairs, floor), members))
     if outside:
         g = g.where(~F.col("groupe_a").eqNullSafe(F.col("groupe_b")))
     order = F.col("taux").asc() if inverse else F.col("taux").desc()
