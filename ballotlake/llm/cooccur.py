@@ -2,82 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def locality(items: str) -> Column:
-    """A key that baskets with much in common tend to share (the smallest hash of their items), so that
-    their pairs meet in one task and are combined before the shuffle. Any other key would give the same counts."""
-    return F.array_min(F.transform(F.col(items), lambda x: F.xxhash64(x["i"])))
+from ..operators.pairs import counted_pairs, numbered
 
 
 def last_labels(rows: DataFrame, basket: str, item: str, label: str, received: str) -> DataFrame:
-    """(basket, item, label): items once per basket, with the label received last (the greater one on a tie). Rows without a basket or item fall away."""
-    kept = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
-    last = kept.groupBy(basket, item).agg(F.max(F.struct(F.col(received).alias("t"), F.col(label).alias("p"))).alias("__x"))
-    return last.select(basket, item, F.col("__x.p").alias(label))
+    """(basket, item, label): items once per basket, with the label received last (the greater one on a tie). Rows without a basket or item fall away.
 
+    ``label`` is a whole number from 0 to 6 or null. Time and label travel as one long, so the sum is a hash aggregation that combines before the shuffle.
+    """
+    kept = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
+    at = F.coalesce(F.unix_micros(F.col(received).cast("timestamp")), F.lit(-(1 << 58)))
+    code = at * 8 + F.coalesce(F.col(label).cast("bigint") + 1, F.lit(0))
+    last = kept.groupBy(basket, item).agg(F.max(code).alias("__x"))
+    found = F.pmod("__x", F.lit(8)) - 1
+    return last.select(basket, item, F.when(found >= 0, found).cast("int").alias(label))
 
-def together(ballots: DataFrame, basket: str, item: str, label: str, min_same: int = 1, max_basket: int = 5000) -> DataFrame:
-    """(a, b, same, both) for pairs a < b that share a basket: baskets in which both occur, and with the same label.
-
-    ``ballots`` has one row per (basket, item), as from :func:`last_labels`. ``item`` is a long; a label that is null is like no other. Items in fewer
-    than ``min_same`` baskets can reach no pair of that many and are left out first (exact).
 
-    A basket becomes one sorted array; ordered pairs are emitted from it one item at a time, and partial sums are made
-    in the task before anything is shuffled: baskets are brought to tasks by :func:`locality`, so the shuffle has about as
-    many rows as there are different pairs, not as many as there are emissions.
+def marginals(ballots: DataFrame, item: str, label: str, labels: tuple, min_same: int = 0) -> DataFrame:
+    """(item, num, n0, n1, ...): a number for each item and how often it takes each label.
 
-    Baskets of more than ``max_basket`` items are not emitted from, if there are fewer of them than ``min_same``: a pair they could bring to ``min_same`` already has the
-    rest from other baskets, so those pairs are looked up in them by joins, which gives the same counts. Nothing is left out either way.
+    Items in fewer than ``min_same`` baskets can reach no pair of that many and are left out (exact).
     """
-    frequent = ballots.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_same).select(item)
-    kept = ballots.join(frequent, item, "left_semi") if min_same > 1 else ballots
-    kept = kept.select(F.col(basket).alias("__s"), F.col(item).alias("i"), F.col(label).alias("p"))
-    large = kept.groupBy("__s").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_basket).select("__s")
-    n_large = large.count()
-    if 0 < n_large < min_same:
-        small = _emitted(kept.join(large, "__s", "left_anti")).where(F.col("same") >= min_same - n_large)
-        return _looked_up(small, kept.join(large, "__s", "left_semi")).where(F.col("same") >= min_same)
-    return _emitted(kept).where(F.col("same") >= min_same)
-
+    counts = [F.count_if(F.col(label) == x).alias(f"n{i}") for i, x in enumerate(labels)]
+    return numbered(ballots, item, *counts, F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_same).drop("__n")
 
-def _emitted(kept: DataFrame) -> DataFrame:
-    """Counts of all pairs of all baskets (__s, i, p)."""
-    baskets = kept.groupBy("__s").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("x")).where(F.size("x") > 1)
-    spark = kept.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    baskets = baskets.select("x", locality("x").alias("k")).repartition(tasks, "k")
-    first = baskets.select(F.posexplode("x").alias("pos", "one"), "x")
-    pairs = first.select(F.col("one.i").alias("a"), F.col("one.p").alias("p"), F.explode(F.expr("slice(x, pos + 2, size(x))")).alias("two"))
-    pairs = pairs.select("a", F.col("two.i").alias("b"), F.coalesce(F.col("two.p") == F.col("p"), F.lit(False)).cast("int").alias("s"))
-    return pairs.groupBy("a", "b").agg(F.sum("s").alias("same"), F.count(F.lit(1)).alias("both"))
 
+def together(ballots: DataFrame, items: DataFrame, basket: str, item: str, label: str, labels: tuple, min_same: int = 0) -> DataFrame:
+    """(a, b, same, both) for pairs a < b of item numbers that share a basket: baskets in which both occur, and with the same label.
 
-def _looked_up(pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """The counts of ``pairs`` and what the large baskets add to them."""
-    one = large.select("__s", F.col("i").alias("a"), F.col("p").alias("pa"))
-    two = large.select("__s", F.col("i").alias("b"), F.col("p").alias("pb"))
-    more = pairs.select("a", "b").join(one, "a").join(two, ["__s", "b"])
-    more = more.groupBy("a", "b").agg(F.count_if(F.col("pa") == F.col("pb")).alias("same"), F.count(F.lit(1)).alias("both"))
-    return pairs.unionByName(more).groupBy("a", "b").agg(F.sum("same").alias("same"), F.sum("both").alias("both"))
+    ``ballots`` has one row per (basket, item), as from :func:`last_labels`; ``items`` is from :func:`marginals`. A label that is null is like no other.
+    Ordered pairs are emitted and summed in the task before the shuffle by :func:`~ballotlake.operators.pairs.counted_pairs`.
+    """
+    rows = ballots.join(items.select(item, "num"), item).select(basket, "num", label)
+    return counted_pairs(rows, basket, "num", label, labels).where(F.col("same") >= min_same)
 
 
-def lift(pairs: DataFrame, ballots: DataFrame, item: str, label: str, labels: tuple[str, ...]) -> DataFrame:
-    """Add ``chance`` (expected ``same`` if each item took its labels at its own shares in the ``both`` baskets), ``lift`` and ``pmi``.
+def lift(pairs: DataFrame, items: DataFrame, item: str, labels: int) -> DataFrame:
+    """Name the pairs (``item_a`` < ``item_b``) and add ``chance`` (expected ``same`` if each item took its labels at its own shares in the ``both`` baskets), ``lift`` and ``pmi``.
 
     ``num`` and ``den`` are the same ratio as whole numbers, lift = same * den / (both * num), for comparisons without rounding.
     """
-    counts = [F.count_if(F.col(label) == p).alias(f"n{i}") for i, p in enumerate(labels)]
-    m = ballots.groupBy(item).agg(*counts)
-    n = len(labels)
-    total = lambda s: sum((F.col(f"{s}{i}") for i in range(1, n)), F.col(f"{s}0"))
-    a = m.select(F.col(item).alias("a"), *[F.col(f"n{i}").alias(f"x{i}") for i in range(n)])
-    b = m.select(F.col(item).alias("b"), *[F.col(f"n{i}").alias(f"y{i}") for i in range(n)])
-    j = pairs.join(a, "a").join(b, "b")
-    num = sum((F.col(f"x{i}") * F.col(f"y{i}") for i in range(1, n)), F.col("x0") * F.col("y0"))
-    j = j.withColumn("num", num).withColumn("den", total("x") * total("y"))
-    j = j.withColumn("chance", F.col("both") * F.col("num") / F.col("den"))
-    ratio = F.when(F.col("chance") > 0, F.col("same") / F.col("chance"))
-    return j.select("a", "b", "same", "both", "num", "den", "chance", ratio.alias("lift"), F.log2(ratio).alias("pmi"))
+    a = items.select(F.col("num").alias("a"), F.col(item).alias("__ia"), *[F.col(f"n{i}").alias(f"x{i}") for i in range(labels)])
+    b = items.select(F.col("num").alias("b"), F.col(item).alias("__ib"), *[F.col(f"n{i}").alias(f"y{i}") for i in range(labels)])
+    total = lambda s: sum((F.col(f"{s}{i}") for i in range(1, labels)), F.col(f"{s}0"))
+    num = sum((F.col(f"x{i}") * F.col(f"y{i}") for i in range(1, labels)), F.col("x0") * F.col("y0"))
+    j = pairs.join(a, "a").join(b, "b").withColumn("num", num).withColumn("den", total("x") * total("y"))
+    j = j.withColumn("chance", F.col("both") * F.col("num") / F.nullif("den", F.lit(0)))
+    ratio = F.when(F.col("num") > 0, F.col("same") * F.col("den") / (F.col("both") * F.col("num")))
+    pmi = F.when(ratio > 0, F.log2(ratio))
+    return j.select(F.least("__ia", "__ib").alias("item_a"), F.greatest("__ia", "__ib").alias("item_b"), "same", "both", "num", "den", "chance", ratio.alias("lift"), pmi.alias("pmi"))

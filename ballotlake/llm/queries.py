@@ -32,28 +32,28 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 P6_SAME, P6_LIFT_PER_MILLE = 12, 1811
 
 
-def expressed_ballots(spark: SparkSession, sf: str) -> DataFrame:
-    """The last received ballot of each member in each event, where it took one of the three sides."""
-    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position("position").alias("position"), "recu_le")
-    return cooccur.last_labels(v, "scrutin_uid", "acteur_uid", "position", "recu_le").where(F.col("position").isin(*EXPRESSED))
+#: Labels as numbers, in the order in which the greater one wins a tie.
+P6_LABELS = ("abstention", "contre", "nonVotant", "pour")
+P6_SIDES = tuple(P6_LABELS.index(p) for p in EXPRESSED)
 
 
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """(column, num): a number for each distinct value, written once so that it stays the same."""
-    return written(df.select(column).distinct().withColumn("num", F.monotonically_increasing_id()), "numbers")
+def expressed_ballots(spark: SparkSession, sf: str) -> DataFrame:
+    """The last received ballot of each member in each event, where it took one of the three sides (position: a number)."""
+    p = position("position")
+    code = F.lit(None).cast("int")
+    for i, x in enumerate(P6_LABELS):
+        code = F.when(p == x, i).otherwise(code)
+    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), code.alias("position"), "recu_le")
+    return cooccur.last_labels(v, "scrutin_uid", "acteur_uid", "position", "recu_le").where(F.col("position").isin(*P6_SIDES))
 
 
 def p6_pairs(spark: SparkSession, sf: str, min_same: int = 0) -> DataFrame:
     """Every pair of members that share an event and took the same side in at least ``min_same``, with counts, lift and pmi (null where they never did)."""
     ballots = written(expressed_ballots(spark, sf), "ballots")
-    names = numbered(ballots, "acteur_uid")
-    side = F.when(F.col("position") == EXPRESSED[0], 0).when(F.col("position") == EXPRESSED[1], 1).otherwise(2)
-    b = written(ballots.join(names, "acteur_uid").select("scrutin_uid", F.col("num").alias("item"), side.alias("label")), "numbered")
-    pairs = cooccur.together(b, "scrutin_uid", "item", "label", min_same)
-    rated = cooccur.lift(pairs, b, "item", "label", (0, 1, 2))
-    one, two = names.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), names.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
-    named = rated.join(one, "a").join(two, "b")
-    return named.select(F.least("na", "nb").alias("acteur_a"), F.greatest("na", "nb").alias("acteur_b"), "same", "both", "num", "den", "lift", "pmi")
+    members = cooccur.marginals(ballots, "acteur_uid", "position", P6_SIDES, min_same)
+    pairs = cooccur.together(ballots, members, "scrutin_uid", "acteur_uid", "position", P6_SIDES, min_same)
+    rated = cooccur.lift(pairs, members, "acteur_uid", len(P6_SIDES))
+    return rated.select(F.col("item_a").alias("acteur_a"), F.col("item_b").alias("acteur_b"), "same", "both", "num", "den", "lift", F.round("pmi", 6).alias("pmi"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +199,7 @@ WITH v AS (
 ), l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY s, m ORDER BY recu_le DESC, p DESC) = 1),
 e AS (SELECT s, m, p FROM l WHERE p IN ('pour', 'contre', 'abstention')),
 n AS (SELECT m, count(*) AS t, count(*) FILTER (p = 'pour') AS a, count(*) FILTER (p = 'contre') AS b, count(*) FILTER (p = 'abstention') AS c FROM e GROUP BY 1),
-x AS (SELECT l.m AS ma, r.m AS mb, count(*) AS both_, count(*) FILTER (l.p = r.p) AS same FROM e l JOIN e r ON l.s = r.s AND l.m < r.m GROUP BY 1, 2 HAVING count(*) FILTER (l.p = r.p) >= 12),
+x AS (SELECT l.m AS ma, r.m AS mb, count(*) AS both_, count(*) FILTER (l.p = r.p) AS same FROM e l JOIN e r ON l.s = r.s AND l.m < r.m GROUP BY 1, 2),
 y AS (SELECT x.*, na.a * nb.a + na.b * nb.b + na.c * nb.c AS num, na.t * nb.t AS den FROM x JOIN n na ON na.m = ma JOIN n nb ON nb.m = mb)
 """
 
@@ -211,5 +211,7 @@ WITH t AS (
 f AS (SELECT DISTINCT champ, cle, texte, {_form_sql('texte')} AS forme FROM t WHERE texte IS NOT NULL)
 SELECT DISTINCT a.champ, a.cle AS cle_a, b.cle AS cle_b FROM f a JOIN f b ON a.champ = b.champ AND a.forme = b.forme AND a.cle < b.cle AND a.texte <> b.texte
 WHERE a.forme <> ''""",
-    "p6_found": _BALLOTS + "SELECT ma AS acteur_a, mb AS acteur_b FROM y WHERE same * den * 1000 > both_ * num * 1811",
+    "p6_found": _BALLOTS + "SELECT ma AS acteur_a, mb AS acteur_b FROM y WHERE same >= 12 AND same * den * 1000 > both_ * num * 1811",
+    "p6_pairs": _BALLOTS + """SELECT ma AS acteur_a, mb AS acteur_b, same, both_ AS both, num, den, CASE WHEN num > 0 THEN (same * den) / (both_ * num) END AS lift,
+round(CASE WHEN num > 0 AND same > 0 THEN log2(same / (both_ * num / den)) END, 6) AS pmi FROM y""",
 }

@@ -91,18 +91,20 @@ def test_pairs_against_brute_force(spark):
         for a, b in combinations(sorted(x), 2):
             both[a, b] += 1
             same[a, b] += x[a] == x[b] >= 0
-    got = {(r["a"], r["b"]): (r["same"], r["both"]) for r in cooccur.together(once, "basket", "item", "label", 0).collect()}
+    items = cooccur.marginals(once, "item", "label", (0, 1, 2))
+    count = lambda least: cooccur.together(once, cooccur.marginals(once, "item", "label", (0, 1, 2), least), "basket", "item", "label", (0, 1, 2), least)
+    name = {r["num"]: r["item"] for r in items.collect()}
+    pairs = cooccur.together(once, items, "basket", "item", "label", (0, 1, 2))
+    got = {tuple(sorted((name[r["a"]], name[r["b"]]))): (r["same"], r["both"]) for r in pairs.collect()}
     assert got == {k: (same[k], both[k]) for k in both}
-    for most in (5000, 10, 9, 0):
-        some = {(r["a"], r["b"]): (r["same"], r["both"]) for r in cooccur.together(once, "basket", "item", "label", 3, most).collect()}
-        assert some == {k: (same[k], both[k]) for k in both if same[k] >= 3}, most
-    hot = once.unionByName(spark.range(25).select(F.lit("hot").alias("basket"), F.col("id").alias("item"), (F.col("id") % 2).cast("int").alias("label")))
-    pick = lambda m: {tuple(r) for r in cooccur.together(hot, "basket", "item", "label", 3, m).collect()}
-    assert pick(20) == pick(5000) != set()
+    assert sorted((r["same"], r["both"]) for r in count(3).collect()) == sorted((same[k], both[k]) for k in both if same[k] >= 3)
     share = Counter((i, p) for (_, i), (_, p) in last.items())
-    for r in cooccur.lift(cooccur.together(once, "basket", "item", "label", 3), once, "item", "label", (0, 1, 2)).collect():
-        assert r["num"] == sum(share[r["a"], p] * share[r["b"], p] for p in range(3))
-    assert cooccur.together(once.where("false"), "basket", "item", "label").count() == 0
+    rated = cooccur.lift(pairs, items, "item", 3).collect()
+    assert len(rated) == len(both)
+    for r in rated:
+        assert r["num"] == sum(share[r["item_a"], p] * share[r["item_b"], p] for p in range(3)) and (r["same"], r["both"]) == (same[r["item_a"], r["item_b"]], both[r["item_a"], r["item_b"]])
+    none = once.where("false")
+    assert cooccur.together(none, cooccur.marginals(none, "item", "label", (0, 1, 2)), "basket", "item", "label", (0, 1, 2)).count() == 0
 
 
 # --- 7
