@@ -42,13 +42,16 @@ def key(c: Column | str) -> Column:
     return F.upper(F.when(plain, t).otherwise(trimmed(c)))
 
 
+def position_number(c: Column | str) -> Column:
+    """The place of a position word, in any case, in the alphabetical order of the four (from 0), else null. Only words with unusual blanks are searched for them."""
+    words = F.array(*[F.lit(p.lower()) for p in sorted(POSITIONS)])
+    at = F.coalesce(F.nullif(F.array_position(words, F.lower(F.trim(col(c)))), F.lit(0)), F.array_position(words, F.lower(trimmed(c))))
+    return F.nullif(at, F.lit(0)).cast("int") - 1
+
+
 def position(c: Column | str) -> Column:
     """One of the four position words in any case, else null."""
-    low = F.lower(trimmed(c))
-    out = F.when(low == "nonvotant", F.lit("nonVotant"))
-    for p in EXPRESSED:
-        out = out.when(low == p, F.lit(p))
-    return out
+    return F.get(F.array(*[F.lit(p) for p in sorted(POSITIONS)]), position_number(c))
 
 
 def day(c: Column | str) -> Column:

@@ -69,7 +69,14 @@ def p4_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return links(written(p4_nodes(spark, sf), "p4"))
+    """Nodes are written by subtype, so that each typed table reads its own files."""
+    return links(written(p4_nodes(spark, sf), "p4", "sous_type"))
+
+
+def p4_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, records and parents of each typed table."""
+    n = p4_nodes(spark, sf)
+    return n.groupBy("sous_type").agg(F.count(F.lit(1)).alias("n_lignes"), F.count_distinct("record").alias("n_documents"), F.count_distinct("record", "noeud_parent").alias("n_parents"))
 
 
 def p4_variantes(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,6 +130,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_variantes": p4_variantes,
+    "p4_tables": p4_tables,
     "p5_found": p5_found,
     "p5_connus": p5_known,
 }
@@ -164,7 +172,38 @@ m AS (SELECT {_k('mandat_uid')} AS mandat_uid, {_k('acteur_uid')} AS acteur_uid,
   {_day('date_debut')} AS debut, CASE WHEN year({_day('date_fin')}) < 2999 THEN {_day('date_fin')} ELSE DATE '9999-12-31' END AS fin, recu_le FROM mandats)
 """
 
+_T = "nullif(trim(CASE WHEN json_type({0}) = 'OBJECT' THEN json_extract_string({0}, '$.\"#text\"') WHEN json_type({0}) = 'NULL' THEN NULL ELSE json_extract_string({0}, '$') END), '')"
+
+
+def _t(x: str) -> str:
+    return _T.format(x)
+
+
+def _l(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN CAST({x} AS JSON[]) WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN CAST([] AS JSON[]) ELSE [CAST({x} AS JSON)] END"
+
+
+_BRUTS = (
+    "WITH r AS (SELECT brut_id, CAST(contenu AS JSON) AS c FROM bruts WHERE json_valid(contenu)), "
+    "d AS (SELECT brut_id, d, UK AS uid FROM (SELECT brut_id, coalesce(c->'$.scrutin', c->'$.organe', c->'$.amendement', c) AS d FROM r)), "
+    "o AS (SELECT brut_id, uid, unnest(OL) AS o FROM d), gg AS (SELECT brut_id, uid, row_number() OVER () AS g_id, g FROM (SELECT brut_id, uid, unnest(GL) AS g FROM o)), "
+    "v AS (VS), s AS (SELECT brut_id, uid, d->'$.syntheseVote' AS s FROM d WHERE json_type(d->'$.syntheseVote') = 'OBJECT'), "
+    "k AS (SELECT uid, unnest(['nombreVotants', 'suffragesExprimes', 'nbrSuffragesRequis']) AS f, s AS h FROM s UNION ALL SELECT uid, unnest(json_keys(s->'$.decompte')), s->'$.decompte' FROM s WHERE json_type(s->'$.decompte') = 'OBJECT'), "
+    "kv AS (SELECT uid, f, h->('$.\"' || f || '\"') AS x FROM k WHERE NOT starts_with(f, '@') AND NOT starts_with(f, '#')), "
+    "au AS (SELECT brut_id, uid, unnest(AL) AS a FROM d)"
+)
+_BRUTS = _BRUTS.replace("UK", f"upper({_t(chr(40) + 'd->' + chr(39) + '$.uid' + chr(39) + chr(41))})").replace("OL", _l("(d->'$.ventilationVotes.organe')")).replace("GL", _l("(o->'$.groupes.groupe')")).replace("AL", _l("(d->'$.signataires.auteur')"))
+_BRUTS = _BRUTS.replace("VS", " UNION ALL ".join(f"SELECT brut_id, uid, g_id, '{p}' AS liste, unnest({_l(chr(40) + f'g->{chr(39)}$.vote.decompteNominatif.{p}.votant{chr(39)}' + chr(41))}) AS v FROM gg" for p in ("pours", "contres", "abstentions", "nonVotants")))
+
 ORACLE = {
+    "p4_found": _BRUTS + f"""
+SELECT DISTINCT genre, parent, enfant, valeur FROM (
+  SELECT 'synthese' AS genre, uid AS parent, f AS enfant, {_t('x')} AS valeur FROM kv
+  UNION ALL SELECT 'groupe', uid, upper({_t("(g->'$.organeRef')")}), {_t("(g->'$.vote.positionMajoritaire')")} FROM gg
+  UNION ALL SELECT 'votant', uid, upper({_t("(v->'$.acteurRef')")}), liste FROM v
+  UNION ALL SELECT 'organe', uid, 'codeType', {_t("(d->'$.codeType')")} FROM d
+  UNION ALL SELECT 'rapporteur', uid, upper({_t("(a->'$.acteurRef')")}), upper({_t("(a->'$.auteurRapporteurOrganeRef')")}) FROM au)
+WHERE parent IS NOT NULL AND enfant IS NOT NULL AND valeur IS NOT NULL""",
     "p1_found": _REFS + "SELECT DISTINCT nom_table, scrutin_uid, cle FROM orphans",
     "p1_periodes": _REFS + "SELECT nom_table, CAST(date_trunc('month', recu_le) AS date) AS periode, count(*) AS n_lignes FROM orphans GROUP BY 1, 2",
     "p3_found": f"""

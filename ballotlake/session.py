@@ -32,15 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a local one is chosen.
+    Only on one machine (a ``local`` master), where the setting is absent, a local one is chosen; on a cluster its absence is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    if not conf and current:
+        return current.rstrip("/")
     if not conf:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current.rstrip("/")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = f"file:///tmp/ballotlake-{uuid.uuid4().hex}"
-    if not spark.sparkContext.getCheckpointDir():
+    if not current:
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
@@ -50,10 +52,32 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/ballotlake/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, parts: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost
-    executor never forces the producing stages to run again."""
+    executor never forces the producing stages to run again. ``parts``: a column of few values by which files are laid apart."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    (df.write.partitionBy(parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Number, size and last change of the files of a table: what tells whether it is still the one that was read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return (0, 0, 0)
+    top = fs.getFileStatus(p)
+    files = list(fs.listStatus(p)) if top.isDirectory() else [top]
+    return (len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0))
+
+
+_MARTS: dict[tuple, DataFrame] = {}
+
+
+def mart(spark: SparkSession, key: tuple, sources: list[str], build) -> DataFrame:
+    """What ``build`` gives, written once in the session's shared folder and read by every later query, as long as the source tables do not change."""
+    k = (spark.sparkContext.applicationId, *key, *[fingerprint(spark, s) for s in sources])
+    if k not in _MARTS:
+        _MARTS[k] = written(build(), "mart")
+    return _MARTS[k]

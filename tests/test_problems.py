@@ -11,7 +11,7 @@ from ballotlake.functions.expr import day, key, position
 from ballotlake.operators.asof import known_spans, with_known_value
 from ballotlake.operators.intervals import OPEN, merge_intervals
 from ballotlake.operators.orphans import orphan_references, orphans_by_period, parent_registry
-from ballotlake.operators.variants import Automaton, classify, links, typed
+from ballotlake.operators.variants import Automaton, classify, deep_loads, links, typed
 
 D = dt.date
 T = dt.datetime
@@ -153,12 +153,47 @@ def test_variants_flatten_with_links(spark):
         ("synthese", "VT1", "nombreVotants", "3"), ("synthese", "VT1", "suffragesExprimes", "2"), ("synthese", "VT1", "pour", "2"), ("groupe", "VT1", "PO1", "pour"),
         ("votant", "VT1", "PA1", "pours"), ("votant", "VT1", "PA2", "contres"), ("organe", "PO9", "codeType", "GP"), ("rapporteur", "AM1", "PA1", "PO5"),
     }
-    g = typed(nodes.where("record = '1'"), "groupe", ["organeRef"]).collect()
-    v = typed(nodes.where("record = '1'"), "votant", ["acteurRef", "liste"]).collect()
-    assert {x["noeud_parent"] for x in v} == {x["noeud"] for x in g if x["organeRef"] == "po1"}
+    g = typed(nodes.where("record = '1'"), "groupe").collect()
+    v = typed(nodes.where("record = '1'"), "votant").collect()
+    assert {x["noeud_parent"] for x in v} == {x["noeud"] for x in g if x["organe_ref"] == "po1"}
+    counts = {c["champ"]: c["nombre"] for r in typed(nodes.where("record = '1'"), "synthese").collect() for c in r["comptes"]}
+    assert counts == {"nombreVotants": 3, "suffragesExprimes": 2, "pour": 2}
+    assert {r["par_delegation"] for r in v} == {None}
     assert links(classify(df.where("false"), "brut_id", "contenu")).count() == 0
 
 
+def test_deep_records_are_read_whole(spark):
+    deep = 5000
+    inner = json.dumps(vote("VT7", [group("PO1", "pour", pours={"votant": {"acteurRef": "PA1", "parDelegation": "true"}})]))
+    texts = ['{"a": [' * deep + inner + "]}" * deep, '{"a": [' * deep + inner + "]}" * (deep - 1), '{"scrutin": ' + inner[:-1] + ', "x": ' + "[" * deep + "]" * deep + "}}"]
+    nodes = classify(spark.createDataFrame(list(enumerate(texts)), "b int, c string"), "b", "c")
+    assert {(r["record"], r["acteur_ref"], r["par_delegation"]) for r in typed(nodes, "votant").collect()} == {("0", "PA1", True), ("2", "PA1", True)}
+
+
+def test_the_deep_reader_agrees_with_json():
+    good = ['{"a": [1, -2.5e3, "x\\n\\u00e9", true, null, {}], "b": {"c": []}, "b": 2}', " [ ] ", '"t"', "12", "[[],[{}]]", "[NaN]"]
+    for t in good:
+        assert repr(deep_loads(t)) == repr(json.loads(t))
+    for t in ("", "{", "[1,]", '{"a"}', '{"a":1,}', "[1] 2", '"open', "tru", "{1:2}", "[1 2]", '{"a":}'):
+        with pytest.raises(ValueError):
+            deep_loads(t)
+
+
+def test_shapes_count_not_names(spark):
+    r = vote("VT8", [group("PO1", "pour", pours={"votant": {"acteurRef": "PA1"}}, contres={"membre": [{"acteurRef": "PA2"}]})])["scrutin"]
+    renamed = {"uid": "VT8", "bilan": r["syntheseVote"], "detail": {"instance": {"x": {"y": r["ventilationVotes"]["organe"]["groupes"]["groupe"]}}}}
+    wrong = {"uid": "VT9", "syntheseVote": {"pour": "9"}, "ventilationVotes": {"groupe": {"acteurRef": "PA3"}}}
+    am = {"uid": "AM8", "signataires": {"premier": {"acteurRef": "PA4", "auteurRapporteurOrganeRef": "PO4"}, "cosignataires": {"acteurRef": "PA5"}}}
+    data = [(i, json.dumps(x)) for i, x in enumerate((renamed, wrong, am))]
+    nodes = classify(spark.createDataFrame(data, "b int, c string"), "b", "c")
+    got = set(rows(links(nodes), "genre", "parent", "enfant", "valeur"))
+    assert got == {
+        ("synthese", "VT8", "nombreVotants", "3"), ("synthese", "VT8", "suffragesExprimes", "2"), ("synthese", "VT8", "pour", "2"), ("groupe", "VT8", "PO1", "pour"),
+        ("votant", "VT8", "PA1", "pours"), ("votant", "VT8", "PA2", "contres"), ("rapporteur", "AM8", "PA4", "PO4"),
+    }
+    assert typed(nodes, "auteur").count() == 1
+
+
 def test_a_long_record_and_shapes(spark):
     big = json.dumps(vote("VT2", [group(f"PO{i}", "pour", pours={"votant": [{"acteurRef": f"PA{i}_{j}"} for j in range(200)]}) for i in range(50)]))
     out = links(classify(spark.createDataFrame([(1, big)], "b int, c string"), "b", "c"))
