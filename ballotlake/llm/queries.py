@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import EXPRESSED, key, position, trimmed
+from ..functions.expr import EXPRESSED, POSITIONS, key, position_number, trimmed
 from ..session import table, written
 from . import cooccur, encode, forms, langid, mixing, termcounts
 
@@ -33,17 +33,12 @@ P6_SAME, P6_LIFT_PER_MILLE = 12, 1811
 
 
 #: Labels as numbers, in the order in which the greater one wins a tie.
-P6_LABELS = ("abstention", "contre", "nonVotant", "pour")
-P6_SIDES = tuple(P6_LABELS.index(p) for p in EXPRESSED)
+P6_SIDES = tuple(sorted(POSITIONS).index(p) for p in EXPRESSED)
 
 
 def expressed_ballots(spark: SparkSession, sf: str) -> DataFrame:
     """The last received ballot of each member in each event, where it took one of the three sides (position: a number)."""
-    p = position("position")
-    code = F.lit(None).cast("int")
-    for i, x in enumerate(P6_LABELS):
-        code = F.when(p == x, i).otherwise(code)
-    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), code.alias("position"), "recu_le")
+    v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position_number("position").alias("position"), "recu_le")
     return cooccur.last_labels(v, "scrutin_uid", "acteur_uid", "position", "recu_le").where(F.col("position").isin(*P6_SIDES))
 
 
