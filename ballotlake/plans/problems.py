@@ -74,9 +74,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, records and parents of each typed table."""
-    n = p4_nodes(spark, sf)
-    return n.groupBy("sous_type").agg(F.count(F.lit(1)).alias("n_lignes"), F.count_distinct("record").alias("n_documents"), F.count_distinct("record", "noeud_parent").alias("n_parents"))
+    """Rows and records of each typed table."""
+    return p4_nodes(spark, sf).groupBy("sous_type").agg(F.count(F.lit(1)).alias("n_lignes"), F.count_distinct("record").alias("n_documents"))
 
 
 def p4_variantes(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,15 +184,15 @@ def _l(x: str) -> str:
 
 _BRUTS = (
     "WITH r AS (SELECT brut_id, CAST(contenu AS JSON) AS c FROM bruts WHERE json_valid(contenu)), "
-    "d AS (SELECT brut_id, d, UK AS uid FROM (SELECT brut_id, coalesce(c->'$.scrutin', c->'$.organe', c->'$.amendement', c) AS d FROM r)), "
-    "o AS (SELECT brut_id, uid, unnest(OL) AS o FROM d), gg AS (SELECT brut_id, uid, row_number() OVER () AS g_id, g FROM (SELECT brut_id, uid, unnest(GL) AS g FROM o)), "
-    "v AS (VS), s AS (SELECT brut_id, uid, d->'$.syntheseVote' AS s FROM d WHERE json_type(d->'$.syntheseVote') = 'OBJECT'), "
+    "d AS (SELECT brut_id, d, @UK@ AS uid FROM (SELECT brut_id, coalesce(c->'$.scrutin', c->'$.organe', c->'$.amendement', c) AS d FROM r)), "
+    "o AS (SELECT brut_id, uid, unnest(@OL@) AS o FROM d), gg AS (SELECT brut_id, uid, row_number() OVER () AS g_id, g FROM (SELECT brut_id, uid, unnest(@GL@) AS g FROM o)), "
+    "v AS (@VS@), s AS (SELECT brut_id, uid, d->'$.syntheseVote' AS s FROM d WHERE json_type(d->'$.syntheseVote') = 'OBJECT'), "
     "k AS (SELECT uid, unnest(['nombreVotants', 'suffragesExprimes', 'nbrSuffragesRequis']) AS f, s AS h FROM s UNION ALL SELECT uid, unnest(json_keys(s->'$.decompte')), s->'$.decompte' FROM s WHERE json_type(s->'$.decompte') = 'OBJECT'), "
     "kv AS (SELECT uid, f, h->('$.\"' || f || '\"') AS x FROM k WHERE NOT starts_with(f, '@') AND NOT starts_with(f, '#')), "
-    "au AS (SELECT brut_id, uid, unnest(AL) AS a FROM d)"
+    "au AS (SELECT brut_id, uid, unnest(@AL@) AS a FROM d)"
 )
-_BRUTS = _BRUTS.replace("UK", f"upper({_t(chr(40) + 'd->' + chr(39) + '$.uid' + chr(39) + chr(41))})").replace("OL", _l("(d->'$.ventilationVotes.organe')")).replace("GL", _l("(o->'$.groupes.groupe')")).replace("AL", _l("(d->'$.signataires.auteur')"))
-_BRUTS = _BRUTS.replace("VS", " UNION ALL ".join(f"SELECT brut_id, uid, g_id, '{p}' AS liste, unnest({_l(chr(40) + f'g->{chr(39)}$.vote.decompteNominatif.{p}.votant{chr(39)}' + chr(41))}) AS v FROM gg" for p in ("pours", "contres", "abstentions", "nonVotants")))
+_BRUTS = _BRUTS.replace("@UK@", f"upper({_t(chr(40) + 'd->' + chr(39) + '$.uid' + chr(39) + chr(41))})").replace("@OL@", _l("(d->'$.ventilationVotes.organe')")).replace("@GL@", _l("(o->'$.groupes.groupe')")).replace("@AL@", _l("(d->'$.signataires.auteur')"))
+_BRUTS = _BRUTS.replace("@VS@", " UNION ALL ".join(f"SELECT brut_id, uid, g_id, '{p}' AS liste, unnest({_l(chr(40) + f'g->{chr(39)}$.vote.decompteNominatif.{p}.votant{chr(39)}' + chr(41))}) AS v FROM gg" for p in ("pours", "contres", "abstentions", "nonVotants")))
 
 ORACLE = {
     "p4_found": _BRUTS + f"""
@@ -204,6 +203,11 @@ SELECT DISTINCT genre, parent, enfant, valeur FROM (
   UNION ALL SELECT 'organe', uid, 'codeType', {_t("(d->'$.codeType')")} FROM d
   UNION ALL SELECT 'rapporteur', uid, upper({_t("(a->'$.acteurRef')")}), upper({_t("(a->'$.auteurRapporteurOrganeRef')")}) FROM au)
 WHERE parent IS NOT NULL AND enfant IS NOT NULL AND valeur IS NOT NULL""",
+    "p4_tables": _BRUTS + """, n AS (
+  SELECT brut_id, CASE WHEN json_exists(d, '$.syntheseVote') OR json_exists(d, '$.ventilationVotes') THEN 'scrutin' WHEN json_exists(d, '$.signataires') THEN 'amendement' WHEN json_exists(d, '$.codeType') THEN 'organe' ELSE 'document' END AS sous_type FROM d WHERE uid IS NOT NULL
+  UNION ALL SELECT brut_id, 'synthese' FROM s WHERE len(json_keys(s)) > 0 UNION ALL SELECT brut_id, 'groupe' FROM gg WHERE json_exists(g, '$.organeRef') AND json_exists(g, '$.vote')
+  UNION ALL SELECT brut_id, 'votant' FROM v WHERE json_exists(v, '$.acteurRef') UNION ALL SELECT brut_id, 'auteur' FROM au WHERE json_exists(a, '$.acteurRef'))
+SELECT sous_type, count(*) AS n_lignes, count(DISTINCT brut_id) AS n_documents FROM n GROUP BY 1""",
     "p1_found": _REFS + "SELECT DISTINCT nom_table, scrutin_uid, cle FROM orphans",
     "p1_periodes": _REFS + "SELECT nom_table, CAST(date_trunc('month', recu_le) AS date) AS periode, count(*) AS n_lignes FROM orphans GROUP BY 1, 2",
     "p3_found": f"""
