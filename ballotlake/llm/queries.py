@@ -59,21 +59,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 7
 
 
-def statements(spark: SparkSession, sf: str) -> DataFrame:
-    """One statement per amendment; a repeated key repeats the same content."""
-    a = table(spark, sf, "amendements").select(key("amendement_uid").alias("uid"), F.col("expose_sommaire").alias("texte"), "recu_le")
-    return a.where(F.col("uid").isNotNull()).groupBy("uid").agg(F.max_by("texte", "recu_le").alias("texte"), F.min("recu_le").alias("vu"))
-
-
-def p7_statement_counts(spark: SparkSession, sf: str) -> termcounts.TermCounts:
-    """The counts of all statements, built as they were received: a first load, then an increment with what came after its middle."""
-    s = written(statements(spark, sf), "statements")
-    middle = s.agg(F.percentile_approx(F.unix_seconds(F.col("vu").cast("timestamp")), 0.5)).first()[0]
-    early = F.col("vu").isNull() | (F.unix_seconds(F.col("vu").cast("timestamp")) <= F.lit(middle))
+def versions(spark: SparkSession, sf: str, deleted: bool = False) -> DataFrame:
+    """(uid, texte, le): every version of every statement as received; with ``deleted`` also a null one for each logged deletion."""
+    a = table(spark, sf, "amendements").select(key("amendement_uid").alias("uid"), F.col("expose_sommaire").alias("texte"), F.col("recu_le").cast("timestamp").alias("le"))
+    if deleted:
+        gone = table(spark, sf, "suppressions").where(F.lower(trimmed("nom_table")) == "amendements")
+        a = a.unionByName(gone.select(key("cle").alias("uid"), F.lit(None).cast("string").alias("texte"), F.col("supprime_le").cast("timestamp").alias("le")))
+    return a.where(F.col("uid").isNotNull())
+
+
+def p7_counts(spark: SparkSession, sf: str, deleted: bool = False) -> termcounts.TermCounts:
+    """The counts of all statements as they came in: a first load with what was there by the middle of the time, then an increment with the later versions."""
+    v = versions(spark, sf, deleted)
+    middle = v.agg(F.percentile_approx(F.unix_micros("le"), 0.5)).first()[0]
+    early = F.col("le").isNull() | (F.unix_micros("le") <= F.lit(middle))
     c = termcounts.TermCounts(spark)
-    c.apply(s.where(early), "uid", "texte")
-    c.apply(s.where(~early), "uid", "texte")
-    return c
+    return c.apply(v.where(early), "uid", "texte", "le").apply(v.where(~early), "uid", "texte", "le")
 
 
 def p7_list_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
@@ -87,7 +88,7 @@ def p7_list_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
 
 def p7_termes(spark: SparkSession, sf: str) -> DataFrame:
     """(champ, terme, n_occurrences, n_records, marque) of every term."""
-    c = p7_statement_counts(spark, sf)
+    c = p7_counts(spark, sf)
     lists, total = p7_list_counts(spark, sf)
     a = termcounts.marked(c.counts(), c.n_records()).select(F.lit("amendements.expose_sommaire").alias("champ"), "*")
     b = termcounts.marked(lists, total).select(F.lit("poussees.terme").alias("champ"), "*")
@@ -98,6 +99,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_termes(spark, sf).where(F.col("marque").isNotNull()).select("champ", "terme", "marque")
 
 
+def p7_apres_suppressions(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of the statements that are still there when deletions are taken in at their time; one received again after its deletion counts."""
+    return p7_counts(spark, sf, deleted=True).counts()
+
+
 # --- 8
 
 
@@ -156,6 +162,7 @@ QUERIES = {
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
     "p7_termes": p7_termes,
+    "p7_apres_suppressions": p7_apres_suppressions,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_parts": p9_parts,
@@ -198,7 +205,39 @@ x AS (SELECT l.m AS ma, r.m AS mb, count(*) AS both_, count(*) FILTER (l.p = r.p
 y AS (SELECT x.*, na.a * nb.a + na.b * nb.b + na.c * nb.c AS num, na.t * nb.t AS den FROM x JOIN n na ON na.m = ma JOIN n nb ON nb.m = mb)
 """
 
+#: Entities as they occur in the statements, after & itself was decoded as often as it was encoded.
+_ENTITIES = {"&nbsp;": " ", "&eacute;": "é", "&agrave;": "à", "&egrave;": "è", "&lt;": "<", "&gt;": ">"} | {f"&#x{ord(c):04X};": c for c in "éàèêûÀôîâçÉÈÊù"}
+
+
+def _read_sql(c: str) -> str:
+    t = f"regexp_replace({c}, '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    for _ in range(4):
+        t = f"replace({t}, '&amp;', '&')"
+    for a, b in _ENTITIES.items():
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"regexp_extract_all(strip_accents(lower(regexp_replace({t}, '</?[A-Za-z][^<>]*>', ' ', 'g'))), '[a-z]{{3,}}')"
+
+
+def _term_sql(rows: str) -> str:
+    """Terms of the statements in rows (k, t), and of the published lists."""
+    return f"""WITH s AS ({rows}), w AS (SELECT k, unnest({_read_sql('t')}) AS terme FROM s WHERE t IS NOT NULL),
+c AS (SELECT terme, count(*) AS n_occurrences, count(DISTINCT k) AS n_records FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM s WHERE trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> ''),
+p AS (SELECT DISTINCT * FROM poussees), pn AS (SELECT sum(n) AS n FROM (SELECT max(n_documents) AS n FROM p GROUP BY semaine)),
+pc AS (SELECT strip_accents(lower(trim(terme, ' ' || chr(9) || chr(160)))) AS terme, CAST(sum(n_docs) AS BIGINT) AS n FROM p WHERE trim(terme, ' ' || chr(9) || chr(160)) <> '' GROUP BY 1),
+m AS (SELECT 'amendements.expose_sommaire' AS champ, terme, n_occurrences, n_records, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records > 0.2 * (SELECT n FROM n) THEN 'commun' END AS marque FROM c
+  UNION ALL SELECT 'poussees.terme', terme, n, n, CASE WHEN n <= 2 THEN 'rare' WHEN n > 0.2 * (SELECT n FROM pn) THEN 'commun' END FROM pc WHERE n <> 0)
+"""
+
+
+_LAST = "SELECT {k} AS k, expose_sommaire AS t FROM amendements WHERE {k} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY recu_le DESC, expose_sommaire DESC NULLS LAST) = 1".format(k=_K.format("amendement_uid"))
+_LEFT = "SELECT k, t FROM (SELECT {k} AS k, expose_sommaire AS t, recu_le AS le FROM amendements UNION ALL SELECT {c}, NULL, supprime_le FROM suppressions WHERE lower(trim(nom_table)) = 'amendements') WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY le DESC, t DESC NULLS LAST) = 1".format(
+    k=_K.format("amendement_uid"), c=_K.format("cle")
+)
+
 ORACLE = {
+    "p7_found": _term_sql(_LAST) + "SELECT champ, terme, marque FROM m WHERE marque IS NOT NULL",
+    "p7_termes": _term_sql(_LAST) + "SELECT * FROM m",
+    "p7_apres_suppressions": _term_sql(_LEFT) + "SELECT terme, n_occurrences, n_records FROM c",
     "p2_found": f"""
 WITH t AS (
   SELECT 'scrutins.titre' AS champ, {_K.format('scrutin_uid')} AS cle, titre AS texte FROM scrutins

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,79 +80,102 @@ def terms_of(records: DataFrame, record: str, text: str) -> DataFrame:
 
 
 _DELTA = "terme string, d_occ bigint, d_rec bigint, part bigint"
+_STATE = "record string, texte string, part bigint"
+#: The term that stands for the records themselves; no term is empty.
+_RECORDS = ""
 
 
 class TermCounts:
-    """Persistent counts in a shared folder: signed deltas, partitioned by a hash of the term, and compacted states.
+    """Persistent counts in a shared folder: signed deltas partitioned by a hash of the term, and each record's last text partitioned by a hash of the record.
 
-    ``state``: each record's last text (what a later change has to take back); ``deltas``: per batch the change of each term's
-    occurrences and records. A batch writes only what it changes; counts are the sum of the deltas since the last
-    compaction. Every batch has its own folder, written in full or not at all, so it may be run again after a loss.
+    A batch writes only what it changes: the new texts of its records, and per term the change of occurrences and records. Of the state it reads only the
+    parts its records fall in, and of those only the rows of its records: their keys are few beside the state, so they go to it and not it to them. Counts are the
+    sum of the deltas since the last compaction; after ``keep`` batches both are folded to one, deleted records fall out. Every batch has its
+    own folder, written in full or not at all, so it may be run again after a loss. The number of parts follows the first batch, ``rows`` to a part.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path or scratch(spark, "terms"), buckets
-        self.batches: list[str] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int | None = None, rows: int = 200_000, keep: int = 16):
+        self.spark, self.path, self.parts, self.rows, self.keep = spark, path or scratch(spark, "terms"), parts, rows, keep
+        self.deltas: list[str] = []
         self.states: list[str] = []
+        self.made = 0
 
-    def _put(self, df: DataFrame) -> None:
-        path = f"{self.path}/delta-{len(self.batches):06d}"
-        df.withColumn("part", F.pmod(F.xxhash64("terme"), F.lit(self.buckets))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
-        self.batches.append(path)
+    def _parts(self, first: DataFrame) -> int:
+        if self.parts is None:
+            self.parts = min(4096, max(4, -(-first.count() // self.rows)))
+        return self.parts
+
+    def _write(self, df: DataFrame, what: str, by: str, n: int) -> str:
+        self.made += 1
+        path = f"{self.path}/{what}-{self.made:06d}"
+        df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(n))).repartition(n, "part").write.mode("overwrite").partitionBy("part").parquet(path)
+        return path
 
     def add_signed(self, deltas: DataFrame) -> TermCounts:
         """Merge rows (terme, d_occ, d_rec) as they are."""
         sums = deltas.groupBy("terme").agg(F.sum("d_occ").cast("bigint").alias("d_occ"), F.sum("d_rec").cast("bigint").alias("d_rec"))
-        self._put(sums.where("d_occ <> 0 OR d_rec <> 0"))
+        self.deltas.append(self._write(sums.where("d_occ <> 0 OR d_rec <> 0"), "delta", "terme", self.parts or 4))
         return self
 
-    def state(self) -> DataFrame | None:
-        """Each record's last text; deleted records have null."""
+    def _state(self, keys: DataFrame | None = None) -> DataFrame | None:
+        """(record, texte): each record's last text, null if it was deleted; of the records of ``keys`` (record, part) only, where given."""
         if not self.states:
             return None
-        rows = [self.spark.read.schema("record string, texte string").parquet(p).withColumn("b", F.lit(i)) for i, p in enumerate(self.states)]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out if len(rows) == 1 else out.groupBy("record").agg(F.max_by("texte", "b").alias("texte"), F.max("b").alias("b"))
-
-    def apply(self, batch: DataFrame, record: str, text: str) -> TermCounts:
-        """Take in a batch of records: new ones are added, changed ones replace their former text, those with a null text are deleted.
-
-        Rows without a ``record`` are left out; of one that comes several times in a batch the greatest text counts. Unchanged records cost a join and nothing else.
+        only = [r[0] for r in keys.select("part").distinct().collect()] if keys is not None else None  # at most as many as there are parts
+        out = None
+        for i, p in enumerate(self.states):
+            r = self.spark.read.schema(_STATE).parquet(p)
+            if only is not None:
+                r = r.where(F.col("part").isin(only)).join(keys.select("record"), "record", "left_semi")
+            r = r.select("record", F.struct(F.lit(i).alias("b"), "texte").alias("x"))
+            out = r if out is None else out.unionByName(r)
+        return out.groupBy("record").agg(F.max("x").alias("x")).select("record", "x.texte")
+
+    def apply(self, batch: DataFrame, record: str, text: str, sequence: str | None = None) -> TermCounts:
+        """Take in a batch of versions of records: new ones are added, changed ones replace their former text, those with a null text are deleted.
+
+        Of a record that comes several times the version with the greatest ``sequence`` counts (a null one comes first; on a tie, and without a sequence, a text wins over none, then the
+        greater one). Rows without a ``record`` are left out. Unchanged records cost a join and nothing else.
         """
-        new = batch.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("string").alias("record")).agg(F.max(text).alias("nouveau"))
-        old = self.state()
+        at = F.col(sequence) if sequence else F.lit(0)
+        rows = batch.where(F.col(record).isNotNull()).select(F.col(record).cast("string").alias("record"), F.struct(at.alias("at"), F.col(text).alias("t")).alias("x"))
+        new = rows.groupBy("record").agg(F.max("x").alias("x")).select("record", F.col("x.t").alias("texte"))
+        n = self._parts(rows)
+        new = self.spark.read.schema(_STATE).parquet(self._write(new, "batch", "record", n))
+        old = self._state(new)
         if old is None:
-            changed = new.where(F.col("nouveau").isNotNull()).withColumn("ancien", F.lit(None).cast("string"))
+            changed = new.where(F.col("texte").isNotNull()).withColumn("ancien", F.lit(None).cast("string"))
         else:
-            changed = new.join(old.select("record", F.col("texte").alias("ancien")), "record", "left").where(~F.col("nouveau").eqNullSafe(F.col("ancien")))
-        path = f"{self.path}/state-{len(self.states):06d}"
-        changed.withColumn("texte", F.col("nouveau")).write.mode("overwrite").parquet(path)
-        changed = self.spark.read.schema("record string, nouveau string, ancien string, texte string").parquet(path)
-        signed = changed.select(F.explode(F.array(F.struct(F.lit(1).alias("signe"), F.col("nouveau").alias("t")), F.struct(F.lit(-1).alias("signe"), F.col("ancien").alias("t")))).alias("x"))
+            changed = new.join(old.withColumnRenamed("texte", "ancien"), "record", "left").where(~F.col("texte").eqNullSafe(F.col("ancien")))
+        path = self._write(changed.drop("part"), "state", "record", n)
+        changed = self.spark.read.schema(f"ancien string, {_STATE}").parquet(path)
+        both = F.array(F.struct(F.lit(1).alias("signe"), F.col("texte").alias("t")), F.struct(F.lit(-1).alias("signe"), F.col("ancien").alias("t")))
+        signed = changed.select(F.explode(both).alias("x")).select("x.signe", "x.t").where(F.col("t").isNotNull())
+        records = signed.where(trimmed("t").isNotNull()).select(F.lit(_RECORDS).alias("terme"), F.lit(0).cast("bigint").alias("d_occ"), F.col("signe").cast("bigint").alias("d_rec"))
         self.states.append(path)
-        return self.add_signed(signed_terms(signed.select("x.signe", "x.t").where(F.col("t").isNotNull())))
+        self.add_signed(signed_terms(signed).unionByName(records))
+        return self.compact() if len(self.states) > self.keep else self
+
+    def _sums(self) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(_DELTA).parquet(p) for p in self.deltas])
+        return rows.groupBy("terme").agg(F.sum("d_occ").alias("n_occurrences"), F.sum("d_rec").alias("n_records")).where(F.col("n_records") != 0)
 
     def counts(self) -> DataFrame:
         """(terme, n_occurrences, n_records) of every term that some record holds."""
-        rows = self.spark.read.schema(_DELTA).parquet(self.batches[0])
-        for p in self.batches[1:]:
-            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(p))
-        out = rows.groupBy("terme").agg(F.sum("d_occ").alias("n_occurrences"), F.sum("d_rec").alias("n_records"))
-        return out.where(F.col("n_records") != 0)
+        return self._sums().where(F.col("terme") != _RECORDS)
 
     def compact(self) -> TermCounts:
-        """Fold all deltas into one."""
-        one = self.counts().select("terme", F.col("n_occurrences").alias("d_occ"), F.col("n_records").alias("d_rec"))
-        path = f"{self.path}/compact-{len(self.batches):06d}"
-        one.withColumn("part", F.pmod(F.xxhash64("terme"), F.lit(self.buckets))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
-        self.batches = [path]
+        """Fold all deltas into one and all states into one, without the deleted records."""
+        n = self.parts or 4
+        self.deltas = [self._write(self._sums().select("terme", F.col("n_occurrences").alias("d_occ"), F.col("n_records").alias("d_rec")), "compact", "terme", n)]
+        if self.states:
+            self.states = [self._write(self._state().where(F.col("texte").isNotNull()), "base", "record", n)]
         return self
 
     def n_records(self) -> int:
         """The number of records with a text that is not blank."""
-        return self.state().where(trimmed("texte").isNotNull()).count()
+        row = self._sums().where(F.col("terme") == _RECORDS).first()
+        return row["n_records"] if row else 0
 
 
 def marked(counts: DataFrame, total: int, rare: int = 2, common: float = 0.2) -> DataFrame:

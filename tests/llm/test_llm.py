@@ -145,6 +145,24 @@ def test_signed_deltas_follow_every_change(spark):
     assert empty.counts().count() == 0 and empty.n_records() == 0
 
 
+def test_versions_of_one_batch_and_what_a_batch_reads(spark, tmp_path):
+    t = lambda k: dt.datetime(2024, 1, k)
+    c = termcounts.TermCounts(spark, f"file://{tmp_path}/terms", parts=8, keep=2)
+    load = lambda rows: c.apply(spark.createDataFrame(rows, "uid string, t string, le timestamp, part int"), "uid", "t", "le")
+    got = lambda: {r["terme"]: (r["n_occurrences"], r["n_records"]) for r in c.counts().collect()}
+    load([("r", "zebra zebra", t(1), 0), ("s", "apple", t(1), 0)])
+    load([("r", None, t(3), 0), ("r", "apple", t(2), 0), ("s", "pear", t(3), 0), ("s", "zzz zzz", t(2), 0), ("u", "late", None, 0), ("u", "fig", t(1), 0)])
+    assert got() == {"pear": (1, 1), "fig": (1, 1)} and c.n_records() == 2
+    signed = [r for p in c.deltas for r in spark.read.parquet(p).collect()]
+    assert {r["terme"] for r in signed if r["d_rec"] < 0} == {"zebra", "apple"}
+    load([("r", "back", t(5), 0), ("s", "pear", t(9), 0)])
+    assert got() == {"pear": (1, 1), "fig": (1, 1), "back": (1, 1)} and len(c.states) == len(c.deltas) == 1
+    load([("u", " ", t(2), 0)])
+    assert got() == {"pear": (1, 1), "back": (1, 1)} and c.n_records() == 2
+    plan = c._state(spark.read.schema(termcounts._STATE).parquet(f"file://{tmp_path}/terms/batch-{c.made - 2:06d}"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", plan)
+
+
 def test_marks_and_long_texts(spark):
     c = spark.createDataFrame([("a", 9, 2), ("b", 3, 3), ("c", 20, 4), ("d", 21, 5)], "terme string, n_occurrences int, n_records int")
     assert {r["terme"]: r["marque"] for r in termcounts.marked(c, 20).collect()} == {"a": "rare", "b": None, "c": None, "d": "commun"}
