@@ -9,27 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EXPRESSED, day, key, position
 from ..operators.lines import group_lines
-from ..session import table, written
+from ..session import mart, table
 from .problems import latest
 
 
 class Assembly:
-    """Lazy relations over one folder. Nothing is read before a query runs, and each query reads its columns only."""
+    """Relations over one folder. One row per key costs a shuffle of all rows received, so each clean relation is written once in a session, in the shared folder,
+    and read from there by every query, its columns only; a source table that changes makes a new one.
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
 
-    def pinned(self) -> Assembly:
-        """Write the ballots and group lines once, for a query that reads them several times."""
-        self.__dict__["ballots"] = written(self.ballots, "ballots")
-        self.__dict__["lines"] = written(self.lines, "lines")
-        return self
+    def _mart(self, name: str, sources: list[str], build) -> DataFrame:
+        return mart(self.spark, (self.sf, name), [f"{self.sf}/{t}.parquet" for t in sources], build)
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 
     @cached_property
     def events(self) -> DataFrame:
+        return self._mart("events", ["scrutins"], self._events)
+
+    def _events(self) -> DataFrame:
         s = self.raw("scrutins")
         s = s.select(
             key("scrutin_uid").alias("scrutin_uid"), "numero", F.coalesce(day("date"), F.col("date_d")).alias("jour"), "type_vote_code", "sort_code", "titre",
@@ -39,6 +41,9 @@ class Assembly:
 
     @cached_property
     def ballots(self) -> DataFrame:
+        return self._mart("ballots", ["votes"], self._ballots)
+
+    def _ballots(self) -> DataFrame:
         """The last received row of each (event, member)."""
         v = self.raw("votes").select(
             key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position("position").alias("position"), key("groupe_uid").alias("groupe_uid"),
@@ -53,6 +58,9 @@ class Assembly:
 
     @cached_property
     def members(self) -> DataFrame:
+        return self._mart("members", ["deputes"], self._members)
+
+    def _members(self) -> DataFrame:
         d = self.raw("deputes").select(
             key("acteur_uid").alias("acteur_uid"), "nom_complet", "groupe", key("groupe_uid").alias("groupe_uid"), "groupe_position", "en_exercice", "departement", "num_departement", "num_circo",
             "date_naissance", "periodes_mandat", "recu_le",
@@ -61,10 +69,16 @@ class Assembly:
 
     @cached_property
     def lines(self) -> DataFrame:
+        return self._mart("lines", ["votes"], self._lines)
+
+    def _lines(self) -> DataFrame:
         return group_lines(self.expressed.where(F.col("groupe_uid").isNotNull()), "scrutin_uid", "groupe_uid", "position")
 
     @cached_property
     def amendments(self) -> DataFrame:
+        return self._mart("amendments", ["amendements"], self._amendments)
+
+    def _amendments(self) -> DataFrame:
         a = self.raw("amendements").select(
             key("amendement_uid").alias("amendement_uid"), key("auteur_uid").alias("auteur_uid"), key("auteur_groupe_uid").alias("auteur_groupe_uid"), "auteur_rapporteur", "sort",
             key("dossier_uid").alias("dossier_uid"), F.coalesce(F.col("date_depot_d"), day("date_depot")).alias("jour"), "nb_cosignataires", "cosignataires", "expose_sommaire", "dispositif", "recu_le",
@@ -79,6 +93,9 @@ class Assembly:
 
     @cached_property
     def mandates(self) -> DataFrame:
+        return self._mart("mandates", ["mandats"], self._mandates)
+
+    def _mandates(self) -> DataFrame:
         """The last version of each mandate, with its days; an open end is null."""
         from .problems import mandates
 

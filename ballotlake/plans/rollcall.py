@@ -6,6 +6,7 @@ Names say what is asked; the ids of the inventory are in README.md. Rates are ro
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -415,7 +416,7 @@ def controle_echantillon(a: Assembly) -> DataFrame:
     """Is the agreement of the two largest groups at the lowest stake level outside what samples of the same size give?"""
     top = [r[0] for r in a.members.where(F.col("groupe").isNotNull()).groupBy("groupe").count().orderBy(F.col("count").desc(), "groupe").limit(2).collect()]
     n = a.events.where(F.col("portee") == "intermediaire").count()
-    return agreement.sample_size_check(_known(a), a.events, [(top[0], top[0]), (top[-1], top[-1])], a.members, "intermediaire", n, draws=10, floor=3)
+    return agreement.sample_size_check(_known(a), a.events, [(top[0], top[0]), (top[-1], top[-1])], a.members, "intermediaire", n)
 
 
 # --- abstention ----------------------------------------------------------------------------------------------------
@@ -709,7 +710,6 @@ def alerte_activite(a: Assembly) -> DataFrame:
 @query()
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
-    a.pinned()
     found = topics.without_redundant(_surges(a).where(F.col("q") <= topics.FDR))
     parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events), alerts.surging(found)]
     return alerts.all_alerts(parts)
@@ -771,7 +771,6 @@ def controle_totaux(a: Assembly) -> DataFrame:
 @query()
 def verification(a: Assembly) -> DataFrame:
     """All checks: how many anomalies each has, with examples."""
-    a.pinned()
     p = written(lines.term_periods(a.members), "terms")
     return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members), alerts.out_of_term(_flagged(a)), alerts.two_positions(_received(a)), alerts.source_totals(a.events, a.ballots)])
 
@@ -794,7 +793,7 @@ def carte_mds(a: Assembly) -> DataFrame:
     return scaling.mds(_with_units(a))
 
 
-_MODEL = ideal.Options(min_event=15, iterations=40)
+_MODEL = ideal.Options(min_event=15)
 
 
 def _usable(a: Assembly) -> DataFrame:
@@ -811,7 +810,7 @@ def positions_ideales(a: Assembly) -> DataFrame:
 @query()
 def positions_rang(a: Assembly) -> DataFrame:
     """Members by position, one based within their unit (W5), and how far each is from the median (K5)."""
-    p = ideal.positions(_usable(a), "unite", _MODEL).where(F.col("genre") == "membre")
+    p = ideal.positions(_usable(a), "unite", _MODEL).where((F.col("genre") == "membre") & (F.col("axe") == 1))
     w = W.partitionBy("unite")
     return p.select("unite", F.col("uid").alias("acteur_uid"), F.col("valeur").alias("position"), F.row_number().over(w.orderBy("valeur", "uid")).alias("rang"), F.abs(F.col("valeur") - F.median("valeur").over(w)).alias("ecart_median"))
 
@@ -820,33 +819,55 @@ def _written_usable(a: Assembly) -> DataFrame:
     return written(_usable(a), "usable")
 
 
+@query()
+def positions_plan(a: Assembly) -> DataFrame:
+    """The members' places on two axes."""
+    p = ideal.positions(_usable(a), "unite", replace(_MODEL, dims=2)).where(F.col("genre") == "membre")
+    axis = lambda k: F.max(F.when(F.col("axe") == k, F.col("valeur"))).alias(f"axe{k}")
+    return p.groupBy("unite", F.col("uid").alias("acteur_uid")).agg(axis(1), axis(2))
+
+
+@query()
+def votes_predits(a: Assembly) -> DataFrame:
+    """The model's probability of each ballot it was fitted to."""
+    u = _written_usable(a)
+    return ideal.predicted(u, written(ideal.positions(u, "unite", _MODEL), "fitted"))
+
+
+def _intervals(a: Assembly) -> DataFrame:
+    """The intervals of all units, written once in a session."""
+    return a._mart("intervals", ["votes", "scrutins"], lambda: ideal.bootstrap(_written_usable(a), a.events, o=_MODEL, unit="unite"))
+
+
 @query()
 def positions_intervalles(a: Assembly) -> DataFrame:
     """Block-bootstrap intervals of the members of each assembly or college."""
-    return ideal.bootstrap(_written_usable(a), a.events, n=20, o=_MODEL, unit="unite")
+    return _intervals(a)
 
 
 @query()
 def chevauchements(a: Assembly) -> DataFrame:
     """For each member, how many members of its unit have an interval that overlaps its own."""
-    return ideal.overlaps(written(ideal.bootstrap(_written_usable(a), a.events, n=12, o=_MODEL, unit="unite"), "intervals"), "unite")
+    return ideal.overlaps(_intervals(a), "unite")
 
 
 @query()
 def dimensions(a: Assembly) -> DataFrame:
-    return ideal.dimensionality(_written_usable(a), most=2, repeats=2, iterations=40, unit="unite")
+    return ideal.dimensionality(_written_usable(a), unit="unite")
 
 
 @query()
 def penalisation(a: Assembly) -> DataFrame:
-    cells = [ideal.Options(ridge_b=r, held_out=0.2, iterations=40) for r in (0.1, 0.5, 2.0)]
-    return ideal.grid(_written_usable(a), cells, "unite")
+    """Held-out fit by penalty, over three splits."""
+    cells = [ideal.Options(ridge_b=r, held_out=0.2, seed=k) for r in (0.02, 0.1, 0.5, 2.0, 8.0) for k in range(3)]
+    g = ideal.grid(_written_usable(a), cells, "unite").groupBy("unite", "ridge_b")
+    return g.agg(F.avg("apre").alias("apre"), F.avg("apre_test").alias("apre_test"), F.avg("classes_test").alias("classes_test"), F.max("max_b").alias("max_b"))
 
 
 @query()
 def groupes_encadrants(a: Assembly) -> DataFrame:
     """For each member of a unit the medians of the unit's groups just below and above its position."""
-    p = ideal.positions(_usable(a), "unite", _MODEL).where(F.col("genre") == "membre").select("unite", F.col("uid").alias("uid"), F.col("valeur").alias("x"))
+    p = ideal.positions(_usable(a), "unite", _MODEL).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select("unite", F.col("uid").alias("uid"), F.col("valeur").alias("x"))
     p = written(p, "positions")
     g = p.join(a.members.select(F.col("acteur_uid").alias("uid"), "groupe"), "uid").where(F.col("groupe").isNotNull()).groupBy("unite", F.col("groupe").alias("nom")).agg(F.median("x").alias("x"))
     return ideal.bracketing(p, g, "unite")
@@ -934,7 +955,6 @@ def apercu(a: Assembly) -> DataFrame:
 @query()
 def fiches(a: Assembly) -> DataFrame:
     """One nested row per member: identity, terms, dissent, amendments, nearest members."""
-    a.pinned()
     d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).select("acteur_uid", F.struct("n_votes", "n_dissidents", "taux").alias("dissidence"))
     m = amendments.filed_and_cosigned(a.amendments).select("acteur_uid", F.struct("deposes", "cosignes").alias("amendements"))
     near = agreement.neighbours(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 8, FLOOR)

@@ -202,6 +202,33 @@ def test_ideal_points_recover_the_truth():
         ideal.estimate(y[:, :1], np.ones((60, 1)))
 
 
+def test_two_axes_probabilities_and_weights(spark):
+    rng = np.random.default_rng(4)
+    x, b = rng.normal(size=(70, 2)) * [2.0, 1.0], rng.normal(size=(90, 2))
+    y = (rng.random((70, 90)) < 1 / (1 + np.exp(-(x @ b.T)))).astype(float)
+    f = ideal.estimate(y, np.ones_like(y), ideal.Options(dims=2))
+    assert np.allclose(f.x.mean(0), 0, atol=1e-6) and np.allclose(np.cov(f.x.T, bias=True), np.eye(2), atol=1e-6)
+    both = np.linalg.lstsq(np.column_stack([f.x, np.ones(70)]), x, rcond=None)[0]
+    assert np.corrcoef((np.column_stack([f.x, np.ones(70)]) @ both)[:, 0], x[:, 0])[0, 1] > 0.9
+    times = np.where(np.arange(90) % 3 == 0, 2.0, 1.0)
+    twice = np.repeat(np.arange(90), times.astype(int))
+    one, two = ideal.estimate(y, np.ones_like(y), ideal.Options(iterations=300, tolerance=1e-9), weight=times), ideal.estimate(y[:, twice], np.ones((70, len(twice))), ideal.Options(iterations=300, tolerance=1e-9))
+    assert abs(np.corrcoef(one.x[:, 0], two.x[:, 0])[0, 1]) > 0.999
+    rows = [("u", f"m{i:02}", f"s{j:02}", int(v)) for i, r in enumerate(y) for j, v in enumerate(r)]
+    df = spark.createDataFrame(rows, "unite string, acteur_uid string, scrutin_uid string, y int")
+    fitted = ideal.positions(df, "unite", ideal.Options(dims=2))
+    p = {(r["acteur_uid"], r["scrutin_uid"]): r["p"] for r in ideal.predicted(df, fitted).collect()}
+    assert np.allclose([[p[f"m{i:02}", f"s{j:02}"] for j in range(90)] for i in range(70)], f.probabilities(), atol=1e-6)
+    power = {r["scrutin_uid"]: r["pouvoir"] for r in ideal.separating_power(fitted).collect()}
+    assert np.allclose([power[f"s{j:02}"] for j in range(90)], np.linalg.norm(f.b, axis=1), atol=1e-6)
+
+
+def test_the_search_finds_a_minimum():
+    a = np.diag([1.0, 10.0, 100.0])
+    at, value, _ = ideal.minimise(lambda t: (0.5 * t @ a @ t - t.sum(), a @ t - 1), np.array([5.0, -3.0, 2.0]), 100, 0.0)
+    assert np.allclose(at, [1.0, 0.1, 0.01], atol=1e-4) and abs(value + 0.555) < 1e-6
+
+
 def test_quality_bounds():
     y = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 0.0]])
     assert ideal.quality(y, np.ones_like(y), y)[1] == 1.0
@@ -299,7 +326,7 @@ def test_alerts_rank_distinct_surges_below_the_rate(spark, monkeypatch):
     for name in ("close", "fractures", "split_groups", "ruptures", "activity"):
         monkeypatch.setattr(alerts, name, lambda *_: none)
     monkeypatch.setattr(lines, "against_line", lambda *_: None)
-    a = SimpleNamespace(pinned=lambda: None, events=None, lines=None, expressed=None)
+    a = SimpleNamespace(events=None, lines=None, expressed=None)
     assert {r["cle"]: r["rang"] for r in rollcall.alertes(a).collect()} == {"eau potable": 1, "loup": 2}
 
 
