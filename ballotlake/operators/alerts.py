@@ -71,7 +71,7 @@ def all_alerts(parts: list[DataFrame], per_category: int = 5) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = W.partitionBy("semaine", "categorie").orderBy(F.col("intensite").desc(), "cle")
+    w = W.partitionBy("semaine", "categorie").orderBy(F.round("intensite", 9).desc(), "cle")
     return out.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= per_category)
 
 
@@ -115,22 +115,40 @@ def headcounts(periods: DataFrame, events: DataFrame, seats: int = SEATS) -> Dat
     return _anomaly(e, "effectifs", F.col("scrutin_uid"), F.col("n").cast("string"))
 
 
-def shared_seats(periods: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of members of one constituency in office on the same day.
+def shared_seats(periods: DataFrame, members: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Every pair of members of one constituency in office on the same day; with ``events`` only those in office on the day of some event.
 
     Of two overlapping terms the later one starts within the other, so a term is brought by its start to all terms of its seat that hold that year, and
-    meets each once: an equi-join on seat and year. Years end with the last start, so an open term has no more of them than the data.
+    meets each once: an equi-join on seat and year. Years end with the last start, so an open term has no more of them than the data. Whether an event falls in
+    the common days is the difference of two running counts over the calendar.
     """
     s = periods.join(members.where(F.col("num_circo").isNotNull() & F.col("departement").isNotNull()).select("acteur_uid", F.concat_ws("/", "departement", "num_circo").alias("siege")), "acteur_uid")
     s = s.select("siege", "acteur_uid", "debut", F.coalesce("fin", F.lit("9999-12-31").cast("date")).alias("f"))
     last = s.groupBy("siege").agg(F.max("debut").alias("last"))
     held = s.join(last, "siege").withColumn("an", F.explode(F.sequence(F.year("debut"), F.greatest(F.year("debut"), F.year(F.least("f", "last"))))))
-    held = held.select("siege", "an", F.col("acteur_uid").alias("u"), F.col("debut").alias("d"), "f")
-    begun = s.select("siege", F.year("debut").alias("an"), "acteur_uid", "debut")
-    pairs = begun.join(held, ["siege", "an"]).where((F.col("d") <= F.col("debut")) & (F.col("debut") <= F.col("f")) & (F.col("u") != F.col("acteur_uid")))
+    held = held.select("siege", "an", F.col("acteur_uid").alias("u"), F.col("debut").alias("d"), F.col("f").alias("e"))
+    begun = s.select("siege", F.year("debut").alias("an"), "acteur_uid", "debut", "f")
+    pairs = begun.join(held, ["siege", "an"]).where((F.col("d") <= F.col("debut")) & (F.col("debut") <= F.col("e")) & (F.col("u") != F.col("acteur_uid")))
+    if events is not None:
+        pairs = _with_event(pairs, events)
     return _anomaly(pairs, "sieges_uniques", F.col("siege"), F.concat_ws(" ", F.least("acteur_uid", "u"), F.greatest("acteur_uid", "u"))).distinct()
 
 
+def _with_event(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """The pairs of which some event day is from ``debut`` to the earlier of the ends ``f`` and ``e``. The calendar has one row a day, whatever the data, and is broadcast."""
+    days = events.where(F.col("jour").isNotNull()).groupBy("jour").agg(F.count(F.lit(1)).alias("n"))
+    ends = days.agg(F.min("jour").alias("a"), F.max("jour").alias("b"))
+    every = ends.where(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b")).alias("jour"))
+    upto = every.join(days, "jour", "left").select("jour", F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("jour").rowsBetween(W.unboundedPreceding, 0)).alias("c"))
+    one = ends.first()
+    if one is None or one["a"] is None:
+        return pairs.where("false")
+    p = pairs.withColumn("__b", F.least("f", "e", F.lit(one["b"]))).withColumn("__a", F.greatest(F.col("debut"), F.lit(one["a"]))).where(F.col("__a") <= F.col("__b"))
+    start = F.broadcast(upto.select(F.date_add("jour", 1).alias("__a"), F.col("c").alias("__ca")))
+    end = F.broadcast(upto.select(F.col("jour").alias("__b"), F.col("c").alias("__cb")))
+    return p.join(end, "__b").join(start, "__a", "left").where(F.col("__cb") > F.coalesce("__ca", F.lit(0)))
+
+
 def out_of_term(flagged: DataFrame) -> DataFrame:
     return _anomaly(flagged.where(~F.col("eligible")), "votes_hors_mandat", F.concat_ws("/", "scrutin_uid", "acteur_uid"), F.col("position"))
 

@@ -71,9 +71,8 @@ def without_redundant(found: DataFrame, share: float = 0.8, decimals: int = 3, s
     """
     words = found.withColumn("mots", F.split("terme", " "))
     pairs = words.where(F.size("mots") > 1).select("semaine", F.explode("mots").alias("mot"), F.col("n_docs").alias("__n"))
-    best = pairs.groupBy("semaine", "mot").agg(F.max("__n").alias("__n"))
-    j = words.join(best, (words["semaine"] == best["semaine"]) & (words["terme"] == best["mot"]), "left").drop(best["semaine"])
-    kept = j.where(F.col("__n").isNull() | (F.col("__n") < F.lit(share) * F.col("n_docs"))).drop("mot", "__n")
+    best = pairs.groupBy(F.col("semaine").alias("semaine"), F.col("mot").alias("terme")).agg(F.max("__n").alias("__n"))
+    kept = words.join(best, ["semaine", "terme"], "left").where(F.col("__n").isNull() | (F.col("__n") < F.lit(share) * F.col("n_docs"))).drop("__n")
     cls = W.partitionBy("semaine", "n_docs", F.round("attendu", decimals))
     kept = kept.withColumn("__size", F.count(F.lit(1)).over(cls)).withColumn("__all", F.collect_list(F.struct("terme")).over(cls))
     inside = (F.size("mots") > 1) & F.forall("mots", lambda m: F.exists("__all", lambda t: t["terme"] == m)) & (F.col("__size") <= small)

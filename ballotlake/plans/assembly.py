@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EXPRESSED, day, key, position
 from ..operators.lines import group_lines
-from ..session import mart, table
+from ..session import fingerprint, mart, table
 from .problems import latest
 
 
@@ -27,6 +27,10 @@ class Assembly:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 
+    def has(self, name: str) -> bool:
+        """Whether there is such a table: of those that are optional, what needs them switches off."""
+        return fingerprint(self.spark, f"{self.sf}/{name}.parquet")[0] > 0
+
     @cached_property
     def events(self) -> DataFrame:
         return self._mart("events", ["scrutins"], self._events)
@@ -81,7 +85,7 @@ class Assembly:
     def _amendments(self) -> DataFrame:
         a = self.raw("amendements").select(
             key("amendement_uid").alias("amendement_uid"), key("auteur_uid").alias("auteur_uid"), key("auteur_groupe_uid").alias("auteur_groupe_uid"), "auteur_rapporteur", "sort",
-            key("dossier_uid").alias("dossier_uid"), F.coalesce(F.col("date_depot_d"), day("date_depot")).alias("jour"), "nb_cosignataires", "cosignataires", "expose_sommaire", "dispositif", "recu_le",
+            key("dossier_uid").alias("dossier_uid"), F.coalesce(F.col("date_depot_d"), day("date_depot")).alias("jour"), "nb_cosignataires", "cosignataires", "expose_sommaire", "dispositif", "division_titre", "recu_le",
         )
         return latest(a.where(F.col("amendement_uid").isNotNull()), ["amendement_uid"]).drop("recu_le")
 
@@ -137,7 +141,7 @@ ln AS (SELECT *, CASE WHEN partage THEN NULL WHEN n_pour = n_majoritaire THEN 'p
     "dis": """dis AS (SELECT xb.*, ln.majoritaire, ln.votants_groupe, ln.part_majoritaire, xb.position <> ln.majoritaire AS dissident FROM xb JOIN ln USING (scrutin_uid, groupe_uid)
   WHERE ln.majoritaire IS NOT NULL AND ln.votants_groupe >= 5 AND ln.part_majoritaire > 0.5)""",
     "am": f"""am AS (SELECT {_k('amendement_uid')} AS amendement_uid, {_k('auteur_uid')} AS auteur_uid, {_k('auteur_groupe_uid')} AS auteur_groupe_uid, auteur_rapporteur, sort, {_k('dossier_uid')} AS dossier_uid,
-  coalesce(date_depot_d, {_day('date_depot')}) AS jour, nb_cosignataires, cosignataires, expose_sommaire, dispositif FROM amendements WHERE {_k('amendement_uid')} IS NOT NULL
+  coalesce(date_depot_d, {_day('date_depot')}) AS jour, nb_cosignataires, cosignataires, expose_sommaire, dispositif, division_titre FROM amendements WHERE {_k('amendement_uid')} IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY {_k('amendement_uid')} ORDER BY recu_le DESC) = 1)""",
     "man": f"""man0 AS (SELECT {_k('mandat_uid')} AS mandat_uid, {_k('acteur_uid')} AS acteur_uid, {_k('organe_uid')} AS organe_uid, {_k('type_organe')} AS type_organe, {_day('date_debut')} AS debut,
   CASE WHEN year({_day('date_fin')}) < 2999 THEN {_day('date_fin')} END AS fin, recu_le FROM mandats),

@@ -184,7 +184,7 @@ def medianes_axes(a: Assembly) -> DataFrame:
     return p.groupBy("unite", "groupe").agg(F.count(F.lit(1)).alias("n"), F.median("axe1").alias("axe1"), F.median("axe2").alias("axe2"))
 
 
-@query()
+@query(sql("ev am", rollcall._CORPUS + rollcall._SURGE + " SELECT max(semaine) AS semaine, count(DISTINCT semaine) AS n_semaines FROM qv WHERE q <= 0.2"))
 def derniere_semaine_poussee(a: Assembly) -> DataFrame:
     """The last week in which any term surges."""
     return rollcall._surges(a).agg(F.max("semaine").alias("semaine"), F.count_distinct("semaine").alias("n_semaines"))

@@ -601,15 +601,24 @@ def destinations_groupes(a: Assembly) -> DataFrame:
 # --- subjects ------------------------------------------------------------------------------------------------------
 
 
-def _corpus(a: Assembly) -> DataFrame:
-    """Titles of events and whole statements, dated."""
-    e = a.events.select(F.col("scrutin_uid").alias("id"), "jour", F.coalesce("titre", F.lit("")).alias("t"))
-    m = a.amendments.select(F.col("amendement_uid").alias("id"), "jour", F.coalesce(text.strip_html(F.col("expose_sommaire")), F.lit("")).alias("t"))
-    return e.unionByName(m)
+def _corpus(a: Assembly, source: str = "tout", since: str | None = None) -> DataFrame:
+    """Dated documents (U1, F5): titles of events, and headings with whole statements of amendments; events without a title are none. ``source``: scrutins, amendements or tout;
+    without a table of amendments (A10) only titles."""
+    parts = []
+    if source in ("scrutins", "tout"):
+        parts.append(a.events.where(F.col("titre").isNotNull()).select(F.col("scrutin_uid").alias("id"), "jour", F.col("titre").alias("t")))
+    if source in ("amendements", "tout") and a.has("amendements"):
+        words = F.concat_ws(" ", F.coalesce("division_titre", F.lit("")), F.coalesce(text.strip_html(F.col("expose_sommaire")), F.lit("")))
+        parts.append(a.amendments.select(F.col("amendement_uid").alias("id"), "jour", words.alias("t")))
+    if not parts:
+        raise ValueError(f"no documents of the source {source}")
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out if since is None else out.where(F.col("jour") >= F.lit(since).cast("date"))
 
 
 def _names(a: Assembly) -> DataFrame:
-    words = F.regexp_extract_all(text.normalised(F.col("nom")), F.lit("[a-z]{3,}"), F.lit(0))
+    """The words of members' first and last names."""
+    words = F.regexp_extract_all(text.normalised(F.concat_ws(" ", "prenom", "nom")), F.lit("[a-z]{3,}"), F.lit(0))
     return a.raw("deputes").select(F.explode(words).alias("mot")).distinct()
 
 
@@ -622,11 +631,6 @@ def _surges(a: Assembly) -> DataFrame:
     return written(topics.surges(written(_frequencies(a), "frequencies"), fdr=0.2), "surges")
 
 
-@query()
-def frequences_hebdo(a: Assembly) -> DataFrame:
-    return _frequencies(a)
-
-
 _SHORT = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TITLES = f""", d AS (SELECT scrutin_uid, CAST(date_trunc('week', jour) AS date) AS semaine, list_filter(regexp_extract_all(strip_accents(lower(coalesce(titre, ''))), '[a-zà-öø-ÿ]{{3,}}'), lambda w: w NOT IN ({_SHORT})) AS w FROM ev WHERE jour IS NOT NULL),
 nd AS (SELECT semaine, count(*) AS n_documents FROM d GROUP BY 1),
@@ -639,7 +643,35 @@ e AS (SELECT fw.*, least(greatest(n_ref / nd_ref, 0), 1) AS p0 FROM fw JOIN pa U
 s AS (SELECT *, p0 * n_documents AS attendu, (n_docs - p0 * n_documents) / sqrt(p0 * n_documents + 1) AS score, least(greatest(p0, 1 / n_documents), 1) AS pp FROM e WHERE n_docs > p0 * n_documents),
 pv AS (SELECT *, CASE WHEN pp >= 1 THEN 1.0 ELSE list_sum([exp(lgamma(n_documents + 1) - lgamma(j + 1) - lgamma(n_documents - j + 1) + j * ln(pp) + (n_documents - j) * ln(1 - pp)) for j in range(n_docs, n_documents + 1)]) END AS p FROM s),
 rk AS (SELECT *, count(*) OVER (PARTITION BY semaine) AS m, row_number() OVER (PARTITION BY semaine ORDER BY round(p, 12), terme) AS r FROM pv)
-SELECT semaine, terme, n, n_docs, n_documents, round(attendu, 6) AS attendu, round(score, 6) AS score, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (PARTITION BY semaine ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rk"""
+, qv AS (SELECT *, least(1.0, min(p * m / r) OVER (PARTITION BY semaine ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk)"""
+_SURGING = " SELECT semaine, terme, n, n_docs, n_documents, round(attendu, 6) AS attendu, round(score, 6) AS score, round(p, 6) AS p, round(q, 6) AS q FROM "
+_DISTINCT = """, sg AS (SELECT *, string_split(terme, ' ') AS mots FROM qv WHERE q <= {0}), bw AS (SELECT semaine, mot, max(n_docs) AS b FROM (SELECT semaine, n_docs, unnest(mots) AS mot FROM sg WHERE len(mots) > 1) GROUP BY 1, 2),
+kp AS (SELECT sg.* FROM sg LEFT JOIN bw ON bw.semaine = sg.semaine AND bw.mot = sg.terme WHERE b IS NULL OR b < 0.8 * n_docs),
+kc AS (SELECT *, count(*) OVER c AS sz, list(terme) OVER c AS al FROM kp WINDOW c AS (PARTITION BY semaine, n_docs, round(attendu, 3))),
+ki AS (SELECT *, len(mots) > 1 AND list_has_all(al, mots) AND sz <= 3 AS inside FROM kc),
+un AS (SELECT * FROM ki QUALIFY row_number() OVER (PARTITION BY semaine, n_docs, round(attendu, 3) ORDER BY inside DESC, CASE WHEN inside THEN -length(terme) END, len(mots), length(terme), score DESC, terme) = 1)"""
+
+
+#: Entities as they occur in the statements.
+_ENTITIES = {"&nbsp;": " ", "&eacute;": "é", "&agrave;": "à", "&egrave;": "è", "&lt;": "<", "&gt;": ">"} | {f"&#x{ord(c):04X};": c for c in "éàèêûÀôîâçÉÈÊù"}
+
+
+def _once_sql(t: str) -> str:
+    """Entities decoded once: those of the ampersand last."""
+    for k, v in _ENTITIES.items():
+        t = f"replace({t}, '{k}', '{v}')"
+    return f"replace({t}, '&amp;', '&')"
+
+
+_STATEMENT = _once_sql(f"regexp_replace({_once_sql('expose_sommaire')}, '<[^>]+>', ' ', 'g')")
+_CORPUS = f""", nm AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(concat_ws(' ', prenom, nom))), '[a-z]{{3,}}')) AS mot FROM deputes),
+cp AS (SELECT scrutin_uid AS id, jour, titre AS t FROM ev WHERE titre IS NOT NULL UNION ALL SELECT amendement_uid, jour, coalesce(division_titre, '') || ' ' || coalesce({_STATEMENT}, '') FROM am),
+d AS (SELECT id, CAST(date_trunc('week', jour) AS date) AS semaine, list_filter(regexp_extract_all(strip_accents(lower(t)), '[a-zà-öø-ÿ]{{3,}}'), lambda w: w NOT IN ({_SHORT})) AS w FROM cp WHERE jour IS NOT NULL),
+nd AS (SELECT semaine, count(*) AS n_documents FROM d GROUP BY 1),
+o AS (SELECT id, semaine, unnest(w) AS terme FROM d UNION ALL SELECT id, semaine, unnest(list_filter([w[i] || ' ' || w[i + 1] for i in range(1, len(w))], lambda t: t NOT IN ({_SHORT}))) FROM d),
+f0 AS (SELECT semaine, terme, count(*) AS n, count(DISTINCT id) AS n_docs FROM o GROUP BY 1, 2),
+ft AS (SELECT DISTINCT terme FROM f0), bd AS (SELECT DISTINCT terme FROM (SELECT terme, unnest(string_split(terme, ' ')) AS m FROM ft) WHERE m IN (SELECT mot FROM nm)),
+fr AS (SELECT semaine, terme, n, n_docs, n_documents FROM f0 JOIN nd USING (semaine) WHERE terme NOT IN (SELECT terme FROM bd))"""
 
 
 def _title_frequencies(a: Assembly) -> DataFrame:
@@ -651,7 +683,7 @@ def frequences_titres(a: Assembly) -> DataFrame:
     return _title_frequencies(a)
 
 
-@query(sql("ev", _TITLES + _SURGE))
+@query(sql("ev", _TITLES + _SURGE + _SURGING + "qv"))
 def poussees_titres(a: Assembly) -> DataFrame:
     """Every tested term of the titles, whatever its q."""
     return topics.surges(written(_title_frequencies(a), "frequencies"), fdr=None)
@@ -662,13 +694,18 @@ def serie_titres(a: Assembly) -> DataFrame:
     return topics.term_series(_title_frequencies(a), "digues")
 
 
-@query()
+@query(sql("ev am", _CORPUS + "SELECT semaine, terme, n, n_docs, n_documents FROM fr"))
+def frequences_hebdo(a: Assembly) -> DataFrame:
+    return _frequencies(a)
+
+
+@query(sql("ev am", _CORPUS + _SURGE + _DISTINCT.format(0.2) + _SURGING + "un"))
 def poussees_hebdo(a: Assembly) -> DataFrame:
     """Surges of all weeks, freed of redundant terms."""
     return topics.without_redundant(_surges(a))
 
 
-@query()
+@query(sql("ev am", _CORPUS + ", nt AS (SELECT semaine, max(n_documents) AS n_documents FROM fr GROUP BY 1) SELECT nt.semaine, nt.n_documents, coalesce(fr.n_docs, 0) AS n_docs, round(coalesce(fr.n_docs, 0) / nt.n_documents, 6) AS part FROM nt LEFT JOIN fr ON fr.semaine = nt.semaine AND fr.terme = 'digues'"))
 def serie_terme(a: Assembly) -> DataFrame:
     return topics.term_series(_frequencies(a), "digues")
 
@@ -707,7 +744,21 @@ def alerte_activite(a: Assembly) -> DataFrame:
     return alerts.activity(a.events)
 
 
-@query()
+_ALERTS = f""", a1 AS (SELECT {_WK}, 'vote serré' AS categorie, scrutin_uid AS cle, CAST(abs(n_pour - n_contre) AS VARCHAR) AS detail, 1 - abs(n_pour - n_contre) / 15 AS i FROM ev WHERE jour IS NOT NULL AND abs(n_pour - n_contre) <= 15 AND nb_votants > 50),
+a2 AS (SELECT {_WK}, 'fracture de groupe', scrutin_uid || '/' || groupe_uid, majoritaire, least(1.0, (1 - part_majoritaire) / 0.5) FROM ln JOIN ev USING (scrutin_uid) WHERE jour IS NOT NULL AND majoritaire IS NOT NULL AND votants_groupe >= 15 AND part_majoritaire > 0.5 AND 1 - part_majoritaire >= 0.08),
+a3 AS (SELECT {_WK}, 'groupe partagé', scrutin_uid || '/' || groupe_uid, majoritaire, least(1.0, (0.5 - part_majoritaire) / 0.5 + 0.5) FROM ln JOIN ev USING (scrutin_uid) WHERE jour IS NOT NULL AND votants_groupe >= 15 AND part_majoritaire <= 0.5),
+w4 AS (SELECT {_WK}, acteur_uid, count(*) AS n, avg(CASE WHEN dissident THEN 1.0 ELSE 0.0 END) AS t FROM dis JOIN ev USING (scrutin_uid) WHERE jour IS NOT NULL GROUP BY 1, 2),
+u4 AS (SELECT acteur_uid, avg(CASE WHEN dissident THEN 1.0 ELSE 0.0 END) AS h FROM dis GROUP BY 1),
+a4 AS (SELECT semaine, 'député en rupture', acteur_uid, CAST(n AS VARCHAR), least(1.0, (t - h) / 0.5) FROM w4 JOIN u4 USING (acteur_uid) WHERE n >= 10 AND t >= 0.25 AND t - h > 0.10),
+n5 AS (SELECT {_WK}, count(*) AS n FROM ev WHERE jour IS NOT NULL GROUP BY 1),
+r5 AS (SELECT *, coalesce(sum(n) OVER (ORDER BY semaine RANGE BETWEEN INTERVAL 56 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING), 0) / 8.0 AS ref FROM n5),
+a5 AS (SELECT semaine, 'activité', strftime(semaine, '%Y-%m-%d'), CAST(n AS VARCHAR), least(1.0, abs(n / ref - 1) / 2) FROM r5 WHERE ref >= 1 AND (n / ref <= 0.5 OR n / ref >= 2)),
+a6 AS (SELECT semaine, 'poussée thématique', terme, CAST(n_docs AS VARCHAR), least(1.0, score / 20) FROM un QUALIFY row_number() OVER (PARTITION BY semaine ORDER BY score DESC, terme) <= 8),
+al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT * FROM a4 UNION ALL SELECT * FROM a5 UNION ALL SELECT * FROM a6)
+SELECT semaine, categorie, cle, detail, round(i, 6) AS intensite, row_number() OVER (PARTITION BY semaine, categorie ORDER BY round(i, 9) DESC, cle) AS rang FROM al QUALIFY row_number() OVER (PARTITION BY semaine, categorie ORDER BY round(i, 9) DESC, cle) <= 5"""
+
+
+@query(sql("ev bal am ln dis", _CORPUS + _SURGE + _DISTINCT.format(0.05) + _ALERTS))
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
     found = topics.without_redundant(_surges(a).where(F.col("q") <= topics.FDR))
@@ -736,11 +787,15 @@ def controle_effectifs(a: Assembly) -> DataFrame:
     return alerts.headcounts(lines.term_periods(a.members), a.events, 300)
 
 
-@query(sql("mem per mp", """, st AS (SELECT acteur_uid, debut, fin, departement || '/' || num_circo AS siege FROM mp JOIN mem USING (acteur_uid) WHERE departement IS NOT NULL AND num_circo IS NOT NULL),
-k AS (SELECT *, max({'f': fin, 'u': acteur_uid}) OVER (PARTITION BY siege ORDER BY debut, fin, acteur_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM st)
-SELECT DISTINCT 'sieges_uniques' AS controle, siege AS cle, least(acteur_uid, best.u) || ' ' || greatest(acteur_uid, best.u) AS message FROM k WHERE best.f >= debut AND best.u <> acteur_uid"""))
+_SEATS = """st AS (SELECT acteur_uid, debut, fin, departement || '/' || num_circo AS siege FROM mp JOIN mem USING (acteur_uid) WHERE departement IS NOT NULL AND num_circo IS NOT NULL)"""
+_SHARED = """SELECT DISTINCT 'sieges_uniques' AS controle, x.siege AS cle, x.acteur_uid || ' ' || y.acteur_uid AS message FROM st x JOIN st y ON x.siege = y.siege AND x.acteur_uid < y.acteur_uid AND x.debut <= y.fin AND y.debut <= x.fin"""
+_AT_EVENT = " WHERE EXISTS (SELECT 1 FROM ev WHERE ev.jour BETWEEN greatest(x.debut, y.debut) AND least(x.fin, y.fin))"
+
+
+@query(sql("ev mem per mp", f", {_SEATS} {_SHARED}{_AT_EVENT}"))
 def controle_sieges(a: Assembly) -> DataFrame:
-    return alerts.shared_seats(lines.term_periods(a.members), a.members)
+    """Pairs of members of one constituency who could both take part in the same event."""
+    return alerts.shared_seats(lines.term_periods(a.members), a.members, a.events)
 
 
 @query(sql("ev bal mem per mp", "SELECT 'votes_hors_mandat' AS controle, scrutin_uid || '/' || acteur_uid AS cle, position AS message FROM bal JOIN ev USING (scrutin_uid) WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.acteur_uid = bal.acteur_uid AND ev.jour BETWEEN mp.debut AND mp.fin)"))
@@ -768,11 +823,26 @@ def controle_totaux(a: Assembly) -> DataFrame:
     return alerts.source_totals(a.events, a.ballots)
 
 
-@query()
+_CHECKS = f""", rp0 AS (SELECT acteur_uid, {_day('p.debut')} AS debut, {_day('p.fin')} AS f FROM (SELECT acteur_uid, unnest(periodes_mandat) AS p FROM mem)),
+rp AS (SELECT acteur_uid, debut, CASE WHEN f IS NULL OR year(f) >= 2999 THEN DATE '9999-12-31' ELSE f END AS fin FROM rp0),
+rk AS (SELECT *, max(fin) OVER (PARTITION BY acteur_uid ORDER BY debut NULLS FIRST, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rp), {_SEATS},
+hc AS (SELECT scrutin_uid, count(*) AS n FROM ev JOIN mp ON ev.jour BETWEEN mp.debut AND mp.fin GROUP BY 1),
+rc AS (SELECT scrutin_uid, count(*) FILTER (position = 'pour') AS p, count(*) FILTER (position = 'contre') AS c, count(*) FILTER (position = 'abstention') AS ab, count(*) FILTER (position = 'nonVotant') AS nv FROM bal GROUP BY 1),
+ts AS (SELECT scrutin_uid, concat_ws(',', CASE WHEN coalesce(n_pour, 0) <> coalesce(p, 0) THEN 'pour' END, CASE WHEN coalesce(n_contre, 0) <> coalesce(c, 0) THEN 'contre' END, CASE WHEN coalesce(n_abstention, 0) <> coalesce(ab, 0) THEN 'abstention' END, CASE WHEN coalesce(n_non_votant, 0) <> coalesce(nv, 0) THEN 'nonVotant' END) AS m FROM ev LEFT JOIN rc USING (scrutin_uid)),
+an AS (SELECT 'mandats' AS controle, acteur_uid AS cle, CASE WHEN debut IS NULL THEN 'sans début' WHEN fin < debut THEN 'vide' ELSE 'chevauchement' END AS message FROM rk WHERE debut IS NULL OR fin < debut OR debut <= reach
+ UNION ALL SELECT 'effectifs', scrutin_uid, CAST(n AS VARCHAR) FROM hc WHERE n > 577
+ UNION ALL {_SHARED}{_AT_EVENT}
+ UNION ALL SELECT 'votes_hors_mandat', scrutin_uid || '/' || acteur_uid, position FROM bal JOIN ev USING (scrutin_uid) WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.acteur_uid = bal.acteur_uid AND ev.jour BETWEEN mp.debut AND mp.fin)
+ UNION ALL SELECT 'releve_complet', scrutin_uid || '/' || acteur_uid, CAST(count(DISTINCT position) AS VARCHAR) FROM bal0 WHERE position IS NOT NULL AND scrutin_uid IS NOT NULL AND acteur_uid IS NOT NULL GROUP BY scrutin_uid, acteur_uid HAVING count(DISTINCT position) > 1
+ UNION ALL SELECT 'totaux_source', scrutin_uid, m FROM ts WHERE m <> '')
+SELECT controle, count(*) AS n, list(cle ORDER BY cle, message)[1:8] AS exemples FROM an GROUP BY 1"""
+
+
+@query(sql("ev bal mem per mp", _CHECKS))
 def verification(a: Assembly) -> DataFrame:
-    """All checks: how many anomalies each has, with examples."""
+    """All six checks: how many anomalies each has, with examples."""
     p = written(lines.term_periods(a.members), "terms")
-    return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members), alerts.out_of_term(_flagged(a)), alerts.two_positions(_received(a)), alerts.source_totals(a.events, a.ballots)])
+    return alerts.verify([alerts.bad_terms(_terms(a)), alerts.headcounts(p, a.events), alerts.shared_seats(p, a.members, a.events), alerts.out_of_term(_flagged(a)), alerts.two_positions(_received(a)), alerts.source_totals(a.events, a.ballots)])
 
 
 # --- maps and ideal points -----------------------------------------------------------------------------------------

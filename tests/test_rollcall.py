@@ -309,13 +309,22 @@ def test_every_pair_of_a_shared_seat(spark):
     brute = {f"{x} {y}" for x, s, e in terms for y, t, f in terms if x < y and "x" not in (x, y) and s <= end(f) and t <= end(e)}
     got = [r["message"] for r in alerts.shared_seats(p, m).collect()]
     assert sorted(got) == sorted(brute) and "b c" in got
+    days = (80, 450)
+    e = spark.createDataFrame([(f"s{k}", day(k)) for k in days] + [("s0", None)], "scrutin_uid string, jour date")
+    at = {f"{x} {y}" for x, s, e_ in terms for y, t, f in terms for k in days if x < y and "x" not in (x, y) and max(s, t) <= k <= min(end(e_), end(f))}
+    assert {r["message"] for r in alerts.shared_seats(p, m, e).collect()} == at
+    assert alerts.shared_seats(p, m, e.where("jour IS NULL")).count() == 0
 
 
 def test_statements_are_read_whole(spark):
     e = spark.createDataFrame([("s1", D(2024, 1, 1), "digues")], "scrutin_uid string, jour date, titre string")
-    m = spark.createDataFrame([("a1", D(2024, 1, 1), "<p>" + "eau " * 300 + "digues</p>")], "amendement_uid string, jour date, expose_sommaire string")
-    f = topics.week_frequencies(rollcall._corpus(SimpleNamespace(events=e, amendments=m)), "id", "jour", "t")
-    assert {r["terme"]: (r["n"], r["n_docs"]) for r in f.where(F.col("terme").isin("digues", "eau")).collect()} == {"digues": (2, 2), "eau": (300, 1)}
+    m = spark.createDataFrame([("a1", D(2024, 1, 1), "<p>" + "eau " * 300 + "digues</p>", "Article 3 plage")], "amendement_uid string, jour date, expose_sommaire string, division_titre string")
+    f = topics.week_frequencies(rollcall._corpus(SimpleNamespace(events=e, amendments=m, has=lambda t: True)), "id", "jour", "t")
+    assert {r["terme"]: (r["n"], r["n_docs"]) for r in f.where(F.col("terme").isin("digues", "eau", "plage")).collect()} == {"digues": (2, 2), "eau": (300, 1), "plage": (1, 1)}
+    only = SimpleNamespace(events=e, amendments=m, has=lambda t: False)
+    assert rollcall._corpus(only).count() == 1
+    with pytest.raises(ValueError):
+        rollcall._corpus(only, "amendements")
 
 
 def test_alerts_rank_distinct_surges_below_the_rate(spark, monkeypatch):
