@@ -50,28 +50,48 @@ def attribute_changes(spans: DataFrame, entity: str, value: str, priority: list[
     )
 
 
+def spread_entities(weights: DataFrame, entity: str, tasks: int, shares: int = 4) -> DataFrame:
+    """(__k, __spread): the entities with more than a fair part of all events, and over how many parts each goes. At most ``shares`` times ``tasks`` of them can be, so they may be broadcast.
+
+    ``weights``: (entity, n), the number of events of each entity.
+    """
+    spark = weights.sparkSession
+    total = weights.agg(F.sum("n")).first()[0] or 0
+    fair = max(1.0, total / (shares * tasks))
+    heavy = weights.where((F.col("n") > F.lit(fair)) & F.col(entity).isNotNull()).select(entity, "n").collect()
+    rows = [(r[0], int(-(-r[1] // fair))) for r in heavy]
+    return F.broadcast(spark.createDataFrame(rows, f"__k {weights.schema[entity].dataType.simpleString()}, __spread int"))
+
+
 def with_known_value(
-    events: DataFrame, spans: DataFrame, entity: str, day: str, value: str, priority: list[str], shard_days: int = 731, origin: int = 10957, horizon: int = 25567, keep_unplaced: bool = True
+    events: DataFrame, spans: DataFrame, entity: str, day: str, value: str, priority: list[str], shard_days: int = 731, origin: int = 10957, horizon: int = 25567, keep_unplaced: bool = True, weights: DataFrame | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Add ``value``_connu to each event: the entity's value that was known and held on the event's day.
 
     Events and attribute changes are united, sorted by entity and day - a change before an event of the same day -
     and the last change is carried forward. A change to "none" is carried forward too. Events without an entity or day
-    get null (or, without ``keep_unplaced``, no row); events are otherwise neither dropped nor repeated. ``day`` is a date, ``value`` any type. The sort is within (entity, time shard): an entity with a
-    third of all rows is spread over its shards, and no shard needs the one before it, since spans are clipped. The result keeps that
-    partitioning (column ``__shard``), so that a later grouping by entity, shard and more needs no shuffle. A column that is named like the result is replaced.
+    get null (or, without ``keep_unplaced``, no row); events are otherwise neither dropped nor repeated. ``day`` is a date, ``value`` any type. The sort is within (entity, time shard), and
+    no shard needs the one before it, since spans are clipped. An entity with more than a fair part of all events is also spread by a hash of the event; its changes,
+    of which there are no more than days, go along to every part. ``weights`` has the number of events of each entity (entity, n), where it can be had for less than
+    from the events. The result keeps that partitioning (columns ``__shard`` and ``__part``), so that a later grouping by entity, shard, part and more needs no shuffle. A column that is named like the result is replaced.
     """
+    spark = events.sparkSession
     last = (horizon - origin) // shard_days
     changes = attribute_changes(spans, entity, value, priority, shard_days, origin, horizon)
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = spread_entities(events.groupBy(entity).agg(F.count(F.lit(1)).alias("n")) if weights is None else weights, entity, tasks)
     d = F.unix_date(F.col(day))
     shard = F.least(F.greatest(F.floor((d - F.lit(origin)) / F.lit(shard_days)), F.lit(0)), F.lit(last)).cast("int")
     others = [c for c in events.columns if c not in (entity, day, f"{value}_connu")]
     left = events.select(F.col(entity).alias("__k"), shard.alias("__shard"), d.alias("__d"), F.lit(1).alias("__prio"), *[F.col(f"`{c}`") for c in others])
+    parts = F.coalesce(F.col("__spread"), F.lit(1))
+    left = left.join(spread, "__k", "left").withColumn("__part", F.pmod(F.xxhash64("__d", *[F.col(f"`{c}`") for c in others]), parts).cast("int")).drop("__spread")
     known = F.col("__k").isNotNull() & F.col("__d").isNotNull()
     right = changes.select(F.col(entity).alias("__k"), F.col("shard").alias("__shard"), F.col("day").alias("__d"), F.lit(0).alias("__prio"), F.struct(F.col("value").alias("v")).alias("__c"))
+    right = right.join(spread, "__k", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__spread")
     both = left.where(known).unionByName(right, allowMissingColumns=True)
-    w = W.partitionBy("__k", "__shard").orderBy("__d", "__prio").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("__k", "__shard", "__part").orderBy("__d", "__prio").rowsBetween(W.unboundedPreceding, 0)
     carried = both.withColumn("__v", F.last("__c", ignorenulls=True).over(w)["v"]).where(F.col("__prio") == 1).drop("__c")
     rest = left.where(~known).withColumn("__v", F.lit(None).cast(right.schema["__c"].dataType["v"].dataType))
-    named = lambda x: x.select(F.col("__k").alias(entity), F.date_from_unix_date("__d").alias(day), *others, F.col("__v").alias(f"{value}_connu"), "__shard")
+    named = lambda x: x.select(F.col("__k").alias(entity), F.date_from_unix_date("__d").alias(day), *others, F.col("__v").alias(f"{value}_connu"), "__shard", "__part")
     return named(carried).unionByName(named(rest)) if keep_unplaced else named(carried)

@@ -103,11 +103,16 @@ def ballots_by_day(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return v.join(days, "scrutin_uid"), (last if last is not None else 0)
 
 
+def ballots_of_members(spark: SparkSession, sf: str) -> DataFrame:
+    """(acteur_uid, n): what one pass over one column of the votes tells."""
+    return table(spark, sf, "votes").groupBy(key("acteur_uid").alias("acteur_uid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def p5_known(spark: SparkSession, sf: str) -> DataFrame:
     """Every ballot of a known event day with the group its member was known to be in on that day (null: none)."""
     v, last = ballots_by_day(spark, sf)
-    out = with_known_value(v, p5_spans(spark, sf), "acteur_uid", "jour", "organe_uid", ["debut", "recu_le", "mandat_uid"], horizon=max(last, 11000))
-    return out.groupBy("acteur_uid", "__shard", "scrutin_uid").agg(F.max("jour").alias("jour"), F.max("organe_uid_connu").alias("groupe_uid")).drop("__shard")
+    out = with_known_value(v, p5_spans(spark, sf), "acteur_uid", "jour", "organe_uid", ["debut", "recu_le", "mandat_uid"], horizon=max(last, 11000), weights=ballots_of_members(spark, sf))
+    return out.groupBy("acteur_uid", "__shard", "__part", "scrutin_uid").agg(F.max("jour").alias("jour"), F.max("organe_uid_connu").alias("groupe_uid")).drop("__shard", "__part")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,8 +123,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     spans = p5_spans(spark, sf).join(today, "acteur_uid").withColumn("autre", F.struct(differs.alias("groupe")))
     v, last = ballots_by_day(spark, sf)
     priority = ["debut", "recu_le", "mandat_uid"]
-    out = with_known_value(v, spans, "acteur_uid", "jour", "autre", priority, horizon=max(last, 11000), keep_unplaced=False)
-    out = out.where(F.col("autre_connu.groupe").isNotNull()).select("acteur_uid", "__shard", "scrutin_uid", F.col("autre_connu.groupe").alias("groupe_uid"))
+    out = with_known_value(v, spans, "acteur_uid", "jour", "autre", priority, horizon=max(last, 11000), keep_unplaced=False, weights=ballots_of_members(spark, sf))
+    out = out.where(F.col("autre_connu.groupe").isNotNull()).select("acteur_uid", "__shard", "__part", "scrutin_uid", F.col("autre_connu.groupe").alias("groupe_uid"))
     return out.distinct().select("scrutin_uid", "acteur_uid", "groupe_uid")
 
 
@@ -194,6 +199,20 @@ _BRUTS = (
 _BRUTS = _BRUTS.replace("@UK@", f"upper({_t(chr(40) + 'd->' + chr(39) + '$.uid' + chr(39) + chr(41))})").replace("@OL@", _l("(d->'$.ventilationVotes.organe')")).replace("@GL@", _l("(o->'$.groupes.groupe')")).replace("@AL@", _l("(d->'$.signataires.auteur')"))
 _BRUTS = _BRUTS.replace("@VS@", " UNION ALL ".join(f"SELECT brut_id, uid, g_id, '{p}' AS liste, unnest({_l(chr(40) + f'g->{chr(39)}$.vote.decompteNominatif.{p}.votant{chr(39)}' + chr(41))}) AS v FROM gg" for p in ("pours", "contres", "abstentions", "nonVotants")))
 
+_KNOWN = f"""
+WITH {_MANDATS}, e AS (SELECT {_k('scrutin_uid')} AS scrutin_uid, min(coalesce({_day('date')}, date_d)) AS jour FROM scrutins GROUP BY 1),
+v AS (SELECT DISTINCT {_k('scrutin_uid')} AS scrutin_uid, {_k('acteur_uid')} AS acteur_uid FROM votes),
+d AS (SELECT {_k('acteur_uid')} AS acteur_uid, max({_k('groupe_uid')}) AS aujourdhui FROM deputes GROUP BY 1),
+spans AS (
+  SELECT *, greatest(debut, CAST(recu_le AS date)) AS lo, least(fin, coalesce(CAST(suivant AS date) - 1, DATE '9999-12-31')) AS hi FROM (
+    SELECT *, lead(recu_le) OVER (PARTITION BY mandat_uid ORDER BY recu_le, debut, fin, organe_uid, type_organe, acteur_uid) AS suivant FROM m)
+), known AS (
+  SELECT v.scrutin_uid, v.acteur_uid, s.organe_uid FROM v JOIN e USING (scrutin_uid)
+  JOIN spans s ON s.acteur_uid = v.acteur_uid AND e.jour BETWEEN s.lo AND s.hi AND e.jour BETWEEN s.debut AND s.fin
+  WHERE s.type_organe = 'GP'
+  QUALIFY row_number() OVER (PARTITION BY v.scrutin_uid, v.acteur_uid ORDER BY s.debut DESC, s.recu_le DESC, s.mandat_uid DESC) = 1)
+"""
+
 ORACLE = {
     "p4_found": _BRUTS + f"""
 SELECT DISTINCT genre, parent, enfant, valeur FROM (
@@ -221,18 +240,8 @@ g AS (SELECT *, lag(fin) OVER (PARTITION BY acteur_uid ORDER BY debut) AS avant
 SELECT acteur_uid, 'periode' AS genre, strftime(debut, '%Y-%m-%d') AS debut, strftime(fin, '%Y-%m-%d') AS fin FROM p
 UNION ALL SELECT acteur_uid, 'trou', strftime(avant + 1, '%Y-%m-%d'), strftime(debut - 1, '%Y-%m-%d') FROM g WHERE avant IS NOT NULL
 """,
-    "p5_found": f"""
-WITH {_MANDATS}, e AS (SELECT {_k('scrutin_uid')} AS scrutin_uid, min(coalesce({_day('date')}, date_d)) AS jour FROM scrutins GROUP BY 1),
-v AS (SELECT DISTINCT {_k('scrutin_uid')} AS scrutin_uid, {_k('acteur_uid')} AS acteur_uid FROM votes),
-d AS (SELECT {_k('acteur_uid')} AS acteur_uid, max({_k('groupe_uid')}) AS aujourdhui FROM deputes GROUP BY 1),
-spans AS (
-  SELECT *, greatest(debut, CAST(recu_le AS date)) AS lo, least(fin, coalesce(CAST(suivant AS date) - 1, DATE '9999-12-31')) AS hi FROM (
-    SELECT *, lead(recu_le) OVER (PARTITION BY mandat_uid ORDER BY recu_le, debut, fin, organe_uid, type_organe, acteur_uid) AS suivant FROM m)
-), known AS (
-  SELECT v.scrutin_uid, v.acteur_uid, s.organe_uid FROM v JOIN e USING (scrutin_uid)
-  JOIN spans s ON s.acteur_uid = v.acteur_uid AND e.jour BETWEEN s.lo AND s.hi AND e.jour BETWEEN s.debut AND s.fin
-  WHERE s.type_organe = 'GP'
-  QUALIFY row_number() OVER (PARTITION BY v.scrutin_uid, v.acteur_uid ORDER BY s.debut DESC, s.recu_le DESC, s.mandat_uid DESC) = 1)
+    "p5_connus": _KNOWN + "SELECT v.scrutin_uid, v.acteur_uid, e.jour, k.organe_uid AS groupe_uid FROM v JOIN e USING (scrutin_uid) LEFT JOIN known k ON k.scrutin_uid = v.scrutin_uid AND k.acteur_uid IS NOT DISTINCT FROM v.acteur_uid WHERE e.jour IS NOT NULL",
+    "p5_found": _KNOWN + """
 SELECT k.scrutin_uid, k.acteur_uid, k.organe_uid AS groupe_uid FROM known k JOIN d USING (acteur_uid) WHERE k.organe_uid IS DISTINCT FROM d.aujourdhui
 """,
 }

@@ -235,6 +235,17 @@ def test_known_value_against_brute_force(spark):
     assert got == sorted(((i, w, j, expected(w, j)) for i, w, j, _ in events), key=repr)
 
 
+def test_a_hot_entity_is_spread(spark):
+    e = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 200)).alias("who"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")).alias("jour"), "id")
+    v = spark.createDataFrame([("M1", "hot", "G1", D(2024, 1, 10), D(2024, 1, 19), T(2024, 1, 1)), ("M2", "hot", "G2", D(2024, 1, 15), None, T(2024, 1, 1))], "mandat string, who string, grp string, d date, f date, recu timestamp")
+    out = with_known_value(e, known_spans(v, "mandat", "recu", "d", "f", []), "who", "jour", "grp", ["d"], tasks=8)
+    parts = {r["__part"]: r["n"] for r in out.where("who = 'hot'").groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(parts) > 8 and max(parts.values()) < 300
+    first = D(2024, 1, 1)
+    right = lambda k: None if k < 9 else "G1" if k < 14 else "G2"
+    assert all(r["grp_connu"] == (right((r["jour"] - first).days) if r["who"] == "hot" else None) for r in out.collect()) and out.count() == 4000
+
+
 def test_known_value_of_empty_inputs(spark):
     v = spark.createDataFrame([], "mandat string, who string, grp string, d date, f date, recu timestamp")
     spans = known_spans(v, "mandat", "recu", "d", "f", [])
