@@ -96,10 +96,9 @@ def p5_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def ballots_by_day(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """Every ballot (scrutin_uid, acteur_uid, jour) of a known event day, and the last of these days."""
-    days = event_days(spark, sf).where(F.col("jour").isNotNull())
+    days = written(event_days(spark, sf).where(F.col("jour").isNotNull()), "days")  # of a known size, so that the planner may send it along instead of shuffling ballots
     v = table(spark, sf, "votes").select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"))
-    s = table(spark, sf, "scrutins").select(F.coalesce(day("date"), F.col("date_d")).alias("jour"))
-    last = s.agg(F.max(F.unix_date("jour"))).first()[0]
+    last = days.agg(F.max(F.unix_date("jour"))).first()[0]
     return v.join(days, "scrutin_uid"), (last if last is not None else 0)
 
 
