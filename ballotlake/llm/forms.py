@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ LOOK_ALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "Ϝ": "F", "Ѵ": "V", "Ӏ": "I", "Ս": "U",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲥ": "C", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
     "Օ": "O", "Տ": "S", "Լ": "L", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ɑ": "a", "ɡ": "g",
 }
 #: Characters drawn as a hyphen.
@@ -56,38 +60,71 @@ def _full(ch: str) -> str:
 
 @lru_cache(1)
 def mapping_rows() -> list[tuple[str, list[str]]]:
-    """(character, what it becomes) for every character that changes; Hangul syllables excepted (they are one unit in either form)."""
+    """(character, what it becomes) for every character that changes, Hangul syllables among them."""
     rows = []
     for cp in range(0x110000):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
+        if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
-        full = _full(ch)
+        full = unicodedata.normalize("NFD", ch) if 0xAC00 <= cp <= 0xD7A3 else _full(ch)
         if full != ch:
             rows.append((ch, list(full)))
     return rows
 
 
+#: The place of a conjoining vowel or final consonant, which goes on with the syllable before it.
+GOES_ON = -1
+
+
 @lru_cache(1)
 def class_rows() -> list[tuple[str, int]]:
-    """(mark, combining class) for every character that isn't a starter."""
-    return [(chr(cp), k) for cp in range(0x300, 0x1F000) if not 0xD800 <= cp <= 0xDFFF and (k := unicodedata.combining(chr(cp)))]
+    """(character, combining class) for every character that isn't a starter; conjoining vowels and finals have GOES_ON."""
+    marks = [(chr(cp), k) for cp in range(0x300, 0x1F000) if not 0xD800 <= cp <= 0xDFFF and (k := unicodedata.combining(chr(cp)))]
+    return marks + [(chr(cp), GOES_ON) for cp in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
 
 
 @lru_cache(1)
-def composition_rows() -> list[tuple[str, str]]:
-    """(decomposed cluster, composed character) of every canonical composition."""
-    out = []
+def composition_pairs() -> dict[str, str]:
+    """Two characters, written together, and the one they compose to: every canonical composition but those of Hangul, which are a matter of arithmetic."""
+    out = {}
     for cp in range(0xC0, 0x1F000):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
             continue
-        ch = chr(cp)
-        nfd = unicodedata.normalize("NFD", ch)
-        if len(nfd) > 1 and unicodedata.normalize("NFC", nfd) == ch:
-            out.append((nfd, ch))
+        ch, d = chr(cp), unicodedata.decomposition(chr(cp))
+        if d and d[0] != "<" and " " in d:
+            two = "".join(chr(int(x, 16)) for x in d.split())
+            if unicodedata.normalize("NFC", two) == ch:
+                out[two] = ch
     return out
 
 
+def _composed(s: Column, c: Column) -> Column:
+    """What a character and the next one compose to, null if they don't."""
+    pairs = composition_pairs()
+    table = F.map_from_arrays(F.split(F.lit("\n".join(pairs)), "\n"), F.split(F.lit("\n".join(pairs.values())), "\n"))
+    syllables = F.split(F.lit("".join(map(chr, range(0xAC00, 0xD7A4)))), "(?!^)")
+    a, b = F.ascii(s), F.ascii(c)
+    first = F.when((a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175), ((a - 0x1100) * 21 + b - 0x1161) * 28)
+    second = F.when((a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b <= 0x11C2), a - 0xAC00 + b - 0x11A7)
+    return F.when((b >= 0x1161) & (b <= 0x11C2), F.get(syllables, F.coalesce(first, second).cast("int"))).otherwise(F.try_element_at(table, F.concat(s, c)))
+
+
+def recomposed(m: Column) -> Column:
+    """The text of a cluster (array of ccc, ch in canonical order): each character is composed with the first one unless a kept one between them blocks it, which
+    is one of the same class or a starter."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.element_at(m, 1)["ch"].alias("s"), F.lit(GOES_ON - 1).alias("last"), none.alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        got = F.when(acc["last"] < x["ccc"], _composed(acc["s"], x["ch"]))
+        block = F.greatest(acc["last"], F.when(x["ccc"] == GOES_ON, 999).otherwise(x["ccc"]))
+        taken = F.struct(got.alias("s"), acc["last"].alias("last"), acc["kept"].alias("kept"))
+        return F.when(got.isNotNull(), taken).otherwise(F.struct(acc["s"].alias("s"), block.alias("last"), F.concat(acc["kept"], F.array(x["ch"])).alias("kept")))
+
+    whole = F.aggregate(F.slice(m, 2, F.size(m)), start, step, lambda acc: F.concat(acc["s"], F.array_join(acc["kept"], "")))
+    return F.when(F.size(m) == 1, F.element_at(m, 1)["ch"]).otherwise(whole)
+
+
 _BLANK_CLASS = "[" + "".join(f"\\x{{{ord(b):X}}}" for b in BLANKS + "⠀") + "]+"
 
 
@@ -95,29 +132,24 @@ def token_forms(tokens: DataFrame) -> DataFrame:
     """(k, forme) for distinct tokens (k, token) without blanks, by code points; ``k`` stands for the token.
 
     Each token is exploded to positioned code points, which a broadcast join replaces by what they stand for; marks are
-    ordered by combining class within their cluster, clusters are recomposed by the longest composition there
-    is, and the string is rebuilt. One shuffle (by k) holds through all these steps, and no row but the first carries the token.
+    ordered by combining class within their cluster, clusters are recomposed, and the string is rebuilt. One shuffle (by k) holds
+    through all these steps, and no row but the first carries the token.
     """
     spark = tokens.sparkSession
     mapping = F.broadcast(_table(spark, mapping_rows(), "ch string, becomes array<string>"))
     classes = F.broadcast(_table(spark, class_rows(), "ch string, ccc int"))
-    composed = F.broadcast(_table(spark, composition_rows(), "nfd string, nfc string"))
     points = tokens.select("k", F.posexplode(F.split("token", "(?!^)")).alias("pos", "ch"))
     points = points.join(mapping, "ch", "left").select("k", "pos", F.posexplode(F.coalesce("becomes", F.array("ch"))).alias("sub", "ch"))
     points = points.join(classes, "ch", "left").select("k", "pos", "sub", "ch", F.coalesce("ccc", F.lit(0)).alias("ccc"))
-    w = W.partitionBy("k").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
-    points = points.withColumn("cluster", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(w))
-    marks = F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "ch"))), lambda x: x["ch"])
-    clusters = points.groupBy("k", "cluster").agg(marks.alias("m"))
-    for n in (4, 3, 2):
-        part = F.array_join(F.slice("m", 1, n), "")
-        clusters = (
-            clusters.withColumn("nfd", F.when(F.size("m") >= n, part))
-            .join(composed, "nfd", "left")
-            .withColumn("m", F.when(F.col("nfc").isNotNull(), F.concat(F.array("nfc"), F.expr(f"slice(m, {n + 1}, size(m))"))).otherwise(F.col("m")))
-            .drop("nfd", "nfc")
-        )
-    parts = F.array_sort(F.collect_list(F.struct("cluster", F.array_join("m", "").alias("s"))))
+    w = W.partitionBy("k").orderBy("pos", "sub")
+    before = F.coalesce(F.lag("ccc").over(w), F.lit(1))
+    begins = (F.col("ccc") == 0) | ((F.col("ccc") == GOES_ON) & (before > 0))
+    points = points.withColumn("begins", F.when(begins, 1).otherwise(0))
+    points = points.withColumn("cluster", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # a starter comes first (class 0 before the others but after what goes on with it, so its own place decides)
+    place = F.when(F.col("ccc") > 0, F.col("ccc")).otherwise(F.lit(0))
+    clusters = points.groupBy("k", "cluster").agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "pos", "sub", "ccc", "ch"))).alias("m"))
+    parts = F.array_sort(F.collect_list(F.struct("cluster", recomposed(F.col("m")).alias("s"))))
     return clusters.groupBy("k").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("forme"))
 
 
@@ -147,19 +179,28 @@ def canonical(df: DataFrame, text: str, out: str = "forme") -> DataFrame:
     return with_form.withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("__f", F.lit("")))).drop("__f")
 
 
-def look_alike_pairs(forms: DataFrame, group: str, ident: str, text: str, form: str = "forme") -> DataFrame:
-    """(group, cle_a, cle_b): different idents whose texts have one form but are not the same characters.
+def look_alike_classes(forms: DataFrame, group: str, ident: str, text: str, form: str = "forme") -> DataFrame:
+    """(group, classe, ident, text, n_liens): the texts that look like another one. ``classe`` stands for the form; ``n_liens``: rows of the class with another text.
+
+    One row per group, ident and text, so it grows with the texts and not with their pairs. Texts that show nothing look like no other.
+    """
+    t = forms.where((F.col(form) != "") & F.col(ident).isNotNull() & F.col(text).isNotNull()).select(group, ident, text, form).distinct()
+    size = t.groupBy(group, form, text).agg(F.count(F.lit(1)).alias("__n"))
+    all_of = size.groupBy(group, form).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__kinds")).where(F.col("__kinds") > 1)
+    links = size.join(all_of, [group, form]).select(group, form, text, (F.col("__all") - F.col("__n")).alias("n_liens"))
+    return t.join(links, [group, form, text]).select(group, F.hex(F.xxhash64(form)).alias("classe"), form, ident, text, "n_liens")
+
+
+def look_alike_pairs(classes: DataFrame, group: str, ident: str, text: str, form: str = "forme") -> DataFrame:
+    """(group, cle_a, cle_b): different idents whose texts have one form but are not the same characters: the classes written out.
 
-    Only distinct texts of a form are paired, never copies of one text; texts that show nothing look like no other.
+    Only distinct texts of a class are paired, never copies of one text.
     """
-    t = forms.where(F.col(form) != "").select(group, ident, text, form).distinct()
-    kinds = t.groupBy(group, form).agg(F.min(text).alias("__lo"), F.max(text).alias("__hi")).where(F.col("__lo") != F.col("__hi")).select(group, form)
-    t = t.join(kinds, [group, form])
-    reps = t.select(group, form, text).distinct()
+    reps = classes.select(group, form, text).distinct()
     a, b = reps.alias("a"), reps.alias("b")
     same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{form}") == F.col(f"b.{form}")) & (F.col(f"a.{text}") < F.col(f"b.{text}"))
     pairs = a.join(b, same).select(F.col(f"a.{group}").alias(group), F.col(f"a.{text}").alias("ta"), F.col(f"b.{text}").alias("tb"))
-    one = t.select(group, F.col(text).alias("ta"), F.col(ident).alias("ia"))
-    two = t.select(group, F.col(text).alias("tb"), F.col(ident).alias("ib"))
+    one = classes.select(group, F.col(text).alias("ta"), F.col(ident).alias("ia"))
+    two = classes.select(group, F.col(text).alias("tb"), F.col(ident).alias("ib"))
     out = pairs.join(one, [group, "ta"]).join(two, [group, "tb"]).where(F.col("ia") != F.col("ib"))
     return out.select(group, F.least("ia", "ib").alias("cle_a"), F.greatest("ia", "ib").alias("cle_b")).distinct()

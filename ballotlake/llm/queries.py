@@ -22,9 +22,18 @@ def p2_formes(spark: SparkSession, sf: str) -> DataFrame:
     return forms.canonical(s.unionByName(d).distinct(), "texte")
 
 
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+def _p2_members(spark: SparkSession, sf: str) -> DataFrame:
     f = written(p2_formes(spark, sf).where(F.col("cle").isNotNull() & F.col("texte").isNotNull()), "formes")
-    return forms.look_alike_pairs(f, "champ", "cle", "texte")
+    return forms.look_alike_classes(f, "champ", "cle", "texte")
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """(champ, forme, cle, n_liens): every title and name that looks like another, its class, and how many of the class have another text."""
+    return _p2_members(spark, sf).select("champ", "forme", "cle", "texte", "n_liens")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return forms.look_alike_pairs(written(_p2_members(spark, sf), "classes"), "champ", "cle", "texte")
 
 
 # --- 6
@@ -158,6 +167,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_formes": p2_formes,
+    "p2_classes": p2_classes,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
@@ -178,20 +188,19 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: The letters, hyphens and blanks found in the titles and names by a plain count of their characters, and what each looks like.
+_SEEN = "еаіѕосрСЅВјхМКАТІРуНХЕОЈ" "οΜΡΒΤΝΑΙΕΚΥΟΗΧΖ" "‐‑–−"
+_AS = "eaisocpCSBjxMKATIPyHXEOJ" "oMPBTNAIEKYOHXZ" "----"
+_SPACES = (0x09, 0x0A, 0x0D, 0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F, 0x3000)
+_NOTHING = (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)
+
+
 def _form_sql(c: str) -> str:
-    """The same form by string functions; for the characters that occur in European titles and names."""
-    src, dst = "", ""
-    for a in range(0xFF01, 0xFF5F):
-        src, dst = src + chr(a), dst + chr(a - 0xFEE0)
-    for a, b in forms.LOOK_ALIKES.items():
-        src, dst = src + a, dst + b
-    for a in forms.HYPHENS.replace("－", ""):
-        src, dst = src + a, dst + "-"
-    for a in forms.BLANKS:
-        src, dst = src + a, dst + " "
-    silent = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)))
+    """The same form by string functions; for the characters that occur in these titles and names."""
+    src, dst = _SEEN + "".join(map(chr, range(0xFF01, 0xFF5F))), _AS + "".join(map(chr, range(0x21, 0x7F)))
+    src, dst = src + "".join(map(chr, _SPACES)), dst + " " * len(_SPACES)
     base = f"replace(replace({c}, {_sql_text(chr(0xFB01))}, 'fi'), {_sql_text(chr(0xFB02))}, 'fl')"
-    t = f"translate({base}, {_sql_text(src + silent)}, {_sql_text(dst)})"
+    t = f"translate({base}, {_sql_text(src + ''.join(map(chr, _NOTHING)))}, {_sql_text(dst)})"
     return f"nfc_normalize(trim(regexp_replace({t}, ' +', ' ', 'g')))"
 
 
@@ -234,15 +243,21 @@ _LEFT = "SELECT k, t FROM (SELECT {k} AS k, expose_sommaire AS t, recu_le AS le
     k=_K.format("amendement_uid"), c=_K.format("cle")
 )
 
+_FORMS = f"""
+WITH t AS (
+  SELECT 'scrutins.titre' AS champ, {_K.format('scrutin_uid')} AS cle, titre AS texte FROM scrutins
+  UNION ALL SELECT 'deputes.nom_complet', {_K.format('acteur_uid')}, nom_complet FROM deputes),
+f AS (SELECT DISTINCT champ, cle, texte, {_form_sql('texte')} AS forme FROM t)
+"""
+
 ORACLE = {
     "p7_found": _term_sql(_LAST) + "SELECT champ, terme, marque FROM m WHERE marque IS NOT NULL",
     "p7_termes": _term_sql(_LAST) + "SELECT * FROM m",
     "p7_apres_suppressions": _term_sql(_LEFT) + "SELECT terme, n_occurrences, n_records FROM c",
-    "p2_found": f"""
-WITH t AS (
-  SELECT 'scrutins.titre' AS champ, {_K.format('scrutin_uid')} AS cle, titre AS texte FROM scrutins
-  UNION ALL SELECT 'deputes.nom_complet', {_K.format('acteur_uid')}, nom_complet FROM deputes),
-f AS (SELECT DISTINCT champ, cle, texte, {_form_sql('texte')} AS forme FROM t WHERE texte IS NOT NULL)
+    "p2_formes": _FORMS + "SELECT * FROM f",
+    "p2_classes": _FORMS + """, k AS (SELECT * FROM f WHERE cle IS NOT NULL AND texte IS NOT NULL AND forme <> ''), n AS (SELECT champ, forme, texte, count(*) AS n FROM k GROUP BY 1, 2, 3)
+SELECT k.champ, k.forme, k.cle, k.texte, CAST(sum(n.n) AS BIGINT) AS n_liens FROM k JOIN n ON n.champ = k.champ AND n.forme = k.forme AND n.texte <> k.texte GROUP BY 1, 2, 3, 4""",
+    "p2_found": _FORMS + """
 SELECT DISTINCT a.champ, a.cle AS cle_a, b.cle AS cle_b FROM f a JOIN f b ON a.champ = b.champ AND a.forme = b.forme AND a.cle < b.cle AND a.texte <> b.texte
 WHERE a.forme <> ''""",
     "p6_found": _BALLOTS + "SELECT ma AS acteur_a, mb AS acteur_b FROM y WHERE same >= 12 AND same * den * 1000 > both_ * num * 1811",

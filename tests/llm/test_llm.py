@@ -66,8 +66,25 @@ def test_forms_of_nulls_blanks_long_and_repeated(spark):
 def test_pairs_of_looks(spark):
     df = spark.createDataFrame([("c", "1", "ab"), ("c", "2", "аb"), ("c", "3", "ab"), ("c", "3", "ab"), ("d", "4", "ab"), ("c", "5", ""), ("c", "6", " "), ("c", "7", None), ("c", "2", "ab ")], "champ string, cle string, texte string")
     f = forms.canonical(df, "texte")
-    got = {tuple(r) for r in forms.look_alike_pairs(f, "champ", "cle", "texte").collect()}
+    classes = forms.look_alike_classes(f, "champ", "cle", "texte")
+    got = {tuple(r) for r in forms.look_alike_pairs(classes, "champ", "cle", "texte").collect()}
     assert got == {("c", "1", "2"), ("c", "2", "3")}
+    links = {(r["cle"], r["texte"]): r["n_liens"] for r in classes.collect()}
+    assert links == {("1", "ab"): 2, ("3", "ab"): 2, ("2", "аb"): 3, ("2", "ab "): 3}
+
+
+def test_hangul_and_blocked_marks_follow_the_standard(spark):
+    rng = random.Random(2)
+    base = "가각힣ㄱ" + "\u1100\u1161\u11a8\u1112\u1175\u11c2" + "aAeoà\u03b1" + "\u0331\u0301\u0323\u0307\u0327\u0345\u0313\u0300"
+    texts = ["가나", unicodedata.normalize("NFD", "가나"), "a\u0331\u0301", "á\u0331", "\u1161a", "e\u11a8\u0301"] + ["".join(rng.choice(base) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    want = ["".join(forms.LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFD", t)) for t in texts]
+    assert norm(spark, texts) == [unicodedata.normalize("NFC", t) for t in want]
+
+
+def test_every_letter_of_the_list_and_none_beside(spark):
+    assert norm(spark, ["".join(forms.LOOK_ALIKES)]) == ["".join(forms.LOOK_ALIKES.values())]
+    apart = "бгджзийлпфцчшщъыьэюяΓΔΘΛΞΠΣΦΨΩβγδεζηθλμξπσφψωßþðøłđ"
+    assert norm(spark, [apart]) == [unicodedata.normalize("NFC", apart)]
 
 
 # --- 6
