@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import trimmed
+from ..functions.expr import text_hash, trimmed
 from .gru import PAD, BiGru
 
 LANGUAGES = ("fr", "en", "de", "es", "it", "pt", "nl", "pl")
@@ -80,16 +80,37 @@ def letters(x: np.ndarray) -> np.ndarray:
     return ((low >= 97) & (low <= 122) & (x < 128)) | ((x >= 0xC3) & (x <= 0xDF))
 
 
+def cuts(b: np.ndarray, size: int) -> list[int]:
+    """Where the windows of at most ``size`` bytes begin: after a blank of the last quarter where there is one, else before a character, never within one."""
+    out, at = [0], 0
+    blanks = np.flatnonzero(b <= 32) + 1
+    while len(b) - at > size:
+        end = at + size
+        k = int(np.searchsorted(blanks, end, "right")) - 1
+        if k >= 0 and blanks[k] > at + size - size // 4:
+            end = int(blanks[k])
+        else:
+            back = end
+            while back > at and (b[back] & 0xC0) == 0x80:
+                back -= 1
+            end = back if back > at else end
+        out.append(end)
+        at = end
+    return out
+
+
 def windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte windows (N, size) that cover every text in whole, and the number of each window's text."""
     raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
-    counts = np.array([-(-len(b) // size) for b in raw], np.int64)
-    out = np.full((int(counts.sum()), size), PAD, np.int16)
-    at = 0
-    for b, c in zip(raw, counts):
-        out[at : at + c].reshape(-1)[: len(b)] = b
-        at += c
-    return out, np.repeat(np.arange(len(texts)), counts)
+    starts = [cuts(b, size) if len(b) else [] for b in raw]
+    out = np.full((sum(map(len, starts)), size), PAD, np.int16)
+    of, at = np.zeros(len(out), np.int64), 0
+    for i, (b, x) in enumerate(zip(raw, starts)):
+        for s, e in zip(x, [*x[1:], len(b)]):
+            out[at, : e - s] = b[s:e]
+            of[at] = i
+            at += 1
+    return out, of
 
 
 def pieces(pdf: pd.DataFrame, text: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
@@ -100,7 +121,7 @@ def pieces(pdf: pd.DataFrame, text: str, most: int = 4_000_000) -> Iterator[pd.D
         yield pdf[group == k]
 
 
-def pooled(model: BiGru, texts: list[str], size: int, chunk: int = 1536) -> tuple[np.ndarray, np.ndarray]:
+def pooled(model: BiGru, texts: list[str], size: int, chunk: int = 384) -> tuple[np.ndarray, np.ndarray]:
     """Mean probability of each language over the letters of each text (N, L), and the number of letters."""
     x, of = windows(texts, size)
     total, count = np.zeros((len(texts), model.labels)), np.zeros(len(texts))
@@ -178,11 +199,11 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
     A paragraph's language is the one with the highest mean probability over its letters, which is its confidence. A document's is
     the one with the most letters, its confidence the mean of that language over all letters. ``mixte``: the paragraphs
     are in two or more languages. Null, empty and word-less texts have one row without a language; word-less paragraphs have none but are counted.
-    A single paragraph below ``settings.switch`` keeps its label's language, or without one the likeliest given how often labels (``counts``) name each.
-    ``label``: the code the given label names. Whole texts are read, in Arrow batches; rows that repeat repeat theirs. Texts are
-    spread evenly first, however the files are cut, since reading is what costs time: several tasks for each core.
+    A single paragraph below ``settings.switch`` has the language that is likeliest when it is also taken into account how often each occurs (``counts``), and the
+    probability that this gives as its confidence; the document's own label never decides. ``label``: the code the given label names. Whole texts are read, in Arrow batches,
+    each distinct text once; rows that repeat repeat theirs. Copies are put together before the texts are
+    shuffled, once; the languages of a text go back to its rows by its hash.
     """
-    kind = docs.schema[ident].dataType.simpleString()
     prior = np.array([counts.get(k, 0) + 1.0 for k in LANGUAGES])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,10 +215,10 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
             for j, (d, _, _) in enumerate(flat):
                 by.setdefault(d, []).append(j)
             rows = []
-            for d, (i, label) in enumerate(zip(pdf["i"], pdf["l"])):
+            for d, i in enumerate(zip(pdf["h1"], pdf["h2"])):
                 js = by.get(d)
                 if not js:
-                    rows.append((i, label, 0, None, None, False))
+                    rows.append((*i, 0, None, None, False))
                     continue
                 best = [int(q[j].argmax()) for j in js]
                 size = [max(float(n[j]), 1.0) for j in js]
@@ -206,19 +227,19 @@ def label_documents(docs: DataFrame, ident: str, text: str, lang: str, model: Bi
                     held[b] += s
                 main = int(held.argmax())
                 if len(js) == 1 and q[js[0]][main] < settings.switch:
-                    main = LANGUAGES.index(label) if label in LANGUAGES else int((q[js[0]] * prior).argmax())
+                    q[js[0]] = q[js[0]] * prior / (q[js[0]] * prior).sum()
+                    best = [main := int(q[js[0]].argmax())]
                 final = [b if b == main or q[j][b] >= settings.switch else main for b, j in zip(best, js)]
                 mixed = len(set(final)) > 1
-                rows.append((i, label, 0, LANGUAGES[main], float(sum(q[j][main] * s for j, s in zip(js, size)) / sum(size)), mixed))
-                rows.extend((i, label, flat[j][1], LANGUAGES[b], float(q[j][b]), mixed) for b, j in zip(final, js))
-            yield pd.DataFrame(rows, columns=["i", "label", "segment", "langue", "confiance", "mixte"])
-
-    src = docs.select(F.col(ident).alias("i"), language_code(lang).alias("l"), F.col(text).alias("t"))
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    src = src.repartition(tasks, F.xxhash64("i", "t"))
-    out = src.mapInPandas(read, f"i {kind}, label string, segment bigint, langue string, confiance double, mixte boolean")
-    return out.withColumnRenamed("i", ident)
+                rows.append((*i, 0, LANGUAGES[main], float(sum(q[j][main] * s for j, s in zip(js, size)) / sum(size)), mixed))
+                rows.extend((*i, flat[j][1], LANGUAGES[b], float(q[j][b]), mixed) for b, j in zip(final, js))
+            yield pd.DataFrame(rows, columns=["h1", "h2", "segment", "langue", "confiance", "mixte"])
+
+    src = docs.select(F.col(ident).alias("__i"), language_code(lang).alias("label"), F.when(F.col(text).isNotNull(), text_hash(text)).alias("h"), F.col(text).alias("t"))
+    texts = src.where(F.col("t").isNotNull()).groupBy("h.h1", "h.h2").agg(F.first("t").alias("t"))
+    found = texts.mapInPandas(read, "h1 bigint, h2 bigint, segment bigint, langue string, confiance double, mixte boolean")
+    out = src.select("__i", "label", "h.h1", "h.h2").join(found, ["h1", "h2"], "left")
+    return out.select(F.col("__i").alias(ident), "label", F.coalesce("segment", F.lit(0)).alias("segment"), "langue", "confiance", F.coalesce("mixte", F.lit(False)).alias("mixte"))
 
 
 def wrong_or_mixed(labelled: DataFrame, ident: str) -> DataFrame:

@@ -317,6 +317,25 @@ def test_labels_and_paragraphs(spark):
     assert langid.paragraphs(None) == langid.paragraphs(" \n ") == []
     x, of = langid.windows(["abc", "", "é" * 5], 4)
     assert x.shape == (4, 4) and of.tolist() == [0, 2, 2, 2] and (x == PAD).sum() == 1 + 2
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aé 日🙂b") for _ in range(rng.randrange(0, 200))) for _ in range(50)] + ["x" * 999, "\ud800"]
+    x, of = langid.windows(texts, 24)
+    whole = [bytes(x[of == i][x[of == i] != PAD].astype(np.uint8)) for i in range(len(texts))]
+    assert whole == [t.encode("utf-8", "replace") for t in texts]
+    for i, row in zip(of, x):
+        bytes(row[row != PAD].astype(np.uint8)).decode("utf-8")
+
+
+def test_a_wrong_label_never_decides(spark):
+    rng = random.Random(3)
+    s = langid.Settings(documents=60, windows=200, hidden=12, batch=48, rounds=((60, 0.02), (100, 0.015)))
+    sample = [(lang, sentence(rng, lang)) for lang in SAMPLES for _ in range(60)]
+    counts = {"fr": 9000, "en": 100, "de": 100}
+    model = langid.train(sample, counts, s)
+    rows = [(1, "Non.", "en"), (2, "Non.", "fr"), (3, "Non.", None), (3, "Non.", None), (4, None, "en")]
+    out = langid.label_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang", model, counts, s)
+    got = sorted((r["doc_id"], r["langue"], r["segment"], r["confiance"] is not None) for r in out.collect())
+    assert len({k for _, k, _, _ in got if k}) == 1 and len(got) == 9 and got[-1] == (4, None, 0, False)
 
 
 def test_pairs_below_the_bound_of_the_cases_come_out(spark, tmp_path):
