@@ -50,8 +50,8 @@ def attribute_changes(spans: DataFrame, entity: str, value: str, priority: list[
     )
 
 
-def spread_entities(weights: DataFrame, entity: str, tasks: int, shares: int = 4) -> DataFrame:
-    """(__k, __spread): the entities with more than a fair part of all events, and over how many parts each goes. At most ``shares`` times ``tasks`` of them can be, so they may be broadcast.
+def spread_entities(weights: DataFrame, entity: str, tasks: int, shares: int = 4) -> DataFrame | None:
+    """(__k, __spread): the entities with more than a fair part of all events, and over how many parts each goes. At most ``shares`` times ``tasks`` of them can be, so they may be broadcast; None if there is none.
 
     ``weights``: (entity, n), the number of events of each entity.
     """
@@ -60,7 +60,7 @@ def spread_entities(weights: DataFrame, entity: str, tasks: int, shares: int = 4
     fair = max(1.0, total / (shares * tasks))
     heavy = weights.where((F.col("n") > F.lit(fair)) & F.col(entity).isNotNull()).select(entity, "n").collect()
     rows = [(r[0], int(-(-r[1] // fair))) for r in heavy]
-    return F.broadcast(spark.createDataFrame(rows, f"__k {weights.schema[entity].dataType.simpleString()}, __spread int"))
+    return None if not rows else F.broadcast(spark.createDataFrame(rows, f"__k {weights.schema[entity].dataType.simpleString()}, __spread int"))
 
 
 def with_known_value(
@@ -85,10 +85,11 @@ def with_known_value(
     others = [c for c in events.columns if c not in (entity, day, f"{value}_connu")]
     left = events.select(F.col(entity).alias("__k"), shard.alias("__shard"), d.alias("__d"), F.lit(1).alias("__prio"), *[F.col(f"`{c}`") for c in others])
     parts = F.coalesce(F.col("__spread"), F.lit(1))
-    left = left.join(spread, "__k", "left").withColumn("__part", F.pmod(F.xxhash64("__d", *[F.col(f"`{c}`") for c in others]), parts).cast("int")).drop("__spread")
+    part = F.pmod(F.xxhash64("__d", *[F.col(f"`{c}`") for c in others]), parts).cast("int")
+    left = left.withColumn("__part", F.lit(0)) if spread is None else left.join(spread, "__k", "left").withColumn("__part", part).drop("__spread")
     known = F.col("__k").isNotNull() & F.col("__d").isNotNull()
     right = changes.select(F.col(entity).alias("__k"), F.col("shard").alias("__shard"), F.col("day").alias("__d"), F.lit(0).alias("__prio"), F.struct(F.col("value").alias("v")).alias("__c"))
-    right = right.join(spread, "__k", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__spread")
+    right = right.withColumn("__part", F.lit(0)) if spread is None else right.join(spread, "__k", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__spread")
     both = left.where(known).unionByName(right, allowMissingColumns=True)
     w = W.partitionBy("__k", "__shard", "__part").orderBy("__d", "__prio").rowsBetween(W.unboundedPreceding, 0)
     carried = both.withColumn("__v", F.last("__c", ignorenulls=True).over(w)["v"]).where(F.col("__prio") == 1).drop("__c")
