@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters with the Unicode property White_Space.
@@ -82,3 +82,10 @@ def text_hash(c: Column | str) -> Column:
     """128 bits of a text as a struct of two longs; stands for the text in groupings."""
     c = col(c)
     return F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(7), c, F.length(c)).alias("h2"))
+
+
+def latest(df: DataFrame, keys: list[str], received: str | None = "recu_le") -> DataFrame:
+    """Of each key the row received last; the greatest row where times tie or are not known, so that the choice is the same every time. Columns of map type are left out."""
+    rest = [c for c, t in df.dtypes if c not in (*keys, received) and not t.startswith("map")]
+    top = F.max(F.struct(*([F.col(received)] if received else []), *[F.col(c) for c in rest])).alias("__top")
+    return df.groupBy(*keys).agg(top).select(*keys, *([f"__top.{received}"] if received else []), *[f"__top.{c}" for c in rest])

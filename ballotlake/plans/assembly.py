@@ -7,10 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import EXPRESSED, day, key, position
+from ..functions.expr import EXPRESSED, day, key, latest, position
 from ..operators.lines import group_lines
 from ..session import fingerprint, mart, table
-from .problems import latest
 
 
 class Assembly:

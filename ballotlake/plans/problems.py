@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import OPEN_YEAR, day, key
+from ..functions.expr import OPEN_YEAR, day, key, latest
 from ..operators.asof import known_spans, with_known_value
 from ..operators.intervals import merge_intervals
 from ..operators.orphans import orphan_references, orphans_by_period, parent_registry
@@ -13,14 +13,6 @@ from ..operators.variants import classify, links
 from ..session import table, written
 
 
-def latest(df: DataFrame, keys: list[str], received: str = "recu_le") -> DataFrame:
-    """Of each key the row received last; the greatest row where times tie, so that the choice is the same every time."""
-    rest = [c for c in df.columns if c not in (*keys, received)]
-    comparable = [c for c, t in df.dtypes if c in rest and not t.startswith("map")]
-    top = F.max(F.struct(F.col(received), *[F.col(c) for c in comparable])).alias("__top")
-    return df.groupBy(*keys).agg(top).select(*keys, f"__top.{received}", *[f"__top.{c}" for c in comparable])
-
-
 def mandates(spark: SparkSession, sf: str) -> DataFrame:
     """All versions of the mandates, with clean keys and days; an open end is null."""
     m = table(spark, sf, "mandats")

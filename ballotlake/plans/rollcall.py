@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.expr import EXPRESSED, OPEN_YEAR, day, key, rate
+from ..functions.expr import EXPRESSED, OPEN_YEAR, day, key, latest, rate
 from ..functions.stats import average_rank, jeffreys
 from ..operators import abstention, agreement, alerts, amendments, ideal, lines, scaling, topics
 from ..session import written
@@ -61,24 +61,45 @@ def _doc(kind: str) -> str:
     return f"d AS (SELECT coalesce(CAST(contenu AS JSON)->'$.{kind}', CAST(contenu AS JSON)) AS d FROM (SELECT contenu FROM bruts WHERE famille = '{kind}' AND json_valid(contenu)))"
 
 
-@query(
-    (
-        f"WITH {_doc('organe')} SELECT DISTINCT upper({_t('(d->!$.uid!)')}) AS organe_uid, {_t('(d->!$.codeType!)')} AS code_type, {_t('(d->!$.libelle!)')} AS libelle, "
-        f"{_t('(d->!$.viMoDe.dateDebut!)')} AS date_debut, {_t('(d->!$.viMoDe.dateFin!)')} AS date_fin FROM d"
-    ).replace("!", "'")
-)
+def _cols(base: str, of: dict[str, str]) -> str:
+    """Columns of a document in SQL: name -> path (or alternatives parted by |)."""
+    one = lambda p: _t(f"({base}->'$.{p}')")
+    return ", ".join(f"coalesce({', '.join(map(one, p.split('|')))}, NULL) AS {c}" for c, p in of.items())
+
+
+_ORGANE = {"code_type": "codeType", "libelle": "libelle", "libelle_abrege": "libelleAbrege", "libelle_abrev": "libelleAbrev", "date_debut": "viMoDe.dateDebut", "date_fin": "viMoDe.dateFin", "legislature": "legislature", "position_politique": "positionPolitique"}
+_SCRUTIN = {
+    "date": "dateScrutin", "legislature": "legislature", "type_vote_code": "typeVote.codeTypeVote", "type_vote_libelle": "typeVote.libelleTypeVote", "sort_code": "sort.code", "sort_libelle": "sort.libelle",
+    "titre": "titre|objet.libelle", "demandeur": "demandeur.texte", "dossier_titre": "objet.dossierLegislatif.libelle", "seance_uid": "seanceRef", "mode_publication": "modePublicationDesVotes",
+}
+_COUNTS = {
+    "numero": "numero", "nb_votants": "syntheseVote.nombreVotants", "suffrages_exprimes": "syntheseVote.suffragesExprimes", "suffrages_requis": "syntheseVote.nbrSuffragesRequis", "n_pour": "syntheseVote.decompte.pour",
+    "n_contre": "syntheseVote.decompte.contre", "n_abstention": "syntheseVote.decompte.abstentions", "n_non_votant": "syntheseVote.decompte.nonVotants",
+}
+_AMENDEMENT = {
+    "numero": "identification.numeroLong|identification.numeroOrdreDepot", "texte_legislatif_uid": "texteLegislatifRef|identification.texteLegislatifRef", "legislature": "identification.legislature|legislature", "date_depot": "cycleDeVie.dateDepot",
+    "date_sort": "cycleDeVie.dateSort", "etat": "cycleDeVie.etatDesTraitements.etat.libelle", "sort": "cycleDeVie.sort", "division_titre": "pointeurFragmentTexte.division.titre", "division_article": "pointeurFragmentTexte.division.articleDesignationCourte",
+}
+_CATEGORY = """CASE WHEN regexp_matches(t, '^la motion de censure', 'i') THEN 'motion_censure'
+ WHEN regexp_matches(t, '^la motion de (rejet|renvoi)|^la motion référendaire', 'i') THEN 'motion_procedure' WHEN regexp_matches(t, '^l.ensemble\\b', 'i') THEN 'ensemble'
+ WHEN regexp_matches(t, '^(l.|les )(sous.)?amendements?\\b|^le sous.amendement', 'i') THEN 'amendement' WHEN regexp_matches(t, '^(l.|les )articles?\\b', 'i') THEN 'article'
+ WHEN regexp_matches(t, '^la déclaration|^la demande', 'i') THEN 'declaration' ELSE 'autre' END"""
+_CONTEST = "round(CASE WHEN n_pour IS NOT NULL AND n_contre IS NOT NULL THEN least(n_pour, n_contre) / greatest(n_pour + n_contre, 1) END, 6)"
+
+
+@query(f"WITH {_doc('organe')} SELECT DISTINCT {_k(_t('(d->!$.uid!)'))} AS organe_uid, ".replace("!", "'") + _cols("d", _ORGANE) + f" FROM d WHERE {_t('(d->!$.uid!)')} IS NOT NULL".replace("!", "'"))
 def organes_bruts(a: Assembly) -> DataFrame:
-    d = ingest.bodies(a.raw("bruts").where(F.col("famille") == "organe"))
-    return d.select("organe_uid", "code_type", "libelle", "date_debut", "date_fin")
+    return ingest.bodies(a.raw("bruts").where(F.col("famille") == "organe"))
 
 
 @query(
-    f"WITH {_doc('scrutin')} SELECT DISTINCT upper({_t('(d->!$.uid!)')}) AS scrutin_uid, try_cast({_t('(d->!$.numero!)')} AS BIGINT) AS numero, {_t('(d->!$.dateScrutin!)')} AS date, "
-    f"coalesce({_t('(d->!$.titre!)')}, {_t('(d->!$.objet.libelle!)')}) AS titre, try_cast({_t('(d->!$.syntheseVote.nombreVotants!)')} AS BIGINT) AS nb_votants, "
-    f"try_cast({_t('(d->!$.syntheseVote.decompte.pour!)')} AS BIGINT) AS n_pour, try_cast({_t('(d->!$.syntheseVote.decompte.contre!)')} AS BIGINT) AS n_contre FROM d".replace("!", "'")
-)
+    f"WITH {_doc('scrutin')}, c AS (SELECT DISTINCT {_k(_t('(d->!$.uid!)'))} AS scrutin_uid, {_k(_t('(d->!$.objet.dossierLegislatif.dossierRef!)'))} AS dossier_uid, ".replace("!", "'")
+    + _cols("d", _SCRUTIN) + ", " + ", ".join(f"try_cast({_t(chr(40) + f'd->{chr(39)}$.{p}{chr(39)}' + chr(41))} AS BIGINT) AS {n}" for n, p in _COUNTS.items())
+    + f" FROM d), k AS (SELECT *, {_CATEGORY} AS categorie FROM (SELECT *, coalesce(titre, '') AS t FROM c)) SELECT * EXCLUDE (t), {_day('date')} AS date_d, "
+    + f"CASE WHEN categorie IN ('motion_censure', 'ensemble') THEN 'texte' WHEN categorie = 'amendement' THEN 'detail' ELSE 'intermediaire' END AS portee, {_CONTEST} AS contestation FROM k WHERE scrutin_uid IS NOT NULL"
+)
 def scrutins_bruts(a: Assembly) -> DataFrame:
-    return ingest.events(a.raw("bruts").where(F.col("famille") == "scrutin")).select("scrutin_uid", "numero", "date", "titre", "nb_votants", "n_pour", "n_contre")
+    return ingest.events(a.raw("bruts").where(F.col("famille") == "scrutin"))
 
 
 @query(
@@ -87,53 +108,77 @@ def scrutins_bruts(a: Assembly) -> DataFrame:
         f"g AS (SELECT scrutin_uid, unnest({_l('(o->!$.groupes.groupe!)')}) AS g FROM o), "
         "b AS ("
         + " UNION ALL ".join(f"SELECT scrutin_uid, g, '{p}' AS position, unnest({_l(f'(g->!$.vote.decompteNominatif.{k}.votant!)')}) AS v FROM g" for k, p in ingest.BUCKETS.items())
-        + f") SELECT DISTINCT scrutin_uid, upper({_t('(v->!$.acteurRef!)')}) AS acteur_uid, upper({_t('(g->!$.organeRef!)')}) AS groupe_uid, position, "
+        + f") SELECT DISTINCT scrutin_uid, upper({_t('(v->!$.acteurRef!)')}) AS acteur_uid, upper({_t('(g->!$.organeRef!)')}) AS groupe_uid, position, {_t('(g->!$.vote.positionMajoritaire!)')} AS position_majoritaire_groupe, "
         f"coalesce({_t('(v->!$.parDelegation!)')} = 'true', false) AS par_delegation, {_t('(v->!$.causePositionVote!)')} AS cause FROM b WHERE {_t('(v->!$.acteurRef!)')} IS NOT NULL"
     ).replace("!", "'")
 )
 def votes_bruts(a: Assembly) -> DataFrame:
-    return ingest.ballots(a.raw("bruts").where(F.col("famille") == "scrutin")).select("scrutin_uid", "acteur_uid", "groupe_uid", "position", "par_delegation", "cause")
+    return ingest.ballots(a.raw("bruts").where(F.col("famille") == "scrutin"))
+
+
+def _once_sql(t: str) -> str:
+    """Entities decoded once: those of the ampersand last."""
+    for k, v in _ENTITIES.items():
+        t = f"replace({t}, '{k}', '{v}')"
+    return f"replace({t}, '&amp;', '&')"
+
+
+#: Entities as they occur in the statements.
+_ENTITIES = {"&nbsp;": " ", "&eacute;": "é", "&agrave;": "à", "&egrave;": "è", "&lt;": "<", "&gt;": ">"} | {f"&#x{ord(c):04X};": c for c in "éàèêûÀôîâçÉÈÊù"}
+
+
+def _html(c: str) -> str:
+    plain = _once_sql(f"regexp_replace({_once_sql(c)}, '<[^>]+>', ' ', 'g')")
+    return f"nullif(trim(regexp_replace(replace({plain}, chr(160), ' '), '\\s+', ' ', 'g')), '')"
 
 
 @query(
-    (
-        f"WITH {_doc('amendement')}, f AS (SELECT d, ({_l('(d->!$.signataires.auteur!)')})[1] AS a, {_l('(d->!$.signataires.cosignataires.acteurRef!)')} AS c FROM d) "
-        f"SELECT DISTINCT upper({_t('(d->!$.uid!)')}) AS amendement_uid, {_t('(d->!$.cycleDeVie.dateDepot!)')} AS date_depot, upper({_t('(a->!$.acteurRef!)')}) AS auteur_uid, {_t('(a->!$.typeAuteur!)')} AS auteur_type, "
-        f"{_t('(a->!$.auteurRapporteurOrganeRef!)')} IS NOT NULL AS auteur_rapporteur, CAST(len(c) AS BIGINT) AS nb_cosignataires FROM f"
-    ).replace("!", "'")
-)
+    f"WITH {_doc('amendement').replace('SELECT contenu FROM', 'SELECT contenu, chemin FROM').replace('AS d FROM (', 'AS d, chemin FROM (')}, "
+    + f"f AS (SELECT d, chemin, ({_l('(d->!$.signataires.auteur!)')})[1] AS a, {_l('(d->!$.signataires.cosignataires.acteurRef!)')} AS c FROM d WHERE json_exists(d, '$.signataires')), ".replace("!", "'")
+    + f"x AS (SELECT {_k(_t('(d->!$.uid!)'))} AS amendement_uid, list_extract(regexp_extract_all(chemin, '(?:^|/)(DLR[A-Za-z0-9_]+)(?:/[^/]+)*/', 1), -1) AS dossier_uid, {_k(_t('(a->!$.acteurRef!)'))} AS auteur_uid, {_k(_t('(a->!$.groupePolitiqueRef!)'))} AS auteur_groupe_uid, ".replace("!", "'")
+    + f"{_t('(a->!$.typeAuteur!)')} AS auteur_type, {_t('(a->!$.auteurRapporteurOrganeRef!)')} IS NOT NULL AS auteur_rapporteur, list_filter(list_transform(c, lambda y: {_t('y')}), lambda z: z IS NOT NULL) AS cosignataires, ".replace("!", "'")
+    + _cols("d", _AMENDEMENT) + f", {_t('(d->!$.corps.contenuAuteur.dispositif!)')} AS dp, {_t('(d->!$.corps.contenuAuteur.exposeSommaire!)')} AS ex FROM f)".replace("!", "'")
+    + f" SELECT DISTINCT * EXCLUDE (dp, ex), CAST(len(cosignataires) AS BIGINT) AS nb_cosignataires, {_html('dp')} AS dispositif, {_html('ex')} AS expose_sommaire, {_day('date_depot')} AS date_depot_d FROM x"
+)
 def amendements_bruts(a: Assembly) -> DataFrame:
-    d = ingest.amendments(a.raw("bruts").where(F.col("famille") == "amendement"))
-    return d.select("amendement_uid", "date_depot", "auteur_uid", "auteur_type", "auteur_rapporteur", "nb_cosignataires")
+    return ingest.amendments(a.raw("bruts").where(F.col("famille") == "amendement"))
+
+
+_BUILT = """, mr AS (SELECT """ + _k("mandat_uid") + """ AS mandat_uid, """ + _day("date_prise_fonction") + """ AS p, qualite, departement, num_departement, num_circo, region FROM mandats
+  QUALIFY row_number() OVER (PARTITION BY """ + _k("mandat_uid") + """ ORDER BY recu_le DESC, upper(trim(acteur_uid)) DESC NULLS LAST, type_organe DESC NULLS LAST, organe_uid DESC NULLS LAST, legislature DESC NULLS LAST, date_debut DESC NULLS LAST, date_prise_fonction DESC NULLS LAST, date_fin DESC NULLS LAST, qualite DESC NULLS LAST) = 1),
+tk AS (SELECT man.*, coalesce(mr.p, man.debut) AS prise, qualite, departement, num_departement, num_circo, region FROM man JOIN mr USING (mandat_uid)),
+st AS (SELECT *, prise AS d, lag(fin) OVER (PARTITION BY acteur_uid ORDER BY prise, fin NULLS LAST, mandat_uid) AS avant FROM tk WHERE type_organe = 'ASSEMBLEE' AND prise IS NOT NULL AND acteur_uid IS NOT NULL),
+s AS (SELECT acteur_uid, list_sort(list({'debut': strftime(d, '%Y-%m-%d'), 'fin': strftime(fin, '%Y-%m-%d')}), 'ASC', 'NULLS FIRST') AS pm, bool_or(coalesce(d > avant + 1, false)) AS mandat_interrompu, min(d) AS mandat_debut_d, CASE WHEN bool_or(fin IS NULL) THEN NULL ELSE max(fin) END AS mandat_fin_d,
+  CAST(count(*) FILTER (coalesce(d > avant + 1, false)) AS BIGINT) AS n_interruptions, count(*) AS n_periodes,
+  last(departement ORDER BY d, mandat_uid) FILTER (departement IS NOT NULL) AS departement, last(num_departement ORDER BY d, mandat_uid) FILTER (num_departement IS NOT NULL) AS num_departement,
+  last(num_circo ORDER BY d, mandat_uid) FILTER (num_circo IS NOT NULL) AS num_circo, last(region ORDER BY d, mandat_uid) FILTER (region IS NOT NULL) AS region FROM st GROUP BY 1),
+g AS (SELECT acteur_uid, count(DISTINCT organe_uid) AS nb_groupes_legislature FROM man WHERE type_organe = 'GP' GROUP BY 1),
+gl AS (SELECT acteur_uid, organe_uid AS groupe_uid, qualite AS groupe_qualite FROM tk WHERE type_organe = 'GP' AND organe_uid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY acteur_uid ORDER BY (fin IS NULL) DESC, debut DESC NULLS LAST, mandat_uid DESC) = 1),
+pe AS (SELECT """ + _k("acteur_uid") + """ AS acteur_uid, prenom, nom, profession FROM deputes QUALIFY row_number() OVER (PARTITION BY """ + _k("acteur_uid") + """ ORDER BY recu_le DESC) = 1)
+"""
 
 
-@query(sql("man", """, tk AS (SELECT man.*, coalesce(r.p, man.debut) AS prise FROM man JOIN (SELECT mandat_uid, p FROM (SELECT """ + _k("mandat_uid") + """ AS mandat_uid, """ + _day("date_prise_fonction") + """ AS p, recu_le FROM mandats) QUALIFY row_number() OVER (PARTITION BY mandat_uid ORDER BY recu_le DESC) = 1) r USING (mandat_uid)),
-st AS (SELECT acteur_uid, prise AS d, fin, lag(fin) OVER (PARTITION BY acteur_uid ORDER BY prise, fin NULLS LAST, mandat_uid) AS avant FROM tk WHERE type_organe = 'ASSEMBLEE' AND prise IS NOT NULL AND acteur_uid IS NOT NULL),
-s AS (SELECT acteur_uid, count(*) AS n_periodes, bool_or(coalesce(d > avant + 1, false)) AS mandat_interrompu, min(d) AS mandat_debut, CASE WHEN bool_or(fin IS NULL) THEN NULL ELSE max(fin) END AS mandat_fin FROM st GROUP BY 1),
-g AS (SELECT acteur_uid, count(DISTINCT organe_uid) AS nb_groupes FROM man WHERE type_organe = 'GP' GROUP BY 1),
-gl AS (SELECT acteur_uid, organe_uid AS groupe_uid FROM man WHERE type_organe = 'GP' QUALIFY row_number() OVER (PARTITION BY acteur_uid ORDER BY (fin IS NULL) DESC, debut DESC NULLS LAST, mandat_uid DESC) = 1)
-SELECT acteur_uid, n_periodes, mandat_interrompu, mandat_debut, mandat_fin, groupe_uid, nb_groupes FROM s LEFT JOIN g USING (acteur_uid) LEFT JOIN gl USING (acteur_uid)"""))
+@query(sql("man org", _BUILT + """SELECT acteur_uid, n_periodes, n_interruptions, mandat_interrompu, mandat_debut_d, mandat_fin_d, strftime(mandat_debut_d, '%Y-%m-%d') AS mandat_debut, strftime(mandat_fin_d, '%Y-%m-%d') AS mandat_fin, departement, num_departement, num_circo, region,
+gl.groupe_uid, groupe_qualite, nb_groupes_legislature, org.libelle AS groupe_libelle, org.libelle_abrev AS groupe, org.position_politique AS groupe_position, prenom, nom, profession, prenom || ' ' || nom AS nom_complet, mandat_fin_d IS NULL AS en_exercice
+FROM s LEFT JOIN g USING (acteur_uid) LEFT JOIN gl USING (acteur_uid) LEFT JOIN pe USING (acteur_uid) LEFT JOIN org ON org.organe_uid = gl.groupe_uid"""))
 def deputes_construits(a: Assembly) -> DataFrame:
-    m = _built_members(a)
-    return m.select("acteur_uid", F.size("periodes_mandat").alias("n_periodes"), "mandat_interrompu", "mandat_debut", "mandat_fin", "groupe_uid", "nb_groupes")
+    m = _built_members(a).withColumn("n_periodes", F.size("periodes_mandat")).withColumn("n_interruptions", F.size("interruptions"))
+    return m.drop("periodes_mandat", "interruptions", "civilite", "date_naissance", "date_deces", "cat_socio_pro", "uri_hatvp")
 
 
-@query()
+@query(sql("man org", _BUILT + """, h AS (SELECT acteur_uid, strftime(avant + 1, '%Y-%m-%d') AS debut, strftime(d - 1, '%Y-%m-%d') AS fin FROM st WHERE d > avant + 1) SELECT acteur_uid, debut, fin FROM h"""))
 def interruptions(a: Assembly) -> DataFrame:
     """The gaps between a member's seat periods, as found."""
-    return _built_members(a).where("mandat_interrompu").select("acteur_uid", "periodes_mandat", "interruptions")
+    return _built_members(a).where("mandat_interrompu").select("acteur_uid", F.explode("interruptions").alias("i")).select("acteur_uid", "i.debut", "i.fin")
 
 
 def _built_members(a: Assembly) -> DataFrame:
-    from .problems import latest
-
     m = a.raw("mandats")
-    end = day("date_fin")
-    m = m.select(
-        key("mandat_uid").alias("mandat_uid"), key("acteur_uid").alias("acteur_uid"), key("organe_uid").alias("organe_uid"), key("type_organe").alias("type_organe"), day("date_debut").alias("debut"),
-        F.when(F.year(end) < OPEN_YEAR, end).alias("fin"), "date_prise_fonction", "recu_le",
-    )
-    return ingest.members(latest(m.where(F.col("mandat_uid").isNotNull()), ["mandat_uid"]))
+    keys = ("mandat_uid", "acteur_uid", "type_organe", "organe_uid")
+    m = m.select(*[key(c).alias(c) for c in keys], *[c for c in m.columns if c not in keys])
+    people = a.raw("deputes").select(key("acteur_uid").alias("acteur_uid"), "civilite", "prenom", "nom", "date_naissance", "date_deces", "profession", "cat_socio_pro", "uri_hatvp", "recu_le")
+    people = latest(people.where(F.col("acteur_uid").isNotNull()), ["acteur_uid"]).drop("recu_le")
+    return ingest.members(latest(m.where(F.col("mandat_uid").isNotNull()), ["mandat_uid"]).drop("recu_le"), people, a.bodies)
 
 
 @query("WITH c AS (SELECT titre, n_pour, n_contre, coalesce(titre, '') AS t, recu_le, scrutin_uid FROM scrutins)" + """
@@ -652,17 +697,6 @@ ki AS (SELECT *, len(mots) > 1 AND list_has_all(al, mots) AND sz <= 3 AS inside
 un AS (SELECT * FROM ki QUALIFY row_number() OVER (PARTITION BY semaine, n_docs, round(attendu, 3) ORDER BY inside DESC, CASE WHEN inside THEN -length(terme) END, len(mots), length(terme), score DESC, terme) = 1)"""
 
 
-#: Entities as they occur in the statements.
-_ENTITIES = {"&nbsp;": " ", "&eacute;": "é", "&agrave;": "à", "&egrave;": "è", "&lt;": "<", "&gt;": ">"} | {f"&#x{ord(c):04X};": c for c in "éàèêûÀôîâçÉÈÊù"}
-
-
-def _once_sql(t: str) -> str:
-    """Entities decoded once: those of the ampersand last."""
-    for k, v in _ENTITIES.items():
-        t = f"replace({t}, '{k}', '{v}')"
-    return f"replace({t}, '&amp;', '&')"
-
-
 _STATEMENT = _once_sql(f"regexp_replace({_once_sql('expose_sommaire')}, '<[^>]+>', ' ', 'g')")
 _CORPUS = f""", nm AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(concat_ws(' ', prenom, nom))), '[a-z]{{3,}}')) AS mot FROM deputes),
 cp AS (SELECT scrutin_uid AS id, jour, titre AS t FROM ev WHERE titre IS NOT NULL UNION ALL SELECT amendement_uid, jour, coalesce(division_titre, '') || ' ' || coalesce({_STATEMENT}, '') FROM am),

@@ -52,7 +52,8 @@ class Catalog:
     def load(self, name: str) -> DataFrame:
         if not self.has(name):
             raise FileNotFoundError(f"{self.path(name)}: build the tables first")
-        return self.spark.read.parquet(self.path(name))
+        reader = self.spark.read.schema(schema(name)) if name in SCHEMAS else self.spark.read
+        return reader.parquet(self.path(name))
 
     def optional(self, name: str) -> DataFrame | None:
         """None switches the features that need the table off."""

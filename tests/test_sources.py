@@ -58,11 +58,41 @@ def test_ingest_of_untidy_documents(spark):
 
 
 def test_members_from_mandates(spark):
-    m = [("a", "ASSEMBLEE", "X", "1", "2024-07-01", "2025-01-31", "2024-07-08"), ("a", "ASSEMBLEE", "X", "2", "2025-02-01", None, None), ("b", "ASSEMBLEE", "X", "3", "2024-07-08", "2024-10-21", None), ("b", "ASSEMBLEE", "X", "4", "2025-11-06", None, None), ("a", "GP", "G1", "5", "2024-07-08", "2024-12-01", None), ("a", "GP", "G2", "6", "2024-09-01", None, None)]
-    df = spark.createDataFrame(m, "acteur_uid string, type_organe string, organe_uid string, mandat_uid string, d string, f string, date_prise_fonction string").withColumn("debut", F.to_date("d")).withColumn("fin", F.to_date("f"))
-    got = {r["acteur_uid"]: r for r in ingest.members(df).collect()}
-    assert got["a"]["mandat_interrompu"] is False and got["a"]["periodes_mandat"][0]["debut"] == "2024-07-08" and got["a"]["groupe_uid"] == "G2" and got["a"]["nb_groupes"] == 2
-    assert got["b"]["mandat_interrompu"] is True and [tuple(x) for x in got["b"]["interruptions"]] == [("2024-10-22", "2025-11-05")] and got["b"]["mandat_fin"] is None
+    m = [("a", "ASSEMBLEE", "X", "1", "2024-07-01", "2025-01-31", "2024-07-08", None, "01"), ("a", "ASSEMBLEE", "X", "2", "2025-02-01", None, None, None, None), ("b", "ASSEMBLEE", "X", "3", "2024-07-08", "2024-10-21", None, None, "02"), ("b", "ASSEMBLEE", "X", "4", "2025-11-06", None, None, None, "03"), ("a", "GP", "G1", "5", "2024-07-08", "2024-12-01", None, "Membre", None), ("a", "GP", "G2", "6", "2024-09-01", None, None, "Présidente", None), ("c", "GP", "G2", "7", "2024-09-01", None, None, "Membre", None)]
+    df = spark.createDataFrame(m, "acteur_uid string, type_organe string, organe_uid string, mandat_uid string, date_debut string, date_fin string, date_prise_fonction string, qualite string, num_departement string")
+    df = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("departement", "num_circo", "region", "legislature")])
+    people = spark.createDataFrame([("a", "Ana", "Li"), ("b", None, "Bo")], "acteur_uid string, prenom string, nom string")
+    groups = spark.createDataFrame([("G2", "Groupe deux", "GD", "Minoritaire")], "organe_uid string, libelle string, libelle_abrev string, position_politique string")
+    got = {r["acteur_uid"]: r for r in ingest.members(df, people, groups).collect()}
+    a, b = got["a"], got["b"]
+    assert a["mandat_interrompu"] is False and a["periodes_mandat"][0]["debut"] == "2024-07-08" and a["groupe_uid"] == "G2" and a["nb_groupes_legislature"] == 2
+    assert (a["groupe"], a["groupe_qualite"], a["nom_complet"], a["en_exercice"], a["num_departement"]) == ("GD", "Présidente", "Ana Li", True, "01")
+    assert b["mandat_interrompu"] is True and [tuple(x) for x in b["interruptions"]] == [("2024-10-22", "2025-11-05")] and b["mandat_fin"] is None
+    assert (b["nom_complet"], b["num_departement"], b["groupe"]) == (None, "03", None) and set(got) == {"a", "b"}
+
+
+def test_all_tables_from_raw_documents(spark, tmp_path):
+    seat = {"uid": "PM1", "typeOrgane": "ASSEMBLEE", "legislature": "17", "dateDebut": "2024-07-01", "dateFin": NIL, "mandature": {"datePriseFonction": "2024-07-08"}, "organes": {"organeRef": "PO1"}, "election": {"lieu": {"departement": "Ain", "numDepartement": "01", "numCirco": "2", "region": {"#text": "ARA"}}}}
+    group = {"uid": "PM2", "typeOrgane": "GP", "legislature": "17", "dateDebut": "2024-07-10", "dateFin": None, "infosQualite": {"codeQualite": "Membre"}, "organes": {"organeRef": ["PO2", "PO2"]}}
+    person = {"acteur": {"uid": {"#text": "pa1"}, "etatCivil": {"ident": {"civ": "Mme", "prenom": "Ana", "nom": "Li"}, "infoNaissance": {"dateNais": "1980-01-02"}, "dateDeces": NIL}, "profession": {"libelleCourant": "Juge", "socProcINSEE": {"catSocPro": "Cadres"}}, "uri_hatvp": NIL, "mandats": {"mandat": [seat, group]}}}
+    body = {"organe": {"uid": "PO2", "codeType": "GP", "libelle": "Groupe deux", "libelleAbrev": "GD", "viMoDe": {"dateDebut": "2024-07-01"}}}
+    event = {"scrutin": {"uid": "VT1", "numero": "7", "dateScrutin": "2024-09-01", "titre": "l'ensemble", "sort": {"code": "adopté", "libelle": "L'a"}, "demandeur": {"texte": "x"}, "seanceRef": "RU1", "syntheseVote": {"suffragesExprimes": "1", "decompte": {"pour": "1"}}, "ventilationVotes": {"organe": {"groupes": {"groupe": {"organeRef": "PO2", "vote": {"decompteNominatif": {"pours": {"votant": {"acteurRef": "PA1"}}}}}}}}}}
+    am = {"amendement": {"uid": "AM1", "identification": {"numeroOrdreDepot": "12"}, "signataires": {"auteur": {"acteurRef": "PA1"}}, "cycleDeVie": {"sort": "Adopté", "dateSort": "2024-09-02"}, "pointeurFragmentTexte": {"division": {"titre": "Article 1", "articleDesignationCourte": "ART. 1"}}, "corps": {"contenuAuteur": {"exposeSommaire": "&lt;p&gt;Eau&lt;/p&gt;"}}}}
+    later = json.loads(json.dumps(event))
+    later["scrutin"]["titre"] = "l'article 2"
+    rows = [("acteur", person, 1), ("organe", body, 1), ("scrutin", event, 1), ("scrutin", later, 2), ("amendement", am, 1)]
+    raw = spark.createDataFrame([(f, json.dumps(d), "a/DLR9/x.json", dt.datetime(2024, 1, k)) for f, d, k in rows] + [("acteur", '{"acteur": {"uid"', "", None)], "famille string, contenu string, chemin string, recu_le timestamp")
+    c = ingest.build_all(spark, raw, str(tmp_path), "17")
+    d = c.load("deputes").first()
+    assert (d["acteur_uid"], d["nom_complet"], d["groupe"], d["departement"], d["region"], d["en_exercice"], d["mandat_debut_d"], d["cat_socio_pro"]) == ("PA1", "Ana Li", "GD", "Ain", "ARA", True, dt.date(2024, 7, 8), "Cadres")
+    assert {(r["mandat_uid"], r["organe_uid"], r["qualite"]) for r in c.load("mandats").collect()} == {("PM1", "PO1", None), ("PM2", "PO2", "Membre")}
+    e = c.load("scrutins").first()
+    assert (e["titre"], e["categorie"], e["sort_code"], e["seance_uid"], e["demandeur"], e["suffrages_exprimes"]) == ("l'article 2", "article", "adopté", "RU1", "x", 1)
+    assert [(r["n_pour"], r["majoritaire"]) for r in c.load("positions_groupe").collect()] == [(1, "pour")]
+    m = c.load("amendements").first()
+    assert (m["numero"], m["sort"], m["expose_sommaire"], m["division_titre"], m["division_article"], m["dossier_uid"], m["date_sort"]) == ("12", "Adopté", "Eau", "Article 1", "ART. 1", "DLR9", "2024-09-02")
+    for name in catalog.SCHEMAS:
+        assert c.load(name).schema == catalog.schema(name), name
 
 
 def test_downloads(tmp_path):
