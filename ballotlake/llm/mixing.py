@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,17 +22,22 @@ class Plan:
     budget: int
     copies: int
     extra: dict[int, int]
+    most_of_a_length: int = 0
 
     @property
     def tokens(self) -> int:
         return self.copies * self.available + sum(n * x for n, x in self.extra.items())
 
 
-def fit(lengths: dict[int, int], budget: int, window: int = 60_000) -> dict[int, int]:
+#: How many times the longest length is left for the program, so that it has documents to choose from.
+ROOM = 20
+
+
+def fit(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their sum is as near below ``budget`` as can be.
 
-    A proportional share of every length comes first, so that the choice resembles the source; what it leaves is filled from the longest down
-    until at most ``window`` is left, and a bounded-knapsack program over reachable sums fills that.
+    A proportional share of every length comes first, so that the choice resembles the source; then one more of the lengths whose share lost most to rounding, until no more than
+    ROOM times the longest length is left; two of each of the 64 shortest lengths are given back. So what is left is bounded by the longest text and by nothing else, and a bounded-knapsack program over reachable sums fills all of it.
     """
     total = sum(n * c for n, c in lengths.items())
     if budget <= 0 or not total:
@@ -40,12 +46,17 @@ def fit(lengths: dict[int, int], budget: int, window: int = 60_000) -> dict[int,
         return dict(lengths)
     take = {n: c * budget // total for n, c in lengths.items()}
     rest = budget - sum(n * x for n, x in take.items())
-    for n in sorted(lengths, reverse=True):
-        if rest <= window:
+    longest = ROOM * max(lengths)
+    for n in sorted(lengths, key=lambda n: (-(lengths[n] * budget % total), n)):
+        if rest <= longest:
             break
-        x = min(lengths[n] - take[n], (rest - window) // n + 1, rest // n)
-        take[n] += x
-        rest -= n * x
+        if take[n] < lengths[n]:
+            take[n] += 1
+            rest -= n
+    for n in sorted(lengths)[:64]:  # a few of the shortest are given back, since they fit where others don't
+        back = min(take[n], 2)
+        take[n] -= back
+        rest += n * back
     left = {n: min(lengths[n] - take[n], rest // n) for n in lengths if 0 < n <= rest and lengths[n] > take[n]}
     for n, x in knapsack(left, rest).items():
         take[n] += x
@@ -54,7 +65,9 @@ def fit(lengths: dict[int, int], budget: int, window: int = 60_000) -> dict[int,
 
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     """The counts within ``counts`` whose sum is the largest not above ``budget``: dynamic programming over
-    reachable sums, each a bit, with the count of a length split in powers of two."""
+    reachable sums, each a bit (in units of the common divisor), with the count of a length split in powers of two."""
+    unit = gcd(*counts) or 1
+    counts, budget = {n // unit: c for n, c in counts.items()}, budget // unit
     mask = (1 << (budget + 1)) - 1
     reach, steps = 1, []
     for n in sorted(counts):
@@ -70,7 +83,7 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     at, taken = reach.bit_length() - 1, {}
     for n, k, before in reversed(steps):
         if not before >> at & 1:
-            taken[n] = taken.get(n, 0) + k
+            taken[n * unit] = taken.get(n * unit, 0) + k
             at -= n * k
     return taken
 
@@ -91,7 +104,7 @@ def plan_mix(histogram: dict[str, dict[int, int]], weights: dict[str, tuple[floa
         lengths = {n: c for n, c in histogram.get(s, {}).items() if n > 0}
         budget = min(round(total * w / norm), m * size[s])
         copies = budget // size[s] if size[s] else 0
-        plans.append(Plan(s, w, m, sum(histogram.get(s, {}).values()), size[s], budget, copies, fit(lengths, budget - copies * size[s]) if copies < m else {}))
+        plans.append(Plan(s, w, m, sum(histogram.get(s, {}).values()), size[s], budget, copies, fit(lengths, budget - copies * size[s]) if copies < m else {}, max(lengths.values(), default=0)))
     return plans
 
 
@@ -103,33 +116,38 @@ def length_histogram(sized: DataFrame, source: str, n_tokens: str) -> dict[str,
     return out
 
 
-def select(sized: DataFrame, plans: list[Plan], key: str, source: str, n_tokens: str, seed: int = 42, buckets: int = 256) -> DataFrame:
+def select(sized: DataFrame, plans: list[Plan], key: str, source: str, n_tokens: str, seed: int = 42, to_rank: int = 20_000) -> DataFrame:
     """Columns of ``sized`` and ``copies`` (at least 1; a column of that name is replaced) of the documents in the mix. Documents without a source
     or of one without a weight take no part; rows that repeat are documents of their own.
 
-    Within a source and length the documents come in the order of a seeded hash of ``key``. Their rank is found in two steps - counts of hash
-    ranges first, then within one range - so no task sorts all documents of a length.
+    Within a source and length the documents come in the order of a seeded hash of ``key``. The hash is cut into ranges of about ``to_rank`` documents of the commonest length, however
+    many there are; counts of the ranges tell which lie wholly within the number wanted and in which one it ends. Only the documents of that range are ranked.
     """
     spark, sized = sized.sparkSession, sized.drop("copies")
-    rows = [(p.source, n, p.copies, x) for p in plans for n, x in p.extra.items()]
-    wanted = spark.createDataFrame(rows, "__s string, __n bigint, __c bigint, __x bigint")
+    most = max((p.most_of_a_length for p in plans), default=0)
+    bits = min(30, max(1, -(-most // to_rank) - 1).bit_length())
+    rows = [(p.source, n, x) for p in plans for n, x in p.extra.items()]
+    wanted = spark.createDataFrame(rows, "__s string, __n bigint, __x bigint")
     whole = spark.createDataFrame([(p.source, p.copies) for p in plans], "__s string, __copies bigint")
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    d = sized.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned("__h", 64 - (buckets - 1).bit_length()))
+    d = sized.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__b", F.shiftrightunsigned("__h", 64 - bits))
     d = d.join(F.broadcast(whole), F.col(source) == F.col("__s")).drop("__s")
     group = [source, n_tokens]
     ranges = d.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__k"))
     ranges = ranges.withColumn("__before", F.sum("__k").over(W.partitionBy(*group).orderBy("__b")) - F.col("__k"))
-    ranges = ranges.join(wanted, (F.col(source) == F.col("__s")) & (F.col(n_tokens) == F.col("__n"))).where(F.col("__before") < F.col("__x"))
-    ranges = ranges.select(F.col(source).alias("__s"), F.col(n_tokens).alias("__n"), F.col("__b").alias("__rb"), "__before", "__x")
-    j = d.join(ranges, (F.col(source) == F.col("__s")) & (F.col(n_tokens) == F.col("__n")) & (F.col("__b") == F.col("__rb")), "left")
-    rank = F.row_number().over(W.partitionBy(*group, "__b").orderBy("__h", key)) + F.col("__before")
-    j = j.withColumn("__once", F.when(F.col("__x").isNotNull() & (rank <= F.col("__x")), 1).otherwise(0))
-    return j.withColumn("copies", F.col("__copies") + F.col("__once")).where(F.col("copies") > 0).select(*sized.columns, "copies")
+    ends = ranges.join(wanted, (F.col(source) == F.col("__s")) & (F.col(n_tokens) == F.col("__n"))).where((F.col("__before") < F.col("__x")) & (F.col("__before") + F.col("__k") >= F.col("__x")))
+    ends = ends.select(F.col("__s").alias("__es"), F.col("__n").alias("__en"), F.col("__b").alias("__eb"), (F.col("__x") - F.col("__before")).alias("__more"))
+    j = d.join(ends, (F.col(source) == F.col("__es")) & (F.col(n_tokens) == F.col("__en")), "left")
+    at_end = F.coalesce(F.col("__b") == F.col("__eb"), F.lit(False))
+    sure = j.where(~at_end).withColumn("__once", F.when(F.col("__b") < F.col("__eb"), 1).otherwise(0))
+    rank = F.row_number().over(W.partitionBy(*group).orderBy("__h", key))
+    last = j.where(at_end).withColumn("__once", F.when(rank <= F.col("__more"), 1).otherwise(0))
+    both = sure.unionByName(last)
+    return both.withColumn("copies", F.col("__copies") + F.col("__once")).where(F.col("copies") > 0).select(*sized.columns, "copies")
 
 
 def report(selected: DataFrame, plans: list[Plan], source: str, n_tokens: str) -> DataFrame:
-    """Per source: what it has, its target, and what the selection really holds. Sums come from the selected rows."""
+    """Per source: what it has, its target, and what the selection really holds. Sums come from the selected rows. ``manque``: tokens short of the aim, an upper bound
+    of the distance to the best choice there is."""
     spark = selected.sparkSession
     rows = [(p.source, p.weight, p.most, p.documents, p.available, p.budget) for p in plans]
     base = spark.createDataFrame(rows, "source string, poids double, repetitions_max bigint, documents bigint, tokens bigint, tokens_vises bigint")
@@ -137,5 +155,6 @@ def report(selected: DataFrame, plans: list[Plan], source: str, n_tokens: str) -
         F.count(F.lit(1)).alias("documents_retenus"), F.sum("copies").alias("exemplaires"), F.sum(F.col("copies") * F.col(n_tokens)).alias("tokens_retenus"), F.max("copies").alias("repetitions")
     )
     j = base.join(got, "source", "left").na.fill(0, ["documents_retenus", "exemplaires", "tokens_retenus", "repetitions"])
+    j = j.withColumn("manque", F.col("tokens_vises") - F.col("tokens_retenus"))
     all_tokens = F.sum("tokens_retenus").over(W.partitionBy())
     return j.withColumn("part", F.when(all_tokens > 0, F.col("tokens_retenus") / all_tokens)).withColumn("ecart", F.col("part") - F.col("poids"))

@@ -233,6 +233,31 @@ def test_fit_of_large_budgets():
         assert budget - 10 <= sum(n * x for n, x in take.items()) <= budget or budget > total
 
 
+def test_what_is_left_is_bounded_by_the_longest_text(monkeypatch):
+    rng = random.Random(5)
+    seen = []
+    program = mixing.knapsack
+    monkeypatch.setattr(mixing, "knapsack", lambda counts, rest: seen.append(rest) or program(counts, rest))
+    for _ in range(60):
+        lengths = {rng.randrange(1, 5000): rng.randrange(1, 10 ** rng.randrange(1, 7)) for _ in range(rng.randrange(1, 200))}
+        budget = rng.randrange(1, sum(n * c for n, c in lengths.items()) + 1)
+        take = mixing.fit(lengths, budget)
+        assert all(0 <= x <= lengths[n] for n, x in take.items()) and 0 <= budget - sum(n * x for n, x in take.items()) <= max(lengths)
+        assert not seen or seen.pop() <= (mixing.ROOM + 128) * max(lengths)
+
+
+def test_only_the_last_range_is_ranked(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), (F.col("id") % 3 + 1).alias("n_tokens"))
+    weights = {"a": (1.0, 2)}
+    histogram = mixing.length_histogram(df, "source", "n_tokens")
+    pick = lambda total, r: {(x["doc_id"], x["copies"]) for x in mixing.select(df, mixing.plan_mix(histogram, weights, total), "doc_id", "source", "n_tokens", to_rank=r).collect()}
+    for total in (1, 777, 4999, 12345):
+        few, all_ = pick(total, 40), pick(total, 10**9)
+        assert few == all_
+        n = {x: y for x, y in few}
+        assert sum((k % 3 + 1) * c for k, c in n.items()) == total
+
+
 def test_mix_reaches_its_shares(spark):
     rng = random.Random(1)
     rows = [(i, s, n) for i, (s, n) in enumerate([("a", rng.randrange(1, 400)) for _ in range(900)] + [("b", rng.randrange(1, 400)) for _ in range(60)] + [("c", 50)] * 200 + [(None, 9), ("zero", 0), ("sans", 8)])]
