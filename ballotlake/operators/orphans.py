@@ -12,16 +12,17 @@ MATCHES = ("simple", "partial", "full")
 
 
 def parent_registry(parents: DataFrame, on: Sequence[str], seen: str, removed: DataFrame | None, removed_at: str) -> DataFrame:
-    """One row per parent key: ``on``, ``first_seen``, ``removed_at`` (first logged removal, null if none).
+    """One row per parent key: ``on``, ``first_seen``, ``removed_at`` (first logged removal, null if none). Key columns may be null, and null is then part of the key.
 
     A repeated parent counts from the first time it was received. ``removed`` has ``on`` and
-    ``removed_at``; keys in it that are no parents are of no use and fall away.
+    ``removed_at``; keys in it that are no parents are of no use and fall away. Both are summed in one pass, combined before the shuffle.
     """
-    found = parents.groupBy(*on).agg(F.min(seen).alias("first_seen"))
-    if removed is None:
-        return found.withColumn("removed_at", F.lit(None).cast("timestamp"))
-    gone = removed.groupBy(*on).agg(F.min(removed_at).alias("removed_at"))
-    return found.join(gone, list(on), "left")
+    at = lambda d, c, r, p: d.select(*on, c.cast("timestamp").alias("first_seen"), r.cast("timestamp").alias("removed_at"), F.lit(p).alias("__parent"))
+    rows = at(parents, F.col(seen), F.lit(None), 1)
+    if removed is not None:
+        rows = rows.unionByName(at(removed, F.lit(None), F.col(removed_at), 0))
+    sums = rows.groupBy(*on).agg(F.min("first_seen").alias("first_seen"), F.min("removed_at").alias("removed_at"), F.max("__parent").alias("__parent"))
+    return sums.where(F.col("__parent") == 1).drop("__parent")
 
 
 def orphan_references(refs: DataFrame, registry: DataFrame, on: Sequence[str], seen: str, match: str = "simple") -> DataFrame:
@@ -46,11 +47,12 @@ def orphan_references(refs: DataFrame, registry: DataFrame, on: Sequence[str], s
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     n = len(on)
-    mask = sum((F.when(F.col(f"r.`{c}`").isNull(), 1 << i).otherwise(0) for i, c in enumerate(on)), F.lit(0))
-    masked = refs.alias("r").withColumn("__mask", mask)
     parts = []
     for given in (c for k in range(n, 0, -1) for c in combinations(range(n), k)):
-        rows = masked.where(F.col("__mask") == sum(1 << i for i in range(n) if i not in given))
+        # null tests instead of a number for the mask: where a source has a column of nulls only, the planner sees that a mask has no rows there and leaves its join out
+        rows = refs
+        for i, c in enumerate(on):
+            rows = rows.where(F.col(f"`{c}`").isNotNull() if i in given else F.col(f"`{c}`").isNull())
         if len(given) < n:
             if match == "simple":
                 continue
@@ -73,9 +75,10 @@ def orphan_references(refs: DataFrame, registry: DataFrame, on: Sequence[str], s
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.drop("__mask")
+    return out
 
 
-def orphans_by_period(orphans: DataFrame, name: str, seen: str, unit: str = "month") -> DataFrame:
-    """Orphan rows and distinct keys per table and period of receipt."""
-    return orphans.groupBy(name, F.to_date(F.date_trunc(unit, seen)).alias("periode")).agg(F.count(F.lit(1)).alias("n_lignes"))
+def orphans_by_period(orphans: DataFrame, name: str, seen: str, on: Sequence[str], unit: str = "month") -> DataFrame:
+    """Orphan rows and distinct keys per table and period of receipt; rows without a time have the period null."""
+    rows = orphans.groupBy(name, F.to_date(F.date_trunc(unit, seen)).alias("periode"), *on).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(name, "periode").agg(F.sum("n").alias("n_lignes"), F.count(F.lit(1)).alias("n_cles"))

@@ -23,30 +23,43 @@ def mandates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The three kinds of references and the registry of what they refer to, under the composite key (cible, cle)."""
-
-    def refs(name: str, column: str, target: str) -> DataFrame:
-        t = table(spark, sf, name)
-        return t.select(F.lit(name).alias("nom_table"), key("scrutin_uid").alias("scrutin_uid"), F.lit(target).alias("cible"), key(column).alias("cle"), "recu_le")
+#: What refers to what: table, column, and the table it names. Each column is a part of one composite key, null where a reference does not have it.
+REFERENCES = (("votes", "acteur_uid", "deputes", "acteur_uid"), ("positions_groupe", "groupe_uid", "organes", "organe_uid"), ("scrutins", "dossier_uid", "dossiers", "dossier_uid"))
+KEY = ["acteur_uid", "groupe_uid", "dossier_uid"]
 
-    def parents(name: str, column: str) -> DataFrame:
-        return table(spark, sf, name).select(F.lit(name).alias("cible"), key(column).alias("cle"), "recu_le")
 
-    all_refs = refs("votes", "acteur_uid", "deputes").unionByName(refs("positions_groupe", "groupe_uid", "organes")).unionByName(refs("scrutins", "dossier_uid", "dossiers"))
-    all_parents = parents("deputes", "acteur_uid").unionByName(parents("organes", "organe_uid")).unionByName(parents("dossiers", "dossier_uid"))
-    gone = table(spark, sf, "suppressions").select(F.lower(F.trim("nom_table")).alias("cible"), key("cle").alias("cle"), "supprime_le")
-    return all_refs, parent_registry(all_parents, ["cible", "cle"], "recu_le", gone, "supprime_le")
+def references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All references (nom_table, scrutin_uid, KEY, recu_le) and the registry of what they refer to, under the composite key KEY with nulls in the parts a row does not name."""
+    none = F.lit(None).cast("string")
+    at = lambda column, value: [(value if c == column else none).alias(c) for c in KEY]
+    refs = [table(spark, sf, t).select(F.lit(t).alias("nom_table"), key("scrutin_uid").alias("scrutin_uid"), *at(c, key(c)), "recu_le") for t, c, _, _ in REFERENCES]
+    parents = [table(spark, sf, p).select(*at(c, key(k)), "recu_le") for _, c, p, k in REFERENCES]
+    gone = table(spark, sf, "suppressions")
+    removed = [gone.where(F.lower(F.trim("nom_table")) == p).select(*at(c, key("cle")), "supprime_le") for _, c, p, _ in REFERENCES]
+    union = lambda x: x[0].unionByName(x[1]).unionByName(x[2])
+    return union(refs), parent_registry(union(parents), KEY, "recu_le", union(removed), "supprime_le")
+
+
+def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+    refs, registry = references(spark, sf)
+    return orphan_references(refs, registry, KEY, "recu_le", "partial")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    refs, registry = references(spark, sf)
-    return orphan_references(refs, registry, ["cible", "cle"], "recu_le").select("nom_table", "scrutin_uid", "cle").distinct()
+    """The null mask of a reference tells what it names; each mask is anti-joined on the column it has."""
+    return _orphans(spark, sf).select("nom_table", "scrutin_uid", F.coalesce(*KEY).alias("cle")).distinct()
 
 
 def p1_periodes(spark: SparkSession, sf: str) -> DataFrame:
-    refs, registry = references(spark, sf)
-    return orphans_by_period(orphan_references(refs, registry, ["cible", "cle"], "recu_le"), "nom_table", "recu_le")
+    return orphans_by_period(_orphans(spark, sf), "nom_table", "recu_le", KEY)
+
+
+def p1_lignes(spark: SparkSession, sf: str, match: str = "partial") -> DataFrame:
+    """Ballots whose (event, group) is no group position on file when they were received, per month: a key of two columns of which either may be missing."""
+    on = ["scrutin_uid", "groupe_uid"]
+    v = table(spark, sf, "votes").select(F.lit("votes").alias("nom_table"), *[key(c).alias(c) for c in on], "recu_le")
+    p = table(spark, sf, "positions_groupe").select(*[key(c).alias(c) for c in on], "recu_le")
+    return orphans_by_period(orphan_references(v, parent_registry(p, on, "recu_le", None, ""), on, "recu_le", match), "nom_table", "recu_le", on)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,6 +136,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_periodes": p1_periodes,
+    "p1_lignes": p1_lignes,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_variantes": p4_variantes,
@@ -220,7 +234,14 @@ WHERE parent IS NOT NULL AND enfant IS NOT NULL AND valeur IS NOT NULL""",
   UNION ALL SELECT brut_id, 'votant' FROM v WHERE json_exists(v, '$.acteurRef') UNION ALL SELECT brut_id, 'auteur' FROM au WHERE json_exists(a, '$.acteurRef'))
 SELECT sous_type, count(*) AS n_lignes, count(DISTINCT brut_id) AS n_documents FROM n GROUP BY 1""",
     "p1_found": _REFS + "SELECT DISTINCT nom_table, scrutin_uid, cle FROM orphans",
-    "p1_periodes": _REFS + "SELECT nom_table, CAST(date_trunc('month', recu_le) AS date) AS periode, count(*) AS n_lignes FROM orphans GROUP BY 1, 2",
+    "p1_periodes": _REFS + "SELECT nom_table, CAST(date_trunc('month', recu_le) AS date) AS periode, count(*) AS n_lignes, count(DISTINCT cle) AS n_cles FROM orphans GROUP BY 1, 2",
+    "p1_lignes": f"""
+WITH v AS (SELECT {_k('scrutin_uid')} AS s, {_k('groupe_uid')} AS g, recu_le FROM votes),
+p AS (SELECT {_k('scrutin_uid')} AS s, {_k('groupe_uid')} AS g, min(recu_le) AS vu FROM positions_groupe GROUP BY 1, 2),
+ps AS (SELECT s, min(vu) AS vu FROM p WHERE s IS NOT NULL GROUP BY 1), pg AS (SELECT g, min(vu) AS vu FROM p WHERE g IS NOT NULL GROUP BY 1),
+o AS (SELECT v.* FROM v LEFT JOIN p ON p.s = v.s AND p.g = v.g LEFT JOIN ps ON ps.s = v.s LEFT JOIN pg ON pg.g = v.g
+  WHERE CASE WHEN v.s IS NOT NULL AND v.g IS NOT NULL THEN p.vu IS NULL OR p.vu > v.recu_le WHEN v.s IS NOT NULL THEN ps.vu IS NULL OR ps.vu > v.recu_le WHEN v.g IS NOT NULL THEN pg.vu IS NULL OR pg.vu > v.recu_le ELSE false END)
+SELECT 'votes' AS nom_table, CAST(date_trunc('month', recu_le) AS date) AS periode, count(*) AS n_lignes, count(DISTINCT (s, g)) AS n_cles FROM o GROUP BY 1, 2""",
     "p3_found": f"""
 WITH {_MANDATS}, last AS (
   SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY mandat_uid ORDER BY recu_le DESC, acteur_uid DESC, organe_uid DESC, type_organe DESC, debut DESC, fin DESC) = 1

@@ -76,7 +76,20 @@ def test_orphans_of_empty_tables(spark, registry):
     nobody = parent_registry(spark.createDataFrame([], "x string, y string, vu timestamp"), ["x", "y"], "vu", None, "le")
     one = refs(spark, [case(1, "A", "1", T(2020, 1, 2))])
     assert orphan_references(one, nobody, ["x", "y"], "at", "partial").count() == 1
-    assert rows(orphans_by_period(one, "x", "at")) == [("A", D(2020, 1, 1), 1)]
+    assert rows(orphans_by_period(one.unionByName(one), "x", "at", ["x", "y"])) == [("A", D(2020, 1, 1), 2, 1)]
+
+
+def test_each_mask_is_joined_on_its_own_column(spark):
+    """References of several kinds as parts of one key: the null mask tells them apart, and masks that cannot occur cost no join."""
+    none = F.lit(None).cast("string")
+    kinds = [spark.createDataFrame([(k, T(2020, 1, 5)) for k in v], "k string, at timestamp").select((F.col("k") if c == "x" else none).alias("x"), (F.col("k") if c == "y" else none).alias("y"), "at") for c, v in (("x", ["1", "2", None]), ("y", ["1", "3"]))]
+    parents = spark.createDataFrame([("1", None, T(2020, 1, 1)), (None, "3", T(2020, 1, 1)), (None, "1", T(2020, 1, 9))], "x string, y string, at timestamp")
+    gone = spark.createDataFrame([(None, "3", T(2020, 1, 2))], "x string, y string, le timestamp")
+    reg = parent_registry(parents, ["x", "y"], "at", gone, "le")
+    out = orphan_references(kinds[0].unionByName(kinds[1]), reg, ["x", "y"], "at", "partial")
+    assert rows(out, "x", "y") == sorted([("2", None), (None, "1"), (None, "3")], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 2
 
 
 # --- 3
