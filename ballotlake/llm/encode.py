@@ -58,8 +58,9 @@ def split_words(text) -> F.Column:
 class Corpus:
     """The distinct texts of a corpus, cut to words, with the dictionary of its distinct words.
 
-    Equal texts are one (128-bit hash), so a text that a third of all rows repeat is worked on once. The
-    dictionary (word, count, ids) is written to the shared folder: words are counted map-side, then each is encoded once. The ``hot``
+    Equal texts are one (128-bit hash), so a text that a third of all rows repeat is worked on once. Each is cut to words once; the words are written to the shared folder
+    (as files of few distinct values they take less room than the texts) and read from there. The
+    dictionary (word, count, ids) is written too: words are counted map-side, then each is encoded once. The ``hot``
     most frequent words - a bound on rows, not on data - are broadcast; they stand for nearly all occurrences, and no word that is frequent enough to
     skew a join is left for the shuffled rest.
     """
@@ -67,12 +68,13 @@ class Corpus:
     def __init__(self, docs: DataFrame, text: str, vocabulary: str, hot: int = 20000):
         self.docs, self.text = docs.withColumn("__h", text_hash(text)), text
         some = F.col(text).isNotNull() & (F.col(text) != "")
-        self.texts = self.docs.where(some).groupBy("__h").agg(F.first(text).alias("t"))
-        words = docs.where(some).select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        distinct = self.docs.where(some).groupBy("__h").agg(F.first(text).alias("t"))
+        self.texts = written(distinct.select("__h", split_words(F.col("t")).alias("w")), "words")
+        words = self.texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         self.dictionary = written(word_ids(words, vocabulary), "dictionary")
         ranked = self.dictionary.orderBy(F.col("n").desc(), "word").limit(hot).select("word", F.col("ids").alias("hot_ids"))
         self.hot = F.broadcast(written(ranked, "hot"))
-        self.words = self.texts.select("__h", F.posexplode(split_words(F.col("t"))).alias("pos", "word")).join(self.hot, "word", "left")
+        self.words = self.texts.select("__h", F.posexplode("w").alias("pos", "word")).join(self.hot, "word", "left")
         self.rest = self.words.where(F.col("hot_ids").isNull()).select("__h", "pos", "word").join(self.dictionary.select("word", "ids"), "word")
 
     def ids(self, keep: list[str], out: str = "ids") -> DataFrame:
