@@ -58,6 +58,13 @@ def group_agreement(pairs: DataFrame, members: DataFrame, floor: int = 30, by: l
     return out
 
 
+def with_all_pairs(measured: DataFrame, members: DataFrame, zero: tuple[str, ...] = ()) -> DataFrame:
+    """Every ordered pair of the members' groups, with null where nothing was measured (0 in the columns ``zero``). Groups are few beside members; what comes out is their square by definition."""
+    names = members.where(F.col("groupe").isNotNull()).groupBy("groupe").agg(F.lit(1).alias("__one")).agg(F.array_sort(F.collect_list("groupe")).alias("g"))
+    pairs = names.select(F.explode("g").alias("groupe_a"), "g").select("groupe_a", F.explode("g").alias("groupe_b"))
+    return pairs.join(measured, ["groupe_a", "groupe_b"], "left").na.fill(0, list(zero))
+
+
 def cohesion(groups: DataFrame, members: DataFrame) -> DataFrame:
     """The diagonal of :func:`group_agreement` with each group's headcount."""
     size = members.where(F.col("groupe").isNotNull()).groupBy("groupe").agg(F.count(F.lit(1)).alias("effectif"))

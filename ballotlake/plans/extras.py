@@ -103,7 +103,7 @@ def signes_ensemble(a: Assembly) -> DataFrame:
 WHERE groupe_a <> groupe_b AND gg.accord_moyen >= 0.4 AND coalesce(lp.part, 0) < 0.01"""))
 def accord_sans_signature(a: Assembly) -> DataFrame:
     """Groups that vote alike but hardly sign together."""
-    g = agreement.group_agreement(agreement.pair_counts(rollcall._known(a), floor=rollcall.FLOOR), a.members, rollcall.FLOOR).where(F.col("groupe_a") != F.col("groupe_b"))
+    g = agreement.group_agreement(rollcall._pairs(a), a.members, rollcall.FLOOR).where(F.col("groupe_a") != F.col("groupe_b"))
     k = amendments.links_between_groups(amendments.network(amendments.signatures(a.amendments, a.members))[0], a.members)
     j = g.join(k, ["groupe_a", "groupe_b"], "left").select("groupe_a", "groupe_b", "accord_moyen", F.coalesce("part", F.lit(0.0)).alias("part"))
     return j.where((F.col("accord_moyen") >= 0.4) & (F.col("part") < 0.01))
@@ -122,7 +122,7 @@ s8 AS (SELECT a, b FROM jm QUALIFY row_number() OVER (PARTITION BY a ORDER BY ja
 SELECT m.a AS acteur_uid, count(s8.b) AS n_communs FROM m LEFT JOIN v8 ON v8.a = m.a LEFT JOIN s8 ON s8.a = v8.a AND s8.b = v8.b GROUP BY 1"""))
 def voisins_communs(a: Assembly) -> DataFrame:
     """How many of a member's nearest by votes are among its nearest by signatures."""
-    v = agreement.neighbours(agreement.pair_counts(rollcall._known(a), floor=rollcall.FLOOR), a.members, 8, rollcall.FLOOR).groupBy("a").agg(F.collect_set("b").alias("v"))
+    v = agreement.neighbours(rollcall._pairs(a), a.members, 8, rollcall.FLOOR).groupBy("a").agg(F.collect_set("b").alias("v"))
     e, n = amendments.network(amendments.signatures(a.amendments, a.members))
     j = agreement.mirrored(amendments.jaccard(e, n, 1).select("a", "b", "jaccard"))
     s = j.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("jaccard").desc(), "b"))).where(F.col("r") <= 8).groupBy("a").agg(F.collect_set("b").alias("s"))

@@ -395,19 +395,25 @@ def _known(a: Assembly, *cols: str) -> DataFrame:
     return a.expressed.join(a.events.select("scrutin_uid", *cols), "scrutin_uid").join(a.members.select("acteur_uid"), "acteur_uid", "left_semi")
 
 
+def _pairs(a: Assembly, *by: str, floor: int = FLOOR) -> DataFrame:
+    """The counted pairs, written once in a session."""
+    return a._mart(f"pairs-{'-'.join(by)}-{floor}", ["votes", "scrutins", "deputes"], lambda: agreement.pair_counts(_known(a, *by), list(by), floor))
+
+
 @query(sql("ev bal mem", _XM + _PAIRS + "SELECT a, b, accord, communs, round(accord / communs, 6) AS taux FROM pr WHERE communs >= 10"))
 def accord_paires(a: Assembly) -> DataFrame:
-    return agreement.agreement(agreement.pair_counts(_known(a), floor=FLOOR), FLOOR)
+    return agreement.agreement(_pairs(a), FLOOR)
 
 
-@query(sql("ev bal mem", _XM + _PAIRS + "SELECT groupe_a, groupe_b, round(accord_moyen, 6) AS accord_moyen, round(accord_agrege, 6) AS accord_agrege, n_paires, scrutins_communs FROM gg"))
+@query(sql("ev bal mem", _XM + _PAIRS + "SELECT groupe_a, groupe_b, round(accord_moyen, 6) AS accord_moyen, round(accord_agrege, 6) AS accord_agrege, coalesce(n_paires, 0) AS n_paires, coalesce(scrutins_communs, 0) AS scrutins_communs FROM gs x CROSS JOIN gs y LEFT JOIN gg ON groupe_a = x.g AND groupe_b = y.g".replace("SELECT groupe_a, groupe_b, round(accord_moyen", ", gs AS (SELECT DISTINCT groupe AS g FROM mem WHERE groupe IS NOT NULL) SELECT x.g AS groupe_a, y.g AS groupe_b, round(accord_moyen")))
 def accord_groupes(a: Assembly) -> DataFrame:
-    return agreement.group_agreement(agreement.pair_counts(_known(a), floor=FLOOR), a.members, FLOOR)
+    """Every ordered pair of groups; null where no pair of members was measured."""
+    return agreement.with_all_pairs(agreement.group_agreement(_pairs(a), a.members, FLOOR), a.members, ("n_paires", "scrutins_communs"))
 
 
 @query(sql("ev bal mem", _XM + _PAIRS + "SELECT m.groupe, m.effectif, round(accord_moyen, 6) AS cohesion, n_paires FROM (SELECT groupe, count(*) AS effectif FROM mem WHERE groupe IS NOT NULL GROUP BY 1) m LEFT JOIN gg ON groupe_a = m.groupe AND groupe_b = m.groupe"))
 def cohesion_groupes(a: Assembly) -> DataFrame:
-    return agreement.cohesion(agreement.group_agreement(agreement.pair_counts(_known(a), floor=FLOOR), a.members, FLOOR), a.members)
+    return agreement.cohesion(agreement.group_agreement(_pairs(a), a.members, FLOOR), a.members)
 
 
 @query(sql("ev bal mem", _XM + """, pr AS (SELECT l.portee, l.acteur_uid AS a, r.acteur_uid AS b, count(*) FILTER (l.position = r.position) AS accord, count(*) AS communs FROM xm l JOIN xm r ON l.scrutin_uid = r.scrutin_uid AND l.acteur_uid < r.acteur_uid GROUP BY 1, 2, 3),
@@ -416,24 +422,24 @@ po AS (SELECT portee, ga, gb, taux, accord, communs FROM pd UNION ALL SELECT por
 SELECT portee, ga AS groupe_a, gb AS groupe_b, round(avg(taux), 6) AS accord_moyen, round(sum(accord) / sum(communs), 6) AS accord_agrege, count(*) AS n_paires, CAST(sum(communs) AS BIGINT) AS scrutins_communs FROM po GROUP BY 1, 2, 3"""))
 def accord_portees(a: Assembly) -> DataFrame:
     """All stake levels in one pass."""
-    return agreement.group_agreement(agreement.pair_counts(_known(a, "portee"), ["portee"], FLOOR), a.members, FLOOR, ["portee"])
+    return agreement.group_agreement(_pairs(a, "portee"), a.members, FLOOR, ["portee"])
 
 
 @query(sql("ev bal mem", _XM + _PAIRS + """, pm AS (SELECT a, b, taux, communs FROM pg UNION ALL SELECT b, a, taux, communs FROM pg)
 SELECT a, b, round(taux, 6) AS taux, communs, row_number() OVER (PARTITION BY a ORDER BY taux DESC, b) AS rang FROM pm QUALIFY row_number() OVER (PARTITION BY a ORDER BY taux DESC, b) <= 8"""))
 def voisins(a: Assembly) -> DataFrame:
-    return agreement.neighbours(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 8, FLOOR)
+    return agreement.neighbours(_pairs(a), a.members, 8, FLOOR)
 
 
 @query(sql("ev bal mem", _XM + _PAIRS + """, pm AS (SELECT a, b, taux, communs, ga, gb FROM pg UNION ALL SELECT b, a, taux, communs, gb, ga FROM pg), po2 AS (SELECT * FROM pm WHERE ga IS DISTINCT FROM gb)
 SELECT a, b, round(taux, 6) AS taux, communs, row_number() OVER (PARTITION BY a ORDER BY taux, b) AS rang FROM po2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY taux, b) <= 8"""))
 def opposes_hors_groupe(a: Assembly) -> DataFrame:
-    return agreement.neighbours(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 8, FLOOR, inverse=True, outside=True)
+    return agreement.neighbours(_pairs(a), a.members, 8, FLOOR, inverse=True, outside=True)
 
 
 @query(sql("ev bal mem", _XM + _PAIRS + "SELECT a, b, ga AS groupe_a, gb AS groupe_b, accord, communs, round(taux, 6) AS taux FROM pg WHERE ga IS DISTINCT FROM gb AND communs >= 20 ORDER BY taux DESC, a, b LIMIT 20"))
 def paires_remarquables(a: Assembly) -> DataFrame:
-    return agreement.remarkable(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 20, 20).select("a", "b", "groupe_a", "groupe_b", "accord", "communs", "taux")
+    return agreement.remarkable(_pairs(a), a.members, 20, 20).select("a", "b", "groupe_a", "groupe_b", "accord", "communs", "taux")
 
 
 @query(sql("ev bal mem", _XM + """, w AS (SELECT acteur_uid FROM xm GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), own AS (SELECT scrutin_uid, position AS p FROM xm JOIN w USING (acteur_uid))
@@ -448,7 +454,7 @@ def proches_un_depute(a: Assembly) -> DataFrame:
 @query(sql("ev bal mem", _XM + _PAIRS + """SELECT round(max(taux), 6) AS plus_haut, round(min(taux), 6) AS plus_bas, round(max(taux) FILTER (ga IS DISTINCT FROM gb), 6) AS plus_haut_dehors,
 round(min(taux) FILTER (ga = gb AND ga <> 'NI'), 6) AS plus_bas_dedans, count(*) AS n_paires FROM pg"""))
 def extremes_accord(a: Assembly) -> DataFrame:
-    p = agreement.with_groups(agreement.agreement(agreement.pair_counts(_known(a), floor=FLOOR), FLOOR), a.members)
+    p = agreement.with_groups(agreement.agreement(_pairs(a), FLOOR), a.members)
     same = F.col("groupe_a").eqNullSafe(F.col("groupe_b"))
     return p.agg(
         F.max("taux").alias("plus_haut"), F.min("taux").alias("plus_bas"), F.max(F.when(~same, F.col("taux"))).alias("plus_haut_dehors"),
@@ -602,9 +608,12 @@ def cosignataires_proches(a: Assembly) -> DataFrame:
     return j.withColumn("rang", F.row_number().over(W.partitionBy("a").orderBy(F.col("jaccard").desc(), "b"))).where(F.col("rang") <= 8).select("a", "b", "jaccard", "rang")
 
 
-@query(sql("mem am", _NET + "SELECT groupe_a, groupe_b, liens, round(part, 6) AS part FROM lp"))
+@query(sql("mem am", _NET + ", gs AS (SELECT DISTINCT groupe AS g FROM mem WHERE groupe IS NOT NULL), gt AS (SELECT DISTINCT groupe_a AS g FROM lp) SELECT x.g AS groupe_a, y.g AS groupe_b, coalesce(liens, 0) AS liens, round(CASE WHEN gt.g IS NOT NULL THEN coalesce(part, 0) END, 6) AS part FROM gs x CROSS JOIN gs y LEFT JOIN lp ON groupe_a = x.g AND groupe_b = y.g LEFT JOIN gt ON gt.g = x.g"))
 def cosignatures_groupes(a: Assembly) -> DataFrame:
-    return amendments.links_between_groups(_network(a)[0], a.members)
+    """Every ordered pair of groups; the share is 0 without a link between them, and null for a group without any."""
+    e = agreement.with_all_pairs(amendments.links_between_groups(_network(a)[0], a.members), a.members, ("liens",))
+    total = F.sum("liens").over(W.partitionBy("groupe_a"))
+    return e.withColumn("part", F.when(total > 0, F.coalesce("part", F.lit(0.0))))
 
 
 @query(sql("mem am", _NET + """, pr AS (SELECT mem.acteur_uid, groupe, signatures FROM mem JOIN nd USING (acteur_uid)), sz AS (SELECT groupe, count(*) AS taille FROM pr GROUP BY 1), n AS (SELECT count(*) AS n FROM pr),
@@ -620,7 +629,7 @@ def courtiers(a: Assembly) -> DataFrame:
 k AS (SELECT *, rank() OVER (ORDER BY round(v, 9) DESC) + (count(*) OVER (PARTITION BY round(v, 9)) - 1) / 2 AS rv, rank() OVER (ORDER BY round(p, 9) DESC) + (count(*) OVER (PARTITION BY round(p, 9)) - 1) / 2 AS rp FROM j)
 SELECT groupe_a, groupe_b, round(v, 6) AS accord_moyen, round(p, 6) AS part, rv AS rang_vote, rp AS rang_signature, rp - rv AS ecart_rang FROM k"""))
 def vote_et_cosignature(a: Assembly) -> DataFrame:
-    groups = agreement.group_agreement(agreement.pair_counts(_known(a), floor=FLOOR), a.members, FLOOR)
+    groups = agreement.group_agreement(_pairs(a), a.members, FLOOR)
     links = amendments.links_between_groups(_network(a)[0], a.members)
     near = lambda d, c: d.withColumn(c, F.round(c, 9))
     return amendments.vote_and_signature(near(links, "part"), near(groups, "accord_moyen"))
@@ -1061,7 +1070,7 @@ def fiches(a: Assembly) -> DataFrame:
     """One nested row per member: identity, terms, dissent, amendments, nearest members."""
     d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).select("acteur_uid", F.struct("n_votes", "n_dissidents", "taux").alias("dissidence"))
     m = amendments.filed_and_cosigned(a.amendments).select("acteur_uid", F.struct("deposes", "cosignes").alias("amendements"))
-    near = agreement.neighbours(agreement.pair_counts(_known(a), floor=FLOOR), a.members, 8, FLOOR)
+    near = agreement.neighbours(_pairs(a), a.members, 8, FLOOR)
     near = near.groupBy(F.col("a").alias("acteur_uid")).agg(F.array_sort(F.collect_list(F.struct("rang", "b", "taux", "communs"))).alias("proches"))
     who = a.members.select("acteur_uid", "nom_complet", "groupe", text.slug(F.col("nom_complet")).alias("slug"), "periodes_mandat")
     return who.join(d, "acteur_uid", "left").join(m, "acteur_uid", "left").join(near, "acteur_uid", "left")
