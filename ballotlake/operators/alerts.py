@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .intervals import OPEN, merge_intervals
-from .lines import has_line
+from .lines import has_line, headcount_by_day
 from .topics import monday
 
 ALERT = ["semaine", "categorie", "cle", "detail", "intensite"]
@@ -105,12 +105,7 @@ def bad_terms(periods: DataFrame) -> DataFrame:
 
 def headcounts(periods: DataFrame, events: DataFrame, seats: int = SEATS) -> DataFrame:
     """Events on days with more members in office than seats: a sweep over days, as starts less ends carried forward."""
-    starts = periods.select(F.col("debut").alias("jour"), F.lit(1).alias("d"))
-    ends = periods.where(F.col("fin").isNotNull()).select(F.date_add("fin", 1).alias("jour"), F.lit(-1).alias("d"))
-    steps = starts.unionByName(ends).groupBy("jour").agg(F.sum("d").alias("d"))
-    days = events.where(F.col("jour").isNotNull()).select("jour").distinct().withColumn("evt", F.lit(True))
-    w = W.orderBy("jour").rowsBetween(W.unboundedPreceding, 0)
-    n = steps.join(days, "jour", "full").withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(w)).where(F.col("evt") & (F.col("n") > seats)).select("jour", "n")
+    n = headcount_by_day(periods, events).where(F.col("concernes") > seats).withColumnRenamed("concernes", "n")
     e = events.join(n, "jour")
     return _anomaly(e, "effectifs", F.col("scrutin_uid"), F.col("n").cast("string"))
 

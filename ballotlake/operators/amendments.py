@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import key, rate
 from .agreement import mirrored, with_groups
+from .pairs import counted_pairs, numbered
 
 #: The outcomes of an amendment and the column that counts each; without one it was not examined.
 OUTCOMES = {"Adopté": "adoptes", "Rejeté": "rejetes", "Tombé": "tombes", "Retiré": "retires", "Non soutenu": "non_soutenus"}
@@ -54,6 +55,12 @@ def signatures(amendments: DataFrame, members: DataFrame, at_most: int | None =
     return s.join(n.select("amendement_uid"), "amendement_uid", "left_semi").select("amendement_uid", "acteur_uid")
 
 
+def chosen(amendments: DataFrame, since: str | None = None, without_rapporteurs: bool = False) -> DataFrame:
+    """Amendments filed since a day, without those that rapporteurs file."""
+    out = amendments if since is None else amendments.where(F.col("jour") >= F.lit(since).cast("date"))
+    return out.where(~F.coalesce("auteur_rapporteur", F.lit(False))) if without_rapporteurs else out
+
+
 def network(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, communs) with a < b, and (acteur_uid, signatures). The bound on signers bounds the pairs of an amendment."""
     x = signed.groupBy("amendement_uid").agg(F.array_sort(F.collect_set("acteur_uid")).alias("x"))
@@ -71,6 +78,14 @@ def jaccard(edges: DataFrame, nodes: DataFrame, min_signatures: int = 20, min_sh
     return j.withColumn("jaccard", F.col("communs") / (F.col("sa") + F.col("sb") - F.col("communs")))
 
 
+def top_pairs(edges: DataFrame, nodes: DataFrame, members: DataFrame, k: int = 20, min_signatures: int = 20, min_shared: int = 5, across: bool = True) -> DataFrame:
+    """The ``k`` pairs with the highest Jaccard, by default across groups; ties by uids."""
+    p = with_groups(jaccard(edges, nodes, min_signatures, min_shared), members)
+    if across:
+        p = p.where(~F.col("groupe_a").eqNullSafe(F.col("groupe_b")))
+    return p.orderBy(F.round("jaccard", 9).desc(), "a", "b").limit(k).select("a", "b", "groupe_a", "groupe_b", "communs", "jaccard")
+
+
 def links_between_groups(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Per ordered pair of groups: links and their share of the first group's links; a pair within a group counts once."""
     e = with_groups(edges, members).where(F.col("groupe_a").isNotNull() & F.col("groupe_b").isNotNull()).select("groupe_a", "groupe_b", "communs")
@@ -79,20 +94,24 @@ def links_between_groups(edges: DataFrame, members: DataFrame) -> DataFrame:
     return links.withColumn("part", F.col("liens") / F.sum("liens").over(W.partitionBy("groupe_a")))
 
 
-def brokers(edges: DataFrame, nodes: DataFrame, members: DataFrame, min_signatures: int = 30) -> DataFrame:
-    """Per member of a real group: the share of its links that leave the group, over the share to expect from the group's size; null without links."""
+def openness(edges: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Per member who signs: the share of its links that leave the group, over the share to expect from the group's size; null without links. Members without a group are of one."""
     present = members.select("acteur_uid", "groupe").join(nodes, "acteur_uid")
-    n = present.agg(F.count(F.lit(1)).alias("n"))
-    size = present.groupBy("groupe").agg(F.count(F.lit(1)).alias("taille"))
+    size = present.groupBy(F.col("groupe").alias("__g")).agg(F.count(F.lit(1)).alias("taille"))
     e = with_groups(mirrored(edges), members)
     own = e.groupBy(F.col("a").alias("acteur_uid")).agg(F.sum("communs").alias("liens"), F.sum(F.when(~F.col("groupe_a").eqNullSafe(F.col("groupe_b")), F.col("communs")).otherwise(0)).alias("dehors"))
-    total = n.first()[0]
-    j = present.where(F.col("groupe").isNotNull() & (F.col("groupe") != NO_GROUP) & (F.col("signatures") >= min_signatures)).join(size, "groupe").join(own, "acteur_uid", "left")
+    total = present.count()
+    j = present.join(size, F.col("groupe").eqNullSafe(F.col("__g"))).drop("__g").join(own, "acteur_uid", "left")
     expected = rate(F.lit(total) - F.col("taille"), F.lit(total - 1))
     share = rate(F.col("dehors"), F.col("liens"))
     return j.select("acteur_uid", "groupe", "signatures", "liens", share.alias("part_dehors"), expected.alias("part_attendue"), F.try_divide(share, F.nullif(expected, F.lit(0.0))).alias("ratio"))
 
 
+def brokers(edges: DataFrame, nodes: DataFrame, members: DataFrame, min_signatures: int = 30) -> DataFrame:
+    """:func:`openness` of the members of real groups who sign enough."""
+    return openness(edges, nodes, members).where(F.col("groupe").isNotNull() & (F.col("groupe") != NO_GROUP) & (F.col("signatures") >= min_signatures))
+
+
 def vote_and_signature(links: DataFrame, groups: DataFrame) -> DataFrame:
     """Per pair of different groups: agreement in votes, share of links, both average ranks and their difference."""
     from ..functions.stats import average_rank
@@ -109,3 +128,26 @@ def cap_sweep(amendments: DataFrame, members: DataFrame, caps: tuple[int, ...] =
     n = s.groupBy("amendement_uid").agg(F.count(F.lit(1)).alias("n"))
     out = n.select("n", F.explode(F.array(*[F.lit(c) for c in caps])).alias("plafond")).where(F.col("n") <= F.col("plafond"))
     return out.groupBy("plafond").agg(F.count(F.lit(1)).alias("n_amendements"), F.sum("n").alias("n_signatures"))
+
+
+def caps_compared(amendments: DataFrame, members: DataFrame, caps: tuple[int | None, ...] = (None, 100, 40, 20, 10, 6)) -> DataFrame:
+    """Per cap on signers (null: none): amendments kept, signatures on them, the median of members' signatures and the pair with most in common.
+
+    Pairs are counted once for each amendment, by the number of its signers, and summed up to each cap: an amendment is never emitted once per cap.
+    """
+    s = signatures(amendments, members, None)
+    n = s.groupBy("amendement_uid").agg(F.count(F.lit(1)).alias("n"))
+    cap = F.explode(F.array(*[F.lit(c).cast("long") for c in caps])).alias("plafond")
+    fits = F.col("plafond").isNull() | (F.col("n") <= F.col("plafond"))
+    kept = n.select("n", cap).where(fits).groupBy("plafond").agg(F.count(F.lit(1)).alias("n_amendements"), F.sum("n").alias("n_signatures"))
+    by = s.join(n, "amendement_uid").groupBy("acteur_uid", "n").agg(F.count(F.lit(1)).alias("m")).select("acteur_uid", "n", "m", cap).where(fits)
+    middle = by.groupBy("plafond", "acteur_uid").agg(F.sum("m").alias("m")).groupBy("plafond").agg(F.median("m").alias("mediane_signatures"))
+    rows = s.join(n, "amendement_uid").withColumn("__l", F.lit(0))
+    items = numbered(rows, "acteur_uid")
+    pairs = counted_pairs(rows.join(items.select("acteur_uid", "num"), "acteur_uid"), "amendement_uid", "num", "__l", (0,), ("n",)).select("n", "a", "b", "both", cap).where(fits)
+    pairs = pairs.groupBy("plafond", "a", "b").agg(F.sum("both").alias("communs"))
+    one, two = items.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), items.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
+    pairs = pairs.join(one, "a").join(two, "b").select("plafond", F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "communs")
+    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("plafond").orderBy(F.col("communs").desc(), "a", "b"))).where(F.col("r") == 1).drop("r")
+    same = lambda x, y: x.join(y.withColumnRenamed("plafond", "__p"), F.col("plafond").eqNullSafe(F.col("__p")), "left").drop("__p")
+    return same(same(kept, middle), best)

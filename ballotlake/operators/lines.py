@@ -84,6 +84,16 @@ def eligible_counts(periods: DataFrame, cal: DataFrame, flags: list[str]) -> Dat
     return start.unionByName(end).join(lookup, "jour").groupBy("acteur_uid").agg(*[F.sum(F.col("signe") * F.col(f)).alias(f) for f in flags])
 
 
+def headcount_by_day(periods: DataFrame, events: DataFrame) -> DataFrame:
+    """(jour, concernes): members in office on each day with an event, by a sweep over days."""
+    starts = periods.select(F.col("debut").alias("jour"), F.lit(1).alias("d"))
+    ends = periods.where(F.col("fin").isNotNull()).select(F.date_add("fin", 1).alias("jour"), F.lit(-1).alias("d"))
+    steps = starts.unionByName(ends).groupBy("jour").agg(F.sum("d").alias("d"))
+    days = events.where(F.col("jour").isNotNull()).select("jour").distinct().withColumn("evt", F.lit(True))
+    w = W.orderBy("jour").rowsBetween(W.unboundedPreceding, 0)
+    return steps.join(days, "jour", "full").withColumn("concernes", F.sum(F.coalesce("d", F.lit(0))).over(w)).where("evt").select("jour", "concernes")
+
+
 def in_term(rows: DataFrame, periods: DataFrame) -> DataFrame:
     """Add ``eligible``: the row's day is within a term of its member. Rows are joined on the member, never on days alone."""
     p = periods.select(F.col("acteur_uid").alias("__m"), F.struct(F.col("debut").alias("d"), F.coalesce("fin", F.lit("9999-12-31").cast("date")).alias("f")).alias("p"))

@@ -162,8 +162,7 @@ def effectifs_groupes(a: Assembly) -> DataFrame:
 def axes_compares(a: Assembly) -> DataFrame:
     """Per assembly or college: correlation of the ideal points with the first principal axis."""
     x = written(rollcall._with_units(a), "units")
-    u = ideal.usable(x, a.events, rollcall._MODEL).join(x.select("scrutin_uid", "unite").distinct(), "scrutin_uid")
-    p = ideal.positions(u, "unite", rollcall._MODEL).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select(F.col("unite"), F.col("uid").alias("acteur_uid"), F.col("valeur").alias("p"))
+    p = rollcall._fitted(a).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select(F.col("unite"), F.col("uid").alias("acteur_uid"), F.col("valeur").alias("p"))
     j = p.join(scaling.pca(x).select("unite", "acteur_uid", "axe1"), ["unite", "acteur_uid"])
     return j.groupBy("unite").agg(F.count(F.lit(1)).alias("n"), F.abs(F.corr("p", "axe1")).alias("correlation"))
 
@@ -171,7 +170,7 @@ def axes_compares(a: Assembly) -> DataFrame:
 @query()
 def scrutins_discriminants(a: Assembly) -> DataFrame:
     """Per assembly or college the ten events that part members most and the ten that part them least."""
-    e = ideal.separating_power(ideal.positions(rollcall._usable(a), "unite", rollcall._MODEL))
+    e = ideal.separating_power(rollcall._fitted(a))
     w = W.partitionBy("unite")
     e = e.withColumn("haut", F.row_number().over(w.orderBy(F.col("pouvoir").desc(), "scrutin_uid"))).withColumn("bas", F.row_number().over(w.orderBy("pouvoir", "scrutin_uid")))
     return e.where((F.col("haut") <= 10) | (F.col("bas") <= 10))

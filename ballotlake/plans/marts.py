@@ -6,17 +6,17 @@ from pyspark.sql import SparkSession
 
 from ..operators.alerts import require
 from ..sources.catalog import json_index, json_safe
-from . import extras, problems, rollcall
+from . import extras, problems, rollcall, views
 
 #: The tables a site or dashboard reads, each one query.
 MARTS = (
     "liste_groupes index_votes fiches statistiques_deputes dissidence_intervalles participation table_groupes cohesion_groupes accord_groupes accord_portees voisins "
-    "cosignatures_groupes courtiers amendements_par_depute amendements_par_groupe amendements_par_dossier scrutins_bascule abstention_decomposition poussees_hebdo alertes responsabilites"
+    "cosignatures_groupes courtiers amendements_par_depute amendements_par_groupe amendements_par_dossier scrutins_bascule abstention_decomposition poussees_hebdo alertes responsabilites releves_scrutins bilans presence_groupes matrice_groupes matrice_accords liens_scrutins ouverture"
 ).split()
 
 
 def known_queries() -> dict:
-    return problems.QUERIES | rollcall.QUERIES | extras.QUERIES
+    return problems.QUERIES | rollcall.QUERIES | extras.QUERIES | views.QUERIES
 
 
 def publish(spark: SparkSession, source: str, target: str, names: list[str] | None = None, gate: bool = True, allowed: tuple[str, ...] = ()) -> list[str]:

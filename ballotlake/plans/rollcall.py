@@ -914,16 +914,21 @@ def _usable(a: Assembly) -> DataFrame:
     return ideal.usable(x, a.events, _MODEL).join(x.select("scrutin_uid", "unite").distinct(), "scrutin_uid")
 
 
+def _fitted(a: Assembly) -> DataFrame:
+    """The model of each unit, written once in a session."""
+    return a._mart("fitted", ["votes", "scrutins"], lambda: ideal.positions(_written_usable(a), "unite", _MODEL))
+
+
 @query()
 def positions_ideales(a: Assembly) -> DataFrame:
     """Ideal points, discriminations, difficulties and fit of each assembly or college."""
-    return ideal.positions(_usable(a), "unite", _MODEL)
+    return _fitted(a)
 
 
 @query()
 def positions_rang(a: Assembly) -> DataFrame:
     """Members by position, one based within their unit (W5), and how far each is from the median (K5)."""
-    p = ideal.positions(_usable(a), "unite", _MODEL).where((F.col("genre") == "membre") & (F.col("axe") == 1))
+    p = _fitted(a).where((F.col("genre") == "membre") & (F.col("axe") == 1))
     w = W.partitionBy("unite")
     return p.select("unite", F.col("uid").alias("acteur_uid"), F.col("valeur").alias("position"), F.row_number().over(w.orderBy("valeur", "uid")).alias("rang"), F.abs(F.col("valeur") - F.median("valeur").over(w)).alias("ecart_median"))
 
@@ -944,7 +949,7 @@ def positions_plan(a: Assembly) -> DataFrame:
 def votes_predits(a: Assembly) -> DataFrame:
     """The model's probability of each ballot it was fitted to."""
     u = _written_usable(a)
-    return ideal.predicted(u, written(ideal.positions(u, "unite", _MODEL), "fitted"))
+    return ideal.predicted(u, _fitted(a))
 
 
 def _intervals(a: Assembly) -> DataFrame:
@@ -980,7 +985,7 @@ def penalisation(a: Assembly) -> DataFrame:
 @query()
 def groupes_encadrants(a: Assembly) -> DataFrame:
     """For each member of a unit the medians of the unit's groups just below and above its position."""
-    p = ideal.positions(_usable(a), "unite", _MODEL).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select("unite", F.col("uid").alias("uid"), F.col("valeur").alias("x"))
+    p = _fitted(a).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select("unite", F.col("uid").alias("uid"), F.col("valeur").alias("x"))
     p = written(p, "positions")
     g = p.join(a.members.select(F.col("acteur_uid").alias("uid"), "groupe"), "uid").where(F.col("groupe").isNotNull()).groupBy("unite", F.col("groupe").alias("nom")).agg(F.median("x").alias("x"))
     return ideal.bracketing(p, g, "unite")
@@ -1063,14 +1068,3 @@ def apercu(a: Assembly) -> DataFrame:
         F.count(F.lit(1)).alias("n_scrutins"), F.count_distinct("dossier_uid").alias("n_dossiers"), F.min("jour").alias("premier"), F.max("jour").alias("dernier"),
         F.count_if(F.col("type_vote_code") == "SPS").alias("solennels"), F.count_if(F.col("dossier_uid").isNull()).alias("sans_dossier"), months.alias("mois"),
     )
-
-
-@query()
-def fiches(a: Assembly) -> DataFrame:
-    """One nested row per member: identity, terms, dissent, amendments, nearest members."""
-    d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).select("acteur_uid", F.struct("n_votes", "n_dissidents", "taux").alias("dissidence"))
-    m = amendments.filed_and_cosigned(a.amendments).select("acteur_uid", F.struct("deposes", "cosignes").alias("amendements"))
-    near = agreement.neighbours(_pairs(a), a.members, 8, FLOOR)
-    near = near.groupBy(F.col("a").alias("acteur_uid")).agg(F.array_sort(F.collect_list(F.struct("rang", "b", "taux", "communs"))).alias("proches"))
-    who = a.members.select("acteur_uid", "nom_complet", "groupe", text.slug(F.col("nom_complet")).alias("slug"), "periodes_mandat")
-    return who.join(d, "acteur_uid", "left").join(m, "acteur_uid", "left").join(near, "acteur_uid", "left")
