@@ -33,13 +33,10 @@ def trimmed(c: Column | str) -> Column:
 def key(c: Column | str) -> Column:
     """A reference key: blanks and letter case do not count, a blank one is no key.
 
-    Most keys begin and end with a visible ASCII character once plain spaces are off; only the others are searched for
-    blanks of every kind, which is slow.
+    Most keys are visible ASCII characters from end to end; only the others are searched for blanks of every kind, which is slow.
     """
-    t = F.trim(col(c))
-    first, last = F.ascii(t), F.ascii(F.substring(t, -1, 1))
-    plain = (first > 32) & (first < 127) & (last > 32) & (last < 127)
-    return F.upper(F.when(plain, t).otherwise(trimmed(c)))
+    c = col(c)
+    return F.upper(F.when(c.rlike("^[!-~]++$"), c).otherwise(trimmed(c)))
 
 
 def position_number(c: Column | str) -> Column:
