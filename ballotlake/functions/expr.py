@@ -57,17 +57,20 @@ def day(c: Column | str) -> Column:
     yyyy-MM-dd (also with / or .), dd/MM/yyyy (also with - or .; day before month), yyyyMMdd, each
     with or without a time after it. Days that do not exist are null.
     """
+    c = col(c)
     t = trimmed(c)
+    iso = r"^\d{4}-\d{2}-\d{2}(?!\d)"
     year_first = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d).*$"
     day_first = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(?!\d).*$"
     packed = r"^(\d{4})(\d{2})(\d{2})(?!\d).*$"
     text = (
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(?!\d)"), F.substring(t, 1, 10))
+        F.when(c.rlike(iso), F.substring(c, 1, 10))
+        .when(t.rlike(iso), F.substring(t, 1, 10))
         .when(t.rlike(year_first), F.regexp_replace(t, year_first, "$1-$2-$3"))
         .when(t.rlike(day_first), F.regexp_replace(t, day_first, "$3-$2-$1"))
         .when(t.rlike(packed), F.regexp_replace(t, packed, "$1-$2-$3"))
     )
-    return F.try_to_date(text, "y-M-d")
+    return text.try_cast("date")
 
 
 def rate(num: Column, den: Column) -> Column:
