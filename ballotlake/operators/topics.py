@@ -34,11 +34,11 @@ def week_frequencies(docs: DataFrame, ident: str, day: str, text: str, excluded:
     return f.join(size, "semaine")
 
 
-def surges(freqs: DataFrame, reference: int = REFERENCE_WEEKS, min_docs: int = MIN_DOCUMENTS, fdr: float | None = FDR) -> DataFrame:
+def surges(freqs: DataFrame, reference: int = REFERENCE_WEEKS, min_docs: int = MIN_DOCUMENTS, fdr: float | None = FDR, rises_only: bool = True) -> DataFrame:
     """Every term of every week against the weeks before it that are present in the data (at most ``reference``).
 
     share = documents with the term / documents, over the reference weeks; expected = share * documents of the week; score = (n - expected) /
-    sqrt(expected + 1); p = binomial tail; q = Benjamini-Hochberg over the week's terms with enough documents and a positive score. Weeks without history
+    sqrt(expected + 1); p = binomial tail; q = Benjamini-Hochberg over the week's terms with enough documents and (``rises_only``) a positive score. Weeks without history
     have no row. All weeks come out of one pass: each (week, term) row is spread to the weeks it is a reference for.
     """
     weeks = freqs.groupBy("semaine").agg(F.max("n_documents").alias("nd"))
@@ -52,7 +52,9 @@ def surges(freqs: DataFrame, reference: int = REFERENCE_WEEKS, min_docs: int = M
     now = f.where(F.col("n_docs") >= min_docs).join(base.select("semaine", "nd_ref"), "semaine").join(past, ["terme", "rang"], "left").na.fill(0, ["n_ref"])
     p = F.least(F.greatest(F.col("n_ref") / F.col("nd_ref"), F.lit(0.0)), F.lit(1.0))
     now = now.withColumn("p0", p).withColumn("attendu", F.col("p0") * F.col("n_documents"))
-    now = now.withColumn("score", (F.col("n_docs") - F.col("attendu")) / F.sqrt(F.col("attendu") + 1)).where(F.col("score") > 0)
+    now = now.withColumn("score", (F.col("n_docs") - F.col("attendu")) / F.sqrt(F.col("attendu") + 1))
+    if rises_only:
+        now = now.where(F.col("score") > 0)
     now = now.withColumn("p", binomial_tail(F.col("n_docs").cast("double"), F.col("n_documents").cast("double"), F.col("p0")))
     by = W.partitionBy("semaine")
     now = now.withColumn("tests", F.count(F.lit(1)).over(by)).withColumn("ordre", F.row_number().over(by.orderBy(F.round("p", 12), "terme")))
@@ -62,6 +64,28 @@ def surges(freqs: DataFrame, reference: int = REFERENCE_WEEKS, min_docs: int = M
     return out.select("semaine", "terme", "n", "n_docs", "n_documents", "attendu", "score", "p", "q")
 
 
+def rising(freqs: DataFrame, week: str | None = None, reference: int = REFERENCE_WEEKS, min_docs: int = MIN_DOCUMENTS, k: int = 25, rises_only: bool = True, merge: bool = True, fdr: float | None = FDR) -> DataFrame:
+    """The ``k`` terms of one week with the highest score (M15); by default of the last week there is.
+
+    ValueError for a week without data, without a week before it, or without documents. ``merge``: without redundant terms; ``fdr`` None: whatever their q.
+    """
+    weeks = freqs.groupBy("semaine").agg(F.max("n_documents").alias("n"))
+    target = F.lit(week).cast("date") if week else F.lit(weeks.agg(F.max("semaine")).first()[0])
+    seen = weeks.agg(F.count_if(F.col("semaine") == target).alias("here"), F.max(F.when(F.col("semaine") == target, F.col("n"))).alias("n")).first()
+    if not seen["here"]:
+        raise ValueError(f"no data for the week of {week}")
+    before = [r["semaine"] for r in weeks.where(F.col("semaine") < target).orderBy(F.col("semaine").desc()).limit(reference).collect()]
+    if not before:
+        raise ValueError("not enough history for a reference")
+    kept = freqs.where(F.col("semaine").isin(before) | (F.col("semaine") == target))
+    total = weeks.where(F.col("semaine").isin(before)).agg(F.sum("n")).first()[0]
+    if not seen["n"] or not total:
+        raise ValueError("no documents to compare with")
+    found = surges(kept, reference, min_docs, fdr, rises_only).where(F.col("semaine") == target)
+    found = without_redundant(found) if merge else found
+    return found.orderBy(F.col("score").desc(), "terme").limit(k)
+
+
 def without_redundant(found: DataFrame, share: float = 0.8, decimals: int = 3, small: int = 3) -> DataFrame:
     """Drop single words that a pair holding them explains, then keep one of the terms of a week that are equal in counts.
 

@@ -804,9 +804,12 @@ SELECT semaine, categorie, cle, detail, round(i, 6) AS intensite, row_number() O
 @query(sql("ev bal am ln dis", _CORPUS + _SURGE + _DISTINCT.format(0.05) + _ALERTS))
 def alertes(a: Assembly) -> DataFrame:
     """All six detectors, at most five a week and category."""
-    found = topics.without_redundant(_surges(a).where(F.col("q") <= topics.FDR))
-    parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events), alerts.surging(found)]
-    return alerts.all_alerts(parts)
+    return alerts.all_alerts(alert_parts(a))
+
+
+def alert_parts(a: Assembly, with_topics: bool = True) -> list[DataFrame]:
+    parts = [alerts.close(a.events), alerts.fractures(a.lines, a.events), alerts.split_groups(a.lines, a.events), alerts.ruptures(lines.against_line(a.expressed, a.lines), a.events), alerts.activity(a.events)]
+    return [*parts, alerts.surging(topics.without_redundant(_surges(a).where(F.col("q") <= topics.FDR)))] if with_topics else parts
 
 
 def _terms(a: Assembly) -> DataFrame:

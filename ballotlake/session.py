@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def command_session(master: str | None = None) -> SparkSession:
+    """The session of a command: the running one, that of ``spark-submit``, one on ``master``, or else one on this machine."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    if master is None and not os.environ.get("PYSPARK_GATEWAY_PORT") and "--master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", "") and not os.environ.get("MASTER"):
+        return local_session()
+    builder = SparkSession.builder.appName("ballotlake").config("spark.sql.session.timeZone", "UTC")
+    master = master or os.environ.get("MASTER")
+    return (builder.master(master) if master else builder).getOrCreate()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder. Columns and filters reach the scan through Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
