@@ -83,12 +83,21 @@ def info(tables: dict[str, DataFrame], span: dict[str, str]) -> DataFrame:
     return out
 
 
-def json_documents(spark: SparkSession, folder: str, glob: str = "*.json", part: str | None = None) -> DataFrame:
-    """(chemin, contenu, dossier_uid): one row per file at any depth, or below a folder ``part`` at any depth; the bill file is the nearest folder named like one."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    d = files.select(F.col("path").alias("chemin"), F.decode("content", "UTF-8").alias("contenu"))
+def json_documents(spark: SparkSession, folder: str, glob: str = "*.json", part: str | None = None, depth: int = 8) -> DataFrame:
+    """(chemin, contenu, dossier_uid): one row per file at any depth, or below the folders named ``part`` up to ``depth`` levels down; the bill file is the nearest folder named like one.
+
+    Only the folders asked for are listed; none of that name is an empty result.
+    """
+    where = [folder]
     if part:
-        d = d.where(F.col("chemin").contains(f"/{part}/"))
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [path("/".join([folder, *["*"] * k, part])) for k in range(depth)]
+        where = [str(s.getPath()) for p in found for s in (p.getFileSystem(conf).globStatus(p) or []) if s.isDirectory()]
+        if not where:
+            return spark.createDataFrame([], "chemin string, contenu string, dossier_uid string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(where)
+    d = files.select(F.col("path").alias("chemin"), F.decode("content", "UTF-8").alias("contenu"))
     return d.withColumn("dossier_uid", bill_of_path(F.col("chemin")))
 
 

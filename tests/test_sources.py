@@ -37,6 +37,7 @@ def test_json_files_at_any_depth(spark, tmp_path):
     rows = {r["chemin"].rpartition("/")[2]: r["dossier_uid"] for r in catalog.json_documents(spark, str(tmp_path)).collect()}
     assert rows == {"one.json": "DLR2", "two.json": None, "three.json": "DLR3"}
     assert catalog.json_documents(spark, str(tmp_path), part="a").count() == 2
+    assert catalog.json_documents(spark, str(tmp_path), part="q").count() == 1 and catalog.json_documents(spark, str(tmp_path), part="none").count() == 0
 
 
 def test_ingest_of_untidy_documents(spark):
