@@ -69,8 +69,9 @@ class Corpus:
         self.docs, self.text = docs.withColumn("__h", text_hash(text)), text
         some = F.col(text).isNotNull() & (F.col(text) != "")
         distinct = self.docs.where(some).groupBy("__h").agg(F.first(text).alias("t"))
-        self.texts = written(distinct.select("__h", split_words(F.col("t")).alias("w")), "words")
-        words = self.texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        cut = written(distinct.select("__h", split_words(F.col("t")).alias("w")), "words")
+        self.texts = cut.repartition("__h")  # one exchange for all that follows: what is exploded and put together again stays in its task
+        words = cut.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         self.dictionary = written(word_ids(words, vocabulary), "dictionary")
         ranked = self.dictionary.orderBy(F.col("n").desc(), "word").limit(hot).select("word", F.col("ids").alias("hot_ids"))
         self.hot = F.broadcast(written(ranked, "hot"))
