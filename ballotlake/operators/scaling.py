@@ -95,17 +95,6 @@ def mds(ballots: DataFrame, unit: str = "unite", dims: int = 2, floor: int = 10)
     return _map(ballots, unit, dims, fit)
 
 
-def matrix(pairs: DataFrame, members: list[str], value: str, missing: float) -> np.ndarray:
-    """A symmetric matrix of at most MOST_MEMBERS rows."""
-    if len(members) > MOST_MEMBERS:
-        raise ValueError(f"{len(members)} members; a matrix is made of at most {MOST_MEMBERS}")
-    at = {m: i for i, m in enumerate(members)}
-    out = np.full((len(members), len(members)), missing)
-    for r in pairs.where(F.col("a").isin(members) & F.col("b").isin(members)).select("a", "b", value).toLocalIterator():
-        out[at[r[0]], at[r[1]]] = out[at[r[1]], at[r[0]]] = r[2]
-    return out
-
-
 def seriation(m: np.ndarray) -> np.ndarray:
     """Order of rows by the first left singular vector of the centred matrix."""
     filled = np.where(np.isnan(m), np.nanmean(m) if np.isfinite(m).any() else 0.0, m)
@@ -118,9 +107,41 @@ def quantised(c) -> F.Column:
     return F.coalesce(F.rint(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 254).cast("int"), F.lit(255))
 
 
-def packed_triangle(pairs: DataFrame, members: list[str]) -> tuple[str, str]:
-    """The upper triangle in base64: quantised agreement, one byte a pair, and shared events, two bytes a pair."""
-    q = matrix(pairs.withColumn("__q", quantised(F.col("taux"))), members, "__q", 255).astype(np.uint8)
-    n = np.minimum(matrix(pairs, members, "communs", 0), 65535).astype("<u2")
-    i = np.triu_indices(len(members), 1)
-    return base64.b64encode(q[i].tobytes()).decode(), base64.b64encode(n[i].tobytes()).decode()
+def packed_matrices(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """Per unit the matrix of agreement in the order of ``x``, packed in base64 (A16, F37): one byte a pair of the upper triangle (as :func:`quantised`), two for the shared events, the order, and the bounds of
+    the scale in twentieths. ``pairs``: a, b, accord, communs; ``places``: unite, u, x. Only pairs within a unit are brought to it, and a unit has at most MOST_MEMBERS members.
+    """
+    one = places.select("unite", F.col("u").alias("a"), F.col("x").alias("xa"))
+    two = places.select(F.col("unite").alias("__v"), F.col("u").alias("b"))
+    inside = pairs.select("a", "b", "accord", "communs").join(one, "a").join(two, "b").where(F.col("unite") == F.col("__v"))
+    rows = inside.select("unite", "a", "xa", "b", "accord", "communs").unionByName(one, allowMissingColumns=True)
+    return rows.groupBy("unite").applyInPandas(_packed, "unite string, n int, mesurables long, echelle_bas double, echelle_haut double, ordre array<string>, accord_b64 string, communs_b64 string")
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    who = pdf[pdf["b"].isna()].sort_values(["xa", "a"])["a"].tolist()
+    if len(who) > MOST_MEMBERS:
+        raise ValueError(f"{len(who)} members; a matrix is made of at most {MOST_MEMBERS}")
+    at, p = pd.Index(who), pdf[pdf["b"].notna()]
+    i, k = at.get_indexer(p["a"]), at.get_indexer(p["b"])
+    share, both = np.full((len(who), len(who)), np.nan), np.zeros((len(who), len(who)))
+    rates = (p["accord"] / p["communs"]).to_numpy(dtype=float)
+    share[i, k] = share[k, i] = rates
+    both[i, k] = both[k, i] = p["communs"].to_numpy(dtype=float)
+    top = np.triu_indices(len(who), 1)
+    s = share[top]
+    byte = np.where(np.isnan(s), 255, np.rint(np.clip(np.nan_to_num(s), 0, 1) * 254)).astype(np.uint8)
+    count = np.minimum(both[top], 65535).astype("<u2")
+    low, high = (np.floor(rates.min() * 20) / 20, np.ceil(rates.max() * 20) / 20) if len(rates) else (0.0, 1.0)
+    text = lambda x: base64.b64encode(x.tobytes()).decode()
+    return pd.DataFrame([(pdf["unite"].iloc[0], len(who), len(rates), low, high, who, text(byte), text(count))], columns=["unite", "n", "mesurables", "echelle_bas", "echelle_haut", "ordre", "accord_b64", "communs_b64"])
+
+
+def seriated(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, rang): the rows of a matrix of groups in the order of :func:`seriation`. The matrix has as many cells as there are pairs of groups."""
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index=row, columns=column, values=value).sort_index(axis=0).sort_index(axis=1)
+        return pd.DataFrame({row: m.index[seriation(m.to_numpy(dtype=float))], "rang": np.arange(1, len(m) + 1)})
+
+    return cells.select(row, column, value, F.lit(1).alias("__all")).groupBy("__all").applyInPandas(order, f"{row} string, rang int")

@@ -192,7 +192,7 @@ def categories_titres(a: Assembly) -> DataFrame:
     return a.events.select("scrutin_uid", text.category(F.col("titre")).alias("categorie"), text.contestation(F.col("n_pour"), F.col("n_contre")).alias("contestation"))
 
 
-@query()
+@query(sql("am", f"SELECT amendement_uid, {_html('expose_sommaire')} AS texte FROM am"))
 def textes_nettoyes(a: Assembly) -> DataFrame:
     return a.amendments.select("amendement_uid", text.strip_html(F.col("expose_sommaire")).alias("texte"))
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -229,31 +226,13 @@ def matrice_groupes(a: Assembly) -> DataFrame:
 def matrice_accords(a: Assembly) -> DataFrame:
     """Per assembly or college the matrix of agreement in the order of the axis, packed: one byte a pair of the upper triangle (255: not measured), two for the shared events, and the bounds of the scale in twentieths."""
     place = rollcall._fitted(a).where((F.col("genre") == "membre") & (F.col("axe") == 1)).select("unite", F.col("uid").alias("u"), F.col("valeur").alias("x"))
-    pairs = rollcall._pairs(a).select("a", "b", "accord", "communs")
-    one, two = place.select("unite", F.col("u").alias("a"), F.col("x").alias("xa")), place.select(F.col("unite").alias("unite_b"), F.col("u").alias("b"), F.col("x").alias("xb"))
-    j = pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & (one["unite"] == two["unite_b"])).drop(two["b"])
-    alone = place.select("unite", F.col("u").alias("a"), F.col("x").alias("xa"))
-    return j.select("unite", "a", "xa", "b", "xb", "accord", "communs").unionByName(alone, allowMissingColumns=True).groupBy("unite").applyInPandas(_packed, "unite string, n int, mesurables long, echelle_bas double, echelle_haut double, ordre array<string>, accord_b64 string, communs_b64 string")
-
-
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    who = pdf[pdf["b"].isna()].sort_values(["xa", "a"])["a"].tolist()
-    if len(who) > scaling.MOST_MEMBERS:
-        raise ValueError(f"{len(who)} members; a matrix is made of at most {scaling.MOST_MEMBERS}")
-    at = pd.Index(who)
-    p = pdf[pdf["b"].notna()]
-    i, k = at.get_indexer(p["a"]), at.get_indexer(p["b"])
-    share, both = np.full((len(who), len(who)), np.nan), np.zeros((len(who), len(who)))
-    taux = (p["accord"] / p["communs"]).to_numpy()
-    share[i, k] = share[k, i] = taux
-    both[i, k] = both[k, i] = p["communs"].to_numpy()
-    top = np.triu_indices(len(who), 1)
-    s = share[top]
-    byte = np.where(np.isnan(s), 255, np.rint(np.clip(np.nan_to_num(s), 0, 1) * 254)).astype(np.uint8)
-    count = np.minimum(both[top], 65535).astype("<u2")
-    low, high = (np.floor(taux.min() * 20) / 20, np.ceil(taux.max() * 20) / 20) if len(taux) else (0.0, 1.0)
-    packed = lambda x: base64.b64encode(x.tobytes()).decode()
-    return pd.DataFrame([(pdf["unite"].iloc[0], len(who), len(taux), low, high, who, packed(byte), packed(count))], columns=["unite", "n", "mesurables", "echelle_bas", "echelle_haut", "ordre", "accord_b64", "communs_b64"])
+    return scaling.packed_matrices(rollcall._pairs(a), place)
+
+
+@query()
+def groupes_series(a: Assembly) -> DataFrame:
+    """The groups in the order in which their agreement with all others changes least."""
+    return scaling.seriated(agreement.with_all_pairs(agreement.group_agreement(rollcall._pairs(a), a.members, FLOOR), a.members), "groupe_a", "groupe_b", "accord_moyen")
 
 
 # --- the whole ---------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """The inventory's operators on small cases by hand."""
 
+import base64
 import datetime as dt
 import math
 from types import SimpleNamespace
@@ -285,6 +286,19 @@ def test_maps(spark, toy):
     assert spark.createDataFrame([(0.5,), (None,), (1.2,)], "x double").select(scaling.quantised(F.col("x"))).collect()[0][0] == 127
 
 
+def test_packed_matrices_and_order(spark):
+    p = spark.createDataFrame([("a", "b", 3, 4), ("a", "c", 1, 70000), ("b", "z", 1, 2)], "a string, b string, accord bigint, communs bigint")
+    x = spark.createDataFrame([("u", "a", 0.5), ("u", "b", -1.0), ("u", "c", 2.0), ("v", "z", 0.0)], "unite string, u string, x double")
+    got = {r["unite"]: r for r in scaling.packed_matrices(p, x).collect()}
+    u = got["u"]
+    assert u["ordre"] == ["b", "a", "c"] and u["mesurables"] == 2 and (u["echelle_bas"], u["echelle_haut"]) == (0.0, 0.75)
+    assert list(base64.b64decode(u["accord_b64"])) == [round(0.75 * 254), 255, 0] and list(np.frombuffer(base64.b64decode(u["communs_b64"]), "<u2")) == [4, 0, 65535]
+    assert got["v"]["n"] == 1 and got["v"]["accord_b64"] == ""
+    cells = [(a, b, 1.0 if a[0] == b[0] else 0.0) for a in ("l1", "r1", "l2", "r2") for b in ("l1", "r1", "l2", "r2")] + [("m", b, None) for b in ("l1", "r1", "l2", "r2", "m")] + [(a, "m", None) for a in ("l1", "r1", "l2", "r2")]
+    order = [r["a"] for r in scaling.seriated(spark.createDataFrame(cells, "a string, b string, v double"), "a", "b", "v").orderBy("rang").collect() if r["a"] != "m"]
+    assert {order[0][0], order[1][0]} in ({"l"}, {"r"}) and len(order) == 4
+
+
 def test_invariants(spark):
     t = spark.createDataFrame([("a", D(2024, 1, 1), D(2024, 2, 1)), ("a", D(2024, 1, 15), None), ("b", None, None), ("c", D(2024, 5, 1), D(2024, 4, 1))], "acteur_uid string, debut date, fin date")
     assert {(r["cle"], r["message"]) for r in alerts.bad_terms(t).collect()} == {("a", "chevauchement"), ("b", "sans début"), ("c", "vide")}
