@@ -254,6 +254,7 @@ ORACLE = {
     "p7_found": _term_sql(_LAST) + "SELECT champ, terme, marque FROM m WHERE marque IS NOT NULL",
     "p7_termes": _term_sql(_LAST) + "SELECT * FROM m",
     "p7_apres_suppressions": _term_sql(_LEFT) + "SELECT terme, n_occurrences, n_records FROM c",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_formes": _FORMS + "SELECT * FROM f",
     "p2_classes": _FORMS + """, k AS (SELECT * FROM f WHERE cle IS NOT NULL AND texte IS NOT NULL AND forme <> ''), n AS (SELECT champ, forme, texte, count(*) AS n FROM k GROUP BY 1, 2, 3)
 SELECT k.champ, k.forme, k.cle, k.texte, CAST(sum(n.n) AS BIGINT) AS n_liens FROM k JOIN n ON n.champ = k.champ AND n.forme = k.forme AND n.texte <> k.texte GROUP BY 1, 2, 3, 4""",
