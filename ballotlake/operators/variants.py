@@ -54,6 +54,8 @@ RULES = (
 )
 LISTS = ("pours", "contres", "abstentions", "nonVotants")
 TOTALS = ("nombreVotants", "suffragesExprimes", "nbrSuffragesRequis")
+#: States below which there is nothing that a rule names.
+LEAVES = (FLAT,)
 RECORDS = ("scrutin", "amendement", "organe", "document")
 #: The typed table of each subtype: its own columns beside the supertype's keys and parent link.
 TABLES = {
@@ -161,20 +163,15 @@ def loads(s: str) -> object:
 _TELLING = {NIL: 0, VALUE: 1, FLAT: 2, OBJECT: 2}
 
 
+_NIL, _VALUE = (NIL, NIL), (VALUE, VALUE)
+
+
 class Automaton:
-    """The run of the automaton over documents. Shapes (states with the states below) are kept as digests and made once each."""
+    """The run of the automaton over documents. What follows from the fields of an object and their states is found once and kept; shapes (states with the states below) are kept as digests."""
 
     def __init__(self, rules=RULES):
         self.rules, self.known = rules, {}
 
-    def _shape(self, parts: tuple) -> str:
-        d = self.known.get(parts)
-        if d is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            d = self.known[parts] = hashlib.blake2b(repr(parts).encode(), digest_size=8).hexdigest()
-        return d
-
     def _state(self, fields: dict[str, str]) -> str:
         values = set(fields.values())
         for state, need in self.rules:
@@ -188,40 +185,51 @@ class Automaton:
                 return state
         return FLAT if fields and values <= {VALUE, NIL} else OBJECT
 
-    def run(self, doc: object) -> tuple[dict[int, str], str]:
-        """Each object's and list's state by identity, and the shape of the document."""
-        states: dict[int, str] = {}
-        shapes: dict[int, str] = {}
-
-        def of(x: object) -> tuple[str, str]:
-            if x is None:
-                return NIL, NIL
-            return (states[id(x)], shapes[id(x)]) if isinstance(x, (dict, list)) else (VALUE, VALUE)
-
-        stack: list[tuple[object, bool]] = [(doc, False)]
-        while stack:
-            x, ready = stack.pop()
-            if not isinstance(x, (dict, list)):
-                continue
-            if isinstance(x, dict) and ("#text" in x or "@xsi:nil" in x):
-                states[id(x)] = shapes[id(x)] = NIL if scalar(x) is None else VALUE
+    def _of_object(self, fields: tuple) -> tuple[str, str]:
+        """State and shape of an object of ``fields``: (name, (state, shape)) in any order."""
+        got = self.known.get(fields)
+        if got is None:
+            below = sorted(fields)
+            state = self._state({k: s for k, (s, _) in below})
+            got = self._keep(fields, state, (state, *((k, shape) for k, (_, shape) in below)))
+        return got
+
+    def _of_list(self, items: frozenset) -> tuple[str, str]:
+        got = self.known.get(items)
+        if got is None:
+            below = sorted(items)
+            state = max((s for s, _ in below), key=lambda s: _TELLING.get(s, 3), default=NIL)
+            got = self._keep(items, state, ("[", *(shape for _, shape in below)))
+        return got
+
+    def _keep(self, key, state: str, parts: tuple) -> tuple[str, str]:
+        if len(self.known) > 100_000:
+            self.known.clear()
+        self.known[key] = got = (state, hashlib.blake2b(repr(parts).encode(), digest_size=8).hexdigest())
+        return got
+
+    def run(self, doc: object) -> dict[int, tuple[str, str]]:
+        """State and shape of each object and list by identity."""
+        of: dict[int, tuple[str, str]] = {}
+        order, stack = [], [doc] if isinstance(doc, (dict, list)) else []
+        while stack:  # parents before children
+            x = stack.pop()
+            if type(x) is dict and ("#text" in x or "@xsi:nil" in x):
+                of[id(x)] = _NIL if scalar(x) is None else _VALUE
                 continue
-            if not ready:
-                stack.append((x, True))
-                stack.extend((y, False) for y in (x if isinstance(x, list) else x.values()) if isinstance(y, (dict, list)))
-            elif isinstance(x, list):
-                below = sorted({of(y) for y in x})
-                states[id(x)] = max((s for s, _ in below), key=lambda s: _TELLING.get(s, 3), default=NIL)
-                shapes[id(x)] = self._shape(("[", *(s for _, s in below)))
+            order.append(x)
+            stack.extend([y for y in (x if type(x) is list else x.values()) if type(y) is dict or type(y) is list])
+        for x in reversed(order):
+            if type(x) is list:
+                of[id(x)] = self._of_list(frozenset([of[id(y)] if type(y) is dict or type(y) is list else _NIL if y is None else _VALUE for y in x]))
             else:
-                below = {k: of(v) for k, v in x.items() if not k.startswith("@")}
-                states[id(x)] = state = self._state({k: s for k, (s, _) in below.items()})
-                shapes[id(x)] = self._shape((state, *((k, below[k][1]) for k in sorted(below))))
-        return states, of(doc)[1]
+                of[id(x)] = self._of_object(tuple([(k, of[id(v)] if type(v) is dict or type(v) is list else _NIL if v is None else _VALUE) for k, v in x.items() if k[:1] != "@"]))
+        return of
 
     def rows(self, doc: object) -> tuple[str, list[tuple[str | None, int, int, str, dict]]]:
         """The variant and the nodes (uid of the record, node, parent node, subtype, fields). A node goes where its state says."""
-        states, shape = self.run(doc)
+        of = self.run(doc)
+        shape = of[id(doc)][1] if id(doc) in of else VALUE
         out: list = []
         stack: list[tuple[object, str | None, int, str, str | None]] = [(doc, None, 0, "", None)]
         while stack:
@@ -229,8 +237,10 @@ class Automaton:
             if isinstance(x, list):
                 stack.extend((y, uid, parent, above, kind) for y in reversed(x) if isinstance(y, (dict, list)))
                 continue
-            state = states[id(x)] if isinstance(x, dict) else OBJECT
-            if not isinstance(x, dict) or state in (NIL, VALUE):
+            if not isinstance(x, dict):
+                continue
+            state = of[id(x)][0]
+            if state in (NIL, VALUE):
                 continue
             subtype, fields = state, None
             if state in RECORDS:
@@ -241,7 +251,7 @@ class Automaton:
             elif state == "synthese":
                 counts = {k: scalar(x.get(k)) for k in TOTALS}
                 for d in many(x.get("decompte")):
-                    if isinstance(d, dict) and states[id(d)] not in (NIL, VALUE):
+                    if isinstance(d, dict) and of[id(d)][0] not in (NIL, VALUE):
                         counts |= {k: scalar(v) for k, v in d.items() if not k.startswith(("@", "#"))}
                 fields = {"comptes": [{"champ": k, "texte": v, "nombre": whole(v)} for k, v in counts.items() if v is not None]}
             elif kind is not None and state in ("personne", "auteur"):
@@ -253,8 +263,10 @@ class Automaton:
             if fields is not None:
                 out.append((uid, len(out) + 1, parent, subtype, fields))
                 parent = len(out)
+            if state in LEAVES:
+                continue
             for k, v in reversed(list(x.items())):
-                if isinstance(v, (dict, list)):
+                if type(v) is dict or type(v) is list:
                     stack.append((v, uid, parent, k if state == "signataires" else "", k if state == "nominatif" and k in LISTS else kind if state == "liste" else None))
         return shape, out
 
