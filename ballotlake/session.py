@@ -85,12 +85,15 @@ def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return (len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0))
 
 
-_MARTS: dict[tuple, DataFrame] = {}
+_MARTS: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def mart(spark: SparkSession, key: tuple, sources: list[str], build) -> DataFrame:
-    """What ``build`` gives, written once in the session's shared folder and read by every later query, as long as the source tables do not change."""
+    """What ``build`` gives, written once in the session's shared folder and read by every later query, as long as the source tables do not change and the folder is not emptied."""
     k = (spark.sparkContext.applicationId, *key, *[fingerprint(spark, s) for s in sources])
-    if k not in _MARTS:
-        _MARTS[k] = written(build(), "mart")
-    return _MARTS[k]
+    if k in _MARTS and fingerprint(spark, f"{_MARTS[k][0]}/_SUCCESS")[0]:
+        return _MARTS[k][1]
+    path, df = scratch(spark, "mart"), build()
+    df.write.parquet(path)
+    _MARTS[k] = (path, spark.read.schema(df.schema).parquet(path))
+    return _MARTS[k][1]

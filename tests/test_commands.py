@@ -1,6 +1,7 @@
 """The command surface, the detector's options, and sessions."""
 
 import datetime as dt
+import shutil
 from pathlib import Path
 
 import pytest
@@ -99,3 +100,6 @@ def test_a_mart_follows_its_source(spark, tmp_path):
     assert read() is one and one.count() == 3
     spark.range(5).write.mode("overwrite").parquet(p)
     assert read().count() == 5
+    path = next(v[0] for k, v in session._MARTS.items() if k[1:3] == ("x", str(tmp_path)) and v[1].count() == 5)
+    shutil.rmtree(path.removeprefix("file:"))
+    assert read().count() == 5
