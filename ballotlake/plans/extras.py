@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.expr import STRUCTURAL_CAUSES, position
+from ..functions.expr import STRUCTURAL_CAUSES, key, position
 from ..operators import agreement, amendments, ideal, lines, scaling
 from ..session import scratch, written
 from ..streaming import weekly
@@ -214,3 +214,18 @@ def flux_hebdo(a: Assembly) -> DataFrame:
     return spark.createDataFrame([], empty) if put.last is None else spark.read.schema(empty).parquet(f"{out}/batch-{put.last}")
 
 
+@query("""WITH v AS (SELECT upper(trim(scrutin_uid, ' ' || chr(9) || chr(160))) AS s, upper(trim(acteur_uid, ' ' || chr(9) || chr(160))) AS m, lower(trim(position, ' ' || chr(9) || chr(160))) AS p FROM votes)
+SELECT CASE WHEN p = 'nonvotant' THEN 'nonVotant' ELSE p END AS position, count(DISTINCT (s, m)) AS n FROM v WHERE s <> '' AND m <> '' GROUP BY 1""")
+def flux_uniques(a: Assembly) -> DataFrame:
+    """Ballots taken in once each, as a stream that drops what comes again: the state holds a key for as long as the watermark says, here for all the time of the data. Batches are written by their number, so a repeated one changes nothing."""
+    spark, out = a.spark, scratch(a.spark, "stream")
+    s = weekly.ballot_stream(spark, f"{a.sf}/votes.parquet", a.raw("votes").schema)
+    s = s.select(key("scrutin_uid").alias("scrutin_uid"), key("acteur_uid").alias("acteur_uid"), position("position").alias("position"), F.col("recu_le").cast("timestamp").alias("recu_le"))
+    s = weekly.once(s.where(F.col("scrutin_uid").isNotNull() & F.col("acteur_uid").isNotNull()), ["scrutin_uid", "acteur_uid", "position"], "recu_le", "36500 days")
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.groupBy("position").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batches/batch={batch}")
+
+    weekly.rebuild_on_arrival(s, put, f"{out}/checkpoint").awaitTermination()
+    kept = "position string, n bigint, batch int"
+    return spark.read.schema(kept).parquet(f"{out}/batches").groupBy("position").agg(F.sum("n").alias("n"))
