@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import EXPRESSED, day, key, latest, position
 from ..operators.lines import group_lines
 from ..session import fingerprint, mart, table
+from ..sources.catalog import OPTIONAL, schema
 
 
 class Assembly:
@@ -24,6 +25,9 @@ class Assembly:
         return mart(self.spark, (self.sf, name), [f"{self.sf}/{t}.parquet" for t in sources], build)
 
     def raw(self, name: str) -> DataFrame:
+        """A table as received; an optional one that is not there is empty, so that what rests on it is empty too."""
+        if name in OPTIONAL and not self.has(name):
+            return self.spark.createDataFrame([], schema(name).add("recu_le", "timestamp"))
         return table(self.spark, self.sf, name)
 
     def has(self, name: str) -> bool:

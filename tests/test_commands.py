@@ -53,7 +53,7 @@ def test_options_reach_the_operators(spark, a):
 def test_the_command_line(spark, capsys, tmp_path):
     if not Path(SF).exists():
         pytest.skip("no test data")
-    assert __main__.main(["--data", SF, "participation", "-h"] if False else ["--data", SF, "participation", "--k", "2", "--pire"]) == 0
+    assert __main__.main(["--data", SF, "participation", "--k", "2", "--pire"]) == 0
     assert __main__.main(["--data", SF, "--out", f"{tmp_path}/x", "run", "derniere_semaine"]) == 0 and spark.read.parquet(f"{tmp_path}/x").count() == 1
     assert __main__.main(["--data", SF, "verifier"]) == 1
     assert __main__.main(["list"]) == 0 and "p1_found" in capsys.readouterr().out
@@ -103,3 +103,14 @@ def test_a_mart_follows_its_source(spark, tmp_path):
     path = next(v[0] for k, v in session._MARTS.items() if k[1:3] == ("x", str(tmp_path)) and v[1].count() == 5)
     shutil.rmtree(path.removeprefix("file:"))
     assert read().count() == 5
+
+
+def test_without_amendments_what_needs_them_is_empty(spark, tmp_path):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+    for name in ("scrutins", "votes", "deputes", "organes", "mandats"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    b = Assembly(spark, str(tmp_path))
+    assert not b.has("amendements") and b.amendments.count() == 0
+    assert commands.cosignatures(b, par_groupe=True).count() == 0 and commands.amendements(b).count() == 0 and commands.courtiers(b).count() == 0
+    assert commands.serie(b, "digues").count() > 0
