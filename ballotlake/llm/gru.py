@@ -104,9 +104,10 @@ class BiGru:
             du += prev.T @ dg
             dc += dg[:, 2 * h :].sum(0)
             carry = np.where(live, moved * z, dh) + dg @ u.T
-        one = np.zeros((steps * batch, PAD + 1), np.float32)
-        one[np.arange(steps * batch), x.reshape(-1)] = 1.0
-        g[f"x{d}"] = one.T @ da.reshape(-1, 3 * h)
+        order = np.argsort(x.reshape(-1), kind="stable")
+        symbols, starts = np.unique(x.reshape(-1)[order], return_index=True)
+        g[f"x{d}"] = np.zeros((PAD + 1, 3 * h), da.dtype)
+        g[f"x{d}"][symbols] = np.add.reduceat(da.reshape(-1, 3 * h)[order], starts, 0)
         g[f"u{d}"], g[f"c{d}"] = du, dc
 
     def train(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int, batch: int, rate: float, seed: int, short: float = 0.4) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,17 +174,22 @@ def train(sample: list[tuple[str, str]], counts: dict[str, int], settings: Setti
     pick = np.concatenate([rng.permutation(np.flatnonzero(y[of] == k))[: settings.windows] for k in range(size)])
     weights = np.sqrt(np.array([counts.get(k, 0) for k in LANGUAGES], float))
     keep = np.zeros(len(texts), bool)
-    for k in (0, 1):
+
+    def judged(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The paragraphs of the other half as the network of half ``k`` reads them."""
         steps, rate = settings.rounds[0]
         judge = BiGru(size, settings.hidden, settings.seed + 1 + k)
         use = pick[half[of[pick]] == k]
         judge.train(x[use], y[of[use]], weights, steps, settings.batch, rate, settings.seed + k)
         others = np.flatnonzero(half != k)
-        if len(others):
-            q, n = pooled(judge, [texts[i] for i in others], settings.read_bytes)
-            agrees = q.argmax(1) == y[others]
-            share = np.bincount(doc[others], n * agrees, len(sample)) / np.maximum(np.bincount(doc[others], n, len(sample)), 1)
-            keep[others] = agrees & (q.max(1) >= settings.clear) & (share[doc[others]] > 0.5)
+        return others, *(pooled(judge, [texts[i] for i in others], settings.read_bytes) if len(others) else (np.zeros((0, size)), np.zeros(0)))
+
+    with ThreadPoolExecutor(2) as both:  # each has its own seed, so the order in which they end changes nothing
+        for others, q, n in both.map(judged, (0, 1)):
+            if len(others):
+                agrees = q.argmax(1) == y[others]
+                share = np.bincount(doc[others], n * agrees, len(sample)) / np.maximum(np.bincount(doc[others], n, len(sample)), 1)
+                keep[others] = agrees & (q.max(1) >= settings.clear) & (share[doc[others]] > 0.5)
     for k in range(size):
         if not keep[y == k].any():
             keep[y == k] = True
