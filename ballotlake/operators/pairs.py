@@ -14,6 +14,12 @@ BITS = 64
 SHARES = 4
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in several tasks for each core: for groups of little data that take long, which would otherwise be put together in a few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def numbered(rows: DataFrame, item: str, *aggs) -> DataFrame:
     """(item, num, aggregates): a number for each distinct item, written once so that it stays the same."""
     return written(rows.groupBy(item).agg(*(aggs or (F.lit(0).alias("__one"),))).withColumn("num", F.monotonically_increasing_id()), "items")

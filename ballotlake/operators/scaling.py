@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import EXPRESSED
+from .pairs import spread
 
 #: Members above which no dense matrix is made.
 MOST_MEMBERS = 5000
@@ -61,7 +62,7 @@ def _axes(unit: str, names: list[str], values: np.ndarray, vectors: np.ndarray,
 def _map(ballots: DataFrame, unit: str, dims: int, fit) -> DataFrame:
     schema = "unite string, acteur_uid string, " + ", ".join(f"axe{k} double, inertie{k} double" for k in range(1, dims + 1))
     src = ballots.select(F.col(unit).cast("string").alias("__unit"), "acteur_uid", "scrutin_uid", "position")
-    return src.groupBy("__unit").applyInPandas(fit, schema)
+    return spread(src, "__unit").groupBy("__unit").applyInPandas(fit, schema)
 
 
 def pca(ballots: DataFrame, unit: str = "unite", dims: int = 2) -> DataFrame:
