@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import BLANKS, text_hash
+from ..session import written
 
 #: Letters of other alphabets shaped like Latin ones.
 LOOK_ALIKES = {
@@ -98,15 +99,21 @@ def composition_pairs() -> dict[str, str]:
     return out
 
 
+def _three_bytes(cp: Column) -> Column:
+    """The character of a code point from U+0800 to U+FFFF, by its bytes: a table of all syllables would be written out in every plan."""
+    cp = cp.cast("int")
+    octets = F.shiftright(cp, 12) * 0x10000 + F.shiftright(cp, 6).bitwiseAND(0x3F) * 0x100 + cp.bitwiseAND(0x3F) + 0xE08080
+    return F.unhex(F.hex(octets)).cast("string")
+
+
 def _composed(s: Column, c: Column) -> Column:
     """What a character and the next one compose to, null if they don't."""
     pairs = composition_pairs()
     table = F.map_from_arrays(F.split(F.lit("\n".join(pairs)), "\n"), F.split(F.lit("\n".join(pairs.values())), "\n"))
-    syllables = F.split(F.lit("".join(map(chr, range(0xAC00, 0xD7A4)))), "(?!^)")
     a, b = F.ascii(s), F.ascii(c)
     first = F.when((a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175), ((a - 0x1100) * 21 + b - 0x1161) * 28)
     second = F.when((a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b <= 0x11C2), a - 0xAC00 + b - 0x11A7)
-    return F.when((b >= 0x1161) & (b <= 0x11C2), F.get(syllables, F.coalesce(first, second).cast("int"))).otherwise(F.try_element_at(table, F.concat(s, c)))
+    return F.when((b >= 0x1161) & (b <= 0x11C2), _three_bytes(F.coalesce(first, second) + 0xAC00)).otherwise(F.try_element_at(table, F.concat(s, c)))
 
 
 def recomposed(m: Column) -> Column:
@@ -125,7 +132,8 @@ def recomposed(m: Column) -> Column:
     return F.when(F.size(m) == 1, F.element_at(m, 1)["ch"]).otherwise(whole)
 
 
-_BLANK_CLASS = "[" + "".join(f"\\x{{{ord(b):X}}}" for b in BLANKS + "⠀") + "]+"
+_ALL_BLANKS = BLANKS + "⠀"
+_BLANK_CLASS = "[" + "".join(f"\\x{{{ord(b):X}}}" for b in _ALL_BLANKS) + "]+"
 
 
 def token_forms(tokens: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def token_forms(tokens: DataFrame) -> DataFrame:
     spark = tokens.sparkSession
     mapping = F.broadcast(_table(spark, mapping_rows(), "ch string, becomes array<string>"))
     classes = F.broadcast(_table(spark, class_rows(), "ch string, ccc int"))
-    points = tokens.select("k", F.posexplode(F.split("token", "(?!^)")).alias("pos", "ch"))
+    points = tokens.select("k", F.posexplode(F.split("token", "")).alias("pos", "ch"))
     points = points.join(mapping, "ch", "left").select("k", "pos", F.posexplode(F.coalesce("becomes", F.array("ch"))).alias("sub", "ch"))
     points = points.join(classes, "ch", "left").select("k", "pos", "sub", "ch", F.coalesce("ccc", F.lit(0)).alias("ccc"))
     w = W.partitionBy("k").orderBy("pos", "sub")
@@ -157,6 +165,69 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _alone(full: list[str], marks: dict[str, int]) -> str:
+    """What a character that stands for ``full`` becomes by itself, recomposed cluster by cluster as :func:`token_forms` does it."""
+    clusters, before = [], 1
+    for c in full:
+        k = marks.get(c, 0)
+        if not clusters or k == 0 or (k == GOES_ON and before > 0):
+            clusters.append("")
+        clusters[-1] += c
+        before = k
+    return "".join(unicodedata.normalize("NFC", c) for c in clusters)
+
+
+@lru_cache(1)
+def single_forms() -> tuple[dict[str, str], list[int]]:
+    """Characters whose form is one other character or nothing, with that form; and the code points whose form rests on their neighbours or is longer.
+
+    In a text without any of the latter every character begins its own cluster, so nothing moves or composes across characters and the form is made one by one.
+    """
+    marks = dict(class_rows())
+    forms, tied = {}, {ord(c) for c in marks}
+    for ch, full in mapping_rows():
+        if ch in _ALL_BLANKS:
+            continue
+        form = _alone(full, marks)
+        if (full and full[0] in marks) or len(form) > 1 or (form and form in _ALL_BLANKS):
+            tied.add(ord(ch))
+        elif form != ch and ord(ch) not in tied:
+            forms[ch] = form
+    return forms, sorted(tied)
+
+
+@lru_cache(1)
+def _tied_class() -> str:
+    """The code points of :func:`single_forms` that rest on others, as a class of a regular expression."""
+    runs: list[list[int]] = []
+    for cp in single_forms()[1]:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in runs) + "]"
+
+
+#: Ranges without a code point whose form rests on others, which hold most texts: a shorter way to the answer.
+_MOSTLY = ((0, 0x2FF), (0x2000, 0x206F))
+#: Texts of characters that all stay as they are, but for blanks.
+_STAYS = r"^[\x00-\x{AC}\x{AE}-\x{24F}]*+$"
+
+
+def _tied(text: Column) -> Column:
+    """Whether a text has characters whose form rests on their neighbours; false for null."""
+    quick = "^[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in _MOSTLY) + "]*+$"
+    return F.coalesce(~text.rlike(quick) & text.rlike(_tied_class()), F.lit(False))
+
+
+def _one_by_one(text: Column) -> Column:
+    """The form of a text that is not :func:`_tied`."""
+    forms, _ = single_forms()
+    kept = sorted(forms, key=lambda c: (not forms[c], c))  # what shows nothing comes last: translate drops what has no counterpart
+    shown = F.when(text.rlike(_STAYS), text).otherwise(F.translate(text, "".join(kept), "".join(forms[c] for c in kept)))
+    return F.trim(F.regexp_replace(shown, _BLANK_CLASS, " "))
+
+
 def canonical(df: DataFrame, text: str, out: str = "forme") -> DataFrame:
     """Add ``out``: the one form of ``text``, equal exactly for texts that look the same.
 
@@ -164,27 +235,35 @@ def canonical(df: DataFrame, text: str, out: str = "forme") -> DataFrame:
     hyphens and look-alike letters go; case, accents, digits and punctuation stay. A null text stays null; a text that shows nothing becomes
     "". Rows are neither dropped nor repeated, other columns are kept, but one named ``out`` is replaced.
 
-    Blanks part a text into tokens; no mark moves or composes across one, so each distinct token is brought to its form once and joined
-    back by position. Equal texts are worked on once (a hot text costs nothing); a hot token has one row per distinct text
+    A text without marks, conjoining letters and characters that stand for several is translated where it lies, without a shuffle. The others are parted by
+    blanks into tokens; no mark moves or composes across a blank, so each distinct token is brought to its form once and joined
+    back by position, from a written table so that plans do not hold all of this again. Equal texts are worked on once (a hot text costs nothing); a hot token has one row per distinct text
     and may be split by AQE since the other side has one row per token.
     """
-    rows = (df if out == text else df.drop(out)).withColumn("__h", text_hash(text))
-    texts = rows.where(F.col(text).isNotNull()).groupBy("__h").agg(F.first(text).alias("__t"))
+    rows = df if out == text else df.drop(out)
+    whole = rows.where(~_tied(F.col(text))).withColumn(out, _one_by_one(F.col(text)))
+    tied = rows.where(_tied(F.col(text))).withColumn("__h", text_hash(text))
+    texts = tied.groupBy("__h").agg(F.first(text).alias("__t"))
     words = texts.select("__h", F.posexplode(F.split("__t", _BLANK_CLASS)).alias("pos", "token")).where(F.col("token") != "").withColumn("k", text_hash("token"))
     forms = token_forms(words.groupBy("k").agg(F.first("token").alias("token")))
     joined = words.drop("token").join(forms, "k").where(F.col("forme") != "")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.col("forme").alias("f"))))
-    rebuilt = joined.groupBy("__h").agg(F.array_join(F.transform(parts, lambda x: x["f"]), " ").alias(out))
-    with_form = rows.join(rebuilt.withColumnRenamed(out, "__f"), "__h", "left").drop("__h")
-    return with_form.withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("__f", F.lit("")))).drop("__f")
+    rebuilt = written(joined.groupBy("__h").agg(F.array_join(F.transform(parts, lambda x: x["f"]), " ").alias("__f")), "forms")
+    with_form = tied.join(rebuilt, "__h", "left").drop("__h").withColumn(out, F.coalesce("__f", F.lit(""))).drop("__f")
+    return whole.unionByName(with_form)
 
 
 def look_alike_classes(forms: DataFrame, group: str, ident: str, text: str, form: str = "forme") -> DataFrame:
     """(group, classe, ident, text, n_liens): the texts that look like another one. ``classe`` stands for the form; ``n_liens``: rows of the class with another text.
 
     One row per group, ident and text, so it grows with the texts and not with their pairs. Texts that show nothing look like no other.
+    Forms of only one text are found by hashes and fall away first, so that of the texts only those travel on that have a class.
     """
-    t = forms.where((F.col(form) != "") & F.col(ident).isNotNull() & F.col(text).isNotNull()).select(group, ident, text, form).distinct()
+    t = forms.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(group, ident, text, form).withColumn("__f", F.xxhash64(group, form))
+    h = t.select("__f", text_hash(text).alias("h")).select("__f", F.col("h.h1").alias("p"), F.col("h.h2").alias("q"))
+    seen = h.groupBy("__f").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("q").alias("q0"), F.max("q").alias("q1"))
+    several = seen.where((F.col("p0") != F.col("p1")) | (F.col("q0") != F.col("q1"))).select("__f")
+    t = written(t.join(several, "__f", "left_semi").select(group, ident, text, form).distinct(), "alike").where(F.col(form) != "")  # sooner, it would have every form made twice
     size = t.groupBy(group, form, text).agg(F.count(F.lit(1)).alias("__n"))
     all_of = size.groupBy(group, form).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__kinds")).where(F.col("__kinds") > 1)
     links = size.join(all_of, [group, form]).select(group, form, text, (F.col("__all") - F.col("__n")).alias("n_liens"))

@@ -15,15 +15,20 @@ VOCABULARY = f"{encode.vocabulary_folder()}/byte_bpe_50k.tiktoken"
 # --- 2
 
 
-def p2_formes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every title and name with its one form."""
+def _p2_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(champ, cle, texte): the titles and names as received."""
     s = table(spark, sf, "scrutins").select(F.lit("scrutins.titre").alias("champ"), key("scrutin_uid").alias("cle"), F.col("titre").alias("texte"))
     d = table(spark, sf, "deputes").select(F.lit("deputes.nom_complet").alias("champ"), key("acteur_uid").alias("cle"), F.col("nom_complet").alias("texte"))
-    return forms.canonical(s.unionByName(d).distinct(), "texte")
+    return s.unionByName(d)
+
+
+def p2_formes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every title and name with its one form."""
+    return forms.canonical(_p2_texts(spark, sf).distinct(), "texte")
 
 
 def _p2_members(spark: SparkSession, sf: str) -> DataFrame:
-    f = written(p2_formes(spark, sf).where(F.col("cle").isNotNull() & F.col("texte").isNotNull()), "formes")
+    f = forms.canonical(_p2_texts(spark, sf).where(F.col("cle").isNotNull() & F.col("texte").isNotNull()), "texte")
     return forms.look_alike_classes(f, "champ", "cle", "texte")
 
 

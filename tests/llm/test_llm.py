@@ -87,6 +87,22 @@ def test_every_letter_of_the_list_and_none_beside(spark):
     assert norm(spark, [apart]) == [unicodedata.normalize("NFC", apart)]
 
 
+def test_only_texts_with_marks_are_taken_apart(spark, monkeypatch):
+    """Characters whose form does not rest on others are translated in place, with the form that the long way gives them."""
+    taken, long_way = [], forms.token_forms
+    monkeypatch.setattr(forms, "token_forms", lambda t: taken.extend(r["token"] for r in t.collect()) or long_way(t))
+    assert norm(spark, ["le vote", "Élève  ＡＢ‐с", "déc\u0301u vu"]) == ["le vote", "Élève AB-c", "dé\u0107u vu"]
+    assert sorted(taken) == ["déc\u0301u", "vu"]
+    tied = set(forms.single_forms()[1])
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200)) if c not in tied and chr(c) not in forms._ALL_BLANKS]
+    words = ["x" + "y".join(chars[i : i + 40]) + "x" for i in range(0, len(chars), 40)]
+    df = spark.createDataFrame([(w, w) for w in words], "k string, token string")
+    apart = {r["k"]: r["forme"] for r in long_way(df).collect()}
+    assert norm(spark, words) == [apart[w] for w in words]
+    assert all(not lo <= c <= hi for c in tied for lo, hi in forms._MOSTLY)
+    assert all(ord(c) == 0xAD or ord(c) > 0x24F for c in forms.single_forms()[0])
+
+
 # --- 6
 
 
