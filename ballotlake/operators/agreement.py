@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import EXPRESSED
+from ..session import written
 from .pairs import counted_pairs, numbered
 
 
@@ -19,8 +20,13 @@ def pair_counts(expressed: DataFrame, by: list[str] | None = None, floor: int =
     items = numbered(expressed, "acteur_uid")
     rows = expressed.join(items.select("acteur_uid", "num"), "acteur_uid")
     out = counted_pairs(rows, "scrutin_uid", "num", "position", EXPRESSED, tuple(by)).where(F.col("both") >= floor)
+    return _named(out, items, by)
+
+
+def _named(counted: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """Counted pairs of numbers with the members' names."""
     one, two = items.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), items.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
-    return out.join(one, "a").join(two, "b").select(*by, F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.col("same").alias("accord"), F.col("both").alias("communs"))
+    return counted.join(one, "a").join(two, "b").select(*by, F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), F.col("same").alias("accord"), F.col("both").alias("communs"))
 
 
 def agreement(pairs: DataFrame, floor: int = 30) -> DataFrame:
@@ -100,18 +106,25 @@ def remarkable(pairs: DataFrame, members: DataFrame, k: int = 20, floor: int = 1
 def sample_size_check(expressed: DataFrame, events: DataFrame, pairs: list[tuple[str, str]], members: DataFrame, level: str, m: int, draws: int = 40, seed: int = 0, floor: int = 10) -> DataFrame:
     """Is the agreement of two groups at ``level`` outside what random samples of ``m`` events of the whole give?
 
-    Each draw takes ``m`` events without replacement by a seeded hash; all draws are aggregated in one pass.
+    Each draw takes ``m`` events without replacement by a seeded hash; all draws are aggregated in one pass. Only members of the groups asked for are counted, and the
+    ballots of an event are brought together once, however often it is drawn.
     Result: groupe_a, groupe_b, observe, plancher, plafond, hors (null without a measure).
     """
-    wanted = F.lit(False)
-    for a, b in pairs:
-        wanted = wanted | ((F.col("groupe_a") == a) & (F.col("groupe_b") == b))
+    couples = sorted(set(pairs))
+    at = F.array_compact(F.array(*[F.when(F.col("groupe").isin(a, b), i) for i, (a, b) in enumerate(couples)]))
+    asked = members.select("acteur_uid", F.explode(at).alias("couple"))
+    x = written(expressed.select("scrutin_uid", "acteur_uid", "position").join(asked, "acteur_uid"), "asked")
     drawn = events.select("scrutin_uid", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("tirage"))
     w = W.partitionBy("tirage").orderBy(F.xxhash64(F.lit(seed), "tirage", "scrutin_uid"), "scrutin_uid")
     drawn = drawn.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m).select("scrutin_uid", "tirage")
     own = events.where(F.col("portee") == level).select("scrutin_uid", F.lit(0).alias("tirage"))
-    ballots = expressed.join(drawn.unionByName(own), "scrutin_uid")
-    rates = group_agreement(pair_counts(ballots, ["tirage"]), members, floor, ["tirage"]).where(wanted)
+    items = numbered(x, "acteur_uid")
+    counted = counted_pairs(x.join(items.select("acteur_uid", "num"), "acteur_uid"), "scrutin_uid", "num", "position", EXPRESSED, ("couple",), drawn=drawn.unionByName(own))
+    rates = group_agreement(_named(counted.where(F.col("both") >= floor), items, ["couple", "tirage"]), members, floor, ["couple", "tirage"])
+    wanted = F.lit(False)
+    for i, (a, b) in enumerate(couples):
+        wanted = wanted | ((F.col("couple") == i) & (F.col("groupe_a") == a) & (F.col("groupe_b") == b))
+    rates = rates.where(wanted)
     real = F.col("tirage") == 0
     out = rates.groupBy("groupe_a", "groupe_b").agg(
         F.max(F.when(real, F.col("accord_moyen"))).alias("observe"), F.min(F.when(~real, F.col("accord_moyen"))).alias("plancher"), F.max(F.when(~real, F.col("accord_moyen"))).alias("plafond")

@@ -25,11 +25,12 @@ def numbered(rows: DataFrame, item: str, *aggs) -> DataFrame:
     return written(rows.groupBy(item).agg(*(aggs or (F.lit(0).alias("__one"),))).withColumn("num", F.monotonically_increasing_id()), "items")
 
 
-def counted_pairs(rows: DataFrame, basket: str, item: str, label: str, labels: tuple, by: tuple[str, ...] = (), block: int = 1024, tasks: int | None = None) -> DataFrame:
+def counted_pairs(rows: DataFrame, basket: str, item: str, label: str, labels: tuple, by: tuple[str, ...] = (), block: int = 1024, tasks: int | None = None, drawn: DataFrame | None = None) -> DataFrame:
     """(by, a, b, same, both) for all pairs a < b that share a basket: baskets that hold both, and those in which both have the same label.
 
     ``rows`` has one row per (by, basket, item); ``item`` is a long of 0 or more; a label that is not one of ``labels`` (or null) is like no other. ``by``: columns
-    to count apart. Rows without a basket or item fall away.
+    to count apart. Rows without a basket or item fall away. ``drawn``: (basket, one more column of ``by``, named last): in what each basket counts; it is laid to the whole
+    basket once it is made, so its rows are not shuffled as often as it is drawn.
 
     A basket becomes one sorted array, cut into blocks of ``block`` items; every pair of its blocks is a unit of at most ``block`` squared pairs, however large the
     basket. Units go to tasks by the smallest hash of their basket's items, so that baskets of the same items meet. A key with more than a fair part of
@@ -41,21 +42,23 @@ def counted_pairs(rows: DataFrame, basket: str, item: str, label: str, labels: t
     """
     spark = rows.sparkSession
     tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    kinds, names = len(labels), list(by)
+    kinds, names = len(labels), [*by, *([c for c in drawn.columns if c != basket] if drawn is not None else [])]
     by = [f"__by{i}" for i in range(len(names))]
     kind = F.lit(kinds)
     for i, x in enumerate(labels):
         kind = F.when(F.col(label) == x, i).otherwise(kind)
     code = (F.col(item) * (kinds + 1) + kind).alias("c")
-    src = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(*[F.col(n).alias(b) for n, b in zip(names, by)], F.col(basket).alias("__s"), F.xxhash64(F.col(item)).alias("__h"), code)
-    units = written(_units(src, by, block), "units")
+    src = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(*[F.col(n).alias(b) for n, b in zip(names, by) if n in rows.columns], F.col(basket).alias("__s"), F.xxhash64(F.col(item)).alias("__h"), code)
+    often = drawn.select(F.col(basket).alias("__s"), F.col(names[-1]).alias(by[-1])) if drawn is not None else None
+    units = written(_units(src, by, block, often), "units")
     placed = _placed(units, by, tasks)
     return _summed(placed, by, kinds).select(*[F.col(b).alias(n) for n, b in zip(names, by)], "a", "b", "same", "both")
 
 
-def _units(src: DataFrame, by: list[str], block: int) -> DataFrame:
+def _units(src: DataFrame, by: list[str], block: int, drawn: DataFrame | None = None) -> DataFrame:
     """Pairs of blocks: ``x`` alone, or ``x`` with ``y`` of which all items come later; ``k``: the routing key."""
-    baskets = src.groupBy(*by, "__s").agg(F.array_sort(F.collect_list("c")).alias("all"), F.min("__h").alias("k")).where(F.size("all") > 1)
+    baskets = src.groupBy(*[b for b in by if b in src.columns], "__s").agg(F.array_sort(F.collect_list("c")).alias("all"), F.min("__h").alias("k")).where(F.size("all") > 1)
+    baskets = baskets if drawn is None else baskets.join(drawn, "__s")
     last = F.ceil(F.size("all") / F.lit(block)).cast("int") - 1
     cuts = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     part = lambda n: F.slice("all", n * block + 1, F.lit(block))

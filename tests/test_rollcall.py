@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import math
+import random
 from types import SimpleNamespace
 
 import numpy as np
@@ -358,3 +359,24 @@ def test_activity_counts_empty_weeks(spark):
     e = spark.createDataFrame([(f"s{i}", d) for i, d in enumerate(days)], "scrutin_uid string, jour date")
     got = alerts.activity(e).collect()
     assert {r["semaine"] for r in got} >= {D(2024, 2, 26)}
+
+
+def test_sample_check_counts_only_the_groups_asked_for(spark, monkeypatch):
+    rng = random.Random(12)
+    group = {f"m{i}": "ABC"[i % 3] for i in range(18)} | {"m18": None}
+    votes = [(f"s{s}", m, rng.choice(["pour", "contre", "abstention"])) for s in range(30) for m in [*group, "unknown"] if rng.random() < 0.8]
+    x = spark.createDataFrame([*votes, ("nowhere", "m0", "pour"), ("nowhere", "m3", "pour")], "scrutin_uid string, acteur_uid string, position string")
+    events = spark.createDataFrame([(f"s{s}", "intermediaire" if s % 2 else "detail") for s in range(30)], "scrutin_uid string, portee string")
+    members = spark.createDataFrame(list(group.items()), "acteur_uid string, groupe string")
+    sizes, count = [], agreement.counted_pairs
+    monkeypatch.setattr(agreement, "counted_pairs", lambda rows, *a, **k: sizes.append(rows.count()) or count(rows, *a, **k))
+    got = {(r["groupe_a"], r["groupe_b"]): r["observe"] for r in agreement.sample_size_check(x, events, [("A", "A"), ("A", "B"), ("A", "A")], members, "intermediaire", 15, draws=5, floor=3).collect()}
+    cast = {(s, m): p for s, m, p in votes if int(s[1:]) % 2}
+    def mean(a, b):
+        rates = []
+        for u, v in [(u, v) for u in group for v in group if u < v and {group[u], group[v]} == {a, b}]:
+            both = [cast[s, u] == cast[s, v] for s in {s for s, _ in cast} if (s, u) in cast and (s, v) in cast]
+            rates += [sum(both) / len(both)] if len(both) >= 3 else []
+        return sum(rates) / len(rates)
+    assert {k: round(v, 9) for k, v in got.items()} == {("A", "A"): round(mean("A", "A"), 9), ("A", "B"): round(mean("A", "B"), 9)}
+    assert sizes == [sum(2 if group.get(m) == "A" else group.get(m) == "B" for _, m, _ in [*votes, ("", "m0", ""), ("", "m3", "")])]
