@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,6 +131,94 @@ def shared_seats(periods: DataFrame, members: DataFrame, events: DataFrame | Non
     return _anomaly(pairs, "sieges_uniques", F.col("siege"), F.concat_ws(" ", F.least("acteur_uid", "u"), F.greatest("acteur_uid", "u"))).distinct()
 
 
+#: Members laid against all of a seat at a time, one bit each.
+BITS_AT_ONCE = 4096
+
+
+def shared_seat_totals(periods: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
+    """(controle, n, x): of each seat how many rows :func:`shared_seats` with ``events`` has, and the first of them, without a row for every pair.
+
+    Terms become spans of the days with an event. A member meets those present on its first day and those who begin by its last one: two bit sets,
+    the latter from unions over powers of two of days. A seat is one group of a row per term; its pairs only exist as bits.
+    """
+    held = members.where(F.col("num_circo").isNotNull() & F.col("departement").isNotNull()).select("acteur_uid", F.concat_ws("/", "departement", "num_circo").alias("siege"))
+    end = F.coalesce("fin", F.lit("9999-12-31").cast("date"))
+    s = periods.join(held, "acteur_uid").select("siege", "acteur_uid", F.unix_date("debut").alias("d"), F.unix_date(end).alias("f"))
+    days = np.array(sorted(r[0] for r in events.where(F.col("jour").isNotNull()).select(F.unix_date("jour")).distinct().collect()), dtype=np.int64)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, first = _meetings(pdf["acteur_uid"].to_numpy(), np.searchsorted(days, pdf["d"].to_numpy()), np.searchsorted(days, pdf["f"].to_numpy(), "right") - 1)
+        return pd.DataFrame({"siege": [pdf["siege"].iloc[0]], "n": [n], "m": [first]} if n else {"siege": [], "n": [], "m": []})
+
+    out = s.groupBy("siege").applyInPandas(total, "siege string, n bigint, m array<string>")
+    return out.select(F.lit("sieges_uniques").alias("controle"), "n", F.transform("m", lambda m: F.struct(F.col("siege").alias("cle"), m.alias("message"))).alias("x"))
+
+
+def _meetings(who: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, list[str]]:
+    """How many pairs of members have spans in common, and the first of them as messages. Both bounds of a span are included; an empty one meets none."""
+    kept = start <= end
+    names, of = np.unique(who[kept].astype(str), return_inverse=True)
+    if len(names) < 2:
+        return 0, []
+    _, at = np.unique(np.concatenate([start[kept], end[kept]]), return_inverse=True)
+    start, end = at[: len(of)], at[len(of) :]
+    order = np.argsort(of, kind="stable")
+    start, end, of = start[order], end[order], of[order]
+    begins = np.searchsorted(of, np.arange(len(names)))
+    points, ends_of = int(at.max()) + 1, np.append(begins[1:], len(of))
+    n, met = 0, [[] for _ in names]
+    spaced = any(" " in x for x in names)
+    found: set[str] = set()
+    prefixes = sorted(range(len(names)), key=lambda i: names[i] + " ")
+    for low in range(0, len(names), BITS_AT_ONCE):
+        high = min(low + BITS_AT_ONCE, len(names))
+        own = np.flatnonzero((of >= low) & (of < high))
+        here, new = (np.zeros((points, (high - low + 7) // 8), np.uint8) for _ in range(2))
+        for k in own:
+            v = of[k] - low
+            here[start[k] : end[k] + 1, v >> 3] |= np.uint8(128 >> (v & 7))
+            new[start[k], v >> 3] |= np.uint8(128 >> (v & 7))
+        levels = [new]
+        while 2 << (len(levels) - 1) <= points:
+            step = 1 << (len(levels) - 1)
+            levels.append(levels[-1][:-step] | levels[-1][step:])
+        for a in range(0, len(names), BITS_AT_ONCE):
+            b = min(a + BITS_AT_ONCE, len(names))
+            lo, hi = begins[a], ends_of[b - 1]
+            rows = here[start[lo:hi]]
+            for k in range(len(levels)):
+                width = end[lo:hi] - start[lo:hi]  # of the days after the first
+                some = np.flatnonzero((width >= 1 << k) & (width < 2 << k))
+                rows[some] |= levels[k][start[lo:hi][some] + 1] | levels[k][end[lo:hi][some] - (1 << k) + 1]
+            each = np.bitwise_or.reduceat(rows, begins[a:b] - lo, axis=0)
+            n += int(np.bitwise_count(each).sum(dtype=np.int64))
+            wanted = range(a, b) if spaced else [i for i in prefixes[: 2 * EXAMPLES] if a <= i < b]
+            for i in wanted:
+                others = np.flatnonzero(np.unpackbits(each[i - a])[: high - low]) + low
+                met[i] += [int(j) for j in others if j > i]
+    n = (n - len(names)) // 2  # each pair from both sides, and everyone meets itself
+    if spaced:
+        found = {f"{names[i]} {names[j]}" for i in range(len(names)) for j in met[i]}
+        return len(found), sorted(found)[:EXAMPLES]
+    first = sorted(f"{names[i]} {names[j]}" for i in prefixes[: 2 * EXAMPLES] for j in met[i])[:EXAMPLES]
+    if len(first) < min(n, EXAMPLES):  # the first names meet few: all are looked at
+        return n, _first_meetings(names, of, start, end)
+    return n, first
+
+
+def _first_meetings(names: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    first: list[str] = []  # in the order of the messages
+    for i in sorted(range(len(names)), key=lambda i: names[i] + " "):
+        own = np.flatnonzero(of == i)
+        hit = np.zeros(len(of), bool)
+        for k in own:
+            hit |= (start <= end[k]) & (start[k] <= end)
+        first += [f"{names[i]} {names[j]}" for j in np.unique(of[hit]) if j > i]
+        if len(first) >= EXAMPLES:
+            break
+    return sorted(first)[:EXAMPLES]
+
+
 def _with_event(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """The pairs of which some event day is from ``debut`` to the earlier of the ends ``f`` and ``e``. The calendar has one row a day, whatever the data, and is broadcast."""
     days = events.where(F.col("jour").isNotNull()).groupBy("jour").agg(F.count(F.lit(1)).alias("n"))
@@ -163,14 +253,15 @@ def source_totals(events: DataFrame, ballots: DataFrame) -> DataFrame:
     return _anomaly(j.withColumn("w", wrong).where(F.size("w") > 0), "totaux_source", F.col("scrutin_uid"), F.concat_ws(",", "w"))
 
 
-def verify(parts: list[DataFrame]) -> DataFrame:
-    """Per check with an anomaly: how many and a few examples."""
+def verify(parts: list[DataFrame], counted: DataFrame | None = None) -> DataFrame:
+    """Per check with an anomaly: how many and a few examples. ``counted``: (controle, n, x) of checks whose anomalies are counted and not listed."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     part = out.withColumn("__s", F.pmod(F.xxhash64("cle", "message"), F.lit(64)))  # a check may have more rows than one task should sort
     r = part.withColumn("__r", F.row_number().over(W.partitionBy("controle", "__s").orderBy("cle", "message")))
     r = r.groupBy("controle", "__s").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("__r") <= EXAMPLES, F.struct("cle", "message"))).alias("x"))
+    r = r.select("controle", "n", "x") if counted is None else r.select("controle", "n", "x").unionByName(counted)
     first = F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, EXAMPLES)
     return r.groupBy("controle").agg(F.sum("n").alias("n"), first.alias("x")).select("controle", "n", F.col("x.cle").alias("exemples"))
 

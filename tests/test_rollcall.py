@@ -380,3 +380,13 @@ def test_sample_check_counts_only_the_groups_asked_for(spark, monkeypatch):
         return sum(rates) / len(rates)
     assert {k: round(v, 9) for k, v in got.items()} == {("A", "A"): round(mean("A", "A"), 9), ("A", "B"): round(mean("A", "B"), 9)}
     assert sizes == [sum(2 if group.get(m) == "A" else group.get(m) == "B" for _, m, _ in [*votes, ("", "m0", ""), ("", "m3", "")])]
+
+
+def test_meetings_on_a_seat_against_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for case in range(60):
+        monkeypatch.setattr(alerts, "BITS_AT_ONCE", 16 if case % 2 else 4096)
+        spans = [(f"m{rng.randrange(40)}" + (" x" if case % 5 == 0 else ""), s, s + rng.randrange(-1, 12)) for s in (rng.randrange(120 if case % 3 else 2000) for _ in range(rng.randrange(1, 90)))]
+        who, start, end = (np.array(x) for x in zip(*spans))
+        want = sorted({f"{a} {b}" for a, s, e in spans for b, t, f in spans if a < b and s <= e and t <= f and s <= f and t <= e})
+        assert alerts._meetings(who.astype(object), start, end) == (len(want), want[:8]), case
