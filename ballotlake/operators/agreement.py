@@ -23,6 +23,27 @@ def pair_counts(expressed: DataFrame, by: list[str] | None = None, floor: int =
     return _named(out, items, by)
 
 
+def member_numbers(members: DataFrame) -> DataFrame:
+    """(acteur_uid, num, bits): a number for each member, larger for a larger uid; its lowest ``bits`` bits tell the group (0: none), so pairs of numbers need no join to
+    tell whether they are of one group. Written once, so that it stays the same."""
+    groups = members.where(F.col("groupe").isNotNull()).groupBy("groupe").agg(F.lit(1).alias("__one"))
+    groups = groups.select("groupe", F.row_number().over(W.orderBy("groupe")).alias("__g"))
+    names = members.select("acteur_uid", "groupe").join(groups, "groupe", "left").select("acteur_uid", F.coalesce("__g", F.lit(0)).cast("bigint").alias("__g"))
+    bits = groups.agg(F.coalesce(F.max("__g"), F.lit(0)).alias("n")).first()["n"].bit_length()
+    return written(names.orderBy("acteur_uid").select("acteur_uid", F.shiftleft(F.monotonically_increasing_id(), bits).bitwiseOR(F.col("__g")).alias("num"), F.lit(bits).alias("bits")), "members")
+
+
+def numbered_counts(expressed: DataFrame, numbers: DataFrame, floor: int = 1) -> DataFrame:
+    """(a, b, same, both) of :func:`pair_counts` for the members numbered, a < b being numbers."""
+    rows = expressed.select("scrutin_uid", "acteur_uid", "position").join(numbers.select("acteur_uid", "num"), "acteur_uid")
+    return counted_pairs(rows, "scrutin_uid", "num", "position", EXPRESSED).where(F.col("both") >= floor)
+
+
+def named_counts(counted: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(a, b, accord, communs) of counted pairs of numbers."""
+    return _named(counted, numbers, [])
+
+
 def _named(counted: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
     """Counted pairs of numbers with the members' names."""
     one, two = items.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), items.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
@@ -95,6 +116,26 @@ def neighbours(pairs: DataFrame, members: DataFrame, k: int = 8, floor: int = 30
     return g.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= k).select("a", "b", "taux", "communs", "rang")
 
 
+def nearest(counted: DataFrame, numbers: DataFrame, k: int = 8, floor: int = 30) -> DataFrame:
+    """(a, proches, hors_groupe, opposes): what :func:`neighbours` gives of the nearest members, the nearest of other groups and the farthest, as arrays, in one pass.
+
+    ``counted``: from :func:`numbered_counts`. Pairs travel once, as numbers; names come to what is kept. A member's pairs are at most as many as it has members beside it.
+    """
+    bits = numbers.agg(F.max("bits")).first()[0] or 0
+    group = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    p = counted.where(F.col("both") >= floor).withColumn("dehors", group("a") != group("b"))
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    p = p.select(F.explode(ways).alias("p"), "same", "both", "dehors").select("p.a", "p.b", F.col("same").cast("int").alias("same"), F.col("both").cast("int").alias("both"), "dehors")
+    p = p.repartition("a").withColumn("taux", F.col("same") / F.col("both"))
+    w = W.partitionBy("a")
+    near, far = w.orderBy(F.col("taux").desc(), "b"), w.orderBy("taux", "b")
+    ranks = {"proches": F.row_number().over(near), "hors_groupe": F.when(F.col("dehors"), F.sum(F.col("dehors").cast("int")).over(near.rowsBetween(W.unboundedPreceding, 0)).cast("int")), "opposes": F.row_number().over(far)}
+    p = p.withColumns(ranks).where((F.col("proches") <= k) | (F.col("hors_groupe") <= k) | (F.col("opposes") <= k))
+    one, two = numbers.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), numbers.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
+    named = p.join(two, "b").groupBy("a").agg(*[F.array_sort(F.collect_list(F.when(F.col(c) <= k, F.struct(F.col(c).alias("rang"), F.col("nb").alias("b"), "taux", F.col("both").cast("bigint").alias("communs"))))).alias(c) for c in ranks])
+    return named.join(one, "a").select(F.col("na").alias("a"), *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ranks])
+
+
 def remarkable(pairs: DataFrame, members: DataFrame, k: int = 20, floor: int = 100, across: bool = True) -> DataFrame:
     """The ``k`` pairs with the highest rate, by default across groups; ties by uids."""
     p = with_groups(agreement(pairs, floor), members)

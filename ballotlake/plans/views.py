@@ -12,6 +12,7 @@ from ..functions import text
 from ..functions.expr import EXPRESSED, rate
 from ..functions.stats import jeffreys
 from ..operators import abstention, agreement, alerts, amendments, lines, scaling
+from ..session import written
 from . import rollcall
 from .assembly import Assembly, sql
 from .rollcall import FLOOR, tidy
@@ -176,7 +177,11 @@ def presence_groupes(a: Assembly) -> DataFrame:
 
 @query()
 def fiches(a: Assembly) -> DataFrame:
-    """One nested row per member: identity, activity, place, amendments, co-signers, responsibilities, nearest and farthest members."""
+    """One nested row per member: identity, activity, place, amendments, co-signers, responsibilities, nearest and farthest members.
+
+    Each part is written by itself, so that the shuffles of one are gone before the next begins; what is joined at the end has one row per member.
+    """
+    near = written(agreement.nearest(rollcall._counted(a), rollcall._numbers(a), 8, FLOOR).withColumnRenamed("a", "acteur_uid"), "near")
     n = lines.eligible_counts(lines.term_periods(a.members), lines.calendar(a.events), ["n"])
     part = lines.participation(n, rollcall._flagged(a)).select("acteur_uid", F.struct("eligibles", "exprimes", "structurels", "denominateur", "taux").alias("activite"))
     d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).withColumn("i", jeffreys(F.col("n_dissidents").cast("double"), F.col("n_votes").cast("double")))
@@ -194,19 +199,12 @@ def fiches(a: Assembly) -> DataFrame:
     tasks = rollcall.responsabilites(a).groupBy("acteur_uid").agg(F.array_sort(F.collect_list(F.struct("rang", "type_organe", "organe_uid", "libelle"))).alias("responsabilites"))
     out = a.members.select("acteur_uid", "nom_complet", "groupe", text.slug(F.col("nom_complet")).alias("slug"), "departement", "num_circo", "en_exercice", "periodes_mandat")
     out = out.withColumn("slug_unique", F.count(F.lit(1)).over(W.partitionBy("slug")) == 1)
-    for arm in (part, d, place, m, co, tasks, *(_near(a, name, **how) for name, how in NEAR.items())):
+    parts = [written(arm, "part") for arm in (part, d, m, co)]
+    for arm in (*parts[:2], place, *parts[2:], tasks, near):
         out = out.join(arm, "acteur_uid", "left")
     return out
 
 
-NEAR = {"proches": {}, "hors_groupe": {"outside": True}, "opposes": {"inverse": True}}
-
-
-def _near(a: Assembly, name: str, **how) -> DataFrame:
-    near = agreement.neighbours(rollcall._pairs(a), a.members, 8, FLOOR, **how)
-    return near.groupBy(F.col("a").alias("acteur_uid")).agg(F.array_sort(F.collect_list(F.struct("rang", "b", "taux", "communs"))).alias(name))
-
-
 # --- matrices ----------------------------------------------------------------------------------------------------
 
 

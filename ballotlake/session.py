@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +66,27 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/ballotlake/{what}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a write go once it is done, not when the driver happens to collect its garbage: what was written is read from its files.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidied(spark: SparkSession):
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame, what: str, parts: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost
     executor never forces the producing stages to run again. ``parts``: a column of few values by which files are laid apart."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    (df.write.partitionBy(parts) if parts else df.write).parquet(path)
+    with _tidied(spark):
+        (df.write.partitionBy(parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +110,7 @@ def mart(spark: SparkSession, key: tuple, sources: list[str], build) -> DataFram
     if k in _MARTS and fingerprint(spark, f"{_MARTS[k][0]}/_SUCCESS")[0]:
         return _MARTS[k][1]
     path, df = scratch(spark, "mart"), build()
-    df.write.parquet(path)
+    with _tidied(spark):
+        df.write.parquet(path)
     _MARTS[k] = (path, spark.read.schema(df.schema).parquet(path))
     return _MARTS[k][1]

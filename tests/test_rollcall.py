@@ -4,9 +4,11 @@ import base64
 import datetime as dt
 import math
 import random
+import time
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ballotlake.functions import stats, text
 from ballotlake.operators import abstention, agreement, alerts, amendments, ideal, lines, scaling, topics
 from ballotlake.plans import rollcall
 from ballotlake.plans.rollcall import one_member, status
+from ballotlake.session import written
 
 D = dt.date
 TOY = {"A": ["pour", "pour", "contre", "contre", "abstention", "pour"], "B": ["pour", "pour", "contre", "contre", "abstention", "pour"], "C": ["contre", "contre", "pour", "pour", "abstention", "contre"], "D": ["pour"]}
@@ -247,6 +250,71 @@ def test_bootstrap_in_spark(spark):
     assert len(got) == 40 and all(r["bas"] <= r["haut"] and r["n_tirages"] == 6 and r["n_votes"] == 40 for r in got)
 
 
+def test_draws_side_by_side_are_placed_as_each_alone():
+    _, y = toy_model(40, 50)
+    mask = (np.random.default_rng(3).random(y.shape) < 0.6).astype(float)
+    mask[7, 10:] = 0.0  # a member of few events, which some draws leave out
+    y, anchor = y * mask, np.arange(40) < 5
+    draws = [np.bincount(np.random.default_rng(r).integers(0, 50, 50), minlength=50).astype(float) for r in range(12)] + [np.eye(50)[0]]
+    got = ideal.drawn_places(y, mask, draws, ideal.Options(), anchor)
+    assert got[-1] is None
+    for w, (members, x) in zip(draws[:-1], got[:-1]):
+        cols = np.flatnonzero(w)
+        held = np.flatnonzero(mask[:, cols].any(1))
+        one = ideal.estimate(y[np.ix_(held, cols)], mask[np.ix_(held, cols)], ideal.Options(), anchor[held], w[cols])
+        assert list(members) == list(held) and np.allclose(x, one.x, atol=1e-8)
+
+
+def test_misfit_of_steep_values():
+    v = np.array([[-800.0, -1.0, 0.0, 2.0, 800.0]])
+    for part in (slice(None), slice(0, 4)):
+        value, p = ideal.misfit(v[:, part].copy(), np.ones_like(v[:, part]))
+        assert math.isclose(value, np.logaddexp(0.0, v[:, part]).sum()) and np.allclose(p, ideal.logistic(v[:, part]))
+
+
+def test_ballots_of_a_small_unit_travel_once(spark):
+    got = spark.createDataFrame([(1,), (5_000,), (60_000,), (10**9,)], "n bigint").select("n", ideal.parts(F.col("n"), 61).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in got} == {1: 1, 5_000: 1, 60_000: 2, 10**9: 5}
+    for n in (1, 2, 5):
+        made = [r for k in range(n) for r in ideal._part(pd.DataFrame({"__part": [k], "__parts": [n]}), 61)]
+        assert made == list(range(61))
+
+
+def test_nearest_in_one_pass_are_the_neighbours(spark):
+    rng = random.Random(5)
+    names = [f"m{i:02}" for i in range(30)]
+    people = spark.createDataFrame([(m, rng.choice(["G1", "G2", "G3", None])) for m in names], "acteur_uid string, groupe string")
+    cast = [(f"s{j}", m, rng.choice(["pour", "contre", "abstention"])) for j in range(9) for m in rng.sample(names, 22)] + [("s0", "unknown", "pour")]
+    cast = spark.createDataFrame(cast, "scrutin_uid string, acteur_uid string, position string")
+    numbers = agreement.member_numbers(people)
+    got = {r["a"]: r for r in agreement.nearest(agreement.numbered_counts(cast, numbers, 2), numbers, 4, 3).collect()}
+    pairs = agreement.pair_counts(cast.where("acteur_uid <> 'unknown'"))
+    for name, how in {"proches": {}, "hors_groupe": {"outside": True}, "opposes": {"inverse": True}}.items():
+        wanted = {}
+        for r in agreement.neighbours(pairs, people, 4, 3, **how).orderBy("a", "rang").collect():
+            wanted.setdefault(r["a"], []).append((r["rang"], r["b"], r["taux"], r["communs"]))
+        assert {a: [tuple(x) for x in r[name]] for a, r in got.items() if r[name]} == wanted
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        n = set()
+        while files.hasNext():
+            name = files.next().getName()
+            if name.startswith("shuffle_"):
+                n.add(name)
+        return n
+
+    before = shuffles()
+    df = written(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and df.count() == 7
+
+
 def test_overlaps_and_bracketing(spark):
     i = spark.createDataFrame([("a", 0.0, 2.0), ("b", 1.0, 3.0), ("c", 2.0, 2.5), ("d", 9.0, 9.5), ("e", None, None)], "acteur_uid string, bas double, haut double")
     assert {r[0]: r[1] for r in ideal.overlaps(i).select("acteur_uid", "n_chevauchements").collect()} == {"a": 2, "b": 2, "c": 2, "d": 0}
