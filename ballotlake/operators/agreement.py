@@ -116,24 +116,31 @@ def neighbours(pairs: DataFrame, members: DataFrame, k: int = 8, floor: int = 30
     return g.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= k).select("a", "b", "taux", "communs", "rang")
 
 
-def nearest(counted: DataFrame, numbers: DataFrame, k: int = 8, floor: int = 30) -> DataFrame:
-    """(a, proches, hors_groupe, opposes): what :func:`neighbours` gives of the nearest members, the nearest of other groups and the farthest, as arrays, in one pass.
+def nearest(counted: DataFrame, numbers: DataFrame, k: int | None = 8, floor: int = 30) -> DataFrame:
+    """(a, proches, hors_groupe, opposes): what :func:`neighbours` gives of the nearest members, the nearest of other groups and the farthest, as arrays, in one pass;
+    without ``k`` every member measured with it is in them.
 
-    ``counted``: from :func:`numbered_counts`. Pairs travel once, as numbers; names come to what is kept. A member's pairs are at most as many as it has members beside it.
+    ``counted``: from :func:`numbered_counts`. Pairs travel once, as numbers. A member's pairs are at most as many as it has members beside it.
     """
+    return nearest_by_number(counted, numbers, k, floor).join(numbers.select("num", F.col("acteur_uid").alias("a")), "num").select("a", "proches", "hors_groupe", "opposes")
+
+
+def nearest_by_number(counted: DataFrame, numbers: DataFrame, k: int | None, floor: int) -> DataFrame:
+    """:func:`nearest` by the member's number, ``num``, in the place of ``a``: rows lie by it, so that what is joined to them moves and they do not."""
     bits = numbers.agg(F.max("bits")).first()[0] or 0
     group = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-    p = counted.where(F.col("both") >= floor).withColumn("dehors", group("a") != group("b"))
+    p = counted.where(F.col("both") >= floor)
     ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    p = p.select(F.explode(ways).alias("p"), "same", "both", "dehors").select("p.a", "p.b", F.col("same").cast("int").alias("same"), F.col("both").cast("int").alias("both"), "dehors")
-    p = p.repartition("a").withColumn("taux", F.col("same") / F.col("both"))
-    w = W.partitionBy("a")
-    near, far = w.orderBy(F.col("taux").desc(), "b"), w.orderBy("taux", "b")
-    ranks = {"proches": F.row_number().over(near), "hors_groupe": F.when(F.col("dehors"), F.sum(F.col("dehors").cast("int")).over(near.rowsBetween(W.unboundedPreceding, 0)).cast("int")), "opposes": F.row_number().over(far)}
-    p = p.withColumns(ranks).where((F.col("proches") <= k) | (F.col("hors_groupe") <= k) | (F.col("opposes") <= k))
-    one, two = numbers.select(F.col("num").alias("a"), F.col("acteur_uid").alias("na")), numbers.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb"))
-    named = p.join(two, "b").groupBy("a").agg(*[F.array_sort(F.collect_list(F.when(F.col(c) <= k, F.struct(F.col(c).alias("rang"), F.col("nb").alias("b"), "taux", F.col("both").cast("bigint").alias("communs"))))).alias(c) for c in ranks])
-    return named.join(one, "a").select(F.col("na").alias("a"), *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ranks])
+    p = p.select(F.explode(ways).alias("p"), F.col("same").cast("int").alias("same"), F.col("both").cast("int").alias("both")).select("p.a", "p.b", "same", "both").repartition("a")
+    p = p.join(numbers.select(F.col("num").alias("b"), F.col("acteur_uid").alias("nb")), "b")
+    # an array is sorted by its fields in turn: the share of events on different sides, or on the same, then the name
+    apart, taux = (F.col("both") - F.col("same")) / F.col("both"), lambda x: x["same"] / x["both"]
+    p = p.groupBy(F.col("a").alias("num")).agg(F.array_sort(F.collect_list(F.struct(apart.alias("apart"), F.col("nb").alias("b"), "same", "both", (group("a") != group("b")).alias("dehors")))).alias("tous"))
+    far = F.array_sort(F.transform("tous", lambda x: F.struct(taux(x).alias("taux"), x["b"].alias("b"), x["same"].alias("same"), x["both"].alias("both"))))
+    lists = {"proches": F.col("tous"), "hors_groupe": F.filter("tous", lambda x: x["dehors"]), "opposes": far}
+    ranked = lambda x, i: F.struct((i + 1).alias("rang"), x["b"].alias("b"), taux(x).alias("taux"), x["both"].cast("bigint").alias("communs"))
+    p = p.select("num", *[F.transform(c if k is None else F.slice(c, 1, k), ranked).alias(name) for name, c in lists.items()])
+    return p.select("num", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in lists])
 
 
 def remarkable(pairs: DataFrame, members: DataFrame, k: int = 20, floor: int = 100, across: bool = True) -> DataFrame:

@@ -78,6 +78,26 @@ def jaccard(edges: DataFrame, nodes: DataFrame, min_signatures: int = 20, min_sh
     return j.withColumn("jaccard", F.col("communs") / (F.col("sa") + F.col("sb") - F.col("communs")))
 
 
+def co_signers(amendments: DataFrame, members: DataFrame, at_most: int = 10) -> DataFrame:
+    """(acteur_uid, cosignataires): all who ever signed with a member, ranked: by Jaccard over the amendments of at most ``at_most`` signers (those that whole groups file tell
+    no more than the group; none in common, and nothing to measure by, are last), then by Jaccard over all amendments (``jaccard_tous``, ``communs_tous``), then by uid.
+
+    Both are counted in one pass: the amendments of few signers are those of one label. Pairs of an amendment are counted by blocks of its signers, however many these are.
+    """
+    signed = signatures(amendments, members, None)
+    n = signed.groupBy("amendement_uid").agg(F.count(F.lit(1)).alias("n"))
+    rows = signed.join(n, "amendement_uid").select("amendement_uid", "acteur_uid", (F.col("n") <= at_most).alias("peu"))
+    items = numbered(rows, "acteur_uid", F.count_if("peu").alias("s"), F.count(F.lit(1)).alias("st"))
+    pairs = counted_pairs(rows.join(items.select("acteur_uid", "num"), "acteur_uid"), "amendement_uid", "num", "peu", (True,))
+    end = lambda c: items.select(F.col("num").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("acteur_uid", "s", "st")])
+    share = lambda both, size: rate(F.col(both), F.col(f"{size}a") + F.col(f"{size}b") - F.col(both))
+    j = pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("acteur_uida").alias("a"), F.col("acteur_uidb").alias("b"), share("same", "s").alias("j"), "same", share("both", "st").alias("jt"), "both")
+    one = F.struct(F.when(F.col("j") > 0, -F.col("j")).otherwise(0.0).alias("loin"), (-F.col("jt")).alias("loin_tous"), "b", "j", "same", "jt", "both")
+    j = mirrored(j).groupBy(F.col("a").alias("acteur_uid")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    ranked = lambda x, i: F.struct((i + 1).alias("rang"), x["b"].alias("b"), x["j"].alias("jaccard"), x["same"].alias("communs"), x["jt"].alias("jaccard_tous"), x["both"].alias("communs_tous"))
+    return j.select("acteur_uid", F.transform("x", ranked).alias("cosignataires"))
+
+
 def top_pairs(edges: DataFrame, nodes: DataFrame, members: DataFrame, k: int = 20, min_signatures: int = 20, min_shared: int = 5, across: bool = True) -> DataFrame:
     """The ``k`` pairs with the highest Jaccard, by default across groups; ties by uids."""
     p = with_groups(jaccard(edges, nodes, min_signatures, min_shared), members)

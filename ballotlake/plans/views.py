@@ -177,11 +177,13 @@ def presence_groupes(a: Assembly) -> DataFrame:
 
 @query()
 def fiches(a: Assembly) -> DataFrame:
-    """One nested row per member: identity, activity, place, amendments, co-signers, responsibilities, nearest and farthest members.
+    """One nested row per member: identity, activity, place, amendments, all co-signers, responsibilities, all members measured with it from the nearest and from the farthest.
 
-    Each part is written by itself, so that the shuffles of one are gone before the next begins; what is joined at the end has one row per member.
+    Each part is written by itself, so that the shuffles of one are gone before the next begins; what is joined at the end has one row per member. The lists of
+    members are as many as the counted pairs and are not written before: the other parts come to them.
     """
-    near = written(agreement.nearest(rollcall._counted(a), rollcall._numbers(a), 8, FLOOR).withColumnRenamed("a", "acteur_uid"), "near")
+    numbers = rollcall._numbers(a)
+    near = agreement.nearest_by_number(rollcall._counted(a), numbers, None, FLOOR)
     n = lines.eligible_counts(lines.term_periods(a.members), lines.calendar(a.events), ["n"])
     part = lines.participation(n, rollcall._flagged(a)).select("acteur_uid", F.struct("eligibles", "exprimes", "structurels", "denominateur", "taux").alias("activite"))
     d = lines.dissent_by(lines.against_line(a.expressed, a.lines), ["acteur_uid"], 1).withColumn("i", jeffreys(F.col("n_dissidents").cast("double"), F.col("n_votes").cast("double")))
@@ -192,17 +194,14 @@ def fiches(a: Assembly) -> DataFrame:
     own = amendments.by_author(a.amendments, ["auteur_uid"]).join(amendments.outcomes_by(a.amendments, ["auteur_uid"]).drop("deposes", "examines", "adoptes", "rejetes"), "auteur_uid", "left").withColumnRenamed("auteur_uid", "acteur_uid")
     m = amendments.filed_and_cosigned(a.amendments).drop("deposes").join(own, "acteur_uid", "left")
     m = m.select("acteur_uid", F.struct(*[c for c in m.columns if c != "acteur_uid"]).alias("amendements"))
-    edges, nodes = rollcall._network(a)
-    co = agreement.mirrored(amendments.jaccard(edges, nodes, 1).select("a", "b", "jaccard", "communs"))
-    co = co.withColumn("rang", F.row_number().over(W.partitionBy("a").orderBy(F.col("jaccard").desc(), "b"))).where(F.col("rang") <= 8)
-    co = co.groupBy(F.col("a").alias("acteur_uid")).agg(F.array_sort(F.collect_list(F.struct("rang", "b", "jaccard", "communs"))).alias("cosignataires"))
+    co = amendments.co_signers(a.amendments, a.members)
     tasks = rollcall.responsabilites(a).groupBy("acteur_uid").agg(F.array_sort(F.collect_list(F.struct("rang", "type_organe", "organe_uid", "libelle"))).alias("responsabilites"))
     out = a.members.select("acteur_uid", "nom_complet", "groupe", text.slug(F.col("nom_complet")).alias("slug"), "departement", "num_circo", "en_exercice", "periodes_mandat")
     out = out.withColumn("slug_unique", F.count(F.lit(1)).over(W.partitionBy("slug")) == 1)
     parts = [written(arm, "part") for arm in (part, d, m, co)]
-    for arm in (*parts[:2], place, *parts[2:], tasks, near):
+    for arm in (*parts[:2], place, *parts[2:], tasks):
         out = out.join(arm, "acteur_uid", "left")
-    return out
+    return out.join(numbers.select("acteur_uid", "num"), "acteur_uid").join(near, "num", "left").drop("num")
 
 
 # --- matrices ----------------------------------------------------------------------------------------------------

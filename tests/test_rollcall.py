@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ballotlake.functions import stats, text
 from ballotlake.operators import abstention, agreement, alerts, amendments, ideal, lines, scaling, topics
-from ballotlake.plans import rollcall
+from ballotlake.plans import rollcall, views
+from ballotlake.plans.assembly import Assembly
 from ballotlake.plans.rollcall import one_member, status
 from ballotlake.session import written
 
@@ -296,6 +297,54 @@ def test_nearest_in_one_pass_are_the_neighbours(spark):
         assert {a: [tuple(x) for x in r[name]] for a, r in got.items() if r[name]} == wanted
 
 
+def test_without_k_all_who_were_measured_are_near_and_far(spark):
+    rng = random.Random(6)
+    names = [f"m{i:02}" for i in range(25)]
+    people = spark.createDataFrame([(m, rng.choice(["G1", "G2", None])) for m in names], "acteur_uid string, groupe string")
+    cast = spark.createDataFrame([(f"s{j}", m, rng.choice(["pour", "contre", "abstention"])) for j in range(8) for m in rng.sample(names, 18)], "scrutin_uid string, acteur_uid string, position string")
+    numbers = agreement.member_numbers(people)
+    got = {r["a"]: r for r in agreement.nearest(agreement.numbered_counts(cast, numbers, 2), numbers, None, 3).collect()}
+    pairs = agreement.pair_counts(cast)
+    for name, how in {"proches": {}, "hors_groupe": {"outside": True}, "opposes": {"inverse": True}}.items():
+        wanted = {}
+        for r in agreement.neighbours(pairs, people, len(names), 3, **how).orderBy("a", "rang").collect():
+            wanted.setdefault(r["a"], []).append((r["rang"], r["b"], r["taux"], r["communs"]))
+        assert max(len(x) for x in wanted.values()) > 8
+        assert {a: [tuple(x) for x in r[name]] for a, r in got.items() if r[name]} == wanted
+
+
+def test_co_signers_of_amendments_with_any_number_of_signers(spark):
+    people = [f"P{i:02}" for i in range(14)]
+    signed = {"few": people[:3], "few2": [people[0], people[1], people[1]], "ten": people[:10], "eleven": people[:11], "all": people, "alone": [people[5]], "stranger": [people[6], "X"]}
+    members = spark.createDataFrame([(p,) for p in people], "acteur_uid string")
+    a = spark.createDataFrame([(k, v[0], v[1:]) for k, v in signed.items()], "amendement_uid string, auteur_uid string, cosignataires array<string>")
+    known = {k: set(v) & set(people) for k, v in signed.items()}
+    known = [v for v in known.values() if len(v) > 1]
+
+    def shared(x, y, most):
+        both = [v for v in known if len(v) <= most and x in v and y in v]
+        either = [v for v in known if len(v) <= most and (x in v or y in v)]
+        return len(both) / len(either) if either else None, len(both)
+
+    wanted = {}
+    for x in people:
+        others = [(y, *shared(x, y, 10), *shared(x, y, 99)) for y in people if y != x]
+        others.sort(key=lambda o: (-(o[1] or 0), -o[3], o[0]))
+        wanted[x] = [(i, *o) for i, o in enumerate(others, 1)]
+    got = {r["acteur_uid"]: [tuple(x) for x in r["cosignataires"]] for r in amendments.co_signers(a, members).collect()}
+    assert got == wanted and wanted["P11"][0][2:] == (None, 0, 1.0, 1)
+
+
+def test_cards_hold_all_co_signers_and_all_counted_pairs(spark):
+    a = Assembly(spark, "/root/testdata/sf0.001")
+    cards = views.fiches(a).select("acteur_uid", *[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("cosignataires", "proches", "opposes")]).collect()
+    assert len(cards) == a.members.count()
+    edges = amendments.network(amendments.signatures(a.amendments, a.members, None))[0]
+    n = 2 * rollcall._pairs(a).count()
+    assert max(r["proches"] for r in cards) > 8
+    assert sum(r["proches"] for r in cards) == sum(r["opposes"] for r in cards) == n and sum(r["cosignataires"] for r in cards) == 2 * edges.count()
+
+
 def test_a_written_table_leaves_no_shuffle(spark):
     def shuffles():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
